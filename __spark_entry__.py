@@ -348,6 +348,22 @@ def _round2(x: str) -> str:
     return f"(round_even(({x}) * 100.0, 0) / 100.0)"
 
 
+def _round_exact_sql(x: str, digits: int = 2) -> str:
+    """Python ``round(x, 2)``: half-even on the exact binary value (Dekker product split)."""
+    sc = float(10 ** digits)
+    sp = 134217729.0
+    bh = (sp * sc) - ((sp * sc) - sc)
+    bl = sc - bh
+    p = f"(({x}) * {sc})"
+    c = f"({sp} * ({x}))"
+    ah = f"({c} - ({c} - ({x})))"
+    al = f"(({x}) - {ah})"
+    e = f"((({ah} * {bh} - {p}) + {ah} * {bl} + {al} * {bh}) + {al} * {bl})"
+    tie = f"({p} - floor({p}) = 0.5)"
+    return (f"(CASE WHEN {tie} AND {e} > 0 THEN floor({p}) + 1 WHEN {tie} AND {e} < 0 THEN floor({p}) "
+            f"ELSE round_even({p}, 0) END / {sc})")
+
+
 def _minutes(a: str, b: str) -> str:
     return f"(date_diff('microsecond', {a}, {b}) / 1e6 / 60.0)"
 
@@ -449,7 +465,7 @@ def _label_sql() -> str:
     return f"""
 WITH l AS (SELECT event_id, {lab} AS label FROM events)
 SELECT event_id, label,
-       CASE WHEN regexp_matches(label, {rx}) THEN printf('%.2f min', {_round2(mins)}) ELSE label END
+       CASE WHEN regexp_matches(label, {rx}) THEN printf('%.2f min', {_round_exact_sql(mins)}) ELSE label END
          AS label_minutes
 FROM l"""
 
@@ -501,7 +517,7 @@ g AS (SELECT activity AS src, next_activity AS dst, count(*) AS n,
              avg(date_diff('microsecond', start_ts, next_start) / 1e6) AS mean_seconds
       FROM succ WHERE next_activity IS NOT NULL GROUP BY 1, 2)
 SELECT src, dst, n, mean_seconds, mean_seconds / 60.0 AS mean_minutes,
-       printf('%.2f min', {_round2('mean_seconds / 60.0')}) AS label
+       printf('%.2f min', {_round_exact_sql('mean_seconds / 60.0')}) AS label
 FROM g"""
     q["q_wait_summary"] = f"""
 WITH {LONG},
@@ -510,7 +526,8 @@ agg AS (SELECT dimension, grp, count(*) AS n,
                quantile_cont(value, 0.95) AS q95, quantile_cont(value, 0.99) AS q99
         FROM pos GROUP BY 1, 2)
 SELECT dim.dimension, dim.grp, coalesce(agg.n, 0) AS n,
-       {_round2('q50')} AS median, {_round2('q90')} AS p90, {_round2('q95')} AS p95, {_round2('q99')} AS p99
+       {_round_exact_sql('q50')} AS median, {_round_exact_sql('q90')} AS p90, {_round_exact_sql('q95')} AS p95,
+       {_round_exact_sql('q99')} AS p99
 FROM dim LEFT JOIN agg USING (dimension, grp) ORDER BY grp_no"""
     q["q_box_stats"] = f"""
 WITH {LONG},

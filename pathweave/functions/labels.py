@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pathweave.functions.timefns import round_exact
+
 # The ordered (regex, label) rules that collapse clinical
 # procedure descriptions into groups.  Applied to trimmed, lower-cased text;
 # a match anywhere, or text already containing the label, turns the whole
@@ -76,5 +78,5 @@ def duration_label_to_minutes(x) -> Column:
                .when(unit == "m", val.cast("double"))
                .when(unit == "h", val.cast("double") * F.lit(60.0))
                .when(unit == "d", val.cast("double") * F.lit(1440.0)))
-    rounded = F.rint(minutes * F.lit(100.0)) / F.lit(100.0)
+    rounded = round_exact(minutes, 2)  # '%.2f' of the exact binary value, as Python formats
     return F.when(minutes.isNotNull(), F.format_string("%.2f min", rounded)).otherwise(c)

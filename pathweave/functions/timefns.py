@@ -50,3 +50,37 @@ def parse_ts_strict(x, ntz: bool = False, what: str = "timestamp") -> Column:
     return F.when(c.isNotNull() & parsed.isNull(),
                   F.raise_error(F.concat(F.lit(f"unparseable {what}: "), c.cast("string")))
                   ).otherwise(parsed).cast(t)
+
+
+_SPLIT = 134217729.0  # 2**27 + 1, Veltkamp splitting constant
+
+
+def _two_prod(a: Column, b: float):
+    """(p, e) with a * b == p + e exactly (Dekker), in plain IEEE double arithmetic."""
+    bl = F.lit(float(b))
+    p = a * bl
+    c = F.lit(_SPLIT) * a
+    ah = c - (c - a)
+    al = a - ah
+    cb = _SPLIT * b
+    bh = cb - (cb - b)
+    bo = b - bh
+    e = ((ah * F.lit(bh) - p) + ah * F.lit(bo) + al * F.lit(bh)) + al * F.lit(bo)
+    return p, e
+
+
+def round_exact(x, digits: int = 2) -> Column:
+    """Round like Python's built-in ``round(x, digits)``: half-even on the exact binary value.
+
+    ``x * 10**digits`` is split into a double and its exact error; only a
+    scaled value sitting on .5 needs the error's sign to decide the side.
+    """
+    c = _c(x)
+    scale = float(10 ** digits)
+    p, e = _two_prod(c, scale)
+    fl = F.floor(p).cast("double")
+    tie = (p - fl) == F.lit(0.5)
+    k = (F.when(tie & (e > 0), fl + F.lit(1.0))
+         .when(tie & (e < 0), fl)
+         .otherwise(F.rint(p)))
+    return F.when(c.isNull() | F.isnan(c), c).otherwise(k / F.lit(scale))

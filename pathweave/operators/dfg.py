@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathweave.functions.timefns import round2
+from pathweave.functions.timefns import round_exact
 from pathweave.operators.trace import DEFAULT_SKEW, SkewPolicy, case_endpoints, with_successor
 
 
@@ -42,7 +42,7 @@ def dfg_performance_from(succ: DataFrame) -> DataFrame:
          .groupBy(F.col("activity").alias("src"), F.col("next_activity").alias("dst"))
          .agg(F.count(F.lit(1)).alias("n"), F.avg(secs).alias("mean_seconds")))
     return (g.withColumn("mean_minutes", F.col("mean_seconds") / F.lit(60.0))
-            .withColumn("label", F.format_string("%.2f min", round2(F.col("mean_minutes")))))
+            .withColumn("label", F.format_string("%.2f min", round_exact(F.col("mean_minutes")))))
 
 
 def dfg_performance(log: DataFrame, policy: SkewPolicy | None = DEFAULT_SKEW) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathweave.functions.timefns import clip_upper, round2
+from pathweave.functions.timefns import clip_upper, round_exact
 
 # The dimensions and groups of the waiting-time comparison.
 WAIT_GROUPS = [
@@ -56,7 +56,7 @@ def value_counts(long: DataFrame, keys=("dimension", "grp"), positive: bool = Tr
 
 def quantile_summary(counts: DataFrame, dim: DataFrame, keys=("dimension", "grp"),
                      probs=SUMMARY_PROBS, names=("median", "p90", "p95", "p99")) -> DataFrame:
-    """n and rounded quantiles per group; groups with no value get n = 0 and nulls.
+    """n and quantiles (rounded like Python's ``round``) per group; empty groups get n = 0 and nulls.
 
     Exact quantiles use linear interpolation between closest ranks (numpy's
     default) and read the pre-aggregated counts as frequencies.
@@ -66,7 +66,7 @@ def quantile_summary(counts: DataFrame, dim: DataFrame, keys=("dimension", "grp"
         F.percentile("value", F.array(*[F.lit(p) for p in probs]), F.col("cnt")).alias("_q"))
     out = F.broadcast(dim).join(agg, list(keys), "left")
     cols = [*keys, F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")]
-    cols += [round2(F.col("_q")[i]).alias(nm) for i, nm in enumerate(names)]
+    cols += [round_exact(F.col("_q")[i]).alias(nm) for i, nm in enumerate(names)]
     return out.select(*cols, "grp_no").orderBy("grp_no").drop("grp_no")
 
 
@@ -79,7 +79,7 @@ def quantile_summary_approx(long: DataFrame, dim: DataFrame, keys=("dimension",
                                F.percentile_approx("value", probs, accuracy).alias("_q"))
     out = F.broadcast(dim).join(agg, list(keys), "left")
     cols = [*keys, F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")]
-    cols += [round2(F.col("_q")[i]).alias(nm) for i, nm in enumerate(names)]
+    cols += [round_exact(F.col("_q")[i]).alias(nm) for i, nm in enumerate(names)]
     return out.select(*cols, "grp_no").orderBy("grp_no").drop("grp_no")
 
 
