@@ -145,9 +145,10 @@ def q_calendar(spark, d):
 def q_day_type(spark, d):
     o = _t(spark, d, "orders")
     ts = F.col("o_orderdate")
-    hol, wk = is_holiday(ts, REGION), is_weekend(ts)
-    return o.select("o_orderkey", F.to_date(ts).alias("order_date"), hol.alias("is_holiday"),
-                    wk.alias("is_weekend"), day_type(hol, wk).alias("day_type"))
+    wk = is_weekend(ts)
+    o = o.select("o_orderkey", "o_orderdate", is_holiday(ts, REGION).alias("is_holiday"))
+    return o.select("o_orderkey", F.to_date(ts).alias("order_date"), "is_holiday",
+                    wk.alias("is_weekend"), day_type(F.col("is_holiday"), wk).alias("day_type"))
 
 
 def q_case_summary(spark, d):

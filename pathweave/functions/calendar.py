@@ -76,34 +76,42 @@ def time_of_day(ts) -> Column:
     return F.when((h >= 6) & (h < 18), F.lit("day")).otherwise(F.lit("night"))
 
 
-def _fixed_rule(d: Column, month: int, day: int, since) -> Column:
-    def on(x: Column) -> Column:
-        hit = (F.month(x) == month) & (F.dayofmonth(x) == day)
-        return hit & (F.year(x) >= since) if since else hit
-    nxt, prv = F.date_add(d, 1), F.date_sub(d, 1)
-    return (on(d)
-            | ((F.weekday(d) == 4) & on(nxt))     # Saturday holiday -> Friday before
-            | ((F.weekday(d) == 0) & on(prv)))    # Sunday holiday -> Monday after
-
-
-def _nth_rule(d: Column, month: int, wd: int, n: int) -> Column:
-    dom = F.dayofmonth(d)
-    base = (F.month(d) == month) & (F.weekday(d) == wd)
-    if n == -1:
-        return base & (dom > _MONTH_DAYS[month] - 7)
-    return base & (dom >= 7 * (n - 1) + 1) & (dom <= 7 * n)
+def _fixed_hit(x: Column) -> Column:
+    """x (a date) is one of the fixed-date holidays: month*100 + day in a key list."""
+    key = F.month(x) * 100 + F.dayofmonth(x)
+    always = [m * 100 + d for _, m, d, since in FIXED_DATE_HOLIDAYS if not since]
+    hit = key.isin(always)
+    for _, m, d, since in FIXED_DATE_HOLIDAYS:
+        if since:
+            hit = hit | ((key == m * 100 + d) & (F.year(x) >= since))
+    return hit
+
+
+def _nth_hit(d: Column, rules) -> Column:
+    """n-th weekday of a month: code month*100 + weekday*10 + (day-1) div 7 in a list;
+    "last weekday" rules test the final seven days of the month."""
+    m, dom, wd = F.month(d), F.dayofmonth(d), F.weekday(d)
+    code = m * 100 + wd * 10 + F.floor((dom - 1) / 7).cast("int")
+    hit = code.isin([mm * 100 + w * 10 + (n - 1) for _, mm, w, n in rules if n > 0])
+    for _, mm, w, n in rules:
+        if n == -1:
+            hit = hit | ((m == mm) & (wd == w) & (dom > _MONTH_DAYS[mm] - 7))
+    return hit
 
 
 def is_holiday(ts, region: str | None = None) -> Column:
     """True when the date of ``ts`` is a (observed) US federal holiday, plus
-    the holidays of ``region`` (e.g. ``"MA"``)."""
+    the holidays of ``region`` (e.g. ``"MA"``).
+
+    A Friday also stands for the Saturday after it and a Monday for the
+    Sunday before it (observed days), so the fixed-date test runs on the date
+    and on that shifted date.
+    """
     d = F.to_date(_c(ts))
-    cond = F.lit(False)
-    for _, m, day, since in FIXED_DATE_HOLIDAYS:
-        cond = cond | _fixed_rule(d, m, day, since)
+    wd = F.weekday(d)
+    shifted = F.when(wd == 4, F.date_add(d, 1)).when(wd == 0, F.date_sub(d, 1))
     rules = NTH_WEEKDAY_HOLIDAYS + REGION_HOLIDAYS.get(region or "", [])
-    for _, m, wd, n in rules:
-        cond = cond | _nth_rule(d, m, wd, n)
+    cond = _fixed_hit(d) | F.coalesce(_fixed_hit(shifted), F.lit(False)) | _nth_hit(d, rules)
     return F.when(d.isNull(), F.lit(None).cast("boolean")).otherwise(cond)
 
 

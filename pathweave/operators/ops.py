@@ -9,6 +9,7 @@ from pathweave.functions.calendar import (
     DAY_ORDER, day_name, day_type, is_holiday, is_weekend, weekday_index, year_week,
 )
 from pathweave.functions.timefns import clip_lower, minutes_between
+from pathweave.operators.stats import small_sorted
 
 # Dashboard constants (congestion limit and forecast fallback, minutes).
 CONGESTION_LIMIT_MIN = 60.0
@@ -23,14 +24,15 @@ DAYTYPE_LABELS = ("Holiday", "Weekend", "Weekday")
 def service_view(log: DataFrame, region: str | None = None) -> DataFrame:
     """Per event: service minutes (stop - start, clipped at 0) and calendar columns."""
     st = F.col("start_ts")
+    log = log.withColumn("_hol", is_holiday(st, region))
     return log.select(
-        "*",
+        *[c for c in log.columns if c != "_hol"],
         clip_lower(minutes_between(st, F.col("end_ts")), 0.0).alias("service_min"),
         F.hour(st).alias("arrival_hour"),
         day_name(st).alias("day_name"),
         weekday_index(st).alias("day_no"),
         year_week(st).alias("year_week"),
-        day_type(is_holiday(st, region), is_weekend(st), DAYTYPE_LABELS).alias("day_type"),
+        day_type(F.col("_hol"), is_weekend(st), DAYTYPE_LABELS).alias("day_type"),
     )
 
 
@@ -75,6 +77,7 @@ def kpi_cube(sv: DataFrame) -> DataFrame:
 
 
 def weeks(sv: DataFrame) -> DataFrame:
+    """Distinct week labels, sorted (at most 54 per year of data)."""
     return sv.select("year_week").distinct().orderBy("year_week")
 
 
@@ -88,13 +91,13 @@ def daily_mean(sv: DataFrame) -> DataFrame:
     """Mean service time for all seven days, Monday first; missing days are null."""
     agg = sv.groupBy("day_no").agg(F.avg("service_min").alias("avg_wait_min"))
     return (F.broadcast(day_dim(sv.sparkSession)).join(agg, "day_no", "left")
-            .select("day_no", "day_name", "avg_wait_min").orderBy("day_no"))
+            .select("day_no", "day_name", "avg_wait_min").transform(lambda d: small_sorted(d, "day_no")))
 
 
 def hourly_mean(sv: DataFrame, limit: float = CONGESTION_LIMIT_MIN) -> DataFrame:
     return (sv.groupBy("arrival_hour").agg(F.avg("service_min").alias("avg_wait_min"))
             .withColumn("above_limit", F.col("avg_wait_min") > F.lit(limit))
-            .orderBy("arrival_hour"))
+            .transform(lambda d: small_sorted(d, "arrival_hour")))
 
 
 def heatmap(sv: DataFrame) -> DataFrame:
@@ -102,7 +105,7 @@ def heatmap(sv: DataFrame) -> DataFrame:
     piv = sv.groupBy("day_no").pivot("arrival_hour", list(range(24))).agg(F.avg("service_min"))
     piv = piv.select("day_no", *[F.col(str(h)).alias(f"h{h:02d}") for h in range(24)])
     return (F.broadcast(day_dim(sv.sparkSession)).join(piv, "day_no", "left")
-            .orderBy("day_no"))
+            .transform(lambda d: small_sorted(d, "day_no")))
 
 
 def slot_forecast(sv: DataFrame, fallback: float = FORECAST_FALLBACK_MIN,
@@ -117,7 +120,7 @@ def slot_forecast(sv: DataFrame, fallback: float = FORECAST_FALLBACK_MIN,
                     F.coalesce("slot_n", F.lit(0)).cast("long").alias("slot_n"),
                     F.coalesce("slot_mean", F.lit(fallback)).alias("predicted_min"))
             .withColumn("congested", F.col("predicted_min") > F.lit(limit))
-            .orderBy("day_no", "arrival_hour"))
+            .transform(lambda d: small_sorted(d, "day_no", "arrival_hour")))
 
 
 def mae_against(sv: DataFrame, forecast: DataFrame, label: str = "service_min",

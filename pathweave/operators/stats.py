@@ -25,8 +25,16 @@ SUMMARY_PROBS = [0.5, 0.9, 0.95, 0.99]
 
 
 def group_dim(spark, groups=WAIT_GROUPS) -> DataFrame:
-    return spark.createDataFrame([(d, g, i) for i, (d, g) in enumerate(groups)],
-                                 "dimension string, grp string, grp_no int")
+    """The fixed (dimension, group) list as a JVM-side inline table (no Python worker)."""
+    rows = [F.struct(F.lit(d).alias("dimension"), F.lit(g).alias("grp"), F.lit(i).alias("grp_no"))
+            for i, (d, g) in enumerate(groups)]
+    return spark.range(1).select(F.inline(F.array(*rows)))
+
+
+def small_sorted(df: DataFrame, *cols) -> DataFrame:
+    """Order a result whose size is bounded by a fixed dimension (7, 24, 50, 168 rows):
+    one partition sorted locally, no range-partition sampling job."""
+    return df.coalesce(1).sortWithinPartitions(*cols)
 
 
 def wait_groups_long(trans: DataFrame, value_col: str = "waiting_min") -> DataFrame:
@@ -67,7 +75,7 @@ def quantile_summary(counts: DataFrame, dim: DataFrame, keys=("dimension", "grp"
     out = F.broadcast(dim).join(agg, list(keys), "left")
     cols = [*keys, F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")]
     cols += [round_exact(F.col("_q")[i]).alias(nm) for i, nm in enumerate(names)]
-    return out.select(*cols, "grp_no").orderBy("grp_no").drop("grp_no")
+    return small_sorted(out.select(*cols, "grp_no"), "grp_no").drop("grp_no")
 
 
 def quantile_summary_approx(long: DataFrame, dim: DataFrame, keys=("dimension", "grp"),
@@ -80,7 +88,7 @@ def quantile_summary_approx(long: DataFrame, dim: DataFrame, keys=("dimension",
     out = F.broadcast(dim).join(agg, list(keys), "left")
     cols = [*keys, F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")]
     cols += [round_exact(F.col("_q")[i]).alias(nm) for i, nm in enumerate(names)]
-    return out.select(*cols, "grp_no").orderBy("grp_no").drop("grp_no")
+    return small_sorted(out.select(*cols, "grp_no"), "grp_no").drop("grp_no")
 
 
 def box_stats(counts_log: DataFrame, dim: DataFrame, keys=("dimension", "grp"), whis: float = 1.5) -> DataFrame:
@@ -109,7 +117,7 @@ def box_stats(counts_log: DataFrame, dim: DataFrame, keys=("dimension", "grp"),
     return (out.select(*keys, F.coalesce("n", F.lit(0)).cast("long").alias("n"), "mean", "q1", "median", "q3",
                        "iqr", "whisker_lo", "whisker_hi", F.coalesce("n_outliers", F.lit(0)).cast("long")
                        .alias("n_outliers"), "grp_no")
-            .orderBy("grp_no").drop("grp_no"))
+            .transform(lambda d: small_sorted(d, "grp_no")).drop("grp_no"))
 
 
 def ecdf(counts: DataFrame, keys=("dimension", "grp")) -> DataFrame:
@@ -166,7 +174,7 @@ def histogram(values: DataFrame, value_col: str = "value", bins: int = 50) -> Da
     return (dim.join(counts, dim["bin"] == counts["_b"], "left")
             .select("bin", edge(F.col("bin")).alias("lo"), edge(F.col("bin") + 1).alias("hi"),
                     F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-            .orderBy("bin"))
+            .transform(lambda d: small_sorted(d, "bin")))
 
 
 def quantile_cap(values: DataFrame, value_col: str, q: float = 0.99, out: str | None = None) -> DataFrame:

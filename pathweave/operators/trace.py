@@ -47,6 +47,13 @@ def trace_window(case_col: str = "case_id", extra_partition=(), order=ORDER):
     return Window.partitionBy(case_col, *extra_partition).orderBy(*[F.col(c).asc_nulls_first() for c in order])
 
 
+# Cases found to have no hot case, keyed by the canonical plan of the check.
+# Only the "nothing to split" outcome is remembered.  The split plan returns
+# the same rows whichever cases it splits, so a stale entry can cost speed
+# but never change a result.
+_NO_HOT: set = set()
+
+
 def _hot_cases(log: DataFrame, case_col: str, policy: SkewPolicy):
     us = epoch_micros(log, "start_ts")
     stats = (log.groupBy(case_col)
@@ -56,7 +63,16 @@ def _hot_cases(log: DataFrame, case_col: str, policy: SkewPolicy):
     hot = stats.select(case_col, "_lo",
                        F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / pieces)).cast("long")
                        .alias("_width"))
+    try:
+        key = (log.sparkSession.sparkContext.applicationId, policy,
+               hot._jdf.queryExecution().optimizedPlan().semanticHash())
+    except Exception:  # noqa: BLE001 -- no plan hash available (e.g. Spark Connect)
+        key = None
+    if key is not None and key in _NO_HOT:
+        return hot, 0
     n_hot = hot.count()
+    if n_hot == 0 and key is not None:
+        _NO_HOT.add(key)
     return hot, n_hot
 
 
@@ -116,15 +132,16 @@ def transitions(log: DataFrame, region: str | None = "MA", policy: SkewPolicy |
     t = (x.withColumn("raw_gap_min", raw_gap)
          .filter(F.col("next_activity").isNotNull() & F.col("raw_gap_min").isNotNull())
          .withColumn("waiting_min", round2(clip_lower(F.col("raw_gap_min"), 0.0))))
-    hol = is_holiday(F.col("start_ts"), region)
+    # Holiday flag first, then the day type from the column (computed once per row).
+    t = t.withColumn("is_holiday", is_holiday(F.col("start_ts"), region))
     wkend = is_weekend(F.col("start_ts"))
     cols = [
         "case_id", "activity", "next_activity", "start_ts", "end_ts", "next_start",
         "raw_gap_min", "waiting_min",
         F.to_date("start_ts").alias("start_date"),
-        hol.alias("is_holiday"),
+        "is_holiday",
         wkend.alias("is_weekend"),
-        day_type(hol, wkend).alias("day_type"),
+        day_type(F.col("is_holiday"), wkend).alias("day_type"),
     ]
     if extra_labels:
         cols += [F.hour("start_ts").alias("hour"), time_of_day(F.col("start_ts")).alias("time_of_day")]
