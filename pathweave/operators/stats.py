@@ -62,16 +62,114 @@ def value_counts(long: DataFrame, keys=("dimension", "grp"), positive: bool = Tr
     return df.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+# Above this many distinct values in one group, quantiles and the ECDF leave
+# Spark's one-task-per-group aggregates (``percentile`` keeps a value -> count
+# map per group; a window keeps a group in one task) for range-partitioned
+# prefix sums that spread any group over all tasks.
+DISTINCT_PER_GROUP_LIMIT = 1_000_000
+
+
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` as Parquet under the shared folder (``spark.checkpoint.dir``) and read it back.
+
+    Used on pre-aggregated (group, value, cnt) tables that are read more than
+    once (size check, quantiles, whiskers): the upstream plan runs once (an
+    RDD checkpoint would run it twice), lineage is cut, and a lost executor
+    re-reads files instead of recomputing the upstream.
+    """
+    import uuid
+    from pathweave.session import shared_path
+    if getattr(df, "_pw_materialized", False):
+        return df
+    path = shared_path(df.sparkSession, f"pathweave-{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out._pw_materialized = True
+    return out
+
+
+def max_distinct_per_group(counts: DataFrame, keys=()) -> int:
+    """Largest number of distinct values in one group (a small aggregate, one row to the driver)."""
+    keys = list(keys)
+    if not keys:
+        return counts.count()
+    return counts.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+
+
+def cumulative_counts(counts: DataFrame, keys=(), n_parts: int | None = None) -> DataFrame:
+    """Add ``n_le`` (values <= value in the group) and ``n`` (group size) to (keys, value, cnt).
+
+    Distributed prefix sum: range-partition by (keys, value), running sum per
+    (partition, group), written once to the shared folder so partition ids
+    stay fixed (a written table), then add the totals of all earlier partitions of the group
+    from a (partitions x groups) table that is broadcast.
+    """
+    spark = counts.sparkSession
+    keys = list(keys)
+    parts = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tagged = (counts.repartitionByRange(parts, *keys, "value")
+              .withColumn("_pid", F.spark_partition_id()))
+    run = Window.partitionBy("_pid", *keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    local = materialize(tagged.withColumn("_lc", F.sum("cnt").over(run)), "prefix")
+    tot = local.groupBy("_pid", *keys).agg(F.sum("cnt").alias("_pt"))
+    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select("_pid", *keys, F.coalesce(F.sum("_pt").over(before), F.lit(0)).alias("_off"),
+                     F.sum("_pt").over(Window.partitionBy(*keys)).alias("n"))
+    return (local.join(F.broadcast(off), ["_pid", *keys])
+            .select(*keys, "value", "cnt", (F.col("_lc") + F.col("_off")).alias("n_le"), "n"))
+
+
+def _quantiles_by_rank(cum: DataFrame, keys, probs) -> DataFrame:
+    """Exact quantiles from cumulative counts: the values at ranks floor/ceil((n-1)p),
+    interpolated exactly as Spark's ``percentile`` does."""
+    keys = list(keys)
+    pa = F.array(*[F.lit(float(p)) for p in probs])
+    x = cum.select(*keys, "value", "cnt", "n_le", "n", F.posexplode(pa).alias("_i", "_p"))
+    pos = (F.col("n") - 1) * F.col("_p")
+    lo, hi = F.floor(pos), F.ceil(pos)
+    start = F.col("n_le") - F.col("cnt")
+    hit_lo = (lo >= start) & (lo < F.col("n_le"))
+    hit_hi = (hi >= start) & (hi < F.col("n_le"))
+    g = (x.filter(hit_lo | hit_hi)
+         .groupBy(*keys, "_i")
+         .agg(F.max(F.when(hit_lo, F.col("value"))).alias("_lv"), F.max(F.when(hit_hi, F.col("value"))).alias("_hv"),
+              F.first(pos).alias("_pos"), F.first("n").alias("n")))
+    lo_c, hi_c = F.floor("_pos"), F.ceil("_pos")
+    q = (F.when((lo_c == hi_c) | (F.col("_lv") == F.col("_hv")), F.col("_lv"))
+         .otherwise((hi_c - F.col("_pos")) * F.col("_lv") + (F.col("_pos") - lo_c) * F.col("_hv")))
+    return (g.groupBy(*keys).agg(F.first("n").alias("n"),
+                                 F.array_sort(F.collect_list(F.struct("_i", q.alias("q")))).alias("_s"))
+            .select(*keys, "n", F.when(F.size("_s") > 0, F.transform("_s", lambda e: e["q"])).alias("_q")))
+
+
+def group_quantiles(counts: DataFrame, keys=(), probs=SUMMARY_PROBS,
+                    limit: int | None = None) -> DataFrame:
+    """(keys..., n, _q array) of exact quantiles over pre-aggregated (keys, value, cnt).
+
+    Uses ``percentile`` with frequencies when every group has at most
+    ``limit`` distinct values (bounded per-task memory, checked first),
+    otherwise the distributed rank lookup.
+    """
+    keys = list(keys)
+    limit = DISTINCT_PER_GROUP_LIMIT if limit is None else limit
+    counts = materialize(counts)
+    if max_distinct_per_group(counts, keys) <= limit:
+        grouped = counts.groupBy(*keys) if keys else counts.groupBy()
+        return grouped.agg(F.sum("cnt").alias("n"),
+                           F.percentile("value", F.array(*[F.lit(float(p)) for p in probs]), F.col("cnt"))
+                           .alias("_q"))
+    return _quantiles_by_rank(cumulative_counts(counts, keys), keys, probs)
+
+
 def quantile_summary(counts: DataFrame, dim: DataFrame, keys=("dimension", "grp"),
-                     probs=SUMMARY_PROBS, names=("median", "p90", "p95", "p99")) -> DataFrame:
+                     probs=SUMMARY_PROBS, names=("median", "p90", "p95", "p99"),
+                     limit: int | None = None) -> DataFrame:
     """n and quantiles (rounded like Python's ``round``) per group; empty groups get n = 0 and nulls.
 
     Exact quantiles use linear interpolation between closest ranks (numpy's
     default) and read the pre-aggregated counts as frequencies.
     """
-    agg = counts.groupBy(*keys).agg(
-        F.sum("cnt").alias("n"),
-        F.percentile("value", F.array(*[F.lit(p) for p in probs]), F.col("cnt")).alias("_q"))
+    agg = group_quantiles(counts, keys, probs, limit)
     out = F.broadcast(dim).join(agg, list(keys), "left")
     cols = [*keys, F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")]
     cols += [round_exact(F.col("_q")[i]).alias(nm) for i, nm in enumerate(names)]
@@ -91,19 +189,20 @@ def quantile_summary_approx(long: DataFrame, dim: DataFrame, keys=("dimension",
     return small_sorted(out.select(*cols, "grp_no"), "grp_no").drop("grp_no")
 
 
-def box_stats(counts_log: DataFrame, dim: DataFrame, keys=("dimension", "grp"), whis: float = 1.5) -> DataFrame:
+def box_stats(counts_log: DataFrame, dim: DataFrame, keys=("dimension", "grp"), whis: float = 1.5,
+              limit: int | None = None) -> DataFrame:
     """Box-plot statistics (quartiles, mean, 1.5 IQR whiskers, outliers) of pre-aggregated values.
 
     Two passes over the (group, value, cnt) table: quartiles, then whiskers
     and outlier count against the fences (the per-group stats table has one
     row per group and is broadcast).
     """
-    q = counts_log.groupBy(*keys).agg(
-        F.sum("cnt").alias("n"),
-        (F.sum(F.col("value") * F.col("cnt")) / F.sum("cnt")).alias("mean"),
-        F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("cnt")).alias("_q"),
-    ).select(*keys, "n", "mean", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-             F.col("_q")[2].alias("q3"))
+    counts_log = materialize(counts_log)
+    mean = counts_log.groupBy(*keys).agg(
+        (F.sum(F.col("value") * F.col("cnt")) / F.sum("cnt")).alias("mean"))
+    q = (group_quantiles(counts_log, keys, [0.25, 0.5, 0.75], limit).join(mean, list(keys))
+         .select(*keys, "n", "mean", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
+                 F.col("_q")[2].alias("q3")))
     q = (q.withColumn("iqr", F.col("q3") - F.col("q1"))
          .withColumn("lo_fence", F.col("q1") - F.lit(whis) * F.col("iqr"))
          .withColumn("hi_fence", F.col("q3") + F.lit(whis) * F.col("iqr")))
@@ -120,11 +219,17 @@ def box_stats(counts_log: DataFrame, dim: DataFrame, keys=("dimension", "grp"),
             .transform(lambda d: small_sorted(d, "grp_no")).drop("grp_no"))
 
 
-def ecdf(counts: DataFrame, keys=("dimension", "grp")) -> DataFrame:
+def ecdf(counts: DataFrame, keys=("dimension", "grp"), limit: int | None = None) -> DataFrame:
     """ECDF steps: each distinct value once with the top of its step, y = rank / n.
 
-    The window runs over distinct values (pre-aggregated), never over raw rows.
+    Runs over distinct values (pre-aggregated), never raw rows: a window per
+    group when groups are provably small, else distributed prefix sums.
     """
+    limit = DISTINCT_PER_GROUP_LIMIT if limit is None else limit
+    counts = materialize(counts)
+    if max_distinct_per_group(counts, keys) > limit:
+        return (cumulative_counts(counts, keys).withColumn("y", F.col("n_le") / F.col("n"))
+                .select(*keys, "value", "cnt", "n_le", "n", "y"))
     run = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     tot = Window.partitionBy(*keys)
     return (counts.select(*keys, "value", "cnt",
@@ -134,14 +239,14 @@ def ecdf(counts: DataFrame, keys=("dimension", "grp")) -> DataFrame:
             .select(*keys, "value", "cnt", "n_le", "n", "y"))
 
 
-def describe(values: DataFrame, value_col: str = "value") -> DataFrame:
+def describe(values: DataFrame, value_col: str = "value", limit: int | None = None) -> DataFrame:
     """count, mean, sample std, min, quartiles, max (exact quartiles, from value counts)."""
     v = values.filter(F.col(value_col).isNotNull())
     moments = v.agg(F.count(F.lit(1)).alias("count"), F.avg(value_col).alias("mean"),
                     F.stddev_samp(value_col).alias("std"), F.min(value_col).alias("min"),
                     F.max(value_col).alias("max"))
     vc = v.groupBy(F.col(value_col).alias("value")).agg(F.count(F.lit(1)).alias("cnt"))
-    qs = vc.agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("cnt")).alias("_q"))
+    qs = group_quantiles(vc, (), [0.25, 0.5, 0.75], limit).select("_q")
     return (moments.crossJoin(qs)
             .select("count", "mean", "std", "min", F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"),
                     F.col("_q")[2].alias("p75"), "max"))
@@ -177,11 +282,12 @@ def histogram(values: DataFrame, value_col: str = "value", bins: int = 50) -> Da
             .transform(lambda d: small_sorted(d, "bin")))
 
 
-def quantile_cap(values: DataFrame, value_col: str, q: float = 0.99, out: str | None = None) -> DataFrame:
+def quantile_cap(values: DataFrame, value_col: str, q: float = 0.99, out: str | None = None,
+                 limit: int | None = None) -> DataFrame:
     """Add ``out`` = value clipped above at its q-quantile (one-row aggregate, broadcast-joined)."""
     out = out or f"{value_col}_capped"
     vc = (values.filter(F.col(value_col).isNotNull())
           .groupBy(F.col(value_col).alias("value")).agg(F.count(F.lit(1)).alias("cnt")))
-    cap = vc.agg(F.percentile("value", F.lit(q), F.col("cnt")).alias("_cap"))
+    cap = group_quantiles(vc, (), [q], limit).select(F.col("_q")[0].alias("_cap"))
     return (values.crossJoin(F.broadcast(cap))
             .withColumn(out, clip_upper(F.col(value_col), F.col("_cap"))).drop("_cap"))

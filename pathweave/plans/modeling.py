@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathweave.functions.timefns import minutes_between, round2
+from pathweave.operators.stats import group_quantiles
 
 # Boosted-tree settings (100 trees, learning rate 0.1, depth 5, seed 42)
 # and the default split (20 % held out, seed 42).
@@ -42,7 +43,8 @@ def random_split_flag(df: DataFrame, id_col: str = "event_id", test_fraction: fl
                                          F.lit("train")).otherwise(F.lit("test")))
 
 
-def chrono_split_flag(df: DataFrame, time_col: str, val_fraction: float = 0.25) -> DataFrame:
+def chrono_split_flag(df: DataFrame, time_col: str, val_fraction: float = 0.25,
+                      limit: int | None = None) -> DataFrame:
     """Newest ``val_fraction`` to validation: cut = (1 - f) quantile of the time; train <= cut < val.
 
     The cut is a one-row aggregate (exact quantile over time value counts)
@@ -50,8 +52,8 @@ def chrono_split_flag(df: DataFrame, time_col: str, val_fraction: float = 0.25)
     """
     us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
                           F.col(time_col).cast("timestamp_ntz"))
-    vc = df.groupBy(us.alias("_t")).agg(F.count(F.lit(1)).alias("_c"))
-    cut = vc.agg(F.percentile("_t", F.lit(1.0 - val_fraction), F.col("_c")).alias("_cut"))
+    vc = df.groupBy(us.alias("value")).agg(F.count(F.lit(1)).alias("cnt"))
+    cut = group_quantiles(vc, (), [1.0 - val_fraction], limit).select(F.col("_q")[0].alias("_cut"))
     return (df.crossJoin(F.broadcast(cut))
             .withColumn("split", F.when(us <= F.col("_cut"), F.lit("train")).otherwise(F.lit("val")))
             .drop("_cut"))

@@ -93,3 +93,51 @@ def test_slot_fallback(spark):
     f = {(r["day_no"], r["arrival_hour"]): r for r in ops.slot_forecast(ops.service_view(log)).collect()}
     assert f[(0, 10)]["predicted_min"] == 120.0 and f[(0, 10)]["congested"]
     assert f[(3, 4)]["predicted_min"] == 30.0 and not f[(3, 4)]["congested"]
+
+
+def _rows(df):
+    out = []
+    for r in df.collect():
+        out.append(tuple(round(x, 9) if isinstance(x, float) else x for x in r))
+    return sorted(out, key=repr)
+
+
+def test_distributed_quantiles_equal_builtin(spark):
+    from pathweave.operators.trace import transitions
+    log = events_as_log(spark, SF)
+    long = stats.wait_groups_long(transitions(log))
+    # make one group dominant and add unrounded values so distinct counts are large
+    long = long.withColumn("value", F.col("value") + F.rand(7) / 1000)
+    c = stats.value_counts(long)
+    dim = stats.group_dim(spark)
+    assert _rows(stats.quantile_summary(c, dim, limit=0)) == _rows(stats.quantile_summary(c, dim))
+    logc = stats.value_counts(long, transform=lambda v: F.log(F.lit(1.0) + v))
+    assert _rows(stats.box_stats(logc, dim, limit=0)) == _rows(stats.box_stats(logc, dim))
+    assert _rows(stats.ecdf(c, limit=0)) == _rows(stats.ecdf(c))
+
+
+def test_distributed_global_stats_equal_builtin(spark):
+    from pathweave.plans import modeling
+    from pathweave.operators import features
+    log = events_as_log(spark, SF)
+    dur = log.select("event_id", ((F.unix_micros(F.col("end_ts").cast("timestamp")) -
+                                   F.unix_micros(F.col("start_ts").cast("timestamp"))) / 6e7).alias("d"))
+    assert _rows(stats.describe(dur, "d", limit=0)) == _rows(stats.describe(dur, "d"))
+    assert _rows(stats.quantile_cap(dur, "d", 0.99, limit=0)) == _rows(stats.quantile_cap(dur, "d", 0.99))
+    cs = features.case_summary(log)
+    a = modeling.chrono_split_flag(cs, "encounter_start", 0.25, limit=0).select("case_id", "split")
+    b = modeling.chrono_split_flag(cs, "encounter_start", 0.25).select("case_id", "split")
+    assert _rows(a) == _rows(b)
+
+
+def test_distributed_quantiles_small_and_empty(spark):
+    import numpy as np
+    vals = [5.0, 1.0, 3.0, 3.0, 8.0, 2.5]
+    df = spark.createDataFrame([(v,) for v in vals], "value double")
+    vc = df.groupBy("value").agg(F.count(F.lit(1)).alias("cnt"))
+    q = stats.group_quantiles(vc, (), [0.0, 0.1, 0.5, 0.99, 1.0], limit=0).first()
+    assert q["n"] == 6
+    assert np.allclose(q["_q"], np.quantile(vals, [0.0, 0.1, 0.5, 0.99, 1.0]))
+    empty = vc.filter("value > 100")
+    e = stats.group_quantiles(empty, (), [0.5], limit=0).first()
+    assert e is None or e["_q"] is None
