@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pathweave.functions.timefns import round_exact
+from pathweave.functions.timefns import let, round_exact
 
 # The ordered (regex, label) rules that collapse clinical
 # procedure descriptions into groups.  Applied to trimmed, lower-cased text;
@@ -71,12 +71,18 @@ def rules_are_order_safe(rules) -> bool:
 def duration_label_to_minutes(x) -> Column:
     """'3h' -> '180.00 min' (units s, m, h, d; case-insensitive); other text unchanged."""
     c = _c(x)
-    val = F.regexp_extract(c, _LABEL_RE, 1)
-    unit = F.lower(F.regexp_extract(c, _LABEL_RE, 2))
-    # Seconds are divided by 60; minutes, hours, days multiplied by 1, 60, 1440.
-    minutes = (F.when(unit == "s", val.cast("double") / F.lit(60.0))
-               .when(unit == "m", val.cast("double"))
-               .when(unit == "h", val.cast("double") * F.lit(60.0))
-               .when(unit == "d", val.cast("double") * F.lit(1440.0)))
-    rounded = round_exact(minutes, 2)  # '%.2f' of the exact binary value, as Python formats
-    return F.when(minutes.isNotNull(), F.format_string("%.2f min", rounded)).otherwise(c)
+    parsed = F.struct(F.regexp_extract(c, _LABEL_RE, 1).alias("v"),
+                      F.lower(F.regexp_extract(c, _LABEL_RE, 2)).alias("u"))
+
+    def to_minutes(p):
+        val, unit = p["v"].cast("double"), p["u"]
+        # Seconds are divided by 60; minutes, hours, days multiplied by 1, 60, 1440.
+        return (F.when(unit == "s", val / F.lit(60.0))
+                .when(unit == "m", val)
+                .when(unit == "h", val * F.lit(60.0))
+                .when(unit == "d", val * F.lit(1440.0)))
+
+    minutes = let(parsed, to_minutes)
+    # '%.2f' of the exact binary value, as Python formats it
+    return let(minutes, lambda m: F.when(m.isNotNull(), F.format_string("%.2f min", round_exact(m, 2)))
+               .otherwise(c))

@@ -69,13 +69,22 @@ def _two_prod(a: Column, b: float):
     return p, e
 
 
+def let(x: Column, body) -> Column:
+    """Evaluate ``x`` once and pass it to ``body`` (a lambda variable), so an
+    expensive input used many times in ``body`` is not recomputed per use."""
+    return F.element_at(F.transform(F.array(x), body), 1)
+
+
 def round_exact(x, digits: int = 2) -> Column:
     """Round like Python's built-in ``round(x, digits)``: half-even on the exact binary value.
 
     ``x * 10**digits`` is split into a double and its exact error; only a
     scaled value sitting on .5 needs the error's sign to decide the side.
     """
-    c = _c(x)
+    return let(_c(x).cast("double"), lambda c: _round_exact_body(c, digits))
+
+
+def _round_exact_body(c: Column, digits: int) -> Column:
     scale = float(10 ** digits)
     p, e = _two_prod(c, scale)
     fl = F.floor(p).cast("double")

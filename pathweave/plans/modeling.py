@@ -32,6 +32,17 @@ def training_rows(log: DataFrame) -> DataFrame:
             .filter(F.col("Waiting_Time_Mins") >= 0))
 
 
+def training_table_from_raw(spark, path: str, sep: str = ";") -> DataFrame:
+    """Raw delimited log -> training rows: stripped headers, lenient START/STOP,
+    rows missing either time dropped, service minutes >= 0, calendar features."""
+    from pathweave.functions.timefns import parse_ts_lenient
+    from pathweave.sources.eventlog import read_csv_stripped
+    raw = read_csv_stripped(spark, path, sep)
+    df = raw.select(F.xxhash64(*[F.col(c) for c in raw.columns]).alias("event_id"),
+                    parse_ts_lenient("START").alias("start_ts"), parse_ts_lenient("STOP").alias("end_ts"))
+    return training_rows(df.na.drop(subset=["start_ts", "end_ts"]))
+
+
 def random_split_flag(df: DataFrame, id_col: str = "event_id", test_fraction: float = TEST_FRACTION,
                       seed: int = SEED) -> DataFrame:
     """Deterministic split: a row is held out when hash(id, seed) falls in the test share.

@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathweave.functions.timefns import parse_ts_lenient
+from pathweave.functions.timefns import parse_ts_lenient, parse_ts_strict
 
 LOG_COLUMNS = ["case_id", "activity", "start_ts", "end_ts", "event_ts", "event_id"]
 
@@ -61,11 +61,13 @@ def read_raw_csv(spark: SparkSession, path: str, sep: str = ";", columns=RAW_COL
 
 
 def read_log(spark: SparkSession, path: str, fmt: str = "parquet", reference_names: bool | None = None,
-             ntz: bool = False) -> DataFrame:
-    """Canonical log scan: coerce timestamps leniently and drop incomplete rows.
+             ntz: bool = False, strict: bool = False) -> DataFrame:
+    """Canonical log scan: coerce timestamps and drop incomplete rows.
 
     ``fmt="csv"`` reads a comma CSV with the colon header names used by
     process-mining tools (``reference_names`` defaults to True for CSV).
+    Parsing is lenient (bad text -> null -> row dropped) unless ``strict``,
+    where bad text fails the job (the discovery stage's contract).
     """
     hint = "Was the ingest step run first?"
     if fmt == "csv":
@@ -76,7 +78,7 @@ def read_log(spark: SparkSession, path: str, fmt: str = "parquet", reference_nam
         df = from_reference_names(df)
     for c in ("start_ts", "end_ts", "event_ts"):
         if c in df.columns and dict(df.dtypes)[c] == "string":
-            df = df.withColumn(c, parse_ts_lenient(c, ntz=ntz))
+            df = df.withColumn(c, parse_ts_strict(c, ntz=ntz, what=c) if strict else parse_ts_lenient(c, ntz=ntz))
     if "event_ts" not in df.columns:
         df = df.withColumn("event_ts", F.col("start_ts"))
     if "event_id" not in df.columns:

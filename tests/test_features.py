@@ -118,3 +118,11 @@ def test_topk_rows(spark):
     assert sorted(r["activity"] for r in features.topk_rows(log, 1).collect()) == ["a", "a"]
     # ties broken by name
     assert [r["activity"] for r in features.top_activities(log, 2).collect()] == ["a", "b"]
+
+
+def test_strict_log_scan_raises(spark, tmp_path):
+    p = tmp_path / "log.csv"
+    p.write_text("case:concept:name,concept:name,start:timestamp,end:timestamp\n"
+                 "enc_1,proc_a,2020-01-01T00:00:00Z,not a time\n")
+    with pytest.raises(Exception):
+        read_log(spark, str(p), fmt="csv", strict=True).collect()

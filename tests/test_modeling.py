@@ -55,3 +55,15 @@ def test_trainer_orchestrates(spark, tmp_path):
     t = modeling.Trainer(load=load, model_dir=str(tmp_path / "m"), params=SMALL)
     out = t.run()
     assert str(tmp_path / "m") in out["model"]
+
+
+def test_training_table_from_raw(spark, tmp_path):
+    p = tmp_path / "raw.csv"
+    p.write_text(" START ;STOP ;DESCRIPTION\n"
+                 "2020-01-06T10:00:00Z;2020-01-06T10:30:00Z;a\n"
+                 "2020-01-06T11:00:00Z;2020-01-06T10:30:00Z;b\n"
+                 "junk;2020-01-06T10:30:00Z;c\n")
+    rows = modeling.training_table_from_raw(spark, str(p)).collect()
+    assert len(rows) == 1
+    r = rows[0]
+    assert (r["Waiting_Time_Mins"], r["Day_Index"], r["Arrival_Hour"]) == (30.0, 0, 10)
