@@ -16,7 +16,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathweave.functions.calendar import (
@@ -40,6 +40,7 @@ MIN_EVENTS = 2         # minimum case size
 TOP_K = 50             # activity-count pivot
 TOPK_ROWS_K = 3        # top-k membership filter
 VAL_FRACTION = 0.25    # chronological split
+DURATION_BOX_K = 10    # box statistics for the top-10 activities
 REGION = "MA"          # holiday region for the transition table
 # A user-supplied rule list for label collapsing, applied to part names.
 PART_RULES = [
@@ -210,6 +211,17 @@ def _durations(spark, d):
                       minutes_between("start_ts", "end_ts").alias("duration_min"))
 
 
+def q_duration_box(spark, d):
+    """Box statistics of positive durations for each of the ten most frequent activities."""
+    pos = _durations(spark, d).filter(F.col("duration_min") > 0)
+    top = features.top_activities(pos, DURATION_BOX_K)
+    dim = top.select("activity", F.row_number().over(
+        Window.orderBy(F.col("n").desc(), F.col("activity").asc())).alias("grp_no"))
+    long = pos.join(F.broadcast(top.select("activity")), "activity", "left_semi") \
+        .select("activity", F.col("duration_min").alias("value"))
+    return stats.box_stats(stats.value_counts(long, keys=("activity",)), dim, keys=("activity",))
+
+
 def q_describe(spark, d):
     return stats.describe(_durations(spark, d), "duration_min")
 
@@ -630,6 +642,23 @@ SELECT count(duration_min) AS count, avg(duration_min) AS mean, stddev_samp(dura
        quantile_cont(duration_min, 0.75) AS p75, max(duration_min) AS max
 FROM dur WHERE duration_min IS NOT NULL"""
     q["q_histogram"] = f"WITH {DUR}, {_HIST}"
+    q["q_duration_box"] = f"""
+WITH {DUR},
+top AS (SELECT activity, row_number() OVER (ORDER BY count(*) DESC, activity) AS grp_no
+        FROM posd GROUP BY activity ORDER BY count(*) DESC, activity LIMIT {DURATION_BOX_K}),
+v AS (SELECT activity, duration_min AS value FROM posd WHERE activity IN (SELECT activity FROM top)),
+q AS (SELECT activity, count(*) AS n, avg(value) AS mean, quantile_cont(value, 0.25) AS q1,
+             quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3
+      FROM v GROUP BY activity),
+f AS (SELECT *, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lo_f, q3 + 1.5 * (q3 - q1) AS hi_f FROM q),
+w AS (SELECT v.activity,
+             min(CASE WHEN value >= lo_f AND value <= hi_f THEN value END) AS whisker_lo,
+             max(CASE WHEN value >= lo_f AND value <= hi_f THEN value END) AS whisker_hi,
+             sum(CASE WHEN value >= lo_f AND value <= hi_f THEN 0 ELSE 1 END) AS n_outliers
+      FROM v JOIN f USING (activity) GROUP BY 1)
+SELECT top.activity, coalesce(f.n, 0) AS n, f.mean, f.q1, f.median, f.q3, f.iqr,
+       w.whisker_lo, w.whisker_hi, coalesce(w.n_outliers, 0) AS n_outliers
+FROM top LEFT JOIN f USING (activity) LEFT JOIN w USING (activity) ORDER BY grp_no"""
     q["q_capped"] = f"WITH {DUR} SELECT event_id, duration_min, duration_capped FROM capped"
     q["q_longest"] = f"""
 WITH {DUR}

@@ -70,6 +70,10 @@ def _hot_cases(log: DataFrame, case_col: str, policy: SkewPolicy):
         key = None
     if key is not None and key in _NO_HOT:
         return hot, 0
+    # One pass over the log: the (small) hot-case table is written to the
+    # shared folder and both the count and the later join read that table.
+    from pathweave.operators.stats import materialize
+    hot = materialize(hot, "hot-cases")
     n_hot = hot.count()
     if n_hot == 0 and key is not None:
         _NO_HOT.add(key)
