@@ -418,7 +418,8 @@ SV = LOG + f""",
 sv AS (
   SELECT *, CASE WHEN {_minutes('start_ts', 'end_ts')} < 0 THEN 0.0 ELSE {_minutes('start_ts', 'end_ts')} END
               AS service_min,
-         hour(start_ts) AS arrival_hour, strftime(start_ts, '%A') AS day_name, isodow(start_ts) - 1 AS day_no,
+         CAST(hour(start_ts) AS INTEGER) AS arrival_hour, strftime(start_ts, '%A') AS day_name,
+         CAST(isodow(start_ts) - 1 AS INTEGER) AS day_no,
          strftime(start_ts, '%Y - Week %U') AS year_week,
          CASE WHEN {_holiday_sql('start_ts', None)} THEN 'Holiday'
               WHEN isodow(start_ts) >= 6 THEN 'Weekend' ELSE 'Weekday' END AS day_type
@@ -553,7 +554,7 @@ f AS (SELECT *, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lo_f, q3 + 1.5 * (q3 - q
 w AS (SELECT lv.dimension, lv.grp,
              min(CASE WHEN value >= lo_f AND value <= hi_f THEN value END) AS whisker_lo,
              max(CASE WHEN value >= lo_f AND value <= hi_f THEN value END) AS whisker_hi,
-             sum(CASE WHEN value >= lo_f AND value <= hi_f THEN 0 ELSE 1 END) AS n_outliers
+             CAST(sum(CASE WHEN value >= lo_f AND value <= hi_f THEN 0 ELSE 1 END) AS BIGINT) AS n_outliers
       FROM lv JOIN f USING (dimension, grp) GROUP BY 1, 2)
 SELECT dim.dimension, dim.grp, coalesce(f.n, 0) AS n, f.mean, f.q1, f.median, f.q3, f.iqr,
        w.whisker_lo, w.whisker_hi, coalesce(w.n_outliers, 0) AS n_outliers
@@ -562,14 +563,14 @@ FROM dim LEFT JOIN f USING (dimension, grp) LEFT JOIN w USING (dimension, grp) O
 WITH {LONG},
 c AS (SELECT dimension, grp, value, count(*) AS cnt FROM pos GROUP BY 1, 2, 3)
 SELECT dimension, grp, value, cnt,
-       sum(cnt) OVER (PARTITION BY dimension, grp ORDER BY value ROWS UNBOUNDED PRECEDING) AS n_le,
-       sum(cnt) OVER (PARTITION BY dimension, grp) AS n,
+       CAST(sum(cnt) OVER (PARTITION BY dimension, grp ORDER BY value ROWS UNBOUNDED PRECEDING) AS BIGINT) AS n_le,
+       CAST(sum(cnt) OVER (PARTITION BY dimension, grp) AS BIGINT) AS n,
        sum(cnt) OVER (PARTITION BY dimension, grp ORDER BY value ROWS UNBOUNDED PRECEDING)
          / sum(cnt) OVER (PARTITION BY dimension, grp) AS y
 FROM c"""
     q["q_calendar"] = """
-SELECT o_orderkey, CAST(o_orderdate AS DATE) AS order_date, year(o_orderdate) AS year,
-       hour(o_orderdate) AS hour, isodow(o_orderdate) - 1 AS weekday, strftime(o_orderdate, '%A') AS day_name,
+SELECT o_orderkey, CAST(o_orderdate AS DATE) AS order_date, CAST(year(o_orderdate) AS INTEGER) AS year,
+       CAST(hour(o_orderdate) AS INTEGER) AS hour, CAST(isodow(o_orderdate) - 1 AS INTEGER) AS weekday, strftime(o_orderdate, '%A') AS day_name,
        strftime(o_orderdate, '%Y - Week %U') AS year_week, isodow(o_orderdate) >= 6 AS is_weekend,
        CASE WHEN hour(o_orderdate) >= 6 AND hour(o_orderdate) < 18 THEN 'day' ELSE 'night' END AS time_of_day
 FROM orders"""
@@ -654,7 +655,7 @@ f AS (SELECT *, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lo_f, q3 + 1.5 * (q3 - q
 w AS (SELECT v.activity,
              min(CASE WHEN value >= lo_f AND value <= hi_f THEN value END) AS whisker_lo,
              max(CASE WHEN value >= lo_f AND value <= hi_f THEN value END) AS whisker_hi,
-             sum(CASE WHEN value >= lo_f AND value <= hi_f THEN 0 ELSE 1 END) AS n_outliers
+             CAST(sum(CASE WHEN value >= lo_f AND value <= hi_f THEN 0 ELSE 1 END) AS BIGINT) AS n_outliers
       FROM v JOIN f USING (activity) GROUP BY 1)
 SELECT top.activity, coalesce(f.n, 0) AS n, f.mean, f.q1, f.median, f.q3, f.iqr,
        w.whisker_lo, w.whisker_hi, coalesce(w.n_outliers, 0) AS n_outliers
@@ -673,8 +674,8 @@ SELECT case_id, {", ".join(f"max(CASE WHEN activity = '{v}' THEN 1 ELSE 0 END) A
 FROM log GROUP BY case_id"""
     q["q_training_rows"] = f"""
 WITH {LOG}
-SELECT event_id, {_minutes('start_ts', 'end_ts')} AS Waiting_Time_Mins, isodow(start_ts) - 1 AS Day_Index,
-       hour(start_ts) AS Arrival_Hour
+SELECT event_id, {_minutes('start_ts', 'end_ts')} AS Waiting_Time_Mins, CAST(isodow(start_ts) - 1 AS INTEGER) AS Day_Index,
+       CAST(hour(start_ts) AS INTEGER) AS Arrival_Hour
 FROM log WHERE {_minutes('start_ts', 'end_ts')} >= 0"""
     q["q_chrono_split"] = f"""
 WITH {SUMMARY},
