@@ -6,6 +6,6 @@ tables, labelled by calendar, summarised, featurised and modelled -- all as
 lazy DataFrame plans that Catalyst optimises and Spark distributes.
 """
 
-from pathweave.session import get_spark, checkpoint_dir
+from pathweave.session import get_spark, checkpoint_dir, cleanup_shared
 
-__all__ = ["get_spark", "checkpoint_dir"]
+__all__ = ["get_spark", "checkpoint_dir", "cleanup_shared"]

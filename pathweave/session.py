@@ -56,6 +56,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def _app_dir(spark: SparkSession) -> str:
+    return os.path.join(checkpoint_dir(spark), f"pathweave-{spark.sparkContext.applicationId}")
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder for written intermediate tables."""
-    return os.path.join(checkpoint_dir(spark), name)
+    """A path for a written intermediate table: ``<spark.checkpoint.dir>/pathweave-<app id>/<name>``."""
+    return os.path.join(_app_dir(spark), name)
+
+
+def cleanup_shared(spark: SparkSession) -> bool:
+    """Delete this application's intermediate tables (and nothing else) from the shared folder.
+
+    Call it when the DataFrames built on them are no longer needed.
+    """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_app_dir(spark))
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.delete(path, True))

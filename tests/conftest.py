@@ -15,4 +15,6 @@ def spark():
     s = get_spark("local[4]", shuffle_partitions=8)
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    from pathweave.session import cleanup_shared
+    cleanup_shared(s)
     s.stop()
