@@ -33,6 +33,12 @@ class Discovery:
     ecdf: DataFrame
 
 
+def discover_from_file(spark, path: str, fmt: str = "csv", **kw) -> Discovery:
+    """Discovery over a processed log file; timestamps are parsed strictly (bad text fails)."""
+    from pathweave.sources.eventlog import read_log
+    return discover(read_log(spark, path, fmt=fmt, strict=True), **kw)
+
+
 def normalise_log(log: DataFrame, rules=CLINICAL_RULES) -> DataFrame:
     """Trim + lower-case the activity, then collapse it with the ordered rules."""
     return log.withColumn("activity", collapse_labels(normalise_text("activity"), rules))
