@@ -55,10 +55,12 @@ _NO_HOT: set = set()
 
 
 def _hot_cases(log: DataFrame, case_col: str, policy: SkewPolicy):
-    us = epoch_micros(log, "start_ts")
-    stats = (log.groupBy(case_col)
-             .agg(F.count(F.lit(1)).alias("_n"), F.min(us).alias("_lo"), F.max(us).alias("_hi"))
-             .filter(F.col("_n") > policy.hot_case_rows))
+    # min/max on the raw timestamp (cheap per row); micros only on the per-case result
+    agg = (log.groupBy(case_col)
+           .agg(F.count(F.lit(1)).alias("_n"), F.min("start_ts").alias("_lo_ts"), F.max("start_ts").alias("_hi_ts"))
+           .filter(F.col("_n") > policy.hot_case_rows))
+    stats = agg.select(case_col, "_n", epoch_micros(agg, "_lo_ts").alias("_lo"),
+                       epoch_micros(agg, "_hi_ts").alias("_hi"))
     pieces = F.ceil(F.col("_n") / F.lit(policy.segment_rows))
     hot = stats.select(case_col, "_lo",
                        F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / pieces)).cast("long")
@@ -70,8 +72,13 @@ def _hot_cases(log: DataFrame, case_col: str, policy: SkewPolicy):
         key = None
     if key is not None and key in _NO_HOT:
         return hot, 0
-    # One pass over the log: the (small) hot-case table is written to the
-    # shared folder and both the count and the later join read that table.
+    n_hot = hot.count()
+    if n_hot == 0:
+        if key is not None:
+            _NO_HOT.add(key)
+        return hot, 0
+    # Some case is hot: write the (small) hot-case table to the shared folder
+    # once, so the join and the segment heads read it instead of re-aggregating the log.
     from pathweave.operators.stats import materialize
     hot = materialize(hot, "hot-cases")
     n_hot = hot.count()
