@@ -67,12 +67,23 @@ def case_sizes(log: DataFrame, case_col: str = "case_id") -> DataFrame:
     return log.groupBy(case_col).agg(F.count(F.lit(1)).alias("n_events"))
 
 
+# The list of too-small cases is broadcast into an anti join when it has at
+# most this many cases (checked by a count first).
+SMALL_CASES_BROADCAST_MAX = 2_000_000
+
+
 def min_case_size(log: DataFrame, k: int = 2, case_col: str = "case_id") -> DataFrame:
-    """Rows of cases with at least ``k`` events.
+    """Rows of cases with at least ``k`` events (rows without a case are dropped).
 
-    Case sizes come from a partial aggregation; the keep-list joins back as a
-    left-semi join.  The keep-list grows with the number of cases, so it is
-    not broadcast; a hot case on the log side is split by AQE's skew join.
+    Case sizes come from a partial aggregation.  Usually few cases are too
+    small: their list is counted and, when within the bound, broadcast into a
+    left-anti join, so the log itself is never shuffled.  Otherwise the
+    keep-list joins back as a left-semi join (shuffle on the case key; a hot
+    case on the log side is split by AQE's skew join).
     """
-    keep = case_sizes(log, case_col).filter(F.col("n_events") >= k).select(case_col)
+    sizes = case_sizes(log.filter(F.col(case_col).isNotNull()), case_col)
+    small = sizes.filter(F.col("n_events") < k).select(case_col)
+    if small.count() <= SMALL_CASES_BROADCAST_MAX:
+        return log.filter(F.col(case_col).isNotNull()).join(F.broadcast(small), case_col, "left_anti")
+    keep = sizes.filter(F.col("n_events") >= k).select(case_col)
     return log.join(keep, case_col, "left_semi")

@@ -131,3 +131,20 @@ def test_cohort_and_min_case_size(spark):
     assert {r["case_id"] for r in first_n_cases(log, 2).collect()} == {"early", "mid"}
     assert first_n_cases(log, 2).count() == 3
     assert {r["case_id"] for r in min_case_size(log, 2).collect()} == {"early"}
+
+
+def test_min_case_size_both_paths_and_null_case(spark):
+    import pathweave.operators.clean as C
+    log = _log(spark, [("a", "x", "2020-01-01 00:00:00", "2020-01-01 00:10:00"),
+                       ("a", "y", "2020-01-01 01:00:00", "2020-01-01 01:10:00"),
+                       ("b", "x", "2020-01-01 00:00:00", "2020-01-01 00:10:00")])
+    log = log.union(spark.createDataFrame([(None, "z", _ts("2020-01-01 00:00:00"), _ts("2020-01-01 00:01:00"), 99)],
+                                          log.schema))
+    fast = sorted(r["event_id"] for r in C.min_case_size(log, 2).collect())
+    old = C.SMALL_CASES_BROADCAST_MAX
+    try:
+        C.SMALL_CASES_BROADCAST_MAX = -1
+        slow = sorted(r["event_id"] for r in C.min_case_size(log, 2).collect())
+    finally:
+        C.SMALL_CASES_BROADCAST_MAX = old
+    assert fast == slow == [0, 1]
