@@ -147,7 +147,7 @@ def q_day_type(spark, d):
     o = _t(spark, d, "orders")
     ts = F.col("o_orderdate")
     wk = is_weekend(ts)
-    o = o.select("o_orderkey", "o_orderdate", is_holiday(ts, REGION).alias("is_holiday"))
+    o = o.select("o_orderkey", "o_orderdate", is_holiday("o_orderdate", REGION).alias("is_holiday"))
     return o.select("o_orderkey", F.to_date(ts).alias("order_date"), "is_holiday",
                     wk.alias("is_weekend"), day_type(F.col("is_holiday"), wk).alias("day_type"))
 

@@ -8,6 +8,8 @@ check).
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,8 +107,20 @@ def is_holiday(ts, region: str | None = None) -> Column:
 
     A Friday also stands for the Saturday after it and a Monday for the
     Sunday before it (observed days), so the fixed-date test runs on the date
-    and on that shifted date.
+    and on that shifted date.  Given a column name, the (unresolved)
+    expression is built once and reused.
     """
+    if isinstance(ts, str):
+        return _is_holiday_named(ts, region)
+    return _is_holiday(ts, region)
+
+
+@lru_cache(maxsize=64)
+def _is_holiday_named(name: str, region):
+    return _is_holiday(F.col(name), region)
+
+
+def _is_holiday(ts, region):
     d = F.to_date(_c(ts))
     wd = F.weekday(d)
     shifted = F.when(wd == 4, F.date_add(d, 1)).when(wd == 0, F.date_sub(d, 1))

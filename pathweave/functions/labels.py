@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,7 +52,17 @@ def collapse_labels(x, rules=CLINICAL_RULES) -> Column:
     by a later rule, which holds for :data:`CLINICAL_RULES`; a user list is
     checked by :func:`rules_are_order_safe`.
     """
-    c = _c(x)
+    if isinstance(x, str):
+        return _collapse_named(x, tuple(tuple(r) for r in rules))
+    return _collapse(_c(x), rules)
+
+
+@lru_cache(maxsize=64)
+def _collapse_named(name: str, rules):
+    return _collapse(F.col(name), rules)
+
+
+def _collapse(c: Column, rules) -> Column:
     expr = None
     for regex, label in rules:
         hit = c.rlike(regex) | c.contains(label)

@@ -24,7 +24,7 @@ DAYTYPE_LABELS = ("Holiday", "Weekend", "Weekday")
 def service_view(log: DataFrame, region: str | None = None) -> DataFrame:
     """Per event: service minutes (stop - start, clipped at 0) and calendar columns."""
     st = F.col("start_ts")
-    log = log.withColumn("_hol", is_holiday(st, region))
+    log = log.withColumn("_hol", is_holiday("start_ts", region))
     return log.select(
         *[c for c in log.columns if c != "_hol"],
         clip_lower(minutes_between(st, F.col("end_ts")), 0.0).alias("service_min"),

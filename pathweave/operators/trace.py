@@ -139,12 +139,11 @@ def transitions(log: DataFrame, region: str | None = "MA", policy: SkewPolicy |
     Calendar labels are computed from the start of the current event.
     """
     x = with_successor(log, policy=policy)
-    raw_gap = round2(minutes_between(F.col("end_ts"), F.col("next_start")))
-    t = (x.withColumn("raw_gap_min", raw_gap)
-         .filter(F.col("next_activity").isNotNull() & F.col("raw_gap_min").isNotNull())
-         .withColumn("waiting_min", round2(clip_lower(F.col("raw_gap_min"), 0.0))))
-    # Holiday flag first, then the day type from the column (computed once per row).
-    t = t.withColumn("is_holiday", is_holiday(F.col("start_ts"), region))
+    t = (x.select("*", round2(minutes_between(F.col("end_ts"), F.col("next_start"))).alias("raw_gap_min"))
+         .filter(F.col("next_activity").isNotNull() & F.col("raw_gap_min").isNotNull()))
+    # Holiday flag in its own projection; the day type then reads the column (computed once per row).
+    t = t.select("*", round2(clip_lower(F.col("raw_gap_min"), 0.0)).alias("waiting_min"),
+                 is_holiday("start_ts", region).alias("is_holiday"))
     wkend = is_weekend(F.col("start_ts"))
     cols = [
         "case_id", "activity", "next_activity", "start_ts", "end_ts", "next_start",

@@ -41,7 +41,8 @@ def discover_from_file(spark, path: str, fmt: str = "csv", **kw) -> Discovery:
 
 def normalise_log(log: DataFrame, rules=CLINICAL_RULES) -> DataFrame:
     """Trim + lower-case the activity, then collapse it with the ordered rules."""
-    return log.withColumn("activity", collapse_labels(normalise_text("activity"), rules))
+    return (log.withColumn("activity", normalise_text("activity"))
+            .withColumn("activity", collapse_labels("activity", rules)))
 
 
 def discover(log: DataFrame, rules=CLINICAL_RULES, region: str | None = "MA", min_events: int = 2,
