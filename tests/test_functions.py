@@ -126,3 +126,45 @@ def test_round_exact_is_python_round(spark):
     assert got == [round(v, 2) for v in vals]
     assert [r[0] for r in df.select(F.format_string("%.2f", round_exact("x", 2))).collect()] == \
         [f"{v:.2f}" for v in vals]
+
+
+def _python_holidays(year, region=None):
+    """Independent reference: US federal holidays (observed) from datetime arithmetic."""
+    import calendar as cal
+    out = set()
+
+    def nth(month, weekday, n):
+        days = [d for d in range(1, cal.monthrange(year, month)[1] + 1)
+                if dt.date(year, month, d).weekday() == weekday]
+        return dt.date(year, month, days[n - 1] if n > 0 else days[-1])
+
+    def fixed(month, day):
+        d = dt.date(year, month, day)
+        out.add(d)
+        if d.weekday() == 5:
+            out.add(d - dt.timedelta(days=1))
+        elif d.weekday() == 6:
+            out.add(d + dt.timedelta(days=1))
+
+    fixed(1, 1)
+    if year >= 2021:
+        fixed(6, 19)
+    fixed(7, 4)
+    fixed(11, 11)
+    fixed(12, 25)
+    out |= {nth(1, 0, 3), nth(2, 0, 3), nth(5, 0, -1), nth(9, 0, 1), nth(10, 0, 2), nth(11, 3, 4)}
+    if region == "MA":
+        out.add(nth(4, 0, 3))
+    return out
+
+
+def test_holidays_match_independent_python(spark):
+    start, end = dt.date(1990, 1, 1), dt.date(2035, 12, 31)
+    n = (end - start).days + 1
+    df = spark.range(n).select(F.date_add(F.lit(start), F.col("id").cast("int")).alias("d"))
+    for region in (None, "MA"):
+        got = {r["d"] for r in df.filter(is_holiday(F.col("d"), region)).collect()}
+        exp = set()
+        for y in range(1989, 2037):
+            exp |= {d for d in _python_holidays(y, region) if start <= d <= end}
+        assert got == exp, (region, sorted(got ^ exp)[:10])
