@@ -25,6 +25,15 @@ def dfg_edges(log: DataFrame, policy: SkewPolicy | None = DEFAULT_SKEW) -> DataF
     return dfg_edges_from(with_successor(log, {"next_activity": "activity"}, policy=policy))
 
 
+def dfg_endpoint_counts(log: DataFrame, min_events: int = 2) -> DataFrame:
+    """(kind, activity, n) for kind in {'start', 'end'} from one pass of per-case endpoints."""
+    ends = case_endpoints(log).filter(F.col("n_events") >= min_events)
+    both = F.array(F.struct(F.lit("start").alias("kind"), F.col("first_activity").alias("activity")),
+                   F.struct(F.lit("end").alias("kind"), F.col("last_activity").alias("activity")))
+    return (ends.select(F.explode(both).alias("e")).select("e.kind", "e.activity")
+            .groupBy("kind", "activity").agg(F.count(F.lit(1)).alias("n")))
+
+
 def dfg_start_activities(log: DataFrame, min_events: int = 2) -> DataFrame:
     ends = case_endpoints(log).filter(F.col("n_events") >= min_events)
     return ends.groupBy(F.col("first_activity").alias("activity")).agg(F.count(F.lit(1)).alias("n"))

@@ -89,11 +89,21 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
 
 
 def max_distinct_per_group(counts: DataFrame, keys=()) -> int:
-    """Largest number of distinct values in one group (a small aggregate, one row to the driver)."""
+    """Largest number of distinct values in one group (a small aggregate, one row to the driver).
+
+    Remembered on a materialized table, which cannot change.
+    """
     keys = list(keys)
+    memo = getattr(counts, "_pw_max_distinct", None) if getattr(counts, "_pw_materialized", False) else None
+    if memo is not None and tuple(keys) in memo:
+        return memo[tuple(keys)]
     if not keys:
-        return counts.count()
-    return counts.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        out = counts.count()
+    else:
+        out = counts.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if getattr(counts, "_pw_materialized", False):
+        counts._pw_max_distinct = {**(memo or {}), tuple(keys): out}
+    return out
 
 
 def cumulative_counts(counts: DataFrame, keys=(), n_parts: int | None = None) -> DataFrame:

@@ -58,11 +58,15 @@ def discover(log: DataFrame, rules=CLINICAL_RULES, region: str | None = "MA", mi
     succ = trans.select("activity", "next_activity", "start_ts", "next_start")
     edges = dfg.dfg_edges_from(succ)
     perf = dfg.dfg_performance_from(succ)
-    starts = dfg.dfg_start_activities(log, min_events)
-    ends = dfg.dfg_end_activities(log, min_events)
-    long = stats.wait_groups_long(trans)
-    counts = stats.value_counts(long)
+    # Start and end activities from one pass over the log; the result has at
+    # most two rows per activity and is kept for both readers.
+    endpoints = stats.materialize(dfg.dfg_endpoint_counts(log, min_events), "endpoints")
+    starts = endpoints.filter(F.col("kind") == "start").select("activity", "n")
+    ends = endpoints.filter(F.col("kind") == "end").select("activity", "n")
+    # One (group, value, cnt) table for quantiles and ECDF; log(1 + v) is
+    # one-to-one, so the box statistics read a projection of the same table.
+    counts = stats.materialize(stats.value_counts(stats.wait_groups_long(trans)), "wait-counts")
+    logc = counts.select("dimension", "grp", F.log(F.lit(1.0) + F.col("value")).alias("value"), "cnt")
     dim = stats.group_dim(log.sparkSession)
-    logc = stats.value_counts(long, transform=lambda v: F.log(F.lit(1.0) + v))
     return Discovery(edges, starts, ends, perf, trans, stats.quantile_summary(counts, dim),
                      stats.box_stats(logc, dim), stats.ecdf(counts))
