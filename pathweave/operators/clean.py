@@ -48,15 +48,29 @@ def clean_log(log: DataFrame) -> DataFrame:
     return drop_incomplete(fill_activity(log), ["case_id", "activity", "start_ts", "end_ts"])
 
 
+def _order_key(log: DataFrame, time_col: str, id_col: str):
+    """(time, id) packed into one decimal(38,0) with the same order:
+    micros * 10^20 + (id + 2^63).  A decimal buffer keeps ``min`` hash-based."""
+    from pathweave.operators.trace import epoch_micros
+    us = epoch_micros(log, time_col).cast("decimal(38,0)")
+    rid = F.col(id_col).cast("decimal(38,0)") + F.lit(str(2 ** 63)).cast("decimal(38,0)")
+    return us * F.lit(str(10 ** 20)).cast("decimal(38,0)") + rid
+
+
 def first_n_cases(log: DataFrame, n: int = 50, order_cols=("start_ts", "event_id"),
                   case_col: str = "case_id") -> DataFrame:
     """Keep the rows of the first ``n`` distinct cases in (explicit) log order.
 
     "File order" is made explicit by ``order_cols``.  The per-case minimum is
-    a partial aggregation, the top ``n`` a TakeOrderedAndProject, and the
-    cohort (<= n rows, a proven bound) is broadcast into a left-semi join.
+    a partial (hash) aggregation, the top ``n`` a TakeOrderedAndProject, and
+    the cohort (<= n rows, a proven bound) is broadcast into a left-semi join.
     """
-    key = F.struct(*[F.col(c) for c in order_cols])
+    types = dict(log.dtypes)
+    if (len(order_cols) == 2 and types.get(order_cols[0]) in ("timestamp", "timestamp_ntz")
+            and types.get(order_cols[1]) in ("bigint", "int")):
+        key = _order_key(log, *order_cols)
+    else:
+        key = F.struct(*[F.col(c) for c in order_cols])
     firsts = log.groupBy(case_col).agg(F.min(key).alias("_first"))
     cohort = firsts.orderBy(F.col("_first").asc(), F.col(case_col).asc()).limit(n).select(case_col)
     side = F.broadcast(cohort) if n <= COHORT_BROADCAST_MAX else cohort

@@ -148,3 +148,12 @@ def test_min_case_size_both_paths_and_null_case(spark):
     finally:
         C.SMALL_CASES_BROADCAST_MAX = old
     assert fast == slow == [0, 1]
+
+
+def test_cohort_ties_break_by_event_id(spark):
+    rows = [("p", "a", _ts("2020-01-01 00:00:00"), _ts("2020-01-01 00:10:00"), 5),
+            ("q", "a", _ts("2020-01-01 00:00:00"), _ts("2020-01-01 00:10:00"), -3),
+            ("r", "a", _ts("2019-12-31 23:59:59.999999"), _ts("2020-01-01 00:10:00"), 10**18)]
+    log = spark.createDataFrame(rows, "case_id string, activity string, start_ts timestamp, end_ts timestamp, event_id long")
+    assert {r["case_id"] for r in first_n_cases(log, 1).collect()} == {"r"}
+    assert {r["case_id"] for r in first_n_cases(log, 2).collect()} == {"r", "q"}
