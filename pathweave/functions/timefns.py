@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,6 +86,16 @@ def round_exact(x, digits: int = 2) -> Column:
     return let(_c(x).cast("double"), lambda c: _round_exact_body(c, digits))
 
 
+def round_exact_array(name: str, digits: int = 2) -> Column:
+    """``round_exact`` applied to every element of the array column ``name`` (built once per name)."""
+    return _round_exact_array_named(name, digits)
+
+
+@lru_cache(maxsize=32)
+def _round_exact_array_named(name: str, digits: int) -> Column:
+    return F.transform(F.col(name), lambda c: _round_exact_body(c.cast("double"), digits))
+
+
 def _round_exact_body(c: Column, digits: int) -> Column:
     scale = float(10 ** digits)
     p, e = _two_prod(c, scale)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathweave.functions.timefns import clip_upper, round_exact
+from pathweave.functions.timefns import clip_upper, round_exact_array
 
 # The dimensions and groups of the waiting-time comparison.
 WAIT_GROUPS = [
@@ -111,8 +111,9 @@ def cumulative_counts(counts: DataFrame, keys=(), n_parts: int | None = None) ->
 
     Distributed prefix sum: range-partition by (keys, value), running sum per
     (partition, group), written once to the shared folder so partition ids
-    stay fixed (a written table), then add the totals of all earlier partitions of the group
-    from a (partitions x groups) table that is broadcast.
+    stay fixed, then add the totals of all earlier partitions of the group
+    from a (partitions x groups) table that is broadcast -- meant for a few
+    groups (dimension groups, top-k), as used here.
     """
     spark = counts.sparkSession
     keys = list(keys)
@@ -180,9 +181,10 @@ def quantile_summary(counts: DataFrame, dim: DataFrame, keys=("dimension", "grp"
     default) and read the pre-aggregated counts as frequencies.
     """
     agg = group_quantiles(counts, keys, probs, limit)
+    agg = agg.select(*keys, "n", round_exact_array("_q").alias("_q"))
     out = F.broadcast(dim).join(agg, list(keys), "left")
     cols = [*keys, F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")]
-    cols += [round_exact(F.col("_q")[i]).alias(nm) for i, nm in enumerate(names)]
+    cols += [F.col("_q")[i].alias(nm) for i, nm in enumerate(names)]
     return small_sorted(out.select(*cols, "grp_no"), "grp_no").drop("grp_no")
 
 
@@ -193,9 +195,10 @@ def quantile_summary_approx(long: DataFrame, dim: DataFrame, keys=("dimension",
     v = long.filter(F.col("value") > 0)
     agg = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
                                F.percentile_approx("value", probs, accuracy).alias("_q"))
+    agg = agg.select(*keys, "n", round_exact_array("_q").alias("_q"))
     out = F.broadcast(dim).join(agg, list(keys), "left")
     cols = [*keys, F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")]
-    cols += [round_exact(F.col("_q")[i]).alias(nm) for i, nm in enumerate(names)]
+    cols += [F.col("_q")[i].alias(nm) for i, nm in enumerate(names)]
     return small_sorted(out.select(*cols, "grp_no"), "grp_no").drop("grp_no")
 
 
