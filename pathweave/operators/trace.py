@@ -3,11 +3,15 @@
 The trace order is (start_ts, end_ts, event_id) within ``case_id``.
 
 Skew.  A window partitioned by case puts a whole case in one task.  When a
-case is "hot" (more than ``hot_case_rows`` events) it is cut into time
-segments of about ``segment_rows`` events each; the window then runs per
-(case, segment), and the last row of every segment takes its successor from
-the first row of the next segment (a small per-segment table).  Cases below
-the threshold keep a single segment, so the common plan is one exchange on
+case is "hot" (more than ``hot_case_rows`` events) it is cut into
+equal-depth segments of about ``segment_rows`` events: boundary keys
+(start, end, event id) are taken from a bounded sample of the case and
+written once; each row finds its segment by a binary search over its case's
+boundaries.  The key includes the unique event id, so even a case whose
+events share one timestamp is split.  The window then runs per (case,
+segment), and the last row of every segment takes its successor from the
+first row of the next segment (a small per-segment table).  Cases below the
+threshold keep a single segment, so the common plan is one exchange on
 ``case_id`` plus a sort, shared by every lead.
 """
 
@@ -29,8 +33,13 @@ class SkewPolicy:
     """When to split a case, and how large the pieces are."""
     hot_case_rows: int = 2_000_000
     segment_rows: int = 500_000
-    # The hot-case table (one row per hot case) is broadcast below this size.
-    broadcast_max_rows: int = 200_000
+    # The boundary table is broadcast when it holds at most this many boundary keys.
+    broadcast_max_rows: int = 2_000_000
+    # Equal-depth segments from sampled keys: at most this many per case,
+    # about this many sampled keys per segment.
+    max_segments: int = 4096
+    samples_per_segment: int = 32
+    seed: int = 17
 
 
 DEFAULT_SKEW = SkewPolicy()
@@ -55,16 +64,12 @@ _NO_HOT: set = set()
 
 
 def _hot_cases(log: DataFrame, case_col: str, policy: SkewPolicy):
-    # min/max on the raw timestamp (cheap per row); micros only on the per-case result
-    agg = (log.groupBy(case_col)
-           .agg(F.count(F.lit(1)).alias("_n"), F.min("start_ts").alias("_lo_ts"), F.max("start_ts").alias("_hi_ts"))
-           .filter(F.col("_n") > policy.hot_case_rows))
-    stats = agg.select(case_col, "_n", epoch_micros(agg, "_lo_ts").alias("_lo"),
-                       epoch_micros(agg, "_hi_ts").alias("_hi"))
-    pieces = F.ceil(F.col("_n") / F.lit(policy.segment_rows))
-    hot = stats.select(case_col, "_lo",
-                       F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / pieces)).cast("long")
-                       .alias("_width"))
+    """(hot table with one row per hot case and its segment count, number of hot cases)."""
+    pieces = F.least(F.lit(policy.max_segments),
+                     F.ceil(F.col("_n") / F.lit(policy.segment_rows)).cast("int"))
+    hot = (log.groupBy(case_col).agg(F.count(F.lit(1)).alias("_n"))
+           .filter(F.col("_n") > policy.hot_case_rows)
+           .select(case_col, "_n", pieces.alias("_p")))
     try:
         key = (log.sparkSession.sparkContext.applicationId, policy,
                hot._jdf.queryExecution().optimizedPlan().semanticHash())
@@ -77,14 +82,47 @@ def _hot_cases(log: DataFrame, case_col: str, policy: SkewPolicy):
         if key is not None:
             _NO_HOT.add(key)
         return hot, 0
-    # Some case is hot: write the (small) hot-case table to the shared folder
-    # once, so the join and the segment heads read it instead of re-aggregating the log.
+    # Some case is hot: keep the (small) hot-case table, read by the sample and the join.
     from pathweave.operators.stats import materialize
-    hot = materialize(hot, "hot-cases")
-    n_hot = hot.count()
-    if n_hot == 0 and key is not None:
-        _NO_HOT.add(key)
-    return hot, n_hot
+    return materialize(hot, "hot-cases"), n_hot
+
+
+def _boundaries(log: DataFrame, hot: DataFrame, case_col: str, order, policy: SkewPolicy):
+    """Per hot case, ``_p - 1`` sorted boundary keys from a bounded sample (written once).
+
+    The sample keeps about ``samples_per_segment`` keys per segment (at most
+    ``max_segments * samples_per_segment`` per case), so one case's array is
+    bounded whatever its size.  Written to the shared folder, the boundaries
+    stay fixed even if a sampling task is retried.
+    """
+    from pathweave.operators.stats import materialize
+    key = F.struct(*[F.col(c) for c in order]).alias("_k")
+    frac = F.col("_p") * F.lit(policy.samples_per_segment) / F.col("_n")
+    sample = (log.join(F.broadcast(hot), case_col)
+              .filter(F.rand(policy.seed) < frac)
+              .select(case_col, "_p", key))
+    arr = sample.groupBy(case_col, "_p").agg(F.array_sort(F.collect_list("_k")).alias("_s"))
+    # equal-depth picks: element i * len / p for i = 1 .. p-1
+    picks = F.transform(F.sequence(F.lit(1), F.greatest(F.col("_p") - 1, F.lit(1))),
+                        lambda i: F.element_at("_s", F.greatest(F.lit(1), F.floor(i * F.size("_s") / F.col("_p"))
+                                                               .cast("int"))))
+    bounds = arr.select(case_col, F.when(F.col("_p") > 1, picks).otherwise(F.array()).alias("_b"))
+    return materialize(bounds, "segment-bounds")
+
+
+def _search(bounds: Column, key: Column, steps: int) -> Column:
+    """Number of boundaries <= key in the sorted array ``bounds`` (fixed-step binary search)."""
+    init = F.struct(F.lit(0).alias("lo"), F.size(bounds).alias("hi"))
+
+    def step(acc, _):
+        lo, hi = acc["lo"], acc["hi"]
+        mid = F.floor((lo + hi + 1) / 2).cast("int")
+        go_up = F.element_at(bounds, F.greatest(mid, F.lit(1))) <= key
+        nxt = F.when(go_up, F.struct(mid.alias("lo"), hi.alias("hi"))) \
+            .otherwise(F.struct(lo.alias("lo"), (mid - 1).alias("hi")))
+        return F.when(lo >= hi, acc).otherwise(nxt)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)["lo"]
 
 
 def with_successor(log: DataFrame, lead_cols: dict | None = None, case_col: str = "case_id",
@@ -99,18 +137,20 @@ def with_successor(log: DataFrame, lead_cols: dict | None = None, case_col: str
         w = trace_window(case_col, order=order)
         return log.select("*", *[F.lead(src).over(w).alias(out) for out, src in lead_cols.items()])
 
-    side = F.broadcast(hot) if n_hot <= policy.broadcast_max_rows else hot
-    us = epoch_micros(log, "start_ts")
-    seg = (log.withColumn("_us", us).join(side, case_col, "left")
-           .withColumn("_hot", F.col("_width").isNotNull())
-           .withColumn("_seg", F.when(F.col("_hot"), F.floor((F.col("_us") - F.col("_lo")) / F.col("_width")))
-                       .otherwise(F.lit(0)).cast("long"))
-           .drop("_us", "_lo", "_width"))
+    bounds = _boundaries(log, hot, case_col, order, policy)
+    st = bounds.agg(F.sum(F.size("_b")).alias("n"), F.max(F.size("_b")).alias("m")).first()
+    n_keys, longest = st["n"] or 0, st["m"] or 0
+    side = F.broadcast(bounds) if n_keys <= policy.broadcast_max_rows else bounds
+    steps = max(1, int(longest).bit_length() + 1)   # enough halvings for the longest array
+    key = F.struct(*[F.col(c) for c in order])
+    seg = (log.join(side, case_col, "left")
+           .withColumn("_hot", F.col("_b").isNotNull())
+           .withColumn("_seg", F.when(F.col("_hot"), _search(F.col("_b"), key, steps)).otherwise(F.lit(0)))
+           .drop("_b"))
     w = trace_window(case_col, ["_seg"], order)
     body = seg.select("*", F.lead(F.lit(1)).over(w).isNull().alias("_tail"),
                       *[F.lead(src).over(w).alias(out) for out, src in lead_cols.items()])
     # First row of every segment of a hot case, then the head of the *next* segment.
-    key = F.struct(*[F.col(c) for c in order])
     head = F.struct(*[F.col(src).alias(out) for out, src in lead_cols.items()])
     heads = (seg.filter("_hot").groupBy(case_col, "_seg").agg(F.min_by(head, key).alias("_h")))
     nxt = heads.select(case_col, "_seg", F.lead("_h").over(Window.partitionBy(case_col).orderBy("_seg")).alias("_nh"))

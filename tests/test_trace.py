@@ -157,3 +157,28 @@ def test_cohort_ties_break_by_event_id(spark):
     log = spark.createDataFrame(rows, "case_id string, activity string, start_ts timestamp, end_ts timestamp, event_id long")
     assert {r["case_id"] for r in first_n_cases(log, 1).collect()} == {"r"}
     assert {r["case_id"] for r in first_n_cases(log, 2).collect()} == {"r", "q"}
+
+
+def test_hot_case_with_one_timestamp_is_split(spark):
+    from pathweave.operators import trace as T
+    log = events_as_log(spark, SF)
+    # a third of all rows in one case, all at the same start and end
+    tied = (log.withColumn("case_id", F.when(F.col("event_id") % 3 == 0, F.lit(-1)).otherwise(F.col("case_id")))
+            .withColumn("start_ts", F.when(F.col("case_id") == -1, F.lit("2024-01-10 12:00:00").cast("timestamp_ntz"))
+                        .otherwise(F.col("start_ts")))
+            .withColumn("end_ts", F.when(F.col("case_id") == -1, F.lit("2024-01-10 12:05:00").cast("timestamp_ntz"))
+                        .otherwise(F.col("end_ts"))))
+    pol = T.SkewPolicy(hot_case_rows=1000, segment_rows=300)
+    hot, n_hot = T._hot_cases(tied, "case_id", pol)
+    assert n_hot == 1
+    bounds = T._boundaries(tied, hot, "case_id", T.ORDER, pol)
+    b = bounds.join(hot, "case_id")
+    key = F.struct(*[F.col(c) for c in T.ORDER])
+    segs = (tied.join(b, "case_id").select(T._search(F.col("_b"), key, 14).alias("s"))
+            .groupBy("s").count().collect())
+    sizes = sorted(r["count"] for r in segs)
+    assert len(sizes) >= 8 and sizes[-1] < 3 * 300  # the tie group is cut into balanced pieces
+    cols = ["case_id", "event_id", "next_start", "next_activity"]
+    plain = sorted(tuple(r) for r in T.with_successor(tied, policy=None).select(*cols).collect())
+    split = sorted(tuple(r) for r in T.with_successor(tied, policy=pol).select(*cols).collect())
+    assert plain == split
