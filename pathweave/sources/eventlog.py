@@ -135,12 +135,34 @@ def write_log(log: DataFrame, path: str, fmt: str = "parquet", n_files: int | No
 
 
 def write_transitions(trans: DataFrame, path: str, mode: str = "overwrite",
-                      reference_names: bool = True) -> str:
-    """The fixed 12-column transition report as CSV with a header."""
+                      reference_names: bool = True, reference_text: bool = True) -> str:
+    """The fixed 12-column transition report as CSV with a header.
+
+    With ``reference_text`` the cells look like the process-mining report:
+    timestamps ``yyyy-MM-dd HH:mm:ss+00:00`` (UTC offset; fractions of a
+    second only when present), dates ``yyyy-MM-dd``, booleans ``True``/``False``.
+    """
     out = trans.select(*TRANSITION_COLUMNS)
+    if reference_text:
+        def ts_text(c):
+            t = F.col(c).cast("timestamp_ntz") if dict(out.dtypes)[c] == "timestamp" else F.col(c)
+            base = F.date_format(t, "yyyy-MM-dd HH:mm:ss")
+            frac = F.date_format(t, "SSSSSS")
+            return F.concat(base, F.when(frac != "000000", F.concat(F.lit("."), frac)).otherwise(F.lit("")),
+                            F.lit("+00:00"))
+        cols = []
+        for c, dt in out.dtypes:
+            if dt in ("timestamp", "timestamp_ntz"):
+                cols.append(ts_text(c).alias(c))
+            elif dt == "boolean":
+                cols.append(F.when(F.col(c), F.lit("True")).when(~F.col(c), F.lit("False")).alias(c))
+            elif dt == "date":
+                cols.append(F.date_format(F.col(c), "yyyy-MM-dd").alias(c))
+            else:
+                cols.append(F.col(c))
+        out = out.select(*cols)
     if reference_names:
-        out = to_reference_names(out).withColumnRenamed("start_date", "date") \
-            .withColumnRenamed("next_start", "next_start")
+        out = to_reference_names(out).withColumnRenamed("start_date", "date")
     _writer(out, mode).option("header", True).csv(path)
     return path
 
