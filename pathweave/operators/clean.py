@@ -66,7 +66,9 @@ def first_n_cases(log: DataFrame, n: int = 50, order_cols=("start_ts", "event_id
     the cohort (<= n rows, a proven bound) is broadcast into a left-semi join.
     """
     types = dict(log.dtypes)
-    if (len(order_cols) == 2 and types.get(order_cols[0]) in ("timestamp", "timestamp_ntz")
+    if len(order_cols) == 1:
+        key = F.col(order_cols[0])
+    elif (len(order_cols) == 2 and types.get(order_cols[0]) in ("timestamp", "timestamp_ntz")
             and types.get(order_cols[1]) in ("bigint", "int")):
         key = _order_key(log, *order_cols)
     else:

@@ -12,9 +12,12 @@ DEFAULT_COHORT = 50
 
 def ingest_log(spark: SparkSession, raw_path: str, sep: str = ";", n_cases: int | None = DEFAULT_COHORT,
                ntz: bool = False) -> DataFrame:
-    """Parse leniently, fill missing activity, drop incomplete rows, keep the first ``n_cases`` cases."""
+    """Parse leniently, fill missing activity, drop incomplete rows, keep the first ``n_cases`` cases.
+
+    "First" is file order: the row id assigned at read increases along the file.
+    """
     log = ingest_raw(read_raw_csv(spark, raw_path, sep), ntz=ntz)
-    return first_n_cases(log, n_cases) if n_cases else log
+    return first_n_cases(log, n_cases, order_cols=("event_id",)) if n_cases else log
 
 
 def ingest_and_write(spark: SparkSession, raw_path: str, out_path: str, fmt: str = "csv",

@@ -43,3 +43,14 @@ def test_dashboard_from_raw(spark, tmp_path):
     f = {(r["day_no"], r["arrival_hour"]): r["predicted_min"] for r in v.forecast.collect()}
     assert f[(0, 11)] == 10.0      # Monday 11:10-11:20
     assert f[(2, 3)] == 30.0       # empty slot -> fallback
+
+
+def test_ingest_keeps_first_cases_in_file_order(spark, tmp_path):
+    from pathweave.plans.ingest import ingest_log
+    raw = tmp_path / "raw.csv"
+    # z appears first in the file but starts latest
+    raw.write_text("ENCOUNTER;START;STOP;DESCRIPTION\n"
+                   "z;2011-03-01 00:00:00+00:00;2011-03-01 01:00:00+00:00;a\n"
+                   "y;2011-01-01 00:00:00+00:00;2011-01-01 01:00:00+00:00;a\n"
+                   "x;2011-02-01 00:00:00+00:00;2011-02-01 01:00:00+00:00;a\n")
+    assert {r["case_id"] for r in ingest_log(spark, str(raw), n_cases=2).collect()} == {"z", "y"}
