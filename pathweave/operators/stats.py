@@ -106,6 +106,18 @@ def max_distinct_per_group(counts: DataFrame, keys=()) -> int:
     return out
 
 
+def groups_within(counts: DataFrame, keys, limit: int) -> bool:
+    """True when no group of the (keys, value, cnt) table has more than ``limit`` distinct values.
+
+    The table's row count bounds every group (cheap on a written table);
+    the per-group maximum is computed only when that bound is not enough.
+    """
+    total = counts.count()
+    if total <= limit:
+        return True
+    return max_distinct_per_group(counts, keys) <= limit
+
+
 def cumulative_counts(counts: DataFrame, keys=(), n_parts: int | None = None) -> DataFrame:
     """Add ``n_le`` (values <= value in the group) and ``n`` (group size) to (keys, value, cnt).
 
@@ -164,7 +176,7 @@ def group_quantiles(counts: DataFrame, keys=(), probs=SUMMARY_PROBS,
     keys = list(keys)
     limit = DISTINCT_PER_GROUP_LIMIT if limit is None else limit
     counts = materialize(counts)
-    if max_distinct_per_group(counts, keys) <= limit:
+    if groups_within(counts, keys, limit):
         grouped = counts.groupBy(*keys) if keys else counts.groupBy()
         return grouped.agg(F.sum("cnt").alias("n"),
                            F.percentile("value", F.array(*[F.lit(float(p)) for p in probs]), F.col("cnt"))
@@ -240,7 +252,7 @@ def ecdf(counts: DataFrame, keys=("dimension", "grp"), limit: int | None = None)
     """
     limit = DISTINCT_PER_GROUP_LIMIT if limit is None else limit
     counts = materialize(counts)
-    if max_distinct_per_group(counts, keys) > limit:
+    if not groups_within(counts, keys, limit):
         return (cumulative_counts(counts, keys).withColumn("y", F.col("n_le") / F.col("n"))
                 .select(*keys, "value", "cnt", "n_le", "n", "y"))
     run = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
