@@ -67,6 +67,8 @@ def value_counts(long: DataFrame, keys=("dimension", "grp"), positive: bool = Tr
 # map per group; a window keeps a group in one task) for range-partitioned
 # prefix sums that spread any group over all tasks.
 DISTINCT_PER_GROUP_LIMIT = 1_000_000
+# The prefix-sum offset table (partitions x groups) is broadcast up to this many rows.
+OFFSETS_BROADCAST_MAX = 1_000_000
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -138,7 +140,9 @@ def cumulative_counts(counts: DataFrame, keys=(), n_parts: int | None = None) ->
     before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select("_pid", *keys, F.coalesce(F.sum("_pt").over(before), F.lit(0)).alias("_off"),
                      F.sum("_pt").over(Window.partitionBy(*keys)).alias("n"))
-    return (local.join(F.broadcast(off), ["_pid", *keys])
+    # one row per (partition, group): broadcast when that count is within the bound
+    side = F.broadcast(off) if tot.count() <= OFFSETS_BROADCAST_MAX else off
+    return (local.join(side, ["_pid", *keys])
             .select(*keys, "value", "cnt", (F.col("_lc") + F.col("_off")).alias("n_le"), "n"))
 
 
@@ -222,7 +226,9 @@ def box_stats(counts_log: DataFrame, dim: DataFrame, keys=("dimension", "grp"),
     and outlier count against the fences (the per-group stats table has one
     row per group and is broadcast).
     """
-    counts_log = materialize(counts_log)
+    # only the groups of the (bounded) dimension take part, so the per-group
+    # fence table broadcast below has at most one row per dimension row
+    counts_log = materialize(counts_log.join(F.broadcast(dim.select(*keys)), list(keys), "left_semi"))
     mean = counts_log.groupBy(*keys).agg(
         (F.sum(F.col("value") * F.col("cnt")) / F.sum("cnt")).alias("mean"))
     q = (group_quantiles(counts_log, keys, [0.25, 0.5, 0.75], limit).join(mean, list(keys))

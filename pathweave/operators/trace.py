@@ -87,7 +87,8 @@ def _hot_cases(log: DataFrame, case_col: str, policy: SkewPolicy):
     return materialize(hot, "hot-cases"), n_hot
 
 
-def _boundaries(log: DataFrame, hot: DataFrame, case_col: str, order, policy: SkewPolicy):
+def _boundaries(log: DataFrame, hot: DataFrame, case_col: str, order, policy: SkewPolicy,
+                n_hot: int | None = None):
     """Per hot case, ``_p - 1`` sorted boundary keys from a bounded sample (written once).
 
     The sample keeps about ``samples_per_segment`` keys per segment (at most
@@ -98,7 +99,9 @@ def _boundaries(log: DataFrame, hot: DataFrame, case_col: str, order, policy: Sk
     from pathweave.operators.stats import materialize
     key = F.struct(*[F.col(c) for c in order]).alias("_k")
     frac = F.col("_p") * F.lit(policy.samples_per_segment) / F.col("_n")
-    sample = (log.join(F.broadcast(hot), case_col)
+    # the hot-case table has one row per hot case; broadcast it when that count is within bound
+    hot_side = F.broadcast(hot) if n_hot is not None and n_hot <= policy.broadcast_max_rows else hot
+    sample = (log.join(hot_side, case_col)
               .filter(F.rand(policy.seed) < frac)
               .select(case_col, "_p", key))
     arr = sample.groupBy(case_col, "_p").agg(F.array_sort(F.collect_list("_k")).alias("_s"))
@@ -137,7 +140,7 @@ def with_successor(log: DataFrame, lead_cols: dict | None = None, case_col: str
         w = trace_window(case_col, order=order)
         return log.select("*", *[F.lead(src).over(w).alias(out) for out, src in lead_cols.items()])
 
-    bounds = _boundaries(log, hot, case_col, order, policy)
+    bounds = _boundaries(log, hot, case_col, order, policy, n_hot)
     st = bounds.agg(F.sum(F.size("_b")).alias("n"), F.max(F.size("_b")).alias("m")).first()
     n_keys, longest = st["n"] or 0, st["m"] or 0
     side = F.broadcast(bounds) if n_keys <= policy.broadcast_max_rows else bounds
