@@ -33,6 +33,18 @@ class Discovery:
     ecdf: DataFrame
 
 
+def write_reports(d: Discovery, out_dir: str, mode: str = "overwrite") -> dict:
+    """Persist a discovery: the transition report as CSV (reference text format) and
+    the graph and statistics tables as Parquet.  Returns {name: path}."""
+    from pathweave.sources.eventlog import write_transitions
+    out = {"waiting_transitions": write_transitions(d.transitions, f"{out_dir}/waiting_transitions", mode)}
+    for name in ("edges", "starts", "ends", "performance", "wait_summary", "box_stats", "ecdf"):
+        path = f"{out_dir}/{name}"
+        getattr(d, name).write.mode(mode).parquet(path)
+        out[name] = path
+    return out
+
+
 def discover_from_file(spark, path: str, fmt: str = "csv", **kw) -> Discovery:
     """Discovery over a processed log file; timestamps are parsed strictly (bad text fails)."""
     from pathweave.sources.eventlog import read_log

@@ -54,3 +54,16 @@ def test_ingest_keeps_first_cases_in_file_order(spark, tmp_path):
                    "y;2011-01-01 00:00:00+00:00;2011-01-01 01:00:00+00:00;a\n"
                    "x;2011-02-01 00:00:00+00:00;2011-02-01 01:00:00+00:00;a\n")
     assert {r["case_id"] for r in ingest_log(spark, str(raw), n_cases=2).collect()} == {"z", "y"}
+
+
+def test_write_reports(spark, tmp_path):
+    from pathweave.plans.discovery import write_reports
+    raw = tmp_path / "raw.csv"
+    raw.write_text(RAW)
+    out = ingest_and_write(spark, str(raw), str(tmp_path / "log"), fmt="csv", n_cases=None)
+    paths = write_reports(discover_from_file(spark, out), str(tmp_path / "reports"))
+    assert set(paths) == {"waiting_transitions", "edges", "starts", "ends", "performance",
+                          "wait_summary", "box_stats", "ecdf"}
+    assert spark.read.parquet(paths["wait_summary"]).count() == 7
+    rep = spark.read.option("header", True).csv(paths["waiting_transitions"])
+    assert "case:concept:name" in rep.columns and rep.count() == 3  # e1: 2, e2: 1, e3: none
