@@ -128,13 +128,43 @@ def _search(bounds: Column, key: Column, steps: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)["lo"]
 
 
+# Activity dictionaries up to this many entries are broadcast (encode_activities=True).
+ENCODE_MAX_ACTIVITIES = 1_000_000
+
+
+def _encoded(log: DataFrame, col: str):
+    """(log with ``col`` replaced by an int code, dictionary) or (None, None) if too many values."""
+    from pathweave.operators.stats import materialize
+    acts = log.select(col).where(F.col(col).isNotNull()).distinct()
+    if acts.count() > ENCODE_MAX_ACTIVITIES:
+        return None, None
+    # bounded (checked above): one ordered pass assigns stable codes; written once
+    dic = materialize(acts.select(col, F.row_number().over(Window.orderBy(col)).cast("int").alias("_code")),
+                      "activity-codes")
+    enc = (log.join(F.broadcast(dic), col, "left").drop(col).withColumnRenamed("_code", col))
+    return enc, dic
+
+
 def with_successor(log: DataFrame, lead_cols: dict | None = None, case_col: str = "case_id",
-                   order=ORDER, policy: SkewPolicy | None = DEFAULT_SKEW) -> DataFrame:
+                   order=ORDER, policy: SkewPolicy | None = DEFAULT_SKEW,
+                   encode_activities: bool = False) -> DataFrame:
     """Add successor columns: ``{out_name: source_col}`` (default next_start, next_activity).
 
-    ``policy=None`` forces the plain single-window plan.
+    ``policy=None`` forces the plain single-window plan.  With
+    ``encode_activities`` the activity text is replaced by an integer code
+    (count-checked broadcast dictionary) before the case shuffle and decoded
+    after the window, so the shuffle carries 4 bytes instead of the text.
     """
     lead_cols = lead_cols or {"next_start": "start_ts", "next_activity": "activity"}
+    if encode_activities and "activity" in log.columns:
+        enc, dic = _encoded(log, "activity")
+        if enc is not None:
+            out = with_successor(enc.select(*log.columns), lead_cols, case_col, order, policy, False)
+            names = dic.select(F.col("_code").alias("_c"), F.col("activity").alias("_name"))
+            for c in ["activity"] + [o for o, src in lead_cols.items() if src == "activity"]:
+                out = (out.join(F.broadcast(names), out[c] == F.col("_c"), "left")
+                       .drop(c, "_c").withColumnRenamed("_name", c))
+            return out.select(*log.columns, *lead_cols)
     hot, n_hot = (None, 0) if policy is None else _hot_cases(log, case_col, policy)
     if n_hot == 0:
         w = trace_window(case_col, order=order)
@@ -174,14 +204,14 @@ def case_endpoints(log: DataFrame, case_col: str = "case_id", order=ORDER, activ
 
 
 def transitions(log: DataFrame, region: str | None = "MA", policy: SkewPolicy | None = DEFAULT_SKEW,
-                extra_labels: bool = False) -> DataFrame:
+                extra_labels: bool = False, encode_activities: bool = False) -> DataFrame:
     """One row per (event, its successor) within a case.
 
     raw_gap_min = next_start - end (may be negative for overlapping events),
     waiting_min = raw gap clipped at 0; both rounded to 2 decimals like numpy.
     Calendar labels are computed from the start of the current event.
     """
-    x = with_successor(log, policy=policy)
+    x = with_successor(log, policy=policy, encode_activities=encode_activities)
     t = (x.select("*", round2(minutes_between(F.col("end_ts"), F.col("next_start"))).alias("raw_gap_min"))
          .filter(F.col("next_activity").isNotNull() & F.col("raw_gap_min").isNotNull()))
     # Holiday flag in its own projection; the day type then reads the column (computed once per row).

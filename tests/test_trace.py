@@ -182,3 +182,17 @@ def test_hot_case_with_one_timestamp_is_split(spark):
     plain = sorted(tuple(r) for r in T.with_successor(tied, policy=None).select(*cols).collect())
     split = sorted(tuple(r) for r in T.with_successor(tied, policy=pol).select(*cols).collect())
     assert plain == split
+
+
+def test_encoded_activities_same_result(spark):
+    log = events_as_log(spark, SF_SMALL)
+    log = log.withColumn("activity", F.when(F.col("event_id") % 11 == 0, F.lit(None)).otherwise(F.col("activity")))
+    cols = ["case_id", "activity", "event_id", "next_start", "next_activity"]
+    for pol in (None, SkewPolicy(hot_case_rows=20, segment_rows=7)):
+        a = sorted((tuple(r) for r in with_successor(log, policy=pol).select(*cols).collect()), key=repr)
+        b = sorted((tuple(r) for r in with_successor(log, policy=pol, encode_activities=True)
+                    .select(*cols).collect()), key=repr)
+        assert a == b and len(a) == log.count()
+    t1 = sorted((tuple(r) for r in transitions(log).collect()), key=repr)
+    t2 = sorted((tuple(r) for r in transitions(log, encode_activities=True).collect()), key=repr)
+    assert t1 == t2
