@@ -82,3 +82,18 @@ def test_streaming_restart_is_exactly_once(spark, tmp_path):
     df = spark.read.parquet(out)
     assert df.count() == 6 and df.select("event_id").distinct().count() == 6
     assert sorted(r["case_id"] for r in df.select("case_id").distinct().collect()) == ["e1", "e2", "e3"]
+
+
+def test_write_log_files_are_sorted_and_range_split(spark, tmp_path):
+    from pyspark.sql import functions as F
+    log = events_as_log(spark, SF_SMALL)
+    path = write_log(log, str(tmp_path / "log"), n_files=4)
+    df = spark.read.parquet(path).withColumn("_f", F.input_file_name())
+    keys = ["case_id", "start_ts", "end_ts", "event_id"]
+    ranges = []
+    for f in [r["_f"] for r in df.select("_f").distinct().collect()]:
+        rows = [tuple(r) for r in spark.read.parquet(f).select(*keys).collect()]
+        assert rows == sorted(rows)               # each file sorted by the trace order
+        ranges.append((rows[0], rows[-1]))
+    ranges.sort()
+    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))   # files hold disjoint key ranges
