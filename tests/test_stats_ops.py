@@ -141,3 +141,20 @@ def test_distributed_quantiles_small_and_empty(spark):
     empty = vc.filter("value > 100")
     e = stats.group_quantiles(empty, (), [0.5], limit=0).first()
     assert e is None or e["_q"] is None
+
+
+def test_kpi_cube_equals_each_filter(spark):
+    sv = ops.service_view(events_as_log(spark, SF)).cache()
+    cube = {(r["time_filter"], r["week_filter"], r["day_type_filter"]): r for r in ops.kpi_cube(sv).collect()}
+    weeks = [r["year_week"] for r in ops.weeks(sv).collect()]
+    for tod in (ops.TOD_ALL, ops.TOD_DAY, ops.TOD_NIGHT):
+        for wk in [ops.WEEK_ALL] + weeks[:2]:
+            for dtp in (ops.DAYTYPE_ALL, "Weekday", "Weekend", "Holiday"):
+                k = ops.kpis(ops.filter_view(sv, tod, wk, dtp)).first()
+                c = cube.get((tod, wk, dtp))
+                if k["n_patients"] == 0:
+                    assert c is None
+                    continue
+                assert c["n_patients"] == k["n_patients"]
+                assert abs(c["avg_wait_min"] - k["avg_wait_min"]) < 1e-9 * max(1.0, abs(k["avg_wait_min"]))
+    sv.unpersist()
