@@ -158,3 +158,27 @@ def test_kpi_cube_equals_each_filter(spark):
                 assert c["n_patients"] == k["n_patients"]
                 assert abs(c["avg_wait_min"] - k["avg_wait_min"]) < 1e-9 * max(1.0, abs(k["avg_wait_min"]))
     sv.unpersist()
+
+
+def test_describe_and_ecdf_match_pandas(spark):
+    from conftest import SF_SMALL
+    from pathweave.functions.timefns import minutes_between
+    from pathweave.operators.trace import transitions
+    log = events_as_log(spark, SF_SMALL)
+    dur = log.select(minutes_between("start_ts", "end_ts").alias("d"))
+    pdv = dur.toPandas()["d"]
+    d = stats.describe(dur, "d").first()
+    ref = pdv.describe()
+    for ours, theirs in [("count", "count"), ("mean", "mean"), ("std", "std"), ("min", "min"),
+                         ("p25", "25%"), ("p50", "50%"), ("p75", "75%"), ("max", "max")]:
+        assert abs(d[ours] - ref[theirs]) <= 1e-9 * max(1.0, abs(ref[theirs])), ours
+    long = stats.wait_groups_long(transitions(log))
+    e = stats.ecdf(stats.value_counts(long)).toPandas()
+    lp = long.toPandas()
+    lp = lp[lp["value"] > 0]
+    for (dim, grp), g in lp.groupby(["dimension", "grp"]):
+        v = g["value"].sort_values().to_numpy()
+        mine = e[(e["dimension"] == dim) & (e["grp"] == grp)].sort_values("value")
+        exp_y = [np.searchsorted(v, x, side="right") / len(v) for x in mine["value"]]
+        assert np.allclose(mine["y"].to_numpy(), exp_y)
+        assert len(mine) == len(np.unique(v))
