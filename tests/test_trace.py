@@ -196,3 +196,11 @@ def test_encoded_activities_same_result(spark):
     t1 = sorted((tuple(r) for r in transitions(log).collect()), key=repr)
     t2 = sorted((tuple(r) for r in transitions(log, encode_activities=True).collect()), key=repr)
     assert t1 == t2
+
+
+def test_holiday_on_a_weekend_is_a_holiday(spark):
+    # 2011-01-01 is a Saturday and New Year's Day: holiday wins over weekend
+    log = _log(spark, [("c", "a", "2011-01-01 09:00:00", "2011-01-01 09:10:00"),
+                       ("c", "b", "2011-01-01 10:00:00", "2011-01-01 10:10:00")])
+    r = transitions(log).first()
+    assert r["is_weekend"] and r["is_holiday"] and r["day_type"] == "holiday"
