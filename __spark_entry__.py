@@ -302,8 +302,22 @@ def entry(spark: SparkSession) -> DataFrame:
     return q_transitions(spark, SMOKE_DIR)
 
 
+def _corpus() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
+    """Queries and oracles of the corpus operators and their pipeline, if they are installed."""
+    try:
+        import corpus_pipeline
+        from pathweave.llm import queries as corpus
+    except ModuleNotFoundError as e:
+        if e.name not in ("corpus_pipeline", "pathweave.llm"):
+            raise
+        return {}, {}
+    runs = {**corpus.queries(), "pipeline": corpus_pipeline.run}
+    sql = {**corpus.oracle_sql(), **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}
+    return runs, sql
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return {**QUERIES, **_corpus()[0]}
 
 
 # ------------------------------------------------------------ oracle SQL
@@ -485,6 +499,10 @@ FROM l"""
 
 
 def oracle_sql() -> dict[str, str]:
+    return {**_log_oracles(), **_corpus()[1]}
+
+
+def _log_oracles() -> dict[str, str]:
     q = {}
     q["q_load_log"] = f"WITH {LOG} SELECT * FROM log"
     q["q_clean_log"] = f"""
