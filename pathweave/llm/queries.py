@@ -4,13 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathweave.llm import decontaminate, quality_rules, sharding
+from pathweave.llm import bpe_codec, decontaminate, quality_rules, sharding, token_counts
 from pathweave.llm.common import read_table
 
 
+def op2_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    counts = token_counts.token_counts(read_table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+def op3_bpe_codec(spark: SparkSession, d: str) -> DataFrame:
+    return bpe_codec.encode_documents(read_table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op4_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return quality_rules.quality_verdicts(read_table(spark, d, "documents"))
 
