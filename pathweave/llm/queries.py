@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathweave.llm import bpe_codec, decontaminate, quality_rules, sharding, token_counts
+from pathweave.llm import bpe_codec, crf_quality, decontaminate, quality_rules, sharding, token_counts
 from pathweave.llm.common import read_table
 
 
@@ -38,6 +38,10 @@ def op9_decontaminate(spark: SparkSession, d: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op10_quality_crf(spark: SparkSession, d: str) -> DataFrame:
+    return crf_quality.quality_scores(read_table(spark, d, "documents"), read_table(spark, d, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
 
