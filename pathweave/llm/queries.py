@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathweave.llm import bpe_codec, crf_quality, decontaminate, quality_rules, sharding, token_counts
+from pathweave.llm import bpe_codec, crf_quality, decontaminate, quality_rules, sharding, token_counts, warc
 from pathweave.llm.common import read_table
 
 
@@ -25,6 +25,11 @@ def op4_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return quality_rules.quality_verdicts(read_table(spark, d, "documents"))
 
 
+def op5_warc(spark: SparkSession, d: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, d, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_sharding(spark: SparkSession, d: str) -> DataFrame:
     shards = sharding.assign_shards(read_table(spark, d, "documents"), 8)
     return shards.select("doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot",
