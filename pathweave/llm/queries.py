@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathweave.llm import bpe_codec, crf_quality, decontaminate, quality_rules, sharding, token_counts, warc
+from pathweave.llm import bpe_codec, crf_quality, decontaminate, license_scan, quality_rules, sharding, substring_dedup, token_counts, warc
 from pathweave.llm.common import read_table
 
 
+def op1_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return substring_dedup.repeated_runs(read_table(spark, d, "documents")).drop("sig")
+
+
 def op2_token_counts(spark: SparkSession, d: str) -> DataFrame:
     counts = token_counts.token_counts(read_table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
@@ -30,6 +34,10 @@ def op5_warc(spark: SparkSession, d: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_license_scan(spark: SparkSession, d: str) -> DataFrame:
+    return license_scan.license_labels(read_table(spark, d, "documents"))
+
+
 def op8_sharding(spark: SparkSession, d: str) -> DataFrame:
     shards = sharding.assign_shards(read_table(spark, d, "documents"), 8)
     return shards.select("doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot",
@@ -51,5 +59,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
 
 
+_WORDS = r"[^\x20\x09-\x0D]+"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SUBSTRING_DEDUP = f"""
+WITH split AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no
+  FROM documents WHERE text IS NOT NULL),
+placed AS (
+  SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no) - length(line) - 1 AS start,
+         regexp_extract_all({_LOWER.format('line')}, '{_WORDS}') AS words
+  FROM split),
+units AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS line, start, start + length(line) AS stop,
+         len(words) AS n_words, array_to_string(words, ' ') AS unit
+  FROM placed WHERE len(words) > 0),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY unit ORDER BY doc_id, line) AS rank,
+         first_value(doc_id) OVER (PARTITION BY unit ORDER BY doc_id, line) AS first_doc_id
+  FROM units),
+later AS (
+  SELECT *, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS island FROM ranked WHERE rank > 1)
+SELECT doc_id, CAST(min(start) AS BIGINT) AS start, CAST(max(stop) AS BIGINT) AS stop, count(*) AS n_lines,
+       CAST(sum(n_words) AS BIGINT) AS n_words, arg_max(first_doc_id, n_words * 1000000000 - line) AS first_doc_id
+FROM later GROUP BY doc_id, island HAVING sum(n_words) >= {substring_dedup.MIN_RUN_WORDS}"""
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_substring_dedup": SUBSTRING_DEDUP}

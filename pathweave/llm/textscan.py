@@ -123,3 +123,46 @@ def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
             i, total = j + 1, 0
     if i < len(texts):
         yield i, len(texts)
+
+
+class Lines:
+    """The lines that have a word, of several texts: offsets in characters, word counts and two hashes."""
+
+    def __init__(self, texts: list[bytes]):
+        words = Words(texts, SPACED)
+        buf = np.frombuffer(words.joined, np.uint8)
+        breaks = np.flatnonzero(buf == 10)
+        starts, ends = np.append(0, breaks + 1), np.append(breaks, len(buf))
+        n = np.bincount(np.searchsorted(breaks, words.abs_starts), minlength=len(starts))
+        kept = np.flatnonzero(n)
+        chars = np.zeros(len(buf) + 1, np.int64)
+        np.cumsum((buf & 0xC0) != 0x80, out=chars[1:])
+        self.doc = np.searchsorted(words.base, starts[kept], "right") - 1
+        begin = chars[words.base[self.doc]]
+        self.starts, self.ends = chars[starts[kept]] - begin, chars[ends[kept]] - begin
+        self.n_words = n[kept]
+        # Position of the line among the lines with a word of its text, from 0.
+        first = np.searchsorted(self.doc, np.arange(len(texts)))
+        self.number = np.arange(len(kept)) - first[self.doc]
+        last_word = np.cumsum(self.n_words)
+        self.hash1 = _sequences(words.hash, last_word - self.n_words, last_word)
+        self.hash2 = _sequences(mix(words.hash + U(_R)), last_word - self.n_words, last_word)
+
+
+def _sequences(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of the word sequences ``h[first:last]``, which follow one another."""
+    out = np.empty(len(first), U)
+    i = 0
+    while i < len(first):
+        j = max(i + 1, int(np.searchsorted(last, first[i] + SEGMENT, "right")))
+        a, b = int(first[i]), int(last[j - 1])
+        size = SEGMENT
+        while size < b - a:
+            size *= 2
+        up, down = _powers(size + 1)
+        sums = np.zeros(b - a + 1, U)
+        np.cumsum(h[a:b] * up[:b - a], out=sums[1:])
+        s, e = first[i:j] - a, last[i:j] - a
+        out[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(U))
+        i = j
+    return out
