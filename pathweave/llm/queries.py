@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathweave.llm import bpe_codec, crf_quality, decontaminate, license_scan, quality_rules, sharding, substring_dedup, token_counts, warc
+from pathweave.llm import bpe_codec, crf_quality, decontaminate, license_scan, ngram_join, quality_rules, sharding, substring_dedup, token_counts, warc
 from pathweave.llm.common import read_table
 
 
@@ -38,6 +38,10 @@ def op6_license_scan(spark: SparkSession, d: str) -> DataFrame:
     return license_scan.license_labels(read_table(spark, d, "documents"))
 
 
+def op7_ngram_join(spark: SparkSession, d: str) -> DataFrame:
+    return ngram_join.near_duplicates(read_table(spark, d, "documents"))
+
+
 def op8_sharding(spark: SparkSession, d: str) -> DataFrame:
     shards = sharding.assign_shards(read_table(spark, d, "documents"), 8)
     return shards.select("doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot",
