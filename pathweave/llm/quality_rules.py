@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pathweave.functions.timefns import let
 from pathweave.llm.common import Carried, pick, shared_table
 
 WINDOW = 5
@@ -38,60 +39,65 @@ _SPACES = " \t\n\x0b\x0c\r"
 _WORD = r"[^\x20\x09-\x0D]"
 
 
-def measures(text: Column) -> dict[str, Column]:
-    """Intermediate columns, in the order in which they build on one another."""
-    c = F.col
-    pieces = F.when(c("body") == "", F.array().cast("array<string>")).otherwise(F.split("body", r"[\x20\x09-\x0D]+"))
-    window = F.transform(
-        F.sequence(F.lit(0), F.size("words") - WINDOW),
-        lambda i: F.xxhash64(*[F.get(c("codes"), i + j) for j in range(WINDOW)]))
-    placed = F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-    in_order = c("placed")
-    repeated = F.filter(in_order, lambda e, i: (e["h"] == F.get(in_order, i - 1)["h"])
-                        | (e["h"] == F.get(in_order, i + 1)["h"]))
-    starts = c("starts")
-    covered = F.aggregate(
-        F.transform(starts, lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get(starts, i + 1) - p, F.lit(WINDOW)))),
-        F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return {
-        "body": F.trim(text, F.lit(_SPACES)),
-        "words": pieces,
-        "codes": F.transform("words", lambda w: F.xxhash64(w)),
-        "windows": F.when(F.size("words") >= WINDOW, window).otherwise(F.array().cast("array<bigint>")),
-        "placed": F.when(F.size(F.array_distinct("windows")) < F.size("windows"), F.sort_array(placed)),
-        "starts": F.when(c("placed").isNotNull(), F.sort_array(F.transform(repeated, lambda e: e["i"]))),
-        "n_repeat_words": F.coalesce(F.when(c("starts").isNotNull(), covered), F.lit(0).cast("bigint")),
-        "lines": F.filter(F.split(text, "\n"), lambda x: x.rlike(_WORD)),
-    }
-
-
-def with_measures(df: DataFrame) -> DataFrame:
-    """``df`` has a column ``text`` without nulls; the measures are added, nothing is shuffled."""
-    work = measures(F.col("text"))
-    for name, col in work.items():
-        df = df.withColumn(name, col)
-    df = df.withColumns({
-        "n_words": F.size("words").cast("bigint"),
-        "word_chars": F.length(F.regexp_replace("body", r"[\x20\x09-\x0D]+", "")).cast("bigint"),
-        "n_symbols": F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("bigint"),
-        "n_lines": F.size("lines").cast("bigint"),
-        "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint"),
-    })
-    return df.drop("text", *[x for x in work if x != "n_repeat_words"])
+def measures(text: Column) -> Column:
+    """One expression for all measures of a text (a struct); every intermediate value is bound once.
+
+    A filter on it may be pushed to the scan without computing anything twice.
+    """
+    no_numbers = F.array().cast("array<bigint>")
+
+    def repeated_words(windows: Column) -> Column:
+        placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return let(placed, lambda p: let(
+            F.sort_array(F.transform(F.filter(p, lambda e, i: (e["h"] == F.get(p, i - 1)["h"]) | (e["h"] == F.get(p, i + 1)["h"])),
+                                     lambda e: e["i"])),
+            # Each window of five counts up to the start of the next repeated window.
+            lambda starts: F.aggregate(
+                F.transform(starts, lambda at, i: F.least(F.lit(WINDOW), F.coalesce(F.get(starts, i + 1) - at, F.lit(WINDOW)))),
+                F.lit(0).cast("bigint"), lambda a, x: a + x)))
+
+    def windows_of(words: Column) -> Column:
+        return let(F.transform(words, lambda w: F.xxhash64(w)), lambda codes: F.when(
+            F.size(codes) >= WINDOW,
+            F.transform(F.sequence(F.lit(0), F.size(codes) - WINDOW),
+                        lambda i: F.xxhash64(*[F.get(codes, i + j) for j in range(WINDOW)]))).otherwise(no_numbers))
+
+    def lines_of(t: Column) -> Column:
+        return F.filter(F.split(t, "\n"), lambda x: x.rlike(_WORD))
+
+    def struct(t: Column, body: Column, words: Column) -> Column:
+        return let(windows_of(words), lambda windows: let(lines_of(t), lambda lines: F.struct(
+            F.size(words).cast("bigint").alias("n_words"),
+            F.length(F.regexp_replace(body, r"[\x20\x09-\x0D]+", "")).cast("bigint").alias("word_chars"),
+            F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
+            F.size(lines).cast("bigint").alias("n_lines"),
+            (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint").alias("n_dup_lines"),
+            F.when(F.size(F.array_distinct(windows)) < F.size(windows), repeated_words(windows))
+            .otherwise(F.lit(0).cast("bigint")).alias("n_repeat_words"))))
+
+    return let(F.coalesce(text, F.lit("")), lambda t: let(F.trim(t, F.lit(_SPACES)), lambda body: let(
+        F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, r"[\x20\x09-\x0D]+")),
+        lambda words: struct(t, body, words))))
 
 
 def document_measures(docs: DataFrame) -> DataFrame:
-    """doc_id, host and the measures of every row."""
-    return with_measures(pick(docs, doc_id="bigint", text="string", source="string").select(
-        "doc_id", F.col("source").alias("host"), F.coalesce("text", F.lit("")).alias("text")))
+    """doc_id, host and the measures of every row; nothing is shuffled."""
+    df = pick(docs, doc_id="bigint", text="string", source="string")
+    return df.select("doc_id", F.col("source").alias("host"), measures(F.col("text")).alias("m")).select("doc_id", "host", "m.*")
+
+
+def base_failed(m: Column) -> Column:
+    return (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
+
+
+def rule_failed(m: Column) -> Column:
+    return (base_failed(m) | (100 * m["n_symbols"] > MAX_SYMBOL_PERCENT * m["n_words"])
+            | (100 * m["n_dup_lines"] > MAX_DUP_LINE_PERCENT * m["n_lines"]))
 
 
 def with_document_rules(measured: DataFrame) -> DataFrame:
-    c = F.col
-    base = (c("n_words") < MIN_WORDS) | (100 * c("n_repeat_words") > MAX_REPEAT_PERCENT * c("n_words"))
-    own = ((100 * c("n_symbols") > MAX_SYMBOL_PERCENT * c("n_words"))
-           | (100 * c("n_dup_lines") > MAX_DUP_LINE_PERCENT * c("n_lines")))
-    return measured.withColumn("base_failed", base).withColumn("rule_failed", base | own)
+    m = F.struct("n_words", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+    return measured.withColumn("base_failed", base_failed(m)).withColumn("rule_failed", rule_failed(m))
 
 
 def host_verdicts(judged: DataFrame) -> DataFrame:
@@ -132,7 +138,5 @@ def keep_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     hosts = host_verdicts(with_document_rules(shared_table(document_measures(docs), "measures")))
     bad = shared_table(hosts.filter(~F.col("host_ok")).select(F.col("host").alias("_host")), "bad-hosts")
     rows = Carried(docs)
-    judged = with_document_rules(with_measures(
-        rows.frame.withColumn("text", F.coalesce(rows.col("text"), F.lit("")))))
-    good = judged.filter(~F.col("rule_failed"))
+    good = rows.frame.filter(~let(measures(rows.col("text").cast("string")), rule_failed))
     return rows.back(good.join(bad, rows.col("source").eqNullSafe(F.col("_host")), "left_anti"))
