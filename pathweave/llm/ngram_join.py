@@ -7,8 +7,8 @@ column for each n-gram.  Two rows link when their Jaccard similarity reaches the
   over all texts.  Any order is right; this one keeps the products small.  Rows that link
   share a column among the first ``n - ceil(limit * n) + 1`` of each, so only these enter.
 * Columns of up to ``DENSE`` rows are multiplied out; the overlap counts of a pair are added
-  up and the pair is dropped if its count, plus what can still follow the last common
-  column, stays below the overlap that its two sizes demand.
+  up and the pair is dropped if its count, plus the columns of the row that ends first
+  that have not entered, stays below the overlap that the two sizes demand.
 * Columns with more rows are dense blocks.  Each row is first compared with one row of its
   block (its hub).  Rows that link to the hub need no comparison among one another, for
   they are in one component.  All others are compared with all in products of ``BLOCK`` x
@@ -101,25 +101,30 @@ def _levels(texts: DataFrame, n: int) -> np.ndarray:
     return levels
 
 
-def _fingerprint(s: np.ndarray) -> tuple[int, int]:
+def _fingerprint(s: np.ndarray, seed: int) -> tuple[int, int]:
+    """Two independent fingerprints of a set; the first names its row of the matrix."""
     if not len(s):
         return 0, 0
-    sums = np.array([np.add.reduce(mix(s)), np.add.reduce(mix(s ^ U(0xA5A5A5A5A5A5A5A5)))], U)
+    sums = np.array([np.add.reduce(mix(s ^ U(seed))), np.add.reduce(mix(s ^ U(0xA5A5A5A5A5A5A5A5)))], U)
     a, b = mix(sums + U(len(s))).view(np.int64).tolist()
     return a, b
 
 
-def _describe(levels, n: int, percent: int):
-    """Texts -> size and fingerprints of their sets, and the columns that enter the product."""
+def _describe(levels, n: int, percent: int, seed: int):
+    """Texts -> size and fingerprints of their sets, and, once for each task, the columns that enter the product."""
     def scan(batches):
         import pyarrow as pa
 
+        sent: set[int] = set()
         for batch in batches:
             texts = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
             for lo, hi in chunks(texts):
                 sets = gram_sets(texts[lo:hi], n, levels.value)
-                prints = [_fingerprint(s) for s in sets]
-                heads = [s[:prefix_size(len(s), percent)] if len(s) else s for s in sets]
+                prints = [_fingerprint(s, seed) for s in sets]
+                heads = []
+                for s, (f1, _) in zip(sets, prints, strict=True):
+                    heads.append(s[:prefix_size(len(s), percent)] if len(s) and f1 not in sent else s[:0])
+                    sent.add(f1)
                 offsets = np.cumsum([0, *map(len, heads)])
                 keys = np.concatenate(heads).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
@@ -130,7 +135,7 @@ def _describe(levels, n: int, percent: int):
     return scan
 
 
-def _fetch(levels, wanted, n: int):
+def _fetch(levels, wanted, n: int, seed: int):
     """Texts -> sets of those whose fingerprint is in the bitmap, once for each task."""
     def scan(batches):
         import pyarrow as pa
@@ -141,23 +146,23 @@ def _fetch(levels, wanted, n: int):
             for lo, hi in chunks(texts):
                 found = []
                 for s in gram_sets(texts[lo:hi], n, levels.value):
-                    f1, f2 = _fingerprint(s)
+                    f1, _ = _fingerprint(s, seed)
                     at = (f1 & ((1 << 64) - 1)) >> (64 - FILTER_BITS)
-                    if len(s) and bits[at >> 3] >> (at & 7) & 1 and (f1, f2) not in sent:
-                        sent.add((f1, f2))
-                        found.append((f1, f2, s.view(np.int64)))
+                    if len(s) and bits[at >> 3] >> (at & 7) & 1 and f1 not in sent:
+                        sent.add(f1)
+                        found.append((f1, s.view(np.int64)))
                 for i in range(0, len(found), 500):
-                    f1, f2, sets = zip(*found[i:i + 500], strict=True)
+                    f1, sets = zip(*found[i:i + 500], strict=True)
                     offsets = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets)))],
-                        names=["f1", "f2", "grams"])
+                        [pa.array(f1, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets)))],
+                        names=["node", "grams"])
     return scan
 
 
 def _bitmap(nodes: DataFrame) -> bytes:
     """The fingerprints of ``nodes`` as a bitmap: 2**(FILTER_BITS - 6) words at most, however many nodes there are."""
-    at = F.shiftrightunsigned("f1", 64 - FILTER_BITS)
+    at = F.shiftrightunsigned("node", 64 - FILTER_BITS)
     words = nodes.select(at.alias("at")).select(
         F.shiftright("at", 5).alias("w"), F.expr("shiftleft(1L, CAST(at & 31 AS INT))").alias("b"))
     bits = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
@@ -226,38 +231,42 @@ def link_rows(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     spark = docs.sparkSession
     texts = pick(docs, doc_id="bigint", text="string").select("doc_id", F.xxhash64("text").alias("sig"), "text")
     levels = spark.sparkContext.broadcast(_levels(texts, n))
-    described = shared_table(map_arrow(texts, _describe(levels, n, percent),
-                                       "doc_id bigint, sig bigint, n bigint, f1 bigint, f2 bigint, head array<bigint>"), "sets")
-
-    # Rows of the matrix: one for each different set.
-    nodes = described.filter("n > 0").groupBy("f1", "f2", "n").agg(
-        F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("head").alias("head"))
-    nodes = shared_table(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-
-    # Columns with two rows or more, and their entries.
-    entries = nodes.select("node", "n", F.posexplode("head").alias("at", "gram"))
-    columns = shared_table(entries.groupBy("gram").agg(F.count(F.lit(1)).alias("rows"), F.min("node").alias("hub"))
-                           .filter("rows > 1"), "columns")
+    for seed in range(8):
+        described = shared_table(map_arrow(texts, _describe(levels, n, percent, seed),
+                                           "doc_id bigint, sig bigint, n bigint, f1 bigint, f2 bigint, head array<bigint>"), "sets")
+        # Rows of the matrix, one for each different set; should two sets share a fingerprint, another seed parts them.
+        nodes = shared_table(described.filter("n > 0").groupBy(F.col("f1").alias("node")).agg(
+            F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.min("f2").alias("f2"), F.max("f2").alias("g2")), "nodes")
+        if nodes.filter("f2 != g2").isEmpty():
+            break
+
+    # Columns with two rows or more, and their entries. (Tasks that hold copies of a row repeat its entries.)
+    entries = described.select(F.col("f1").alias("node"), "n", F.explode("head").alias("gram"))
+    columns = shared_table(entries.groupBy("gram").agg(F.count(F.lit(1)).alias("rows"), F.min("node").alias("hub"), F.max("node").alias("far"))
+                           .filter("hub != far").drop("far"), "columns")
     entries = shared_table(entries.join(columns, "gram"), "entries")
 
     # Sparse columns: multiply out, add up, drop below the bound.
-    thin = entries.filter(F.col("rows") <= DENSE).groupBy("gram").agg(F.collect_list(F.struct("node", "n", "at")).alias("r"))
+    thin = entries.filter(F.col("rows") <= DENSE).groupBy("gram").agg(F.collect_set(F.struct("node", "n")).alias("r"))
     r = F.col("r")
 
     def fits(x, y):
         return (x["node"] < y["node"]) & (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"]))
 
     pairs = F.flatten(F.transform(r, lambda x: F.transform(F.filter(r, lambda y: fits(x, y)), lambda y: F.struct(
-        x["node"].alias("a"), y["node"].alias("b"), x["n"].alias("na"), y["n"].alias("nb"), x["at"].alias("ia"), y["at"].alias("ib")))))
-    counted = thin.select(F.explode(pairs).alias("p")).select("p.*").groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("overlap"), F.max("na").alias("na"), F.max("nb").alias("nb"),
-        F.max("ia").alias("ia"), F.max("ib").alias("ib"))
+        x["node"].alias("a"), y["node"].alias("b"), x["n"].alias("na"), y["n"].alias("nb")))))
+    counted = thin.select(F.explode(pairs).alias("p")).select("p.*").groupBy("a", "b", "na", "nb").agg(
+        F.count(F.lit(1)).alias("overlap"))
     thick = entries.filter(F.col("rows") > DENSE)
-    in_blocks = shared_table(thick.groupBy("node").agg(F.count(F.lit(1)).alias("h")), "dense-counts")
-    counted = (counted.join(in_blocks.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a", "left")
-               .join(in_blocks.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b", "left"))
-    reach = (F.col("overlap") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1
-             + F.coalesce(F.least("ha", "hb") * F.sign("ha") * F.sign("hb"), F.lit(0)))
+    # Where the columns of a row end, and how many of them are dense (those are not in ``overlap``).
+    ends = described.filter(F.size("head") > 0).groupBy(F.col("f1").alias("node")).agg(F.max(F.element_at("head", -1)).alias("end"))
+    dense = thick.groupBy("node").agg(F.count(F.lit(1)).alias("h"))
+    ends = shared_table(ends.join(dense, "node", "left").select("node", "end", F.coalesce("h", F.lit(0).cast("bigint")).alias("h")), "ends")
+    counted = (counted.join(ends.select(F.col("node").alias("a"), F.col("end").alias("ea"), F.col("h").alias("ha")), "a")
+               .join(ends.select(F.col("node").alias("b"), F.col("end").alias("eb"), F.col("h").alias("hb")), "b"))
+    # All that two rows share up to the earlier end has been counted; beyond it that row has so many columns left.
+    beyond = F.ceil(F.when(F.col("ea") <= F.col("eb"), F.col("na")).otherwise(F.col("nb")) * percent / 100) - 1
+    reach = F.col("overlap") + beyond + F.least("ha", "hb")
     needed = percent * (F.col("na") + F.col("nb"))
     open_pairs = shared_table(counted.filter((100 + percent) * reach >= needed).select("a", "b"), "open-pairs")
 
@@ -265,10 +274,10 @@ def link_rows(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     members = shared_table(thick.filter("node != hub").select("hub", "node").distinct(), "members")
     wanted = (open_pairs.select(F.col("a").alias("node")).union(open_pairs.select("b"))
               .union(members.select("node")).union(members.select("hub"))).distinct()
-    wanted = shared_table(nodes.select("node", "f1", "f2", "n").join(wanted, "node", "left_semi"), "wanted")
+    wanted = shared_table(wanted, "wanted")
     bits = spark.sparkContext.broadcast(_bitmap(wanted))
-    fetched = map_arrow(texts.select("text"), _fetch(levels, bits, n), "f1 bigint, f2 bigint, grams array<bigint>")
-    sets = shared_table(fetched.join(wanted, ["f1", "f2"]).groupBy("node").agg(F.first("grams").alias("grams")), "gram-sets")
+    fetched = map_arrow(texts.select("text"), _fetch(levels, bits, n, seed), "node bigint, grams array<bigint>")
+    sets = shared_table(fetched.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("grams").alias("grams")), "gram-sets")
 
     direct = shared_table(_verified(open_pairs, sets, percent), "direct-links")
     to_hub = shared_table(_verified(members.select(F.col("hub").alias("a"), F.col("node").alias("b")), sets, percent), "hub-links")
@@ -278,14 +287,13 @@ def link_rows(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     edges = direct.union(to_hub).union(_dense_links(apart, sets, percent))
 
     found = shared_table(components(edges), "components")
-    named = nodes.select("node", "f1", "f2", "first", "copies").join(found, "node", "left").withColumn(
-        "root", F.coalesce("root", "node"))
+    named = nodes.select("node", "first", "copies").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = shared_table(named, "named")
     least = shared_table(named.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("copies").alias("docs"))
                          .filter("docs > 1"), "least-ids")
-    joined = shared_table(named.join(least, "root"), "groups").select("f1", "f2", "root", "component_id")
+    groups = shared_table(named.join(least, "root").select(F.col("node").alias("f1"), "root", "component_id"), "groups")
     # Only groups of two and more come back; any other row is its own component.
-    return described.select("doc_id", "sig", "n", "f1", "f2").join(joined, ["f1", "f2"], "left").select(
+    return described.select("doc_id", "sig", "n", "f1").join(groups, "f1", "left").select(
         "doc_id", "sig", "n", F.when(F.col("n") > 0, F.col("root")).alias("root"),
         F.when((F.col("n") > 0) & F.col("root").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
