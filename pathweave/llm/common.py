@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import gc
 import os
 import uuid
 from collections.abc import Callable
@@ -86,3 +88,17 @@ def map_arrow(df: DataFrame, stage: Callable, schema: str | T.StructType) -> Dat
 def nullable(schema: T.StructType) -> T.StructType:
     """The same columns, all nullable, so that batches fit whatever Spark knew of nulls."""
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
+
+
+def without_cycles(stage: Callable) -> Callable:
+    """A stage that makes very many small objects and no reference cycles: it runs without the search for cycles."""
+    @functools.wraps(stage)
+    def run(batches):
+        was = gc.isenabled()
+        gc.disable()
+        try:
+            yield from stage(batches)
+        finally:
+            if was:
+                gc.enable()
+    return run
