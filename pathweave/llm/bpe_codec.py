@@ -25,14 +25,19 @@ import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from pathweave.llm.common import map_arrow, pick
+from pathweave.llm.common import map_arrow, pick, without_cycles
 
 SHORT = 64                    # symbols of a word up to which the rank array is scanned
-MEMORY = 300_000              # chunks kept in each of two generations; about 250 bytes each
+ROWS = 4096                   # words in one array
+TOGETHER = 500                # texts whose new words are encoded together
+MEMORY = 400_000              # chunks kept in each of two generations; about 250 bytes each
+_SLOT_BITS = 18
+_HASH = np.uint64(0x9E3779B97F4A7C15)
 LATIN_END = "\u0250"          # below it, character classes are the same in all Unicode versions in use
 
 
@@ -55,11 +60,14 @@ class Memory(dict):
             value = self.old[key]
         else:
             value = self.make(key)
+        self.keep(key, value)
+        return value
+
+    def keep(self, key, value) -> None:
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
         self[key] = value
-        return value
 
 
 class WordCodec:
@@ -71,13 +79,21 @@ class WordCodec:
         vocab: dict[str, int] = model["vocab"]
         self.end: str = model.get("end_of_word_suffix") or ""
         self.pairs: dict[int, int] = {}                # two ids -> rank
-        self.merged: list[int] = []                    # rank -> id
+        merged = []                                    # rank -> id
         for rank, pair in enumerate(model["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             self.pairs[vocab[left] << 32 | vocab[right]] = rank
-            self.merged.append(vocab[left + right])
-        self.inner = [vocab.get(c) for c in byte_symbols()]
-        self.last = [vocab.get(c + self.end) for c in byte_symbols()]
+            merged.append(vocab[left + right])
+        self.merged = np.array(merged, np.int32)
+        self.slot_key, self.slot_rank = np.full(1 << _SLOT_BITS, -1, np.int64), np.zeros(1 << _SLOT_BITS, np.int32)
+        for key, rank in self.pairs.items():
+            slot = (key * int(_HASH) & (1 << 64) - 1) >> (64 - _SLOT_BITS)
+            while self.slot_key[slot] >= 0:
+                slot = (slot + 1) & ((1 << _SLOT_BITS) - 1)
+            self.slot_key[slot], self.slot_rank[slot] = key, rank
+        self.inner = [vocab.get(c, -1) for c in byte_symbols()]
+        self.last = [vocab.get(c + self.end, -1) for c in byte_symbols()]
+        self.inner_ids, self.last_ids = np.array(self.inner, np.int32), np.array(self.last, np.int32)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.tokens = {i: t for t, i in {**vocab, **self.special}.items()}
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
@@ -85,30 +101,82 @@ class WordCodec:
         self.words = regex.compile(splits[0]["pattern"]["Regex"])
         self.library = Tokenizer.from_str(tokenizer_json)
         self.byte_of = {c: b for b, c in enumerate(byte_symbols())}
-        self.chunk = Memory(self._chunk)
-
-    def merge(self, word: bytes) -> list[int]:
-        """Ids of one word."""
-        ids = [i for i in [*[self.inner[b] for b in word[:-1]], self.last[word[-1]]] if i is not None]
-        return self._scan(ids)[1] if len(ids) <= SHORT else self._heap(ids)
-
-    def _scan(self, ids: list[int]) -> tuple[list[int], list[int]]:
-        """(part boundaries, their ids): the contiguous rank array."""
-        rank, none = self.pairs.get, len(self.merged)
-        bounds = [*range(len(ids) + 1)]
-        near = [rank(a << 32 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
-        while near:
-            low = min(near)
-            if low == none:
-                break
-            i = near.index(low)
-            ids[i] = part = self.merged[low]
-            del bounds[i + 1], ids[i + 1], near[i]
-            if i:
-                near[i - 1] = rank(ids[i - 1] << 32 | part, none)
-            if i < len(near):
-                near[i] = rank(part << 32 | ids[i + 1], none)
-        return bounds, ids
+        if min(self.inner + self.last) < 0:
+            raise ValueError("the vocabulary lacks a byte")
+        self.chunk = Memory(lambda chunk: self._chunks([chunk])[0])
+
+    def merge(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of each word; words of similar length share one array."""
+        out: list[list[int]] = [[]] * len(words)
+        short = []
+        for i, word in enumerate(words):
+            if len(word) > SHORT:
+                out[i] = self._heap([x for x in [*[self.inner[b] for b in word[:-1]], self.last[word[-1]]] if x >= 0])
+            else:
+                short.append(i)
+        short.sort(key=lambda i: len(words[i]))
+        for lo in range(0, len(short), ROWS):
+            some = short[lo:lo + ROWS]
+            for i, ids in zip(some, self._scan([words[i] for i in some]), strict=True):
+                out[i] = ids
+        return out
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Merge ranks of pairs of ids, ``none`` where there is no merge (open addressing, linear probing)."""
+        key = left.astype(np.int64) << 32 | right
+        slot = (key.astype(np.uint64) * _HASH >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+        out = np.full(len(key), len(self.merged), np.int32)
+        todo = np.flatnonzero((left >= 0) & (right >= 0))          # -1 stands for no part
+        while len(todo):
+            found = self.slot_key[slot[todo]]
+            hit = found == key[todo]
+            out[todo[hit]] = self.slot_rank[slot[todo[hit]]]
+            todo = todo[~hit & (found >= 0)]
+            slot[todo] = (slot[todo] + 1) & ((1 << _SLOT_BITS) - 1)
+        return out
+
+    def _scan(self, words: list[bytes]) -> list[list[int]]:
+        """The contiguous rank array, for many words at once.
+
+        A row holds the parts of a word between its boundaries and, next to them, the ranks of
+        adjacent parts.  In every round each row gives up the boundary of its least rank, what
+        lies behind moves up, and the two ranks beside the new part are looked up.
+        """
+        none, size = len(self.merged), max(map(len, words))
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        raw = np.frombuffer(b"".join([w.ljust(size, b"\0") for w in words]), np.uint8).reshape(len(words), size)
+        column = np.arange(size)
+        parts = self.inner_ids[raw]
+        ends = length - 1
+        rows = np.arange(len(words))
+        parts[rows, ends] = self.last_ids[raw[rows, ends]]
+        parts[column > ends[:, None]] = -1
+        near = np.full((len(words), size), none, np.int32)         # near[:, i]: parts i and i + 1
+        if size > 1:
+            near[:, :-1] = self._rank(parts[:, :-1].ravel(), parts[:, 1:].ravel()).reshape(len(words), -1)
+        out, alive = parts, rows                                   # finished rows are written back to ``out``
+        while len(alive):
+            i = near.argmin(1)
+            r = np.arange(len(i))
+            low = near[r, i]
+            busy = low < none
+            if not busy.all():
+                out[alive[~busy]] = parts[~busy]
+                alive, parts, near, i, low = alive[busy], parts[busy], near[busy], i[busy], low[busy]
+                r = np.arange(len(i))
+                if not len(alive):
+                    break
+            behind = column[:-1] > i[:, None]                      # what lies behind the deleted boundary moves up
+            parts[:, :-1] = np.where(behind, parts[:, 1:], parts[:, :-1])
+            parts[:, -1] = -1
+            near[:, :-1] = np.where(column[:-1] >= i[:, None], near[:, 1:], near[:, :-1])
+            near[:, -1] = none
+            parts[r, i] = self.merged[low]
+            has = np.flatnonzero(i > 0)
+            near[has, i[has] - 1] = self._rank(parts[has, i[has] - 1], parts[has, i[has]])
+            has = np.flatnonzero(i + 1 < size)
+            near[has, i[has]] = self._rank(parts[has, i[has]], parts[has, i[has] + 1])
+        return [[x for x in row if x >= 0] for row in out.tolist()]
 
     def _heap(self, ids: list[int]) -> list[int]:
         n = len(ids)
@@ -127,7 +195,7 @@ class WordCodec:
             j = after[i]
             if parts[i] != left or j < 0 or parts[j] != right:
                 continue                               # one of the two has been merged meanwhile
-            parts[i], parts[j] = self.merged[low], None
+            parts[i], parts[j] = int(self.merged[low]), None
             after[i] = after[j]
             if after[i] >= 0:
                 before[after[i]] = i
@@ -145,16 +213,34 @@ class WordCodec:
         clean = self.library.normalizer.normalize_str(piece)
         return [bytes(self.byte_of[c] for c in w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(clean)]
 
-    def _chunk(self, chunk: str) -> tuple[int, str, str] | None:
-        """(number of ids, ids, tokens) of a text without spaces; None if it has no ids."""
-        ids: list[int] = []
-        for piece in self.special_split.split(chunk) if self.special_split else [chunk]:
-            if piece in self.special:
-                ids.append(self.special[piece])
-            else:
-                for word in self._split(piece):
-                    ids += self.merge(word)
-        return (len(ids), " ".join(map(str, ids)), self.decode(ids)) if ids else None
+    def _chunks(self, chunks: list[str]) -> list[tuple[int, str, str] | None]:
+        """(number of ids, ids, tokens) of texts without spaces; None for one without ids."""
+        words: dict[bytes, int] = {}
+        plans = []                                     # of each chunk: words by number, special ids as negative numbers
+        for chunk in chunks:
+            plan = []
+            for piece in self.special_split.split(chunk) if self.special_split and "<|" in chunk else [chunk]:
+                if piece in self.special:
+                    plan.append(~self.special[piece])
+                else:
+                    plan += [words.setdefault(w, len(words)) for w in self._split(piece)] if piece else []
+            plans.append(plan)
+        ids = self.merge(list(words))
+        joined = [(len(x), " ".join(map(str, x)), self.decode(x)) for x in ids]
+        out = []
+        for plan in plans:
+            parts = [joined[p] if p >= 0 else (1, str(~p), self.tokens[~p]) for p in plan]
+            out.append((sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])) if len(parts) > 1
+                       else parts[0] if parts else None)
+        return out
+
+    def learn(self, texts: list[str]) -> None:
+        """Encode all chunks of ``texts`` that are not in memory, together."""
+        new = [c for c in {c for t in texts for c in t.split(" ")} if c and c not in self.chunk and c not in self.chunk.old]
+        for lo in range(0, len(new), self.chunk.size // 4):
+            some = new[lo:lo + self.chunk.size // 4]
+            for c, value in zip(some, self._chunks(some), strict=True):
+                self.chunk.keep(c, value)
 
     def encode(self, text: str) -> tuple[int, str, str]:
         """(number of ids, ids joined by spaces, decoded text)."""
@@ -174,14 +260,18 @@ def _codec(tokenizer_json: str) -> WordCodec:
 
 
 def _coder(tokenizer, with_ids: bool) -> Callable:
+    @without_cycles
     def code(batches):
         import pyarrow as pa
 
         codec = _codec(tokenizer.value)
         for batch in batches:
             n, ids, decoded, kept = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                count, numbers, tokens = codec.encode(text or "")
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for at, text in enumerate(texts):
+                if at % TOGETHER == 0:
+                    codec.learn(texts[at:at + TOGETHER])
+                count, numbers, tokens = codec.encode(text)
                 n.append(count)
                 ids.append(hashlib.sha256(numbers.encode()).hexdigest())
                 decoded.append(hashlib.sha256(tokens.encode()).hexdigest())
