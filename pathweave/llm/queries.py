@@ -26,7 +26,7 @@ def op3_bpe_codec(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, d: str) -> DataFrame:
-    return quality_rules.quality_verdicts(read_table(spark, d, "documents"))
+    return quality_rules.quality_verdicts(read_table(spark, d, "documents")).drop("host_rate")
 
 
 def op5_warc(spark: SparkSession, d: str) -> DataFrame:
@@ -88,5 +88,74 @@ SELECT doc_id, CAST(min(start) AS BIGINT) AS start, CAST(max(stop) AS BIGINT) AS
        CAST(sum(n_words) AS BIGINT) AS n_words, arg_max(first_doc_id, n_words * 1000000000 - line) AS first_doc_id
 FROM later GROUP BY doc_id, island HAVING sum(n_words) >= {substring_dedup.MIN_RUN_WORDS}"""
 
+QUALITY_RULES = f"""
+WITH d AS (
+  SELECT doc_id, source AS host, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_WORDS}')) AS l
+  FROM documents),
+win AS (SELECT doc_id, i, w[i:i + 4] AS g FROM d, unnest(range(1, len(w) - 3)) AS t(i)),
+rep AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
+cov AS (
+  SELECT doc_id, CAST(sum(least(5, coalesce(nxt - i, 5))) AS BIGINT) AS n
+  FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM rep) GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, host, len(w) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN cov USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
+r AS (
+  SELECT *, base_failed OR 100 * n_symbols > 50 * n_words OR 100 * n_dup_lines > 50 * n_lines AS rule_failed FROM b),
+h AS (
+  SELECT host, count(*) AS host_docs, CAST(sum(CAST(rule_failed AS BIGINT)) AS BIGINT) AS host_failures FROM r GROUP BY host),
+f AS (
+  SELECT CAST(count(*) AS DOUBLE) AS k, CAST(sum(host_docs) AS DOUBLE) AS n, sum(CAST(host_docs AS DOUBLE) * host_docs) AS n2,
+         sum(host_failures) / CAST(sum(host_docs) AS DOUBLE) AS m,
+         sum(CAST(host_failures AS DOUBLE) * host_failures / host_docs) AS sq
+  FROM h),
+v AS (SELECT *, (sq - n * m * m - (k - 1) * m * (1 - m)) / nullif(n - n2 / n, 0) AS var FROM f),
+p AS (
+  SELECT m, greatest(2.0, least(10000.0, CASE WHEN k > 1 AND var > 0 THEN m * (1 - m) / var - 1 ELSE 10000.0 END)) AS strength
+  FROM v),
+o AS (SELECT h.*, (host_failures + m * strength) / (host_docs + strength) <= 0.5 AS host_ok FROM h, p)
+SELECT r.*, o.host_docs, o.host_failures, o.host_ok, NOT r.rule_failed AND o.host_ok AS kept
+FROM r JOIN o ON r.host IS NOT DISTINCT FROM o.host"""
+
+_TERMS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+DECONTAMINATE = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_TERMS}') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_TERMS}') AS w FROM benchmark),
+items AS (SELECT item_id, w, least(10, len(w)) AS k FROM b WHERE len(w) > 0),
+wins AS (SELECT DISTINCT item_id, k, w[i:i + k - 1] AS g FROM items, unnest(range(1, len(w) - k + 2)) AS t(i)),
+ks AS (SELECT DISTINCT k FROM items),
+hits AS (
+  SELECT DISTINCT doc_id, x.i, x.k, item_id
+  FROM (SELECT doc_id, k, i, w[i:i + k - 1] AS g FROM d, ks, unnest(range(1, len(w) - k + 2)) AS t(i)) x JOIN wins USING (k, g)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits, unnest(range(i, i + k)) AS t(p) GROUP BY doc_id),
+ids AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN ids USING (doc_id)"""
+
+NGRAM_JOIN = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORDS}') AS w FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+                                    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g
+  FROM d),
+x AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach(doc_id, r) AS (
+  SELECT doc_id, doc_id FROM s UNION SELECT links.b, reach.r FROM reach JOIN links ON links.a = reach.doc_id)
+SELECT s.doc_id, len(s.g) AS n_shingles, min(reach.r) AS component_id
+FROM s JOIN reach ON reach.doc_id = s.doc_id GROUP BY s.doc_id, s.g"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": SUBSTRING_DEDUP}
+    return {"op1_substring_dedup": SUBSTRING_DEDUP, "op4_quality_rules": QUALITY_RULES, "op7_ngram_join": NGRAM_JOIN,
+            "op9_decontaminate": DECONTAMINATE}
