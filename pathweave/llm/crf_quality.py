@@ -92,7 +92,7 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     counts = [per_line(c[buf]) / chars for c in _CLASSES]
     counts[0] = counts[0] + per_line(high) / chars
     doc = np.searchsorted(words.base, starts[kept], "right") - 1
-    first = np.append(True, doc[1:] != doc[:-1])
+    first = np.append(True, doc[1:] != doc[:-1])[:len(doc)]
     rows = np.column_stack([*counts, per_line(buf >= 0x80) / chars, chars / n / 10, np.log1p(n) / 5, per_word((size <= 2) * 1.0) / n,
                             again(1), again(2), first * 1.0])
     return doc, rows, chars
