@@ -36,6 +36,7 @@ SHORT = 64                    # symbols of a word up to which the rank array is
 ROWS = 4096                   # words in one array
 TOGETHER = 500                # texts whose new words are encoded together
 MEMORY = 400_000              # chunks kept in each of two generations; about 250 bytes each
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 _SLOT_BITS = 18
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 LATIN_END = "\u0250"          # below it, character classes are the same in all Unicode versions in use
@@ -234,19 +235,48 @@ class WordCodec:
                        else parts[0] if parts else None)
         return out
 
-    def learn(self, texts: list[str]) -> None:
-        """Encode all chunks of ``texts`` that are not in memory, together."""
-        new = [c for c in {c for t in texts for c in t.split(" ")} if c and c not in self.chunk and c not in self.chunk.old]
-        for lo in range(0, len(new), self.chunk.size // 4):
-            some = new[lo:lo + self.chunk.size // 4]
-            for c, value in zip(some, self._chunks(some), strict=True):
-                self.chunk.keep(c, value)
-
-    def encode(self, text: str) -> tuple[int, str, str]:
-        """(number of ids, ids joined by spaces, decoded text)."""
+    def _units(self, text: str) -> list[str]:
+        """Space-delimited chunks; lowered at once where that is all the normalising there is (Latin-1 text)."""
+        if "<|" not in text:
+            try:
+                text.encode("latin-1")
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
+        return text.split(" ")
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Encode all chunks that are not in memory, together; punctuation behind a word is a word of its own."""
         memory = self.chunk
-        found = [e for e in [memory[c] for c in text.split(" ") if c] if e]
-        return sum([e[0] for e in found]), " ".join([e[1] for e in found]), " ".join([e[2] for e in found])
+        new = [c for c in chunks if c not in memory and c not in memory.old]
+        cores, tails = [], []
+        for c in new:
+            core = c.rstrip(_MARKS)
+            if core != c and core and core[-1].isalnum() and "<|" not in c:
+                cores.append(core)
+                tails.append(c[len(core):])
+        words = {*new, *cores, *tails}
+        words.difference_update([c + t for c, t in zip(cores, tails, strict=True)])
+        known = {c: memory[c] for c in words if c in memory or c in memory.old}
+        words = [c for c in words if c not in known]
+        for lo in range(0, len(words), 50_000):
+            some = words[lo:lo + 50_000]
+            known.update(zip(some, self._chunks(some), strict=True))
+        for c, value in known.items():
+            memory.keep(c, value)
+        for core, tail in zip(cores, tails, strict=True):
+            x, y = known[core], known[tail]
+            memory.keep(core + tail, (x[0] + y[0], f"{x[1]} {y[1]}", f"{x[2]} {y[2]}") if x and y else x or y)
+
+    def encode(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """(number of ids, ids joined by spaces, decoded text) of each text."""
+        units = [self._units(t) for t in texts]
+        self._learn(set().union(*units))
+        memory, out = self.chunk, []
+        for chunks in units:
+            found = [e for e in map(memory.__getitem__, chunks) if e]
+            out.append((sum([e[0] for e in found]), " ".join([e[1] for e in found]), " ".join([e[2] for e in found])))
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by spaces, as the library does for files without a decoder; special tokens stay."""
@@ -268,15 +298,13 @@ def _coder(tokenizer, with_ids: bool) -> Callable:
         for batch in batches:
             n, ids, decoded, kept = [], [], [], []
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for at, text in enumerate(texts):
-                if at % TOGETHER == 0:
-                    codec.learn(texts[at:at + TOGETHER])
-                count, numbers, tokens = codec.encode(text)
-                n.append(count)
-                ids.append(hashlib.sha256(numbers.encode()).hexdigest())
-                decoded.append(hashlib.sha256(tokens.encode()).hexdigest())
-                if with_ids:
-                    kept.append([int(x) for x in numbers.split()])
+            for at in range(0, len(texts), TOGETHER):
+                for count, numbers, tokens in codec.encode(texts[at:at + TOGETHER]):
+                    n.append(count)
+                    ids.append(hashlib.sha256(numbers.encode()).hexdigest())
+                    decoded.append(hashlib.sha256(tokens.encode()).hexdigest())
+                    if with_ids:
+                        kept.append([int(x) for x in numbers.split()])
             cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
