@@ -252,7 +252,7 @@ class WordCodec:
         cores, tails = [], []
         for c in new:
             core = c.rstrip(_MARKS)
-            if core != c and core and core[-1].isalnum() and "<|" not in c:
+            if core != c and core and core[-1] < "\u0100" and core[-1].isalnum() and "<|" not in c:
                 cores.append(core)
                 tails.append(c[len(core):])
         words = {*new, *cores, *tails}
