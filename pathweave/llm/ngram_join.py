@@ -25,6 +25,8 @@ are different rows; a null id is never the least id of a component; an empty tab
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +39,7 @@ N = 4
 PERCENT = 85                 # Jaccard similarity in percent
 DENSE = 64                   # rows of a column from which on it is a dense block
 BLOCK = 256
-BUCKET_BITS = 20             # n-gram counts are kept by the first 20 bits of the hash
+BUCKET_BITS = 22             # n-gram counts are kept by the first 22 bits of the hash
 FILTER_BITS = 25             # rows in question are remembered in a bitmap of 4 MB
 MAX_COMMON = 1 << 18         # buckets that are told apart as common, at most
 
@@ -74,14 +76,15 @@ def _common(n: int):
     def count(batches):
         import pyarrow as pa
 
-        seen = np.zeros(1 << BUCKET_BITS, np.int64)
+        seen = np.zeros(1 << BUCKET_BITS, np.int32)
         for batch in batches:
             texts = [t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()]
             for lo, hi in chunks(texts):
                 g = gram_sets(texts[lo:hi], n, None)
-                seen += np.bincount((g >> U(64 - BUCKET_BITS)).astype(np.int64), minlength=len(seen))
-        at = np.flatnonzero(seen >= max(8, 4 * seen.mean()))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["bucket", "n"])
+                at, n_at = np.unique((g >> U(64 - BUCKET_BITS)).astype(np.int64), return_counts=True)
+                seen[at] += n_at.astype(np.int32)
+        at = np.flatnonzero(seen >= max(6, 4 * seen.mean()))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at].astype(np.int64))], names=["bucket", "n"])
     return count
 
 
@@ -246,18 +249,31 @@ def link_rows(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
                            .filter("hub != far").drop("far"), "columns")
     entries = shared_table(entries.join(columns, "gram"), "entries")
 
+    # A column with many rows is cut by size: a row of class c enters the blocks c and c + 1, and a pair
+    # that may link is compared in the block of the greater class of the two.
+    narrow = entries.filter(F.col("rows") <= DENSE).select("gram", F.lit(-1).alias("block"), "node", "n", F.lit(-1).alias("c"))
+    step = -math.log(percent / 100) * (1 + 1e-9)
+    wide = entries.filter(F.col("rows") > DENSE).select("gram", "node", "n", F.floor(F.log("n") / step).cast("int").alias("c"))
+    wide = shared_table(wide.select("gram", F.explode(F.array("c", F.col("c") + 1)).alias("block"), "node", "n", "c"), "wide")
+    blocks = wide.groupBy("gram", "block").agg(F.count(F.lit(1)).alias("rows"), F.min("node").alias("hub"), F.max("node").alias("far"),
+                                               F.max("c").alias("top"))
+    blocks = shared_table(blocks.filter("hub != far AND top = block").drop("far", "top"), "blocks")
+    wide = shared_table(wide.join(blocks, ["gram", "block"]), "block-entries")
+
     # Sparse columns: multiply out, add up, drop below the bound.
-    thin = entries.filter(F.col("rows") <= DENSE).groupBy("gram").agg(F.collect_set(F.struct("node", "n")).alias("r"))
+    thin = narrow.union(wide.filter(F.col("rows") <= DENSE).select("gram", "block", "node", "n", "c"))
+    thin = thin.groupBy("gram", "block").agg(F.collect_set(F.struct("node", "n", "c")).alias("r"))
     r = F.col("r")
 
     def fits(x, y):
-        return (x["node"] < y["node"]) & (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"]))
+        return ((x["node"] < y["node"]) & (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"]))
+                & (F.greatest(x["c"], y["c"]) == F.col("block")))
 
     pairs = F.flatten(F.transform(r, lambda x: F.transform(F.filter(r, lambda y: fits(x, y)), lambda y: F.struct(
         x["node"].alias("a"), y["node"].alias("b"), x["n"].alias("na"), y["n"].alias("nb")))))
     counted = thin.select(F.explode(pairs).alias("p")).select("p.*").groupBy("a", "b", "na", "nb").agg(
         F.count(F.lit(1)).alias("overlap"))
-    thick = entries.filter(F.col("rows") > DENSE)
+    thick = wide.filter(F.col("rows") > DENSE)
     # Where the columns of a row end, and how many of them are dense (those are not in ``overlap``).
     ends = described.filter(F.size("head") > 0).groupBy(F.col("f1").alias("node")).agg(F.max(F.element_at("head", -1)).alias("end"))
     dense = thick.groupBy("node").agg(F.count(F.lit(1)).alias("h"))
@@ -270,8 +286,8 @@ def link_rows(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     needed = percent * (F.col("na") + F.col("nb"))
     open_pairs = shared_table(counted.filter((100 + percent) * reach >= needed).select("a", "b"), "open-pairs")
 
-    # Dense columns: rows of one hub make a block.
-    members = shared_table(thick.filter("node != hub").select("hub", "node").distinct(), "members")
+    # Dense columns: rows of one hub and size make a block.
+    members = shared_table(thick.filter("node != hub").select(F.xxhash64("hub", "block").alias("bucket"), "hub", "node").distinct(), "members")
     wanted = (open_pairs.select(F.col("a").alias("node")).union(open_pairs.select("b"))
               .union(members.select("node")).union(members.select("hub"))).distinct()
     wanted = shared_table(wanted, "wanted")
@@ -280,10 +296,10 @@ def link_rows(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     sets = shared_table(fetched.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("grams").alias("grams")), "gram-sets")
 
     direct = shared_table(_verified(open_pairs, sets, percent), "direct-links")
-    to_hub = shared_table(_verified(members.select(F.col("hub").alias("a"), F.col("node").alias("b")), sets, percent), "hub-links")
+    to_hub = shared_table(_verified(members.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), sets, percent), "hub-links")
     apart = members.join(to_hub.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.lit(False).alias("known")),
                          ["hub", "node"], "left")
-    apart = shared_table(apart.select("hub", "node", F.col("known").isNull().alias("left")), "apart")
+    apart = shared_table(apart.select("bucket", "node", F.col("known").isNull().alias("left")), "apart")
     edges = direct.union(to_hub).union(_dense_links(apart, sets, percent))
 
     found = shared_table(components(edges), "components")
@@ -300,10 +316,10 @@ def link_rows(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
 
 def _dense_links(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links of rows that do not link to their hub with any row of the block."""
-    sizes = apart.groupBy("hub").agg(F.sum(F.col("left").cast("int")).alias("l"), F.count(F.lit(1)).alias("m")).filter("l > 0")
-    sizes = shared_table(sizes.select("hub", F.ceil(F.col("l") / BLOCK).alias("bl"),
+    sizes = apart.groupBy("bucket").agg(F.sum(F.col("left").cast("int")).alias("l"), F.count(F.lit(1)).alias("m")).filter("l > 0")
+    sizes = shared_table(sizes.select("bucket", F.ceil(F.col("l") / BLOCK).alias("bl"),
                                       F.ceil((F.col("m") - F.col("l")) / BLOCK).alias("br")), "block-sizes")
-    placed = apart.join(sizes, "hub").withColumn(
+    placed = apart.join(sizes, "bucket").withColumn(
         "i", F.pmod(F.xxhash64("node"), F.when(F.col("left"), F.col("bl")).otherwise(F.col("br"))))
     every = F.sequence(F.lit(0).cast("bigint"), F.col("bl") - 1)
     other = F.when(F.col("br") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("br") - 1)).otherwise(F.array().cast("array<bigint>"))
@@ -311,9 +327,9 @@ def _dense_links(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rows_left = F.concat(F.transform(every, lambda j: F.struct(F.lit(True).alias("ll"), F.least(i, j).alias("x"), F.greatest(i, j).alias("y"))),
                          F.transform(other, lambda j: F.struct(F.lit(False).alias("ll"), i.alias("x"), j.alias("y"))))
     rows_right = F.transform(every, lambda j: F.struct(F.lit(False).alias("ll"), j.alias("x"), i.alias("y")))
-    spread = placed.select("hub", "node", "left", F.explode(F.when(F.col("left"), rows_left).otherwise(rows_right)).alias("k"))
-    blocks = spread.select("hub", "node", "left", "k.*").join(sets, "node")
-    return blocks.groupBy("hub", "ll", "x", "y").applyInArrow(_product(percent), "a bigint, b bigint")
+    spread = placed.select("bucket", "node", "left", F.explode(F.when(F.col("left"), rows_left).otherwise(rows_right)).alias("k"))
+    blocks = spread.select("bucket", "node", "left", "k.*").join(sets, "node")
+    return blocks.groupBy("bucket", "ll", "x", "y").applyInArrow(_product(percent), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
