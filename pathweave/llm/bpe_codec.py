@@ -31,11 +31,11 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from pathweave.llm.common import map_arrow, pick, without_cycles
+from pathweave.llm.textscan import chunks
 
-SHORT = 64                    # symbols of a word up to which the rank array is scanned
+SHORT = 32                    # symbols of a word up to which the rank array is scanned
 ROWS = 4096                   # words in one array
-TOGETHER = 500                # texts whose new words are encoded together
-MEMORY = 400_000              # chunks kept in each of two generations; about 250 bytes each
+MEMORY = 300_000              # chunks kept in each of two generations; about 250 bytes each
 _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 _SLOT_BITS = 18
 _HASH = np.uint64(0x9E3779B97F4A7C15)
@@ -116,10 +116,15 @@ class WordCodec:
             else:
                 short.append(i)
         short.sort(key=lambda i: len(words[i]))
-        for lo in range(0, len(short), ROWS):
-            some = short[lo:lo + ROWS]
+        lo = 0
+        while lo < len(short):
+            longest, hi = len(words[short[lo]]) * 5 // 4 + 1, lo + 1
+            while hi < min(len(short), lo + ROWS) and len(words[short[hi]]) <= longest:
+                hi += 1
+            some = short[lo:hi]
             for i, ids in zip(some, self._scan([words[i] for i in some]), strict=True):
                 out[i] = ids
+            lo = hi
         return out
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -235,48 +240,70 @@ class WordCodec:
                        else parts[0] if parts else None)
         return out
 
-    def _units(self, text: str) -> list[str]:
-        """Space-delimited chunks; lowered at once where that is all the normalising there is (Latin-1 text)."""
+    @staticmethod
+    def _lowered(text: str) -> str:
+        """Lowered at once where that is all the normalising there is (Latin-1 text)."""
         if "<|" not in text:
             try:
                 text.encode("latin-1")
-                text = text.lower()
+                return text.lower()
             except UnicodeEncodeError:
                 pass
-        return text.split(" ")
+        return text
 
-    def _learn(self, chunks: set[str]) -> None:
-        """Encode all chunks that are not in memory, together; punctuation behind a word is a word of its own."""
+    def _results(self, chunks: list[str]) -> dict[str, tuple[int, str, str] | None]:
+        """The result of every chunk; those that are not in memory are encoded together.
+
+        Punctuation behind a word is a word of its own, so it is encoded apart.
+        """
         memory = self.chunk
-        new = [c for c in chunks if c not in memory and c not in memory.old]
-        cores, tails = [], []
+        out = {c: memory[c] for c in chunks if c in memory}
+        old = {c: memory.old[c] for c in chunks if c not in out and c in memory.old}
+        new = [c for c in chunks if c not in out and c not in old]
+        split = []
         for c in new:
             core = c.rstrip(_MARKS)
             if core != c and core and core[-1] < "\u0100" and core[-1].isalnum() and "<|" not in c:
-                cores.append(core)
-                tails.append(c[len(core):])
-        words = {*new, *cores, *tails}
-        words.difference_update([c + t for c, t in zip(cores, tails, strict=True)])
-        known = {c: memory[c] for c in words if c in memory or c in memory.old}
-        words = [c for c in words if c not in known]
+                split.append((c, core, c[len(core):]))
+        apart = {c for c, _, _ in split}
+        words = {c for c in new if c not in apart} | {x for _, *parts in split for x in parts}
+        known = {c: out.get(c) or old.get(c) or memory.get(c) or memory.old.get(c) for c in words}
+        words = [c for c, value in known.items() if value is None]
         for lo in range(0, len(words), 50_000):
             some = words[lo:lo + 50_000]
             known.update(zip(some, self._chunks(some), strict=True))
-        for c, value in known.items():
-            memory.keep(c, value)
-        for core, tail in zip(cores, tails, strict=True):
+        for c, core, tail in split:
             x, y = known[core], known[tail]
-            memory.keep(core + tail, (x[0] + y[0], f"{x[1]} {y[1]}", f"{x[2]} {y[2]}") if x and y else x or y)
+            known[c] = (x[0] + y[0], f"{x[1]} {y[1]}", f"{x[2]} {y[2]}") if x and y else x or y
+        for c, value in [*old.items(), *known.items()]:
+            memory.keep(c, value)
+        return {**out, **old, **known}
 
     def encode(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """(number of ids, ids joined by spaces, decoded text) of each text."""
-        units = [self._units(t) for t in texts]
-        self._learn(set().union(*units))
-        memory, out = self.chunk, []
-        for chunks in units:
-            found = [e for e in map(memory.__getitem__, chunks) if e]
-            out.append((sum([e[0] for e in found]), " ".join([e[1] for e in found]), " ".join([e[2] for e in found])))
-        return out
+        """(number of ids, ids joined by spaces, decoded text) of each text.
+
+        Chunks are told apart and their results put together again as Arrow
+        arrays; Python sees each different chunk once.
+        """
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        lists = pc.split_pattern(pa.array([self._lowered(t) for t in texts], pa.large_string()), " ")
+        offsets, coded = lists.offsets.to_numpy(), lists.flatten().dictionary_encode()
+        chunks, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        results, none = self._results(chunks), (0, None, None)
+        found = [results[c] or none for c in chunks]
+        n = np.fromiter([e[0] for e in found], np.int64, len(found))
+        kept = n[at] > 0 if len(at) else np.zeros(0, bool)
+        some = pa.array(at[kept])
+        edges = pa.array(np.append(0, np.cumsum(kept))[offsets])
+
+        def joined(i: int) -> list[str]:
+            parts = pa.array([e[i] for e in found], pa.large_string()).take(some)
+            return pc.binary_join(pa.LargeListArray.from_arrays(edges, parts), pa.scalar(" ", pa.large_string())).to_pylist()
+
+        total = np.append(0, np.cumsum(n[at]))[offsets] if len(at) else np.zeros(len(offsets), np.int64)
+        return list(zip(np.diff(total).tolist(), joined(1), joined(2), strict=True))
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by spaces, as the library does for files without a decoder; special tokens stay."""
@@ -298,8 +325,8 @@ def _coder(tokenizer, with_ids: bool) -> Callable:
         for batch in batches:
             n, ids, decoded, kept = [], [], [], []
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for at in range(0, len(texts), TOGETHER):
-                for count, numbers, tokens in codec.encode(texts[at:at + TOGETHER]):
+            for lo, hi in chunks(texts):
+                for count, numbers, tokens in codec.encode(texts[lo:hi]):
                     n.append(count)
                     ids.append(hashlib.sha256(numbers.encode()).hexdigest())
                     decoded.append(hashlib.sha256(tokens.encode()).hexdigest())
