@@ -22,10 +22,13 @@ import hashlib
 import heapq
 import json
 import unicodedata
+from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
@@ -35,7 +38,8 @@ from pathweave.llm.textscan import chunks
 
 SHORT = 32                    # symbols of a word up to which the rank array is scanned
 ROWS = 4096                   # words in one array
-MEMORY = 300_000              # chunks kept in each of two generations; about 250 bytes each
+SLICE = 4 << 20               # characters whose new chunks are encoded together
+MEMORY = 250_000              # chunks kept in each of two generations; about 200 bytes each
 _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 _SLOT_BITS = 18
 _HASH = np.uint64(0x9E3779B97F4A7C15)
@@ -97,6 +101,8 @@ class WordCodec:
         self.inner_ids, self.last_ids = np.array(self.inner, np.int32), np.array(self.last, np.int32)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.tokens = {i: t for t, i in {**vocab, **self.special}.items()}
+        names = [self.tokens.get(i) for i in range(max(self.tokens) + 1)]
+        self.id_names, self.token_names = (pa.array(x, pa.large_string()) for x in ([str(i) for i in range(len(names))], names))
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         splits = [p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         self.words = regex.compile(splits[0]["pattern"]["Regex"])
@@ -219,8 +225,8 @@ class WordCodec:
         clean = self.library.normalizer.normalize_str(piece)
         return [bytes(self.byte_of[c] for c in w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(clean)]
 
-    def _chunks(self, chunks: list[str]) -> list[tuple[int, str, str] | None]:
-        """(number of ids, ids, tokens) of texts without spaces; None for one without ids."""
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """The ids (32 bits each) of texts without spaces."""
         words: dict[bytes, int] = {}
         plans = []                                     # of each chunk: words by number, special ids as negative numbers
         for chunk in chunks:
@@ -228,17 +234,12 @@ class WordCodec:
             for piece in self.special_split.split(chunk) if self.special_split and "<|" in chunk else [chunk]:
                 if piece in self.special:
                     plan.append(~self.special[piece])
-                else:
-                    plan += [words.setdefault(w, len(words)) for w in self._split(piece)] if piece else []
+                elif piece:
+                    plan += [words.setdefault(w, len(words)) for w in self._split(piece)]
             plans.append(plan)
-        ids = self.merge(list(words))
-        joined = [(len(x), " ".join(map(str, x)), self.decode(x)) for x in ids]
-        out = []
-        for plan in plans:
-            parts = [joined[p] if p >= 0 else (1, str(~p), self.tokens[~p]) for p in plan]
-            out.append((sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])) if len(parts) > 1
-                       else parts[0] if parts else None)
-        return out
+        coded = [array("i", ids).tobytes() for ids in self.merge(list(words))]
+        return [coded[plan[0]] if len(plan) == 1 and plan[0] >= 0 else
+                b"".join([coded[p] if p >= 0 else array("i", [~p]).tobytes() for p in plan]) for plan in plans]
 
     @staticmethod
     def _lowered(text: str) -> str:
@@ -251,8 +252,8 @@ class WordCodec:
                 pass
         return text
 
-    def _results(self, chunks: list[str]) -> dict[str, tuple[int, str, str] | None]:
-        """The result of every chunk; those that are not in memory are encoded together.
+    def _results(self, chunks: list[str]) -> dict[str, bytes]:
+        """The ids of every chunk; those that are not in memory are encoded together.
 
         Punctuation behind a word is a word of its own, so it is encoded apart.
         """
@@ -267,14 +268,13 @@ class WordCodec:
                 split.append((c, core, c[len(core):]))
         apart = {c for c, _, _ in split}
         words = {c for c in new if c not in apart} | {x for _, *parts in split for x in parts}
-        known = {c: out.get(c) or old.get(c) or memory.get(c) or memory.old.get(c) for c in words}
+        known = {c: memory[c] if c in memory else memory.old.get(c) for c in words}
         words = [c for c, value in known.items() if value is None]
         for lo in range(0, len(words), 50_000):
             some = words[lo:lo + 50_000]
             known.update(zip(some, self._chunks(some), strict=True))
         for c, core, tail in split:
-            x, y = known[core], known[tail]
-            known[c] = (x[0] + y[0], f"{x[1]} {y[1]}", f"{x[2]} {y[2]}") if x and y else x or y
+            known[c] = known[core] + known[tail]
         for c, value in [*old.items(), *known.items()]:
             memory.keep(c, value)
         return {**out, **old, **known}
@@ -285,25 +285,21 @@ class WordCodec:
         Chunks are told apart and their results put together again as Arrow
         arrays; Python sees each different chunk once.
         """
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
         lists = pc.split_pattern(pa.array([self._lowered(t) for t in texts], pa.large_string()), " ")
         offsets, coded = lists.offsets.to_numpy(), lists.flatten().dictionary_encode()
         chunks, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        results, none = self._results(chunks), (0, None, None)
-        found = [results[c] or none for c in chunks]
-        n = np.fromiter([e[0] for e in found], np.int64, len(found))
-        kept = n[at] > 0 if len(at) else np.zeros(0, bool)
-        some = pa.array(at[kept])
-        edges = pa.array(np.append(0, np.cumsum(kept))[offsets])
+        results = self._results(chunks)
+        found = [results[c] for c in chunks]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids = pa.LargeListArray.from_arrays(pa.array(np.append(0, np.cumsum(size))), pa.array(np.frombuffer(b"".join(found), np.int32)))
+        ids = ids.take(pa.array(at, pa.int64())).flatten()
+        edges = np.append(0, np.cumsum(size[at]))[offsets]
 
-        def joined(i: int) -> list[str]:
-            parts = pa.array([e[i] for e in found], pa.large_string()).take(some)
-            return pc.binary_join(pa.LargeListArray.from_arrays(edges, parts), pa.scalar(" ", pa.large_string())).to_pylist()
+        def joined(names) -> list[str]:
+            parts = pa.LargeListArray.from_arrays(pa.array(edges), names.take(ids))
+            return pc.binary_join(parts, pa.scalar(" ", pa.large_string())).to_pylist()
 
-        total = np.append(0, np.cumsum(n[at]))[offsets] if len(at) else np.zeros(len(offsets), np.int64)
-        return list(zip(np.diff(total).tolist(), joined(1), joined(2), strict=True))
+        return list(zip(np.diff(edges).tolist(), joined(self.id_names), joined(self.token_names), strict=True))
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by spaces, as the library does for files without a decoder; special tokens stay."""
@@ -319,13 +315,11 @@ def _codec(tokenizer_json: str) -> WordCodec:
 def _coder(tokenizer, with_ids: bool) -> Callable:
     @without_cycles
     def code(batches):
-        import pyarrow as pa
-
         codec = _codec(tokenizer.value)
         for batch in batches:
             n, ids, decoded, kept = [], [], [], []
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for lo, hi in chunks(texts):
+            for lo, hi in chunks(texts, SLICE):
                 for count, numbers, tokens in codec.encode(texts[lo:hi]):
                     n.append(count)
                     ids.append(hashlib.sha256(numbers.encode()).hexdigest())

@@ -14,7 +14,7 @@ import numpy as np
 
 U = np.uint64
 SEGMENT = 1 << 18          # bytes hashed at once; longer only for one word that is longer
-CHUNK = 4 << 20            # bytes of text that are scanned together; longer only for one text that is longer
+CHUNK = 2 << 20            # bytes of text that are scanned together; longer only for one text that is longer
 
 _R = 0x9E3779B97F4A7C15    # odd, so that it has an inverse modulo 2**64
 _R_INV = pow(_R, -1, 1 << 64)
@@ -113,12 +113,12 @@ def sequence_hash(hashes: np.ndarray) -> int:
         return int(mix(np.array([g + U(len(hashes))], U))[0])
 
 
-def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about ``CHUNK`` bytes of text."""
+def chunks(texts: list, most: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``most`` bytes or characters of text."""
     i, total = 0, 0
     for j, t in enumerate(texts):
         total += len(t)
-        if total >= CHUNK:
+        if total >= most:
             yield i, j + 1
             i, total = j + 1, 0
     if i < len(texts):
