@@ -35,20 +35,22 @@ def get_spark(master: str | None = None, app: str = "pathweave",
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
-    spark = b.getOrCreate()
-    checkpoint_dir(spark)
-    return spark
+    return b.getOrCreate()
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins; only when it is unset (local tests) a
-    scratch folder is created and registered.
+    The cluster's setting always wins.  Only on a local master (one process,
+    as in tests) a scratch folder stands in for a missing setting; anywhere
+    else a folder of this machine would not be seen by the executors, so a
+    missing setting is an error.
     """
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="pathweave-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if sc._jsc.sc().getCheckpointDir().isEmpty():

@@ -24,3 +24,24 @@ def test_cleanup_removes_only_this_application(spark, tmp_path):
     assert os.path.exists(p.replace("file:", ""))
     cleanup_shared(spark)
     assert not os.path.exists(p.replace("file:", "")) and os.path.isdir(other)
+
+
+def test_no_machine_local_folder_on_a_cluster(spark, monkeypatch):
+    import pytest
+    from pathweave import session
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://head:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError):
+        session.checkpoint_dir(Session())
