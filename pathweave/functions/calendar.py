@@ -2,8 +2,7 @@
 
 Holidays are evaluated as a pure expression of the date (no join, no
 shuffle, stays inside whole-stage codegen).  A user-supplied holiday table can
-be used instead through :func:`with_holiday_table` (broadcast behind a size
-check).
+be used instead through :func:`with_holiday_table`.
 """
 
 from __future__ import annotations
@@ -136,23 +135,15 @@ def day_type(holiday: Column, weekend: Column, labels=("holiday", "weekend", "we
             .otherwise(F.lit(labels[2])))
 
 
-# A user-supplied holiday table is a dimension: one row per date.  It is
-# broadcast only when its row count is within this bound.
-HOLIDAY_BROADCAST_MAX_ROWS = 1_000_000
-
-
 def with_holiday_table(df: DataFrame, ts_col: str, holidays: DataFrame,
                        date_col: str = "date", out: str = "is_holiday") -> DataFrame:
     """Flag rows whose date is in ``holidays`` (left join on date).
 
-    The holiday side is de-duplicated first; it is broadcast when its row
-    count is proven small, otherwise a shuffle join is left to the planner.
+    The holiday side is de-duplicated first; the planner broadcasts it by its size.
     """
     hol = (holidays.select(F.to_date(F.col(date_col)).alias("_hday")).distinct()
            .withColumn("_hflag", F.lit(True)))
-    n = hol.count()
-    side = F.broadcast(hol) if n <= HOLIDAY_BROADCAST_MAX_ROWS else hol
     return (df.withColumn("_hday", F.to_date(F.col(ts_col)))
-            .join(side, "_hday", "left")
+            .join(hol, "_hday", "left")
             .withColumn(out, F.coalesce(F.col("_hflag"), F.lit(False)))
             .drop("_hday", "_hflag"))

@@ -9,9 +9,6 @@ from pathweave.functions.timefns import parse_ts_lenient
 
 UNKNOWN_ACTIVITY = "UNKNOWN_ACTIVITY"
 
-# The cohort of J1 is at most ``n`` keys; broadcasting it is safe below this.
-COHORT_BROADCAST_MAX = 1_000_000
-
 
 def fill_activity(df: DataFrame, col: str = "activity", value: str = UNKNOWN_ACTIVITY) -> DataFrame:
     return df.withColumn(col, F.coalesce(F.col(col), F.lit(value)))
@@ -21,12 +18,13 @@ def drop_incomplete(df: DataFrame, subset) -> DataFrame:
     return df.na.drop(subset=list(subset))
 
 
-def ingest_raw(raw: DataFrame, ntz: bool = False, id_col: str | None = None) -> DataFrame:
+def ingest_raw(raw: DataFrame, ntz: bool = False, id_col: str | None = None, extra=()) -> DataFrame:
     """Raw (ENCOUNTER, START, STOP, DESCRIPTION) text -> canonical log.
 
     Unparseable times become null and the row is dropped; a null
     description becomes UNKNOWN_ACTIVITY *before* the drop, so it never costs
-    a row.  ``event_id`` is a tie-break id assigned once at ingest.
+    a row.  ``event_id`` is a tie-break id assigned once at ingest; columns
+    named in ``extra`` are carried along.
     """
     rid = [F.col(id_col).alias("_rid")] if id_col else []
     df = raw.select(
@@ -34,13 +32,13 @@ def ingest_raw(raw: DataFrame, ntz: bool = False, id_col: str | None = None) ->
         F.col("DESCRIPTION").alias("activity"),
         parse_ts_lenient("START", ntz=ntz).alias("start_ts"),
         parse_ts_lenient("STOP", ntz=ntz).alias("end_ts"),
-        *rid,
+        *rid, *extra,
     )
     df = fill_activity(df)
     df = drop_incomplete(df, ["case_id", "start_ts", "end_ts", "activity"])
     eid = F.col("_rid") if id_col else F.monotonically_increasing_id()
     return df.select("case_id", "activity", "start_ts", "end_ts", F.col("start_ts").alias("event_ts"),
-                     eid.alias("event_id"))
+                     eid.alias("event_id"), *extra)
 
 
 def clean_log(log: DataFrame) -> DataFrame:
@@ -63,7 +61,7 @@ def first_n_cases(log: DataFrame, n: int = 50, order_cols=("start_ts", "event_id
 
     "File order" is made explicit by ``order_cols``.  The per-case minimum is
     a partial (hash) aggregation, the top ``n`` a TakeOrderedAndProject, and
-    the cohort (<= n rows, a proven bound) is broadcast into a left-semi join.
+    the cohort joins back as a left-semi join (broadcast by size at run time).
     """
     types = dict(log.dtypes)
     if len(order_cols) == 1:
@@ -75,31 +73,21 @@ def first_n_cases(log: DataFrame, n: int = 50, order_cols=("start_ts", "event_id
         key = F.struct(*[F.col(c) for c in order_cols])
     firsts = log.groupBy(case_col).agg(F.min(key).alias("_first"))
     cohort = firsts.orderBy(F.col("_first").asc(), F.col(case_col).asc()).limit(n).select(case_col)
-    side = F.broadcast(cohort) if n <= COHORT_BROADCAST_MAX else cohort
-    return log.join(side, case_col, "left_semi")
+    return log.join(cohort, case_col, "left_semi")
 
 
 def case_sizes(log: DataFrame, case_col: str = "case_id") -> DataFrame:
     return log.groupBy(case_col).agg(F.count(F.lit(1)).alias("n_events"))
 
 
-# The list of too-small cases is broadcast into an anti join when it has at
-# most this many cases (checked by a count first).
-SMALL_CASES_BROADCAST_MAX = 2_000_000
-
-
 def min_case_size(log: DataFrame, k: int = 2, case_col: str = "case_id") -> DataFrame:
     """Rows of cases with at least ``k`` events (rows without a case are dropped).
 
-    Case sizes come from a partial aggregation.  Usually few cases are too
-    small: their list is counted and, when within the bound, broadcast into a
-    left-anti join, so the log itself is never shuffled.  Otherwise the
-    keep-list joins back as a left-semi join (shuffle on the case key; a hot
-    case on the log side is split by AQE's skew join).
+    Case sizes come from a partial aggregation; the cases that are too small
+    (usually few) leave by an anti join.  Adaptive execution broadcasts their
+    list if it is small when it is there; otherwise the join shuffles on the
+    case key, and a hot case on the log side is split as a skewed partition.
     """
-    sizes = case_sizes(log.filter(F.col(case_col).isNotNull()), case_col)
-    small = sizes.filter(F.col("n_events") < k).select(case_col)
-    if small.count() <= SMALL_CASES_BROADCAST_MAX:
-        return log.filter(F.col(case_col).isNotNull()).join(F.broadcast(small), case_col, "left_anti")
-    keep = sizes.filter(F.col("n_events") >= k).select(case_col)
-    return log.join(keep, case_col, "left_semi")
+    known = log.filter(F.col(case_col).isNotNull())
+    small = case_sizes(known, case_col).filter(F.col("n_events") < k).select(case_col)
+    return known.join(small, case_col, "left_anti")

@@ -96,7 +96,7 @@ def day_dim(spark) -> DataFrame:
 def daily_mean(sv: DataFrame) -> DataFrame:
     """Mean service time for all seven days, Monday first; missing days are null."""
     agg = sv.groupBy("day_no").agg(F.avg("service_min").alias("avg_wait_min"))
-    return (F.broadcast(day_dim(sv.sparkSession)).join(agg, "day_no", "left")
+    return (day_dim(sv.sparkSession).join(F.broadcast(agg), "day_no", "left")
             .select("day_no", "day_name", "avg_wait_min").transform(lambda d: small_sorted(d, "day_no")))
 
 
@@ -110,7 +110,7 @@ def heatmap(sv: DataFrame) -> DataFrame:
     """Day x hour mean service time, 7 rows (Monday first) x 24 hour columns h00..h23."""
     piv = sv.groupBy("day_no").pivot("arrival_hour", list(range(24))).agg(F.avg("service_min"))
     piv = piv.select("day_no", *[F.col(str(h)).alias(f"h{h:02d}") for h in range(24)])
-    return (F.broadcast(day_dim(sv.sparkSession)).join(piv, "day_no", "left")
+    return (day_dim(sv.sparkSession).join(F.broadcast(piv), "day_no", "left")
             .transform(lambda d: small_sorted(d, "day_no")))
 
 
@@ -121,7 +121,7 @@ def slot_forecast(sv: DataFrame, fallback: float = FORECAST_FALLBACK_MIN,
     slots = day_dim(spark).crossJoin(spark.range(24).select(F.col("id").cast("int").alias("arrival_hour")))
     agg = sv.groupBy("day_no", "arrival_hour").agg(F.avg("service_min").alias("slot_mean"),
                                                    F.count(F.lit(1)).alias("slot_n"))
-    return (F.broadcast(slots).join(agg, ["day_no", "arrival_hour"], "left")
+    return (slots.join(F.broadcast(agg), ["day_no", "arrival_hour"], "left")
             .select("day_no", "day_name", "arrival_hour",
                     F.coalesce("slot_n", F.lit(0)).cast("long").alias("slot_n"),
                     F.coalesce("slot_mean", F.lit(fallback)).alias("predicted_min"))

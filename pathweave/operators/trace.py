@@ -3,16 +3,14 @@
 The trace order is (start_ts, end_ts, event_id) within ``case_id``.
 
 Skew.  A window partitioned by case puts a whole case in one task.  When a
-case is "hot" (more than ``hot_case_rows`` events) it is cut into
-equal-depth segments of about ``segment_rows`` events: boundary keys
-(start, end, event id) are taken from a bounded sample of the case and
-written once; each row finds its segment by a binary search over its case's
-boundaries.  The key includes the unique event id, so even a case whose
-events share one timestamp is split.  The window then runs per (case,
-segment), and the last row of every segment takes its successor from the
-first row of the next segment (a small per-segment table).  Cases below the
-threshold keep a single segment, so the common plan is one exchange on
-``case_id`` plus a sort, shared by every lead.
+case is "hot" (more than ``hot_case_rows`` events, counted in every run) the
+log is range-partitioned by (case, start, end, event id) into segments of
+about ``segment_rows`` rows and written once to the shared folder.  The key
+holds the unique event id, so even a case whose events share one timestamp
+is split, and the number of segments follows from the rows, without a limit.
+The window then runs per (case, segment), and the last row of a segment
+takes its successor from the case's next segment.  Without a hot case the
+plan is one exchange on ``case_id`` plus a sort, shared by every lead.
 """
 
 from __future__ import annotations
@@ -33,13 +31,6 @@ class SkewPolicy:
     """When to split a case, and how large the pieces are."""
     hot_case_rows: int = 2_000_000
     segment_rows: int = 500_000
-    # The boundary table is broadcast when it holds at most this many boundary keys.
-    broadcast_max_rows: int = 2_000_000
-    # Equal-depth segments from sampled keys: at most this many per case,
-    # about this many sampled keys per segment.
-    max_segments: int = 4096
-    samples_per_segment: int = 32
-    seed: int = 17
 
 
 DEFAULT_SKEW = SkewPolicy()
@@ -56,93 +47,23 @@ def trace_window(case_col: str = "case_id", extra_partition=(), order=ORDER):
     return Window.partitionBy(case_col, *extra_partition).orderBy(*[F.col(c).asc_nulls_first() for c in order])
 
 
-# Cases found to have no hot case, keyed by the canonical plan of the check.
-# Only the "nothing to split" outcome is remembered.  The split plan returns
-# the same rows whichever cases it splits, so a stale entry can cost speed
-# but never change a result.
-_NO_HOT: set = set()
-
-
-def _hot_cases(log: DataFrame, case_col: str, policy: SkewPolicy):
-    """(hot table with one row per hot case and its segment count, number of hot cases)."""
-    pieces = F.least(F.lit(policy.max_segments),
-                     F.ceil(F.col("_n") / F.lit(policy.segment_rows)).cast("int"))
-    hot = (log.groupBy(case_col).agg(F.count(F.lit(1)).alias("_n"))
-           .filter(F.col("_n") > policy.hot_case_rows)
-           .select(case_col, "_n", pieces.alias("_p")))
-    try:
-        key = (log.sparkSession.sparkContext.applicationId, policy,
-               hot._jdf.queryExecution().optimizedPlan().semanticHash())
-    except Exception:  # noqa: BLE001 -- no plan hash available (e.g. Spark Connect)
-        key = None
-    if key is not None and key in _NO_HOT:
-        return hot, 0
-    n_hot = hot.count()
-    if n_hot == 0:
-        if key is not None:
-            _NO_HOT.add(key)
-        return hot, 0
-    # Some case is hot: keep the (small) hot-case table, read by the sample and the join.
+def _segments(log: DataFrame, case_col: str, order, policy: SkewPolicy) -> DataFrame | None:
+    """The log with a segment number, written once; None if no case is hot."""
     from pathweave.operators.stats import materialize
-    return materialize(hot, "hot-cases"), n_hot
-
-
-def _boundaries(log: DataFrame, hot: DataFrame, case_col: str, order, policy: SkewPolicy,
-                n_hot: int | None = None):
-    """Per hot case, ``_p - 1`` sorted boundary keys from a bounded sample (written once).
-
-    The sample keeps about ``samples_per_segment`` keys per segment (at most
-    ``max_segments * samples_per_segment`` per case), so one case's array is
-    bounded whatever its size.  Written to the shared folder, the boundaries
-    stay fixed even if a sampling task is retried.
-    """
-    from pathweave.operators.stats import materialize
-    key = F.struct(*[F.col(c) for c in order]).alias("_k")
-    frac = F.col("_p") * F.lit(policy.samples_per_segment) / F.col("_n")
-    # the hot-case table has one row per hot case; broadcast it when that count is within bound
-    hot_side = F.broadcast(hot) if n_hot is not None and n_hot <= policy.broadcast_max_rows else hot
-    sample = (log.join(hot_side, case_col)
-              .filter(F.rand(policy.seed) < frac)
-              .select(case_col, "_p", key))
-    arr = sample.groupBy(case_col, "_p").agg(F.array_sort(F.collect_list("_k")).alias("_s"))
-    # equal-depth picks: element i * len / p for i = 1 .. p-1
-    picks = F.transform(F.sequence(F.lit(1), F.greatest(F.col("_p") - 1, F.lit(1))),
-                        lambda i: F.element_at("_s", F.greatest(F.lit(1), F.floor(i * F.size("_s") / F.col("_p"))
-                                                               .cast("int"))))
-    bounds = arr.select(case_col, F.when(F.col("_p") > 1, picks).otherwise(F.array()).alias("_b"))
-    return materialize(bounds, "segment-bounds")
-
-
-def _search(bounds: Column, key: Column, steps: int) -> Column:
-    """Number of boundaries <= key in the sorted array ``bounds`` (fixed-step binary search)."""
-    init = F.struct(F.lit(0).alias("lo"), F.size(bounds).alias("hi"))
-
-    def step(acc, _):
-        lo, hi = acc["lo"], acc["hi"]
-        mid = F.floor((lo + hi + 1) / 2).cast("int")
-        go_up = F.element_at(bounds, F.greatest(mid, F.lit(1))) <= key
-        nxt = F.when(go_up, F.struct(mid.alias("lo"), hi.alias("hi"))) \
-            .otherwise(F.struct(lo.alias("lo"), (mid - 1).alias("hi")))
-        return F.when(lo >= hi, acc).otherwise(nxt)
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)["lo"]
-
-
-# Activity dictionaries up to this many entries are broadcast (encode_activities=True).
-ENCODE_MAX_ACTIVITIES = 1_000_000
+    sizes = log.groupBy(case_col).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("top"), F.sum("_n").alias("all")).first()
+    if (sizes["top"] or 0) <= policy.hot_case_rows:
+        return None
+    parts = max(2, -(-sizes["all"] // policy.segment_rows))
+    ranged = log.repartitionByRange(parts, case_col, *[F.col(c).asc_nulls_first() for c in order])
+    return materialize(ranged.withColumn("_seg", F.spark_partition_id()), "segments")
 
 
 def _encoded(log: DataFrame, col: str):
-    """(log with ``col`` replaced by an int code, dictionary) or (None, None) if too many values."""
+    """(log with ``col`` replaced by a numeric code, dictionary written once)."""
     from pathweave.operators.stats import materialize
     acts = log.select(col).where(F.col(col).isNotNull()).distinct()
-    if acts.count() > ENCODE_MAX_ACTIVITIES:
-        return None, None
-    # bounded (checked above): one ordered pass assigns stable codes; written once
-    dic = materialize(acts.select(col, F.row_number().over(Window.orderBy(col)).cast("int").alias("_code")),
-                      "activity-codes")
-    enc = (log.join(F.broadcast(dic), col, "left").drop(col).withColumnRenamed("_code", col))
-    return enc, dic
+    dic = materialize(acts.select(col, F.monotonically_increasing_id().alias("_code")), "activity-codes")
+    return log.join(dic, col, "left").drop(col).withColumnRenamed("_code", col), dic
 
 
 def with_successor(log: DataFrame, lead_cols: dict | None = None, case_col: str = "case_id",
@@ -151,46 +72,36 @@ def with_successor(log: DataFrame, lead_cols: dict | None = None, case_col: str
     """Add successor columns: ``{out_name: source_col}`` (default next_start, next_activity).
 
     ``policy=None`` forces the plain single-window plan.  With
-    ``encode_activities`` the activity text is replaced by an integer code
-    (count-checked broadcast dictionary) before the case shuffle and decoded
-    after the window, so the shuffle carries 4 bytes instead of the text.
+    ``encode_activities`` the activity text is replaced by a numeric code
+    before the case shuffle and decoded after the window, so the shuffle
+    carries 8 bytes instead of the text.
     """
     lead_cols = lead_cols or {"next_start": "start_ts", "next_activity": "activity"}
     if encode_activities and "activity" in log.columns:
         enc, dic = _encoded(log, "activity")
-        if enc is not None:
-            out = with_successor(enc.select(*log.columns), lead_cols, case_col, order, policy, False)
-            names = dic.select(F.col("_code").alias("_c"), F.col("activity").alias("_name"))
-            for c in ["activity"] + [o for o, src in lead_cols.items() if src == "activity"]:
-                out = (out.join(F.broadcast(names), out[c] == F.col("_c"), "left")
-                       .drop(c, "_c").withColumnRenamed("_name", c))
-            return out.select(*log.columns, *lead_cols)
-    hot, n_hot = (None, 0) if policy is None else _hot_cases(log, case_col, policy)
-    if n_hot == 0:
+        out = with_successor(enc.select(*log.columns), lead_cols, case_col, order, policy, False)
+        names = dic.select(F.col("_code").alias("_c"), F.col("activity").alias("_name"))
+        for c in ["activity"] + [o for o, src in lead_cols.items() if src == "activity"]:
+            out = (out.join(names, out[c] == F.col("_c"), "left")
+                   .drop(c, "_c").withColumnRenamed("_name", c))
+        return out.select(*log.columns, *lead_cols)
+    seg = None if policy is None else _segments(log, case_col, order, policy)
+    if seg is None:
         w = trace_window(case_col, order=order)
         return log.select("*", *[F.lead(src).over(w).alias(out) for out, src in lead_cols.items()])
 
-    bounds = _boundaries(log, hot, case_col, order, policy, n_hot)
-    st = bounds.agg(F.sum(F.size("_b")).alias("n"), F.max(F.size("_b")).alias("m")).first()
-    n_keys, longest = st["n"] or 0, st["m"] or 0
-    side = F.broadcast(bounds) if n_keys <= policy.broadcast_max_rows else bounds
-    steps = max(1, int(longest).bit_length() + 1)   # enough halvings for the longest array
-    key = F.struct(*[F.col(c) for c in order])
-    seg = (log.join(side, case_col, "left")
-           .withColumn("_hot", F.col("_b").isNotNull())
-           .withColumn("_seg", F.when(F.col("_hot"), _search(F.col("_b"), key, steps)).otherwise(F.lit(0)))
-           .drop("_b"))
     w = trace_window(case_col, ["_seg"], order)
     body = seg.select("*", F.lead(F.lit(1)).over(w).isNull().alias("_tail"),
                       *[F.lead(src).over(w).alias(out) for out, src in lead_cols.items()])
-    # First row of every segment of a hot case, then the head of the *next* segment.
+    # First row of every (case, segment), then the head of the case's next segment.
     head = F.struct(*[F.col(src).alias(out) for out, src in lead_cols.items()])
-    heads = (seg.filter("_hot").groupBy(case_col, "_seg").agg(F.min_by(head, key).alias("_h")))
+    heads = seg.groupBy(case_col, "_seg").agg(F.min_by(head, F.struct(*[F.col(c) for c in order])).alias("_h"))
     nxt = heads.select(case_col, "_seg", F.lead("_h").over(Window.partitionBy(case_col).orderBy("_seg")).alias("_nh"))
-    out = body.join(nxt, [case_col, "_seg"], "left")
+    nxt = nxt.filter(F.col("_nh").isNotNull()).select(F.col(case_col).alias("_case"), F.col("_seg").alias("_s"), "_nh")
+    out = body.join(nxt, F.col(case_col).eqNullSafe(F.col("_case")) & (F.col("_seg") == F.col("_s")), "left")
     for o in lead_cols:
-        out = out.withColumn(o, F.when(F.col("_tail") & F.col("_hot"), F.col(f"_nh.{o}")).otherwise(F.col(o)))
-    return out.drop("_seg", "_hot", "_tail", "_nh")
+        out = out.withColumn(o, F.when(F.col("_tail") & F.col("_nh").isNotNull(), F.col(f"_nh.{o}")).otherwise(F.col(o)))
+    return out.drop("_seg", "_tail", "_nh", "_case", "_s")
 
 
 def case_endpoints(log: DataFrame, case_col: str = "case_id", order=ORDER, activity: str = "activity") -> DataFrame:

@@ -39,7 +39,7 @@ def test_successor_matches_python(spark, rows, hot_share):
     log = spark.createDataFrame(data, "case_id string, activity string, start_ts timestamp_ntz, "
                                       "end_ts timestamp_ntz, event_id long")
     exp = _expected(rows)
-    for pol in (None, SkewPolicy(hot_case_rows=5, segment_rows=3, broadcast_max_rows=1000)):
+    for pol in (None, SkewPolicy(hot_case_rows=5, segment_rows=3)):
         got = {r["event_id"]: (r["next_start"], r["next_activity"])
                for r in with_successor(log, policy=pol).collect()}
         assert got == exp, pol

@@ -63,7 +63,7 @@ def test_holiday_and_weekend_labels(spark):
 def _compare_policies(log):
     cols = ["case_id", "event_id", "next_start", "next_activity"]
     plain = with_successor(log, policy=None).select(*cols)
-    split = with_successor(log, policy=SkewPolicy(hot_case_rows=20, segment_rows=7, broadcast_max_rows=10)).select(*cols)
+    split = with_successor(log, policy=SkewPolicy(hot_case_rows=20, segment_rows=7)).select(*cols)
     a = sorted(tuple(r) for r in plain.collect())
     b = sorted(tuple(r) for r in split.collect())
     return a, b
@@ -85,13 +85,21 @@ def test_hot_case_split_with_one_dominant_case(spark):
     assert a == b
 
 
-def test_hot_case_split_broadcast_path(spark):
+def test_a_case_that_becomes_hot_is_split(spark, tmp_path):
+    """The size of cases is looked up in every run, also for a path that was read before."""
+    from pathweave.operators import trace as T
+    pol = T.SkewPolicy(hot_case_rows=100, segment_rows=50)
     log = events_as_log(spark, SF_SMALL)
+    few = log.limit(5)
+    path = str(tmp_path / "log")
+    few.write.parquet(path)
+    assert T._segments(spark.read.parquet(path), "case_id", T.ORDER, pol) is None
+    log.withColumn("case_id", F.lit(1).cast("bigint")).write.mode("append").parquet(path)
+    again = spark.read.parquet(path)
+    assert T._segments(again, "case_id", T.ORDER, pol).select("_seg").distinct().count() >= 10
     cols = ["case_id", "event_id", "next_start", "next_activity"]
-    plain = sorted(tuple(r) for r in with_successor(log, policy=None).select(*cols).collect())
-    big = SkewPolicy(hot_case_rows=20, segment_rows=7, broadcast_max_rows=1_000_000)
-    split = sorted(tuple(r) for r in with_successor(log, policy=big).select(*cols).collect())
-    assert plain == split
+    assert sorted(tuple(r) for r in with_successor(again, policy=pol).select(*cols).collect()) == \
+        sorted(tuple(r) for r in with_successor(again, policy=None).select(*cols).collect())
 
 
 def test_dfg_counts_match_transitions(spark):
@@ -133,21 +141,14 @@ def test_cohort_and_min_case_size(spark):
     assert {r["case_id"] for r in min_case_size(log, 2).collect()} == {"early"}
 
 
-def test_min_case_size_both_paths_and_null_case(spark):
+def test_min_case_size_drops_the_null_case(spark):
     import pathweave.operators.clean as C
     log = _log(spark, [("a", "x", "2020-01-01 00:00:00", "2020-01-01 00:10:00"),
                        ("a", "y", "2020-01-01 01:00:00", "2020-01-01 01:10:00"),
                        ("b", "x", "2020-01-01 00:00:00", "2020-01-01 00:10:00")])
     log = log.union(spark.createDataFrame([(None, "z", _ts("2020-01-01 00:00:00"), _ts("2020-01-01 00:01:00"), 99)],
                                           log.schema))
-    fast = sorted(r["event_id"] for r in C.min_case_size(log, 2).collect())
-    old = C.SMALL_CASES_BROADCAST_MAX
-    try:
-        C.SMALL_CASES_BROADCAST_MAX = -1
-        slow = sorted(r["event_id"] for r in C.min_case_size(log, 2).collect())
-    finally:
-        C.SMALL_CASES_BROADCAST_MAX = old
-    assert fast == slow == [0, 1]
+    assert sorted(r["event_id"] for r in C.min_case_size(log, 2).collect()) == [0, 1]
 
 
 def test_cohort_ties_break_by_event_id(spark):
@@ -169,15 +170,8 @@ def test_hot_case_with_one_timestamp_is_split(spark):
             .withColumn("end_ts", F.when(F.col("case_id") == -1, F.lit("2024-01-10 12:05:00").cast("timestamp_ntz"))
                         .otherwise(F.col("end_ts"))))
     pol = T.SkewPolicy(hot_case_rows=1000, segment_rows=300)
-    hot, n_hot = T._hot_cases(tied, "case_id", pol)
-    assert n_hot == 1
-    bounds = T._boundaries(tied, hot, "case_id", T.ORDER, pol)
-    b = bounds.join(hot, "case_id")
-    key = F.struct(*[F.col(c) for c in T.ORDER])
-    segs = (tied.join(b, "case_id").select(T._search(F.col("_b"), key, 14).alias("s"))
-            .groupBy("s").count().collect())
-    sizes = sorted(r["count"] for r in segs)
-    assert len(sizes) >= 8 and sizes[-1] < 3 * 300  # the tie group is cut into balanced pieces
+    segs = T._segments(tied, "case_id", T.ORDER, pol).filter("case_id = -1").groupBy("_seg").count().collect()
+    assert len(segs) >= 8 and max(r["count"] for r in segs) < 3 * 300   # the tie group is cut into balanced pieces
     cols = ["case_id", "event_id", "next_start", "next_activity"]
     plain = sorted(tuple(r) for r in T.with_successor(tied, policy=None).select(*cols).collect())
     split = sorted(tuple(r) for r in T.with_successor(tied, policy=pol).select(*cols).collect())
