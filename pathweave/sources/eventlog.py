@@ -48,20 +48,40 @@ def _guard(read, path: str, hint: str = "") -> DataFrame:
         raise
 
 
-def read_csv_stripped(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
+def csv_options(io, multiline: bool = False):
+    """Quoting as pandas writes it: a quote inside a quoted field is doubled.
+
+    ``multiline`` (readers only) allows line breaks inside quoted fields; such
+    files cannot be split, so each is read by one task.
+    """
+    io = io.option("header", True).option("quote", '"').option("escape", '"')
+    return io.option("multiLine", True) if multiline else io
+
+
+def read_csv_stripped(spark: SparkSession, path: str, sep: str = ";", multiline: bool = False) -> DataFrame:
     """All columns as text, header names stripped of surrounding spaces."""
-    df = _guard(lambda: spark.read.option("header", True).option("sep", sep)
+    df = _guard(lambda: csv_options(spark.read, multiline).option("sep", sep)
                 .option("inferSchema", False).csv(path), path)
     return df.toDF(*[c.strip() for c in df.columns])
 
 
-def read_raw_csv(spark: SparkSession, path: str, sep: str = ";", columns=RAW_COLUMNS) -> DataFrame:
-    """Raw hospital-style log: keep only the named columns (pruned at the scan)."""
-    return read_csv_stripped(spark, path, sep).select(*columns)
+def read_raw_csv(spark: SparkSession, path: str, sep: str = ";", columns=RAW_COLUMNS, multiline: bool = False,
+                 file_order: bool = False) -> DataFrame:
+    """Raw hospital-style log: keep only the named columns (pruned at the scan).
+
+    With ``file_order`` three further columns give a row's place in the input:
+    ``_file`` (path), ``_block`` (where its split starts) and ``_pos`` (a
+    number that grows within a split).
+    """
+    df = read_csv_stripped(spark, path, sep, multiline)
+    if not file_order:
+        return df.select(*columns)
+    return df.select(*columns, F.input_file_name().alias("_file"), F.input_file_block_start().alias("_block"),
+                     F.monotonically_increasing_id().alias("_pos"))
 
 
 def read_log(spark: SparkSession, path: str, fmt: str = "parquet", reference_names: bool | None = None,
-             ntz: bool = False, strict: bool = False) -> DataFrame:
+             ntz: bool = False, strict: bool = False, multiline: bool = False) -> DataFrame:
     """Canonical log scan: coerce timestamps and drop incomplete rows.
 
     ``fmt="csv"`` reads a comma CSV with the colon header names used by
@@ -71,7 +91,7 @@ def read_log(spark: SparkSession, path: str, fmt: str = "parquet", reference_nam
     """
     hint = "Was the ingest step run first?"
     if fmt == "csv":
-        df = _guard(lambda: spark.read.option("header", True).csv(path), path, hint)
+        df = _guard(lambda: csv_options(spark.read, multiline).csv(path), path, hint)
     else:
         df = _guard(lambda: spark.read.format(fmt).load(path), path, hint)
     if reference_names if reference_names is not None else fmt == "csv":
@@ -81,6 +101,8 @@ def read_log(spark: SparkSession, path: str, fmt: str = "parquet", reference_nam
             df = df.withColumn(c, parse_ts_strict(c, ntz=ntz, what=c) if strict else parse_ts_lenient(c, ntz=ntz))
     if "event_ts" not in df.columns:
         df = df.withColumn("event_ts", F.col("start_ts"))
+    if "event_id" in df.columns and dict(df.dtypes)["event_id"] == "string":
+        df = df.withColumn("event_id", F.expr("try_cast(event_id AS bigint)"))     # ties sort as numbers
     if "event_id" not in df.columns:
         df = df.withColumn("event_id", F.monotonically_increasing_id())
     return df.na.drop(subset=["case_id", "activity", "start_ts", "end_ts"])
@@ -128,7 +150,7 @@ def write_log(log: DataFrame, path: str, fmt: str = "parquet", n_files: int | No
     out = log.repartitionByRange(n_files, *keys) if n_files else log.repartitionByRange(*keys)
     out = out.sortWithinPartitions(*keys)
     if fmt == "csv":
-        _writer(to_reference_names(out), mode).option("header", True).csv(path)
+        csv_options(_writer(to_reference_names(out), mode)).csv(path)
     else:
         _writer(out, mode).format(fmt).save(path)
     return path
@@ -145,7 +167,9 @@ def write_transitions(trans: DataFrame, path: str, mode: str = "overwrite",
     out = trans.select(*TRANSITION_COLUMNS)
     if reference_text:
         def ts_text(c):
-            t = F.col(c).cast("timestamp_ntz") if dict(out.dtypes)[c] == "timestamp" else F.col(c)
+            t = F.col(c)
+            if dict(out.dtypes)[c] == "timestamp":          # the instant as UTC wall time, whatever the session zone
+                t = F.convert_timezone(F.current_timezone(), F.lit("UTC"), t.cast("timestamp_ntz"))
             base = F.date_format(t, "yyyy-MM-dd HH:mm:ss")
             frac = F.date_format(t, "SSSSSS")
             return F.concat(base, F.when(frac != "000000", F.concat(F.lit("."), frac)).otherwise(F.lit("")),
@@ -163,10 +187,16 @@ def write_transitions(trans: DataFrame, path: str, mode: str = "overwrite",
         out = out.select(*cols)
     if reference_names:
         out = to_reference_names(out).withColumnRenamed("start_date", "date")
-    _writer(out, mode).option("header", True).csv(path)
+    csv_options(_writer(out, mode)).csv(path)
     return path
 
 
+def read_features(spark: SparkSession, store_dir: str, name: str = "encounter_features.parquet") -> DataFrame:
+    """Feature-store source: the table that ``write_features`` left in ``store_dir``."""
+    path = f"{store_dir.rstrip('/')}/{name}"
+    return _guard(lambda: spark.read.parquet(path), path, "Were the features built first?")
+
+
 def write_features(features: DataFrame, path: str, mode: str = "overwrite") -> str:
     """Feature-store sink (Parquet); returns the path written."""
     _writer(features, mode).parquet(path)

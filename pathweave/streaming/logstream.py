@@ -7,15 +7,16 @@ from pyspark.sql import types as T
 
 from pathweave.operators.clean import ingest_raw
 from pathweave.session import shared_path
+from pathweave.sources.eventlog import csv_options
 
 RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True)
                            for c in ("ENCOUNTER", "START", "STOP", "DESCRIPTION")])
 
 
 def clean_stream(spark: SparkSession, path: str, sep: str = ";", schema: T.StructType = RAW_SCHEMA,
-                 ntz: bool = False, max_files_per_trigger: int | None = None) -> DataFrame:
+                 ntz: bool = False, max_files_per_trigger: int | None = None, multiline: bool = False) -> DataFrame:
     """Streaming DataFrame of canonical rows from raw delimited files arriving under ``path``."""
-    r = spark.readStream.schema(schema).option("header", True).option("sep", sep)
+    r = csv_options(spark.readStream.schema(schema), multiline).option("sep", sep)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     raw = r.csv(path)

@@ -7,13 +7,13 @@ from pathweave.plans.discovery import discover_from_file
 from pathweave.plans.ingest import ingest_and_write
 
 RAW = ("ENCOUNTER;START;STOP;DESCRIPTION;CODE\n"
-       "e1;2011-01-14 22:49:36+00:00;2011-01-15 01:58:36+00:00;Renal dialysis (procedure);1\n"
-       "e1;2011-01-15 14:47:36+00:00;2011-01-15 15:02:36+00:00;Medication Reconciliation (procedure);2\n"
-       "e1;2011-01-15 15:39:36+00:00;2011-01-15 16:00:00+00:00;;3\n"
-       "e2;2011-01-17 10:00:00+00:00;2011-01-17 10:30:00+00:00;Plain chest X-ray (procedure);4\n"
-       "e2;2011-01-17 11:00:00+00:00;bad;Hemoglobin test;5\n"
-       "e2;2011-01-17 11:10:00+00:00;2011-01-17 11:20:00+00:00;Hemoglobin test;6\n"
-       "e3;2011-01-18 09:00:00+00:00;2011-01-18 09:10:00+00:00;Solo;7\n")
+       "m1;2020-03-09 20:00:00+00:00;2020-03-09 21:30:00+00:00;Hemodialysis session;1\n"
+       "m1;2020-03-10 07:15:00+00:00;2020-03-10 07:45:00+00:00;Diet Counselling;2\n"
+       "m1;2020-03-10 08:00:00+00:00;2020-03-10 08:20:00+00:00;;3\n"
+       "m2;2020-01-20 10:00:00+00:00;2020-01-20 10:30:00+00:00;Mammography, both sides;4\n"
+       "m2;2020-01-20 11:00:00+00:00;bad;Platelet count;5\n"
+       "m2;2020-01-20 11:10:00+00:00;2020-01-20 11:20:00+00:00;Platelet count;6\n"
+       "m3;2020-02-04 09:00:00+00:00;2020-02-04 09:10:00+00:00;Solo;7\n")
 
 
 def test_ingest_then_discover(spark, tmp_path):
@@ -22,17 +22,33 @@ def test_ingest_then_discover(spark, tmp_path):
     out = ingest_and_write(spark, str(raw), str(tmp_path / "log"), fmt="csv", n_cases=2)
     d = discover_from_file(spark, out)
     trans = {(r["case_id"], r["activity"]): r for r in d.transitions.collect()}
-    assert len(trans) == 3  # e1: 2 transitions, e2: 1 (bad row dropped); e3 not in the 2-case cohort
-    first = trans[("e1", "renal/dialysis")]
-    assert first["next_activity"] == "medication reconciliation (procedure)"
-    assert first["raw_gap_min"] == 769.0 and first["day_type"] == "weekday"
-    assert trans[("e2", "imaging tests")]["day_type"] == "holiday"  # MLK day 2011
-    assert trans[("e1", "medication reconciliation (procedure)")]["next_activity"] == "unknown_activity"
-    starts = {r["activity"]: r["n"] for r in d.starts.collect()}
-    assert starts == {"renal/dialysis": 1, "imaging tests": 1}
+    assert len(trans) == 3  # m1: 2 transitions, m2: 1 (bad row dropped); m3 is not among the first two cases
+    first = trans[("m1", "renal/dialysis")]
+    assert first["next_activity"] == "diet counselling"
+    assert first["raw_gap_min"] == 585.0 and first["day_type"] == "weekday"
+    assert trans[("m2", "imaging tests")]["day_type"] == "holiday"  # third Monday of January 2020
+    assert trans[("m1", "diet counselling")]["next_activity"] == "unknown_activity"
+    assert {r["activity"]: r["n"] for r in d.starts.collect()} == {"renal/dialysis": 1, "imaging tests": 1}
     assert d.edges.agg(F.sum("n")).first()[0] == 3
 
 
+def test_ingest_keeps_all_cases_unless_asked(spark, tmp_path):
+    from pathweave.plans.ingest import ingest_log
+    raw = tmp_path / "raw.csv"
+    raw.write_text("ENCOUNTER;START;STOP;DESCRIPTION\n" + "".join(
+        f"p{i};2020-03-09 20:00:00+00:00;2020-03-09 21:30:00+00:00;a\n" for i in range(80)))
+    assert ingest_log(spark, str(raw)).select("case_id").distinct().count() == 80
+
+
+def test_first_cases_follow_the_order_of_files(spark, tmp_path):
+    from pathweave.plans.ingest import ingest_log
+    line = "{};2020-03-09 20:00:00+00:00;2020-03-09 21:30:00+00:00;a\n"
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "part-a.csv").write_text("ENCOUNTER;START;STOP;DESCRIPTION\n" + line.format("e1"))
+    (tmp_path / "raw" / "part-b.csv").write_text("ENCOUNTER;START;STOP;DESCRIPTION\n" + line.format("e2") * 50)
+    assert {r["case_id"] for r in ingest_log(spark, str(tmp_path / "raw"), n_cases=1).collect()} == {"e1"}
+
+
 def test_dashboard_from_raw(spark, tmp_path):
     raw = tmp_path / "raw.csv"
     raw.write_text(RAW)
@@ -66,4 +82,4 @@ def test_write_reports(spark, tmp_path):
                           "wait_summary", "box_stats", "ecdf"}
     assert spark.read.parquet(paths["wait_summary"]).count() == 7
     rep = spark.read.option("header", True).csv(paths["waiting_transitions"])
-    assert "case:concept:name" in rep.columns and rep.count() == 3  # e1: 2, e2: 1, e3: none
+    assert "case:concept:name" in rep.columns and rep.count() == 3  # m1: 2, m2: 1, m3: none

@@ -15,9 +15,9 @@ from pathweave.streaming import clean_stream, write_clean_stream
 from conftest import SF_SMALL
 
 RAW = ("ENCOUNTER ; START ;STOP; DESCRIPTION;OTHER\n"
-       "e1;2011-01-14 22:49:36+00:00;2011-01-15 01:58:36+00:00;Renal dialysis;x\n"
-       "e1;2011-01-15 14:47:36+00:00;2011-01-15 15:02:36+00:00;;y\n"
-       "e2;bad;2011-01-15 15:02:36+00:00;Other;z\n")
+       "n7;2019-08-03 06:10:00+00:00;2019-08-03 07:25:00+00:00;Hearing check;x\n"
+       "n7;2019-08-03 09:00:00+00:00;2019-08-03 09:20:00+00:00;;y\n"
+       "n8;bad;2019-08-03 10:00:00+00:00;Other;z\n")
 
 
 def test_raw_csv_prunes_and_strips(spark, tmp_path):
@@ -54,22 +54,61 @@ def test_streaming_ingest(spark, tmp_path):
 
 
 def test_transition_report_text(spark, tmp_path):
+    """Cells are UTC text whatever the zone of the session."""
+    rows = [("k1", "open", "2019-08-03 06:10:00", "2019-08-03 07:25:00", 0), ("k1", "close", "2019-08-03 08:00:00", "2019-08-03 08:30:00.5", 1)]
+    log = spark.createDataFrame(rows, "case_id string, activity string, start_ts string, end_ts string, event_id long")
+    want = ("k1,open,close,2019-08-03 06:10:00+00:00,2019-08-03 07:25:00+00:00,2019-08-03 08:00:00+00:00,"
+            "35.0,35.0,{day},False,True,weekend")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone, day in (("UTC", "2019-08-03"), ("Asia/Tokyo", "2019-08-03"), ("America/New_York", "2019-08-03")):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            at = log.withColumns({c: F.to_timestamp(F.concat(c, F.lit("+00:00"))) for c in ("start_ts", "end_ts")})
+            p = write_transitions(transitions(at), str(tmp_path / zone.replace("/", "-")))
+            assert [r[0] for r in spark.read.text(p).collect() if r[0].startswith("k1")] == [want.format(day=day)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_csv_round_trip_keeps_ties_quotes_and_line_breaks(spark, tmp_path):
     import datetime as dt
-    rows = [("e1", "a", dt.datetime(2011, 1, 14, 22, 49, 36), dt.datetime(2011, 1, 15, 1, 58, 36), 0),
-            ("e1", "b", dt.datetime(2011, 1, 15, 14, 47, 36), dt.datetime(2011, 1, 15, 15, 2, 36, 500000), 1)]
-    log = spark.createDataFrame(rows, "case_id string, activity string, start_ts timestamp, end_ts timestamp, event_id long")
-    p = write_transitions(transitions(log), str(tmp_path / "rep"))
-    line = [r for r in spark.read.text(p).collect() if r[0].startswith("e1")][0][0]
-    assert line == ("e1,a,b,2011-01-14 22:49:36+00:00,2011-01-15 01:58:36+00:00,2011-01-15 14:47:36+00:00,"
-                    "769.0,769.0,2011-01-14,False,False,weekday")
+
+    at = dt.datetime(2020, 2, 2, 8)
+    labels = ['say "hi"; done', "two\nlines", "comma, here", 'a "quoted" \n break'] + [f"a{i}" for i in range(4, 14)]
+    rows = [("c", label, at, at, i) for i, label in enumerate(labels)]
+    log = spark.createDataFrame(rows, "case_id string, activity string, start_ts timestamp_ntz, end_ts timestamp_ntz, event_id long")
+    path = write_log(log, str(tmp_path / "log"), fmt="csv", n_files=2)
+    back = read_log(spark, path, fmt="csv", ntz=True, multiline=True)
+    assert dict(back.dtypes)["event_id"] == "bigint"
+    from pathweave.operators.dfg import dfg_edges
+    assert {(r["src"], r["dst"]) for r in dfg_edges(back).collect()} == set(zip(labels, labels[1:]))
+
+
+def test_feature_store_round_trip(spark, tmp_path):
+    import pytest
+
+    from pathweave.operators.features import case_features
+    from pathweave.plans import modeling
+    from pathweave.sources.eventlog import read_features, write_features
+
+    t = F.col("activity")
+    log = events_as_log(spark, SF_SMALL).withColumn(
+        "activity", F.when(F.col("event_id") % 2 == 0, F.concat(t, F.lit(".b`c"))).otherwise(F.when(F.col("event_id") % 3 == 0, F.upper(t)).otherwise(t)))
+    write_features(case_features(log, 50), str(tmp_path / "encounter_features.parquet"))
+    back = read_features(spark, str(tmp_path))
+    assert back.count() == case_features(log, 50).count() and len([c for c in back.columns if c.startswith("proc_count__")]) == 15
+    model = modeling.train(back, "encounter_duration_minutes", params={"maxIter": 2, "maxDepth": 2})
+    assert modeling.score(model, back).count() == back.count()
+    with pytest.raises(FileNotFoundError):
+        read_features(spark, str(tmp_path / "none"))
 
 
 def test_streaming_restart_is_exactly_once(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
     body = ("ENCOUNTER;START;STOP;DESCRIPTION\n"
-            "{c};2011-01-14 22:49:36+00:00;2011-01-15 01:58:36+00:00;a\n"
-            "{c};2011-01-15 14:47:36+00:00;2011-01-15 15:02:36+00:00;b\n")
+            "{c};2019-08-03 06:10:00+00:00;2019-08-03 07:25:00+00:00;a\n"
+            "{c};2019-08-04 09:00:00+00:00;2019-08-04 09:30:00+00:00;b\n")
     (src / "f1.csv").write_text(body.format(c="e1"))
     (src / "f2.csv").write_text(body.format(c="e2"))
     out, ckpt = str(tmp_path / "out"), str(tmp_path / "ckpt")
