@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathweave.functions.encode import PREFIX, count_columns  # noqa: F401
 from pathweave.functions.timefns import minutes_between
 
-PREFIX = "proc_count__"
-TOPK_BROADCAST_MAX = 10_000
 
 
 def case_summary(log: DataFrame, case_col: str = "case_id") -> DataFrame:
@@ -38,16 +37,15 @@ def top_activity_list(log: DataFrame, k: int = 50, col: str = "activity") -> lis
 
 
 def topk_rows(log: DataFrame, k: int = 10, col: str = "activity") -> DataFrame:
-    """Rows whose (trimmed) activity is among the top ``k`` (broadcast left-semi; k rows at most)."""
+    """Rows whose (trimmed) activity is among the top ``k`` (left-semi join with k rows at most)."""
     top = top_activities(log, k, col).select(col)
-    side = F.broadcast(top) if k <= TOPK_BROADCAST_MAX else top
-    t = _trimmed(log, col)
-    return t.join(side, col, "left_semi")
+    return _trimmed(log, col).join(top, col, "left_semi")
 
 
 def _count_cols(names, col: str = "activity"):
+    """[(column name, count)] in alphabetical order of the labels."""
     a = F.col(col)
-    return [F.count_if(a == F.lit(n)).alias(f"{PREFIX}{n}") for n in sorted(names)]
+    return [(c, F.count_if(a == F.lit(n))) for n, c in count_columns(names)]
 
 
 def proc_matrix(log: DataFrame, k: int = 50, names: list[str] | None = None, case_col: str = "case_id") -> DataFrame:
@@ -58,7 +56,9 @@ def proc_matrix(log: DataFrame, k: int = 50, names: list[str] | None = None, cas
     """
     names = names if names is not None else top_activity_list(log, k)
     t = _trimmed(log).filter(F.col("activity").isin(names))
-    return t.groupBy(case_col).agg(*_count_cols(names))
+    counts = _count_cols(names)
+    out = t.groupBy(case_col).agg(F.count(F.lit(1)).alias("_all"), *[n.alias(f"_p{i}") for i, (_, n) in enumerate(counts)])
+    return out.drop("_all").toDF(case_col, *[c for c, _ in counts])
 
 
 def case_features(log: DataFrame, k: int = 50, names: list[str] | None = None,
@@ -70,14 +70,14 @@ def case_features(log: DataFrame, k: int = 50, names: list[str] | None = None,
     would.
     """
     names = names if names is not None else top_activity_list(log, k)
-    t = _trimmed(log)
-    s = t.groupBy(case_col).agg(
+    counts = _count_cols(names)
+    s = _trimmed(log).groupBy(case_col).agg(
         F.min("start_ts").alias("encounter_start"),
         F.max("end_ts").alias("encounter_end"),
         F.count("activity").alias("event_count"),
-        *_count_cols(names))
+        *[n.alias(f"_p{i}") for i, (_, n) in enumerate(counts)])
     s = s.withColumn("encounter_duration_minutes", minutes_between("encounter_start", "encounter_end"))
     s = (s.filter(F.col("encounter_duration_minutes") > 0)
          .withColumn("total_hours", F.col("encounter_duration_minutes") / F.lit(60.0)))
     head = [case_col, "encounter_start", "encounter_end", "event_count", "encounter_duration_minutes", "total_hours"]
-    return s.select(*head, *[c for c in s.columns if c.startswith(PREFIX)])
+    return s.select(*head, *[f"_p{i}" for i in range(len(counts))]).toDF(*head, *[c for c, _ in counts])

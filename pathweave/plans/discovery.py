@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from pathweave.functions.labels import CLINICAL_RULES, collapse_labels, normalise_text
 from pathweave.operators import dfg, stats
+from pathweave.operators.clean import min_case_size
 from pathweave.operators.trace import DEFAULT_SKEW, SkewPolicy, transitions
 from pathweave.session import shared_path
 
@@ -59,7 +60,10 @@ def normalise_log(log: DataFrame, rules=CLINICAL_RULES) -> DataFrame:
 
 def discover(log: DataFrame, rules=CLINICAL_RULES, region: str | None = "MA", min_events: int = 2,
              policy: SkewPolicy | None = DEFAULT_SKEW, materialize: bool = False) -> Discovery:
+    """``min_events`` drops all smaller cases before anything else (one-event cases have no transition anyway)."""
     log = normalise_log(log, rules) if rules is not None else log
+    if min_events > 2:
+        log = min_case_size(log, min_events)
     trans = transitions(log, region=region, policy=policy)
     if materialize:
         path = shared_path(log.sparkSession, f"transitions-{uuid.uuid4().hex}")

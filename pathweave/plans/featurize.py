@@ -16,7 +16,3 @@ def build_features(spark: SparkSession, log_path: str, store_dir: str, fmt: str
     log = read_log(spark, log_path, fmt=fmt)
     feats = case_features(log, k=top_k)
     return write_features(feats, f"{store_dir.rstrip('/')}/{FEATURES_NAME}")
-
-
-def features_of(log: DataFrame, top_k: int = 50) -> DataFrame:
-    return case_features(log, k=top_k)

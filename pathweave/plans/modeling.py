@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathweave.functions.timefns import minutes_between, round2
+from pathweave.functions.encode import multi_hot
 from pathweave.operators.stats import group_quantiles
 
 # Boosted-tree settings (100 trees, learning rate 0.1, depth 5, seed 42)
@@ -32,12 +33,12 @@ def training_rows(log: DataFrame) -> DataFrame:
             .filter(F.col("Waiting_Time_Mins") >= 0))
 
 
-def training_table_from_raw(spark, path: str, sep: str = ";") -> DataFrame:
+def training_table_from_raw(spark, path: str, sep: str = ";", multiline: bool = False) -> DataFrame:
     """Raw delimited log -> training rows: stripped headers, lenient START/STOP,
     rows missing either time dropped, service minutes >= 0, calendar features."""
     from pathweave.functions.timefns import parse_ts_lenient
     from pathweave.sources.eventlog import read_csv_stripped
-    raw = read_csv_stripped(spark, path, sep)
+    raw = read_csv_stripped(spark, path, sep, multiline)
     df = raw.select(F.xxhash64(*[F.col(c) for c in raw.columns]).alias("event_id"),
                     parse_ts_lenient("START").alias("start_ts"), parse_ts_lenient("STOP").alias("end_ts"))
     return training_rows(df.na.drop(subset=["start_ts", "end_ts"]))
@@ -45,26 +46,27 @@ def training_table_from_raw(spark, path: str, sep: str = ";") -> DataFrame:
 
 def random_split_flag(df: DataFrame, id_col: str = "event_id", test_fraction: float = TEST_FRACTION,
                       seed: int = SEED) -> DataFrame:
-    """Deterministic split: a row is held out when hash(id, seed) falls in the test share.
+    """Deterministic split: a row is held out when its bucket falls in the test share.
 
-    Unlike ``randomSplit`` it does not depend on partitioning or row order.
+    The bucket comes from the MD5 checksum of "<seed>:<id>" as text, so any
+    engine gives the same split; unlike ``randomSplit`` it does not depend on
+    partitioning or row order.
     """
-    bucket = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1_000_000))
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")).cast("binary")), 1, 10)
+    bucket = F.conv(digits, 16, 10).cast("bigint") % F.lit(1_000_000)
     return df.withColumn("split", F.when(bucket < F.lit(int(round((1 - test_fraction) * 1_000_000))),
                                          F.lit("train")).otherwise(F.lit("test")))
 
 
-def chrono_split_flag(df: DataFrame, time_col: str, val_fraction: float = 0.25,
-                      limit: int | None = None) -> DataFrame:
+def chrono_split_flag(df: DataFrame, time_col: str, val_fraction: float = 0.25) -> DataFrame:
     """Newest ``val_fraction`` to validation: cut = (1 - f) quantile of the time; train <= cut < val.
 
-    The cut is a one-row aggregate (exact quantile over time value counts)
+    The cut is a one-row aggregate (exact quantile)
     cross-joined back; nothing is collected.
     """
     us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
                           F.col(time_col).cast("timestamp_ntz"))
-    vc = df.groupBy(us.alias("value")).agg(F.count(F.lit(1)).alias("cnt"))
-    cut = group_quantiles(vc, (), [1.0 - val_fraction], limit).select(F.col("_q")[0].alias("_cut"))
+    cut = group_quantiles(df.select(us.alias("value")), (), [1.0 - val_fraction]).select(F.col("_q")[0].alias("_cut"))
     return (df.crossJoin(F.broadcast(cut))
             .withColumn("split", F.when(us <= F.col("_cut"), F.lit("train")).otherwise(F.lit("val")))
             .drop("_cut"))
@@ -102,6 +104,11 @@ def score(model, df: DataFrame, out: str = "predicted_min") -> DataFrame:
     return model.transform(df).withColumn(out, round2(F.col("prediction"))).drop("features", "prediction")
 
 
+def predict_minutes(model, lists: DataFrame, vocabulary, items: str = "procedures", keep=()) -> DataFrame:
+    """Lists of procedures -> 0/1 vector over the vocabulary -> model -> minutes rounded to 2 decimals."""
+    return score(model, lists.select(*keep, *multi_hot(items, vocabulary))).select(*keep, "predicted_min")
+
+
 def save_artifacts(model_dir: str, model, metrics: dict) -> dict:
     """Model via the ML writer, metrics as a one-line JSON next to it; returns the paths."""
     mpath = os.path.join(model_dir, "model")
