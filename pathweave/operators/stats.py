@@ -1,11 +1,8 @@
 """Distribution statistics per group: quantiles, box, ECDF, describe, histogram, cap.
 
-Everything starts from a long form ``(dimension, grp, value)`` and is
-pre-aggregated to ``(dimension, grp, value, cnt)`` before any per-group step.
-That first aggregation is hash-partitioned on the value too, so even a
-single dominant group is spread over all tasks; what reaches one task per
-group afterwards is its distinct values, not its rows.  Waiting times are
-rounded to 0.01 min, so their distinct count is bounded by the value range.
+Waits are pre-aggregated to ``(dimension, grp, value, cnt)`` before any
+per-group step; quantiles are bracketed by counting, so neither a dominant
+group nor many distinct values ever meet in one task.
 """
 
 from __future__ import annotations
@@ -33,22 +30,27 @@ def group_dim(spark, groups=WAIT_GROUPS) -> DataFrame:
 
 def small_sorted(df: DataFrame, *cols) -> DataFrame:
     """Order a result whose size is bounded by a fixed dimension (7, 24, 50, 168 rows):
-    one partition sorted locally, no range-partition sampling job."""
-    return df.coalesce(1).sortWithinPartitions(*cols)
+    its rows (not the aggregation below) meet in one partition that is sorted there."""
+    return df.repartition(1).sortWithinPartitions(*cols)
 
 
 def wait_groups_long(trans: DataFrame, value_col: str = "waiting_min") -> DataFrame:
-    """One pass: each transition lands in one group of each of the three dimensions."""
+    """(dimension, grp, value, cnt): each transition lands in one group of each of the three dimensions.
+
+    Transitions are counted by (time of day, weekend, day type, value) first;
+    only that smaller table is expanded to three rows for each of its rows.
+    """
     h = F.hour("start_ts")
     tod = F.when((h >= 6) & (h < 18), F.lit("day")).otherwise(F.lit("night"))
     wk = F.when(F.col("is_weekend"), F.lit("weekend")).otherwise(F.lit("weekday"))
+    counted = (trans.select(tod.alias("_tod"), wk.alias("_wk"), "day_type", F.col(value_col).cast("double").alias("value"))
+               .groupBy("_tod", "_wk", "day_type", "value").agg(F.count(F.lit(1)).alias("cnt")))
     arr = F.array(
-        F.struct(F.lit("time_of_day").alias("dimension"), tod.alias("grp")),
-        F.struct(F.lit("weekend").alias("dimension"), wk.alias("grp")),
+        F.struct(F.lit("time_of_day").alias("dimension"), F.col("_tod").alias("grp")),
+        F.struct(F.lit("weekend").alias("dimension"), F.col("_wk").alias("grp")),
         F.struct(F.lit("day_type").alias("dimension"), F.col("day_type").alias("grp")),
     )
-    return (trans.select(F.col(value_col).cast("double").alias("value"), F.explode(arr).alias("g"))
-            .select("g.dimension", "g.grp", "value"))
+    return counted.select("value", "cnt", F.explode(arr).alias("g")).select("g.dimension", "g.grp", "value", "cnt")
 
 
 def value_counts(long: DataFrame, keys=("dimension", "grp"), positive: bool = True,
@@ -59,16 +61,14 @@ def value_counts(long: DataFrame, keys=("dimension", "grp"), positive: bool = Tr
         df = df.filter(F.col("value") > 0)
     if transform is not None:
         df = df.withColumn("value", transform(F.col("value")))
-    return df.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("cnt"))
+    times = F.sum("cnt") if "cnt" in df.columns else F.count(F.lit(1))
+    return df.groupBy(*keys, "value").agg(times.alias("cnt"))
 
 
-# Above this many distinct values in one group, quantiles and the ECDF leave
-# Spark's one-task-per-group aggregates (``percentile`` keeps a value -> count
-# map per group; a window keeps a group in one task) for range-partitioned
-# prefix sums that spread any group over all tasks.
-DISTINCT_PER_GROUP_LIMIT = 1_000_000
-# The prefix-sum offset table (partitions x groups) is broadcast up to this many rows.
-OFFSETS_BROADCAST_MAX = 1_000_000
+# Quantiles: bins of a refinement pass, and the number of values of one group
+# between two bracket ends from which on the bracket is refined once more.
+BRACKET_BINS = 1024
+BRACKET_VALUES = 100_000
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -90,44 +90,13 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return out
 
 
-def max_distinct_per_group(counts: DataFrame, keys=()) -> int:
-    """Largest number of distinct values in one group (a small aggregate, one row to the driver).
-
-    Remembered on a materialized table, which cannot change.
-    """
-    keys = list(keys)
-    memo = getattr(counts, "_pw_max_distinct", None) if getattr(counts, "_pw_materialized", False) else None
-    if memo is not None and tuple(keys) in memo:
-        return memo[tuple(keys)]
-    if not keys:
-        out = counts.count()
-    else:
-        out = counts.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if getattr(counts, "_pw_materialized", False):
-        counts._pw_max_distinct = {**(memo or {}), tuple(keys): out}
-    return out
-
-
-def groups_within(counts: DataFrame, keys, limit: int) -> bool:
-    """True when no group of the (keys, value, cnt) table has more than ``limit`` distinct values.
-
-    The table's row count bounds every group (cheap on a written table);
-    the per-group maximum is computed only when that bound is not enough.
-    """
-    total = counts.count()
-    if total <= limit:
-        return True
-    return max_distinct_per_group(counts, keys) <= limit
-
-
 def cumulative_counts(counts: DataFrame, keys=(), n_parts: int | None = None) -> DataFrame:
     """Add ``n_le`` (values <= value in the group) and ``n`` (group size) to (keys, value, cnt).
 
     Distributed prefix sum: range-partition by (keys, value), running sum per
     (partition, group), written once to the shared folder so partition ids
     stay fixed, then add the totals of all earlier partitions of the group
-    from a (partitions x groups) table that is broadcast -- meant for a few
-    groups (dimension groups, top-k), as used here.
+    from a (partitions x groups) table.
     """
     spark = counts.sparkSession
     keys = list(keys)
@@ -140,145 +109,140 @@ def cumulative_counts(counts: DataFrame, keys=(), n_parts: int | None = None) ->
     before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select("_pid", *keys, F.coalesce(F.sum("_pt").over(before), F.lit(0)).alias("_off"),
                      F.sum("_pt").over(Window.partitionBy(*keys)).alias("n"))
-    # one row per (partition, group): broadcast when that count is within the bound
-    side = F.broadcast(off) if tot.count() <= OFFSETS_BROADCAST_MAX else off
-    return (local.join(side, ["_pid", *keys])
+    return (local.join(off, ["_pid", *keys])
             .select(*keys, "value", "cnt", (F.col("_lc") + F.col("_off")).alias("n_le"), "n"))
 
 
-def _quantiles_by_rank(cum: DataFrame, keys, probs) -> DataFrame:
-    """Exact quantiles from cumulative counts: the values at ranks floor/ceil((n-1)p),
-    interpolated exactly as Spark's ``percentile`` does."""
-    keys = list(keys)
-    pa = F.array(*[F.lit(float(p)) for p in probs])
-    x = cum.select(*keys, "value", "cnt", "n_le", "n", F.posexplode(pa).alias("_i", "_p"))
-    pos = (F.col("n") - 1) * F.col("_p")
-    lo, hi = F.floor(pos), F.ceil(pos)
-    start = F.col("n_le") - F.col("cnt")
-    hit_lo = (lo >= start) & (lo < F.col("n_le"))
-    hit_hi = (hi >= start) & (hi < F.col("n_le"))
-    g = (x.filter(hit_lo | hit_hi)
-         .groupBy(*keys, "_i")
-         .agg(F.max(F.when(hit_lo, F.col("value"))).alias("_lv"), F.max(F.when(hit_hi, F.col("value"))).alias("_hv"),
-              F.first(pos).alias("_pos"), F.first("n").alias("n")))
-    lo_c, hi_c = F.floor("_pos"), F.ceil("_pos")
-    q = (F.when((lo_c == hi_c) | (F.col("_lv") == F.col("_hv")), F.col("_lv"))
-         .otherwise((hi_c - F.col("_pos")) * F.col("_lv") + (F.col("_pos") - lo_c) * F.col("_hv")))
-    return (g.groupBy(*keys).agg(F.first("n").alias("n"),
-                                 F.array_sort(F.collect_list(F.struct("_i", q.alias("q")))).alias("_s"))
-            .select(*keys, "n", F.when(F.size("_s") > 0, F.transform("_s", lambda e: e["q"])).alias("_q")))
-
-
-def group_quantiles(counts: DataFrame, keys=(), probs=SUMMARY_PROBS,
-                    limit: int | None = None) -> DataFrame:
-    """(keys..., n, _q array) of exact quantiles over pre-aggregated (keys, value, cnt).
-
-    Uses ``percentile`` with frequencies when every group has at most
-    ``limit`` distinct values (bounded per-task memory, checked first),
-    otherwise the distributed rank lookup.
+def _lerp(a: Column, b: Column, t: Column) -> Column:
+    """numpy's interpolation: from the nearer end, so that t = 0 and t = 1 are exact."""
+    return F.when(t >= 0.5, b - (b - a) * (F.lit(1.0) - t)).otherwise(a + (b - a) * t)
+
+
+def group_quantiles(counts: DataFrame, keys=(), probs=SUMMARY_PROBS, bins: int | None = None,
+                    values: int | None = None) -> DataFrame:
+    """(keys..., n, _q array) of exact quantiles (numpy's default method) of (keys, value[, cnt]) rows.
+
+    The ranks floor((n-1)p) and ceil((n-1)p) of each quantile are bracketed
+    by value.  While a bracket holds more than ``values`` rows, one pass counts
+    its rows in ``bins`` equal bins (a partial aggregation) and keeps the bins
+    that hold the ranks.  The few rows left are counted by value and the two
+    values at the ranks picked from running sums.  Nothing but these rows is
+    ever sorted, and no group meets in one task.
     """
-    keys = list(keys)
-    limit = DISTINCT_PER_GROUP_LIMIT if limit is None else limit
-    counts = materialize(counts)
-    if groups_within(counts, keys, limit):
-        grouped = counts.groupBy(*keys) if keys else counts.groupBy()
-        return grouped.agg(F.sum("cnt").alias("n"),
-                           F.percentile("value", F.array(*[F.lit(float(p)) for p in probs]), F.col("cnt"))
-                           .alias("_q"))
-    return _quantiles_by_rank(cumulative_counts(counts, keys), keys, probs)
+    keys, bins, values = list(keys), bins or BRACKET_BINS, values or BRACKET_VALUES
+    rows = counts if "cnt" in counts.columns else counts.withColumn("cnt", F.lit(1).cast("bigint"))
+    rows = rows.select(*keys, F.col("value").cast("double").alias("value"), "cnt").filter(F.col("value").isNotNull())
+    at = F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_i", "_p")
+    grouped = rows.groupBy(*keys) if keys else rows.groupBy()
+    state = grouped.agg(F.sum("cnt").alias("n"), F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+    state = state.filter(F.col("n") > 0).select("*", at).withColumns({
+        "_r0": F.floor((F.col("n") - 1) * F.col("_p")), "_r1": F.ceil((F.col("n") - 1) * F.col("_p")),
+        "_below": F.lit(0).cast("bigint"), "_inside": F.col("n")})
+    state = materialize(state, "brackets")
+
+    def in_bracket() -> DataFrame:
+        side = state.select(*[F.col(c).alias(f"_k_{c}") for c in keys], "_i", "_lo", "_hi", "_below", "_r0", "_r1")
+        on = F.col("value").between(F.col("_lo"), F.col("_hi"))
+        for c in keys:
+            on = on & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+        return rows.join(side, on)
+
+    while (state.filter(F.col("_hi") > F.col("_lo")).agg(F.max("_inside")).first()[0] or 0) > values:
+        place = (F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins
+        counted = in_bracket().withColumn("_b", F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor(place), F.lit(bins - 1)))
+                                          .otherwise(F.lit(0)))
+        counted = counted.groupBy(*keys, "_i", "_b").agg(
+            F.sum("cnt").alias("_c"), F.min("value").alias("_lo"), F.max("value").alias("_hi"),
+            F.first("_below").alias("_below"), F.first("_r0").alias("_r0"), F.first("_r1").alias("_r1"))
+        upto = F.col("_below") + F.sum("_c").over(Window.partitionBy(*keys, "_i").orderBy("_b"))
+        hit = counted.withColumn("_end", upto).withColumn("_start", F.col("_end") - F.col("_c")).filter(
+            (F.col("_start") <= F.col("_r1")) & (F.col("_end") > F.col("_r0")))
+        narrow = hit.groupBy(*keys, "_i").agg(F.min("_lo").alias("_nlo"), F.max("_hi").alias("_nhi"),
+                                              F.min("_start").alias("_nb"), F.sum("_c").alias("_nc"))
+        names = [f"_k_{c}" for c in keys]
+        narrow = narrow.toDF(*names, "_ni", "_nlo", "_nhi", "_nb", "_nc")
+        on = F.col("_i") == F.col("_ni")
+        for c, k in zip(keys, names, strict=True):
+            on = on & F.col(c).eqNullSafe(F.col(k))
+        state = materialize(state.join(narrow, on).select(
+            *keys, "n", F.col("_nlo").alias("_lo"), F.col("_nhi").alias("_hi"), "_i", "_p", "_r0", "_r1",
+            F.col("_nb").alias("_below"), F.col("_nc").alias("_inside")), "brackets")
+
+    few = in_bracket().groupBy(*keys, "_i", "value", "_below", "_r0", "_r1").agg(F.sum("cnt").alias("_c"))
+    end = F.col("_below") + F.sum("_c").over(Window.partitionBy(*keys, "_i").orderBy("value"))
+    few = few.withColumn("_end", end).withColumn("_start", F.col("_end") - F.col("_c"))
+
+    def value_at(rank: str) -> Column:
+        return F.max(F.when((F.col("_start") <= F.col(rank)) & (F.col("_end") > F.col(rank)), F.col("value")))
+
+    picked = few.groupBy(*keys, "_i").agg(value_at("_r0").alias("_a"), value_at("_r1").alias("_z"))
+    picked = picked.toDF(*[f"_k_{c}" for c in keys], "_ni", "_a", "_z")
+    on = F.col("_i") == F.col("_ni")
+    for c in keys:
+        on = on & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    pos = (F.col("n") - 1) * F.col("_p")
+    q = state.join(picked, on).select(*keys, "n", "_i", _lerp(F.col("_a"), F.col("_z"), pos - F.floor(pos)).alias("q"))
+    out = q.groupBy(*keys, "n").agg(F.array_sort(F.collect_list(F.struct("_i", "q"))).alias("_s"))
+    return out.select(*keys, "n", F.transform("_s", lambda e: e["q"]).alias("_q"))
 
 
 def quantile_summary(counts: DataFrame, dim: DataFrame, keys=("dimension", "grp"),
-                     probs=SUMMARY_PROBS, names=("median", "p90", "p95", "p99"),
-                     limit: int | None = None) -> DataFrame:
+                     probs=SUMMARY_PROBS, names=("median", "p90", "p95", "p99")) -> DataFrame:
     """n and quantiles (rounded like Python's ``round``) per group; empty groups get n = 0 and nulls.
 
     Exact quantiles use linear interpolation between closest ranks (numpy's
     default) and read the pre-aggregated counts as frequencies.
     """
-    agg = group_quantiles(counts, keys, probs, limit)
+    agg = group_quantiles(materialize(counts), keys, probs)
     agg = agg.select(*keys, "n", round_exact_array("_q").alias("_q"))
-    out = F.broadcast(dim).join(agg, list(keys), "left")
+    out = dim.join(agg, list(keys), "left")
     cols = [*keys, F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")]
     cols += [F.col("_q")[i].alias(nm) for i, nm in enumerate(names)]
     return small_sorted(out.select(*cols, "grp_no"), "grp_no").drop("grp_no")
 
 
-def quantile_summary_approx(long: DataFrame, dim: DataFrame, keys=("dimension", "grp"),
-                            probs=SUMMARY_PROBS, names=("median", "p90", "p95", "p99"),
-                            accuracy: int = 100_000) -> DataFrame:
-    """Same shape as :func:`quantile_summary` with ``percentile_approx`` (bounded memory per group)."""
-    v = long.filter(F.col("value") > 0)
-    agg = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
-                               F.percentile_approx("value", probs, accuracy).alias("_q"))
-    agg = agg.select(*keys, "n", round_exact_array("_q").alias("_q"))
-    out = F.broadcast(dim).join(agg, list(keys), "left")
-    cols = [*keys, F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")]
-    cols += [F.col("_q")[i].alias(nm) for i, nm in enumerate(names)]
-    return small_sorted(out.select(*cols, "grp_no"), "grp_no").drop("grp_no")
-
-
-def box_stats(counts_log: DataFrame, dim: DataFrame, keys=("dimension", "grp"), whis: float = 1.5,
-              limit: int | None = None) -> DataFrame:
+def box_stats(counts_log: DataFrame, dim: DataFrame, keys=("dimension", "grp"), whis: float = 1.5) -> DataFrame:
     """Box-plot statistics (quartiles, mean, 1.5 IQR whiskers, outliers) of pre-aggregated values.
 
     Two passes over the (group, value, cnt) table: quartiles, then whiskers
-    and outlier count against the fences (the per-group stats table has one
-    row per group and is broadcast).
+    and outlier count against the fences (one row per group).
     """
-    # only the groups of the (bounded) dimension take part, so the per-group
-    # fence table broadcast below has at most one row per dimension row
-    counts_log = materialize(counts_log.join(F.broadcast(dim.select(*keys)), list(keys), "left_semi"))
+    counts_log = materialize(counts_log.join(dim.select(*keys), list(keys), "left_semi"))
     mean = counts_log.groupBy(*keys).agg(
         (F.sum(F.col("value") * F.col("cnt")) / F.sum("cnt")).alias("mean"))
-    q = (group_quantiles(counts_log, keys, [0.25, 0.5, 0.75], limit).join(mean, list(keys))
+    q = (group_quantiles(counts_log, keys, [0.25, 0.5, 0.75]).join(mean, list(keys))
          .select(*keys, "n", "mean", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
                  F.col("_q")[2].alias("q3")))
     q = (q.withColumn("iqr", F.col("q3") - F.col("q1"))
          .withColumn("lo_fence", F.col("q1") - F.lit(whis) * F.col("iqr"))
          .withColumn("hi_fence", F.col("q3") + F.lit(whis) * F.col("iqr")))
     inside = (F.col("value") >= F.col("lo_fence")) & (F.col("value") <= F.col("hi_fence"))
-    w = (counts_log.join(F.broadcast(q.select(*keys, "lo_fence", "hi_fence")), list(keys))
+    w = (counts_log.join(q.select(*keys, "lo_fence", "hi_fence"), list(keys))
          .groupBy(*keys).agg(
              F.min(F.when(inside, F.col("value"))).alias("whisker_lo"),
              F.max(F.when(inside, F.col("value"))).alias("whisker_hi"),
              F.sum(F.when(~inside, F.col("cnt")).otherwise(F.lit(0))).alias("n_outliers")))
-    out = F.broadcast(dim).join(q, list(keys), "left").join(w, list(keys), "left")
+    out = dim.join(q, list(keys), "left").join(w, list(keys), "left")
     return (out.select(*keys, F.coalesce("n", F.lit(0)).cast("long").alias("n"), "mean", "q1", "median", "q3",
                        "iqr", "whisker_lo", "whisker_hi", F.coalesce("n_outliers", F.lit(0)).cast("long")
                        .alias("n_outliers"), "grp_no")
             .transform(lambda d: small_sorted(d, "grp_no")).drop("grp_no"))
 
 
-def ecdf(counts: DataFrame, keys=("dimension", "grp"), limit: int | None = None) -> DataFrame:
-    """ECDF steps: each distinct value once with the top of its step, y = rank / n.
-
-    Runs over distinct values (pre-aggregated), never raw rows: a window per
-    group when groups are provably small, else distributed prefix sums.
-    """
-    limit = DISTINCT_PER_GROUP_LIMIT if limit is None else limit
-    counts = materialize(counts)
-    if not groups_within(counts, keys, limit):
-        return (cumulative_counts(counts, keys).withColumn("y", F.col("n_le") / F.col("n"))
-                .select(*keys, "value", "cnt", "n_le", "n", "y"))
-    run = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    tot = Window.partitionBy(*keys)
-    return (counts.select(*keys, "value", "cnt",
-                          F.sum("cnt").over(run).alias("n_le"),
-                          F.sum("cnt").over(tot).alias("n"))
-            .withColumn("y", F.col("n_le") / F.col("n"))
+def ecdf(counts: DataFrame, keys=("dimension", "grp")) -> DataFrame:
+    """ECDF steps: each distinct value once with the top of its step, y = rank / n (distributed prefix sums)."""
+    return (cumulative_counts(counts, keys).withColumn("y", F.col("n_le") / F.col("n"))
             .select(*keys, "value", "cnt", "n_le", "n", "y"))
 
 
-def describe(values: DataFrame, value_col: str = "value", limit: int | None = None) -> DataFrame:
-    """count, mean, sample std, min, quartiles, max (exact quartiles, from value counts)."""
+def describe(values: DataFrame, value_col: str = "value") -> DataFrame:
+    """count, mean, sample std, min, quartiles, max (exact quartiles)."""
     v = values.filter(F.col(value_col).isNotNull())
     moments = v.agg(F.count(F.lit(1)).alias("count"), F.avg(value_col).alias("mean"),
                     F.stddev_samp(value_col).alias("std"), F.min(value_col).alias("min"),
                     F.max(value_col).alias("max"))
-    vc = v.groupBy(F.col(value_col).alias("value")).agg(F.count(F.lit(1)).alias("cnt"))
-    qs = group_quantiles(vc, (), [0.25, 0.5, 0.75], limit).select("_q")
-    return (moments.crossJoin(qs)
+    qs = group_quantiles(v.select(F.col(value_col).alias("value")), (), [0.25, 0.5, 0.75]).select("_q")
+    return (moments.join(qs, F.lit(True), "left")
             .select("count", "mean", "std", "min", F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"),
                     F.col("_q")[2].alias("p75"), "max"))
 
@@ -313,12 +277,9 @@ def histogram(values: DataFrame, value_col: str = "value", bins: int = 50) -> Da
             .transform(lambda d: small_sorted(d, "bin")))
 
 
-def quantile_cap(values: DataFrame, value_col: str, q: float = 0.99, out: str | None = None,
-                 limit: int | None = None) -> DataFrame:
+def quantile_cap(values: DataFrame, value_col: str, q: float = 0.99, out: str | None = None) -> DataFrame:
     """Add ``out`` = value clipped above at its q-quantile (one-row aggregate, broadcast-joined)."""
     out = out or f"{value_col}_capped"
-    vc = (values.filter(F.col(value_col).isNotNull())
-          .groupBy(F.col(value_col).alias("value")).agg(F.count(F.lit(1)).alias("cnt")))
-    cap = group_quantiles(vc, (), [q], limit).select(F.col("_q")[0].alias("_cap"))
+    cap = group_quantiles(values.select(F.col(value_col).alias("value")), (), [q]).select(F.col("_q")[0].alias("_cap"))
     return (values.crossJoin(F.broadcast(cap))
             .withColumn(out, clip_upper(F.col(value_col), F.col("_cap"))).drop("_cap"))
