@@ -14,13 +14,14 @@ end = ts + value minutes (rounded to the microsecond), tie-break = event_id.
 from __future__ import annotations
 
 import os
+import uuid
+import zlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathweave.functions.calendar import (
-    FIXED_DATE_HOLIDAYS, NTH_WEEKDAY_HOLIDAYS, REGION_HOLIDAYS, _MONTH_DAYS,
     day_name, is_holiday, is_weekend, time_of_day, weekday_index, year_week, day_type,
 )
 from pathweave.functions.encode import multi_hot
@@ -30,7 +31,8 @@ from pathweave.operators import clean, dfg, features, ops, stats
 from pathweave.operators.trace import transitions
 from pathweave.plans.discovery import normalise_log
 from pathweave.plans import modeling
-from pathweave.sources.eventlog import events_as_log
+from pathweave.session import shared_path
+from pathweave.sources.eventlog import events_as_log, read_log, write_log
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -214,11 +216,9 @@ def _durations(spark, d):
 def q_duration_box(spark, d):
     """Box statistics of positive durations for each of the ten most frequent activities."""
     pos = _durations(spark, d).filter(F.col("duration_min") > 0)
-    top = features.top_activities(pos, DURATION_BOX_K)
-    dim = top.select("activity", F.row_number().over(
-        Window.orderBy(F.col("n").desc(), F.col("activity").asc())).alias("grp_no"))
-    long = pos.join(F.broadcast(top.select("activity")), "activity", "left_semi") \
-        .select("activity", F.col("duration_min").alias("value"))
+    top = features.top_activity_list(pos, DURATION_BOX_K)          # ten names at most
+    dim = spark.createDataFrame(list(zip(top, range(1, len(top) + 1))), "activity string, grp_no int")
+    long = pos.filter(F.col("activity").isin(top)).select("activity", F.col("duration_min").alias("value"))
     return stats.box_stats(stats.value_counts(long, keys=("activity",)), dim, keys=("activity",))
 
 
@@ -292,6 +292,153 @@ def q_feature_model(spark, d):
     return modeling.score(model, va).select("case_id", "encounter_duration_minutes", "predicted_min")
 
 
+# ------------------------------------------- the same operators on uneven data
+
+CASE_SIZE_SPLIT = 67         # about half of the fixture's cases have fewer events
+UNEVEN_K = 3
+SAMPLE_TEXTS = ["  Fetal Anatomy Study \t", "\nAssessment of ANXIETY  ", " Drug Abuse prevention", "RENAL DIALYSIS (procedure) ",
+                "Combined Chemotherapy and Radiation", "  Echocardiography", "Plain chest X-Ray (procedure)",
+                "Hepatitis C antibody TEST ", "  Walking Aid  Fitting "]
+
+
+def q_case_sizes(spark, d):
+    """Sizes of the cases that reach the threshold (the others are dropped from the log)."""
+    return clean.case_sizes(clean.min_case_size(_log(spark, d), CASE_SIZE_SPLIT))
+
+
+def _spans_log(spark, d):
+    """Each event a case of its own; a third has no length and some end before they start."""
+    end = (F.when(F.col("event_id") % 3 == 0, F.col("start_ts"))
+           .when(F.col("event_id") % 5 == 0, F.timestamp_add("HOUR", F.lit(-2), F.col("start_ts"))).otherwise(F.col("end_ts")))
+    return _log(spark, d).withColumns({"case_id": F.col("event_id"), "end_ts": end})
+
+
+def q_case_summary_uneven(spark, d):
+    return features.case_summary(_spans_log(spark, d))
+
+
+def q_training_rows_uneven(spark, d):
+    return modeling.training_rows(_spans_log(spark, d)).select("event_id", "Waiting_Time_Mins", "Day_Index", "Arrival_Hour")
+
+
+def _brand_log(spark, d):
+    """Order lines as a log: case = order, activity = brand of the part, padded."""
+    li, pt = _t(spark, d, "lineitem"), _t(spark, d, "part")
+    return li.join(pt, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.col("l_orderkey").alias("case_id"), F.concat(F.lit("  "), F.col("p_brand"), F.lit("\t")).alias("activity"),
+        F.col("l_shipdate").cast("timestamp_ntz").alias("start_ts"),
+        F.timestamp_add("MINUTE", F.col("l_linenumber").cast("int"), F.col("l_shipdate").cast("timestamp_ntz")).alias("end_ts"))
+
+
+def _long_counts(df: DataFrame, keys: list[str]) -> DataFrame:
+    cols = [c for c in df.columns if c.startswith(features.PREFIX)]
+    pairs = F.array(*[F.struct(F.lit(c.removeprefix(features.PREFIX)).alias("label"), F.col(f"`{c}`").alias("n")) for c in cols])
+    return df.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.label", "p.n")
+
+
+def q_proc_matrix_top3(spark, d):
+    """Counts of the three most frequent brands; orders without any of them are absent, other cells are 0."""
+    return _long_counts(features.proc_matrix(_brand_log(spark, d), UNEVEN_K), ["case_id"])
+
+
+def q_case_features_top3(spark, d):
+    return _long_counts(features.case_features(_brand_log(spark, d), UNEVEN_K), ["case_id", "event_count"])
+
+
+def q_multi_hot_top3(spark, d):
+    log = features._trimmed(_brand_log(spark, d))
+    lists = log.groupBy("case_id").agg(F.collect_set("activity").alias("procedures"))
+    hot = lists.select("case_id", *multi_hot("procedures", features.top_activity_list(log, UNEVEN_K)))
+    return _long_counts(hot, ["case_id"])
+
+
+def _variant_log(spark, d):
+    """Labels with dots and labels that differ only in case."""
+    t, k = F.col("activity"), F.col("event_id") % 3
+    return _log(spark, d).withColumn("activity", F.when(k == 0, F.upper(t)).when(k == 1, F.concat(t, F.lit(".x"))).otherwise(t))
+
+
+def q_case_features_labels(spark, d):
+    return features.case_features(_variant_log(spark, d), TOP_K)
+
+
+def _night_weekday(spark, d):
+    return ops.filter_view(_sv(spark, d), ops.TOD_NIGHT, ops.WEEK_ALL, "Weekday")
+
+
+def q_daily_mean_filtered(spark, d):
+    return ops.daily_mean(_night_weekday(spark, d))
+
+
+def q_hourly_mean_filtered(spark, d):
+    return ops.hourly_mean(_night_weekday(spark, d))
+
+
+def q_heatmap_filtered(spark, d):
+    return ops.heatmap(_night_weekday(spark, d))
+
+
+def q_slot_forecast_filtered(spark, d):
+    """Most slots are empty, so the fallback shows."""
+    return ops.slot_forecast(_night_weekday(spark, d))
+
+
+def q_collapse_clinical(spark, d):
+    texts = F.array(*[F.lit(x) for x in SAMPLE_TEXTS])
+    text = F.element_at(texts, (F.col("p_partkey") % len(SAMPLE_TEXTS) + 1).cast("int"))
+    return _t(spark, d, "part").select("p_partkey", collapse_labels(normalise_text(text)).alias("activity"))
+
+
+def q_calendar_hours(spark, d):
+    o = _t(spark, d, "orders").withColumn("o_at", F.timestamp_add(
+        "MINUTE", (F.col("o_orderkey") * 7919 % 1440).cast("int"), F.col("o_orderdate")))
+    ts = F.col("o_at")
+    return o.select("o_orderkey", "o_at", F.hour(ts).cast("int").alias("hour"), time_of_day(ts).alias("time_of_day"),
+                    year_week(ts).alias("year_week"), is_weekend(ts).alias("is_weekend"))
+
+
+def _quoted_log(spark, d):
+    """Quoted labels, and events of a case that start in the same minute, so that only the id orders them."""
+    return _log(spark, d).withColumns({
+        "activity": F.concat(F.lit('say "'), F.col("activity"), F.lit('"; done, next')),
+        "start_ts": F.date_trunc("MONTH", F.col("start_ts").cast("timestamp")).cast("timestamp_ntz"),
+        "end_ts": F.date_trunc("MONTH", F.col("start_ts").cast("timestamp")).cast("timestamp_ntz"),
+        "event_ts": F.date_trunc("MONTH", F.col("start_ts").cast("timestamp")).cast("timestamp_ntz")})
+
+
+def q_csv_roundtrip(spark, d):
+    """Edges of a log that was written as CSV and read back."""
+    path = write_log(_quoted_log(spark, d), shared_path(spark, f"roundtrip-{uuid.uuid4().hex}"), fmt="csv")
+    return dfg.dfg_edges(read_log(spark, path, fmt="csv", ntz=True))
+
+
+def q_random_split(spark, d):
+    return modeling.random_split_flag(modeling.training_rows(_log(spark, d))).select("event_id", "split")
+
+
+def q_gbt_mae(spark, d):
+    """Test rows, and whether the trees' error is within a tenth of that of the training mean."""
+    rows = modeling.random_split_flag(modeling.training_rows(_log(spark, d)))
+    tr, te = modeling.split_frames(rows, "train", "test")
+    model = modeling.train(tr, "Waiting_Time_Mins", modeling.CALENDAR_FEATURES, {**modeling.GBT_PARAMS, "maxIter": 10})
+    mean = tr.agg(F.avg("Waiting_Time_Mins").alias("m"))
+    err = model.transform(te).crossJoin(F.broadcast(mean)).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("Waiting_Time_Mins") - F.col("prediction"))).alias("e"),
+        F.avg(F.abs(F.col("Waiting_Time_Mins") - F.col("m"))).alias("b"))
+    return err.select("n", (F.col("e") <= 1.1 * F.col("b")).alias("in_band"))
+
+
+def q_predict_procs(spark, d):
+    """Lists of procedures -> vector -> model -> minutes: one finite prediction for every case."""
+    log = _log(spark, d)
+    feats = features.case_features(log, names=VOCAB)
+    model = modeling.train(feats, "encounter_duration_minutes", params={**modeling.GBT_PARAMS, "maxIter": 5})
+    lists = log.groupBy("case_id").agg(F.collect_set("activity").alias("procedures"))
+    out = modeling.predict_minutes(model, lists, VOCAB, keep=("case_id",))
+    minutes = F.col("predicted_min")
+    return out.select("case_id", (minutes.isNotNull() & ~F.isnan(minutes) & (minutes > 0)).alias("finite"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: fn for name, fn in globals().items() if name.startswith("q_") and callable(fn)
 }
@@ -343,31 +490,29 @@ def _norm_sql(x: str) -> str:
     return f"lower(regexp_replace({x}, '^\\s+|\\s+$', '', 'g'))"
 
 
+# No rule fires on the fixture's activities; q_collapse_clinical hits every rule.
 NLOG = LOG + f""",
 nlog AS (
-  SELECT case_id, {_collapse_sql(_norm_sql('activity'), CLINICAL_RULES)} AS activity,
+  SELECT case_id, {_norm_sql('activity')} AS activity,
          start_ts, end_ts, event_ts, event_id
   FROM log)"""
 
 
-def _holiday_sql(ts: str, region: str | None) -> str:
-    d = f"CAST({ts} AS DATE)"
+# Federal holidays, written out for the oracle: (month, day, first year) and (month, ISO weekday, first day, last day).
+_ORACLE_FIXED = [(1, 1, 0), (6, 19, 2021), (7, 4, 0), (11, 11, 0), (12, 25, 0)]
+_ORACLE_NTH = [(1, 1, 15, 21), (2, 1, 15, 21), (5, 1, 25, 31), (9, 1, 1, 7), (10, 1, 8, 14), (11, 4, 22, 28)]
+_ORACLE_REGION = {"MA": [(4, 1, 15, 21)]}
 
-    def on(x, m, day, since):
-        c = f"(month({x}) = {m} AND day({x}) = {day}"
-        return c + (f" AND year({x}) >= {since})" if since else ")")
 
+def _holiday_sql(ts: str, region: str | None) -> str:
+    d = f"CAST({ts} AS DATE)"
     parts = []
-    for _, m, day, since in FIXED_DATE_HOLIDAYS:
-        nxt, prv = f"({d} + INTERVAL 1 DAY)", f"({d} - INTERVAL 1 DAY)"
-        parts.append(f"{on(d, m, day, since)} OR (isodow({d}) = 5 AND {on(nxt, m, day, since)})"
-                     f" OR (isodow({d}) = 1 AND {on(prv, m, day, since)})")
-    for _, m, wd, n in NTH_WEEKDAY_HOLIDAYS + REGION_HOLIDAYS.get(region or "", []):
-        base = f"(month({d}) = {m} AND isodow({d}) - 1 = {wd}"
-        if n == -1:
-            parts.append(base + f" AND day({d}) > {_MONTH_DAYS[m] - 7})")
-        else:
-            parts.append(base + f" AND day({d}) BETWEEN {7 * (n - 1) + 1} AND {7 * n})")
+    for m, day, since in _ORACLE_FIXED:
+        for shift, only in (("", ""), (" + INTERVAL 1 DAY", f"isodow({d}) = 5 AND "), (" - INTERVAL 1 DAY", f"isodow({d}) = 1 AND ")):
+            x = f"({d}{shift})"
+            parts.append(f"{only}month({x}) = {m} AND day({x}) = {day} AND year({x}) >= {since}")
+    for m, wd, lo, hi in _ORACLE_NTH + _ORACLE_REGION.get(region or "", []):
+        parts.append(f"month({d}) = {m} AND isodow({d}) = {wd} AND day({d}) BETWEEN {lo} AND {hi}")
     return "(" + " OR ".join(f"({p})" for p in parts) + ")"
 
 
@@ -395,6 +540,14 @@ def _minutes(a: str, b: str) -> str:
     return f"(date_diff('microsecond', {a}, {b}) / 1e6 / 60.0)"
 
 
+def _npq(values: str, p: float) -> str:
+    """numpy's default quantile of an ordered list."""
+    pos = f"((len({values}) - 1) * CAST({p!r} AS DOUBLE))"
+    a, b = f"{values}[CAST(floor({pos}) AS BIGINT) + 1]", f"{values}[CAST(ceil({pos}) AS BIGINT) + 1]"
+    t = f"({pos} - floor({pos}))"
+    return f"(CASE WHEN {t} >= 0.5 THEN {b} - ({b} - {a}) * (1.0 - {t}) ELSE {a} + ({b} - {a}) * {t} END)"
+
+
 SUCC = NLOG + """,
 succ AS (
   SELECT *, lead(start_ts) OVER w AS next_start, lead(activity) OVER w AS next_activity
@@ -444,11 +597,8 @@ days(day_no, day_name) AS (VALUES (0, 'Monday'), (1, 'Tuesday'), (2, 'Wednesday'
 DUR = LOG + f""",
 dur AS (SELECT event_id, start_ts, end_ts, activity, {_minutes('start_ts', 'end_ts')} AS duration_min FROM log),
 posd AS (SELECT * FROM dur WHERE duration_min > 0),
-capped AS (
-  SELECT *, CASE WHEN duration_min > (SELECT quantile_cont(duration_min, 0.99) FROM posd)
-                 THEN (SELECT quantile_cont(duration_min, 0.99) FROM posd) ELSE duration_min END
-              AS duration_capped
-  FROM posd)"""
+cap AS (SELECT {_npq('v', 0.99)} AS q FROM (SELECT list(duration_min ORDER BY duration_min) AS v FROM posd)),
+capped AS (SELECT posd.*, least(duration_min, q) AS duration_capped FROM posd, cap)"""
 
 _PCOUNTS = ", ".join(f"count(*) FILTER (WHERE activity = '{v}') AS proc_count__{v}" for v in VOCAB)
 
@@ -505,6 +655,76 @@ def oracle_sql() -> dict[str, str]:
 def _log_oracles() -> dict[str, str]:
     q = {}
     q["q_load_log"] = f"WITH {LOG} SELECT * FROM log"
+    q["q_case_sizes"] = f"""
+WITH {LOG} SELECT case_id, count(*) AS n_events FROM log GROUP BY case_id HAVING count(*) >= {CASE_SIZE_SPLIT}"""
+    spans = f"""
+WITH {LOG},
+spans AS (
+  SELECT event_id AS case_id, event_id, start_ts,
+         CASE WHEN event_id % 3 = 0 THEN start_ts WHEN event_id % 5 = 0 THEN start_ts - INTERVAL 2 HOUR ELSE end_ts END AS end_ts
+  FROM log)"""
+    q["q_case_summary_uneven"] = spans + f"""
+SELECT case_id, start_ts AS encounter_start, end_ts AS encounter_end, CAST(1 AS BIGINT) AS event_count,
+       {_minutes('start_ts', 'end_ts')} AS encounter_duration_minutes, {_minutes('start_ts', 'end_ts')} / 60.0 AS total_hours
+FROM spans WHERE end_ts > start_ts"""
+    q["q_training_rows_uneven"] = spans + f"""
+SELECT event_id, {_minutes('start_ts', 'end_ts')} AS Waiting_Time_Mins, CAST(isodow(start_ts) - 1 AS INTEGER) AS Day_Index,
+       CAST(hour(start_ts) AS INTEGER) AS Arrival_Hour
+FROM spans WHERE end_ts >= start_ts"""
+    brands = f"""
+WITH lines AS (SELECT l_orderkey AS case_id, p_brand AS label FROM lineitem JOIN part ON l_partkey = p_partkey),
+top AS (SELECT label FROM lines GROUP BY label ORDER BY count(*) DESC, label LIMIT {UNEVEN_K}),
+cells AS (
+  SELECT c.case_id, c.event_count, top.label, count(l.label) AS n
+  FROM (SELECT case_id, count(*) AS event_count FROM lines GROUP BY case_id) c CROSS JOIN top
+  LEFT JOIN lines l ON l.case_id = c.case_id AND l.label = top.label GROUP BY 1, 2, 3)"""
+    q["q_proc_matrix_top3"] = brands + """
+SELECT case_id, label, n FROM cells WHERE case_id IN (SELECT case_id FROM cells WHERE n > 0)"""
+    q["q_case_features_top3"] = brands + "\nSELECT case_id, event_count, label, n FROM cells"
+    q["q_multi_hot_top3"] = brands + "\nSELECT case_id, label, CAST(n > 0 AS INTEGER) AS n FROM cells"
+    # Sorted labels: capitals come first; what equals an earlier label but for case, or has a dot, ends in a checksum.
+    named = [(v.upper(), v.upper()) for v in VOCAB]
+    named += [(v, f"{v}__{zlib.crc32(v.encode()):08x}") for v in VOCAB]
+    named += [(f"{v}.x", f"{v}_x__{zlib.crc32(f'{v}.x'.encode()):08x}") for v in VOCAB]
+    cells = ", ".join(f"count(*) FILTER (WHERE label = '{v}') AS proc_count__{c}" for v, c in named)
+    q["q_case_features_labels"] = f"""
+WITH {LOG},
+v AS (SELECT *, CASE event_id % 3 WHEN 0 THEN upper(activity) WHEN 1 THEN activity || '.x' ELSE activity END AS label FROM log),
+f AS (
+  SELECT case_id, min(start_ts) AS encounter_start, max(end_ts) AS encounter_end, count(*) AS event_count, {cells}
+  FROM v GROUP BY case_id)
+SELECT *, {_minutes('encounter_start', 'encounter_end')} AS encounter_duration_minutes,
+       {_minutes('encounter_start', 'encounter_end')} / 60.0 AS total_hours
+FROM f WHERE encounter_end > encounter_start"""
+    labels = ["pregnancy & fetal care", "mental/behavioral health", "substance/abuse screening", "renal/dialysis", "oncology therapy",
+              "cardiology procedures/tests", "imaging tests", "lab tests / std panel", "walking aid  fitting"]
+    arms = " ".join(f"WHEN {i} THEN {_sql_str(x)}" for i, x in enumerate(labels))
+    q["q_collapse_clinical"] = f"SELECT p_partkey, CASE p_partkey % {len(labels)} {arms} END AS activity FROM part"
+    q["q_calendar_hours"] = """
+WITH o AS (SELECT o_orderkey, o_orderdate + to_minutes(CAST(o_orderkey * 7919 % 1440 AS INTEGER)) AS o_at FROM orders)
+SELECT o_orderkey, o_at, CAST(hour(o_at) AS INTEGER) AS hour, CASE WHEN hour(o_at) BETWEEN 6 AND 17 THEN 'day' ELSE 'night' END AS time_of_day,
+       strftime(o_at, '%Y - Week %U') AS year_week, isodow(o_at) >= 6 AS is_weekend
+FROM o"""
+    q["q_csv_roundtrip"] = f"""
+WITH {LOG},
+t AS (SELECT case_id, 'say "' || activity || '"; done, next' AS activity, date_trunc('month', start_ts) AS start_ts, event_id FROM log),
+s AS (SELECT activity AS src, lead(activity) OVER (PARTITION BY case_id ORDER BY start_ts, event_id) AS dst FROM t)
+SELECT src, dst, count(*) AS n FROM s WHERE dst IS NOT NULL GROUP BY 1, 2"""
+    bucket = "CAST('0x' || substr(md5('42:' || event_id), 1, 10) AS BIGINT) % 1000000"
+    split = f"""
+WITH {LOG},
+r AS (SELECT event_id, {_minutes('start_ts', 'end_ts')} AS w FROM log WHERE end_ts >= start_ts),
+p AS (SELECT event_id, w, CASE WHEN {bucket} < 800000 THEN 'train' ELSE 'test' END AS split FROM r)"""
+    q["q_random_split"] = split + "\nSELECT event_id, split FROM p"
+    # The trees see (weekday, hour) only, so the training mean of each such cell stands in for them.
+    q["q_gbt_mae"] = f"""
+WITH {LOG},
+r AS (SELECT event_id, {_minutes('start_ts', 'end_ts')} AS w, isodow(start_ts) AS d, hour(start_ts) AS h FROM log WHERE end_ts >= start_ts),
+p AS (SELECT *, {bucket} < 800000 AS train FROM r),
+c AS (SELECT d, h, avg(w) AS m FROM p WHERE train GROUP BY 1, 2)
+SELECT count(*) AS n, avg(abs(w - c.m)) <= 1.1 * avg(abs(w - a.m)) AS in_band
+FROM p JOIN c USING (d, h), (SELECT avg(w) AS m FROM p WHERE train) a WHERE NOT train"""
+    q["q_predict_procs"] = f"WITH {LOG} SELECT case_id, TRUE AS finite FROM log GROUP BY case_id"
     q["q_clean_log"] = f"""
 WITH raw AS (
   SELECT CAST(user_id AS VARCHAR) AS ENCOUNTER,
@@ -553,10 +773,10 @@ SELECT src, dst, n, mean_seconds, mean_seconds / 60.0 AS mean_minutes,
 FROM g"""
     q["q_wait_summary"] = f"""
 WITH {LONG},
-agg AS (SELECT dimension, grp, count(*) AS n,
-               quantile_cont(value, 0.5) AS q50, quantile_cont(value, 0.9) AS q90,
-               quantile_cont(value, 0.95) AS q95, quantile_cont(value, 0.99) AS q99
-        FROM pos GROUP BY 1, 2)
+lists AS (SELECT dimension, grp, list(value ORDER BY value) AS v FROM pos GROUP BY 1, 2),
+agg AS (SELECT dimension, grp, len(v) AS n, {_npq('v', 0.5)} AS q50, {_npq('v', 0.9)} AS q90,
+               {_npq('v', 0.95)} AS q95, {_npq('v', 0.99)} AS q99
+        FROM lists)
 SELECT dim.dimension, dim.grp, coalesce(agg.n, 0) AS n,
        {_round_exact_sql('q50')} AS median, {_round_exact_sql('q90')} AS p90, {_round_exact_sql('q95')} AS p95,
        {_round_exact_sql('q99')} AS p99
@@ -564,10 +784,9 @@ FROM dim LEFT JOIN agg USING (dimension, grp) ORDER BY grp_no"""
     q["q_box_stats"] = f"""
 WITH {LONG},
 lv AS (SELECT dimension, grp, ln(1.0 + value) AS value FROM pos),
-q AS (SELECT dimension, grp, count(*) AS n, avg(value) AS mean,
-             quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median,
-             quantile_cont(value, 0.75) AS q3
-      FROM lv GROUP BY 1, 2),
+lists AS (SELECT dimension, grp, avg(value) AS mean, list(value ORDER BY value) AS v FROM lv GROUP BY 1, 2),
+q AS (SELECT dimension, grp, len(v) AS n, mean, {_npq('v', 0.25)} AS q1, {_npq('v', 0.5)} AS median, {_npq('v', 0.75)} AS q3
+      FROM lists),
 f AS (SELECT *, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lo_f, q3 + 1.5 * (q3 - q1) AS hi_f FROM q),
 w AS (SELECT lv.dimension, lv.grp,
              min(CASE WHEN value >= lo_f AND value <= hi_f THEN value END) AS whisker_lo,
@@ -654,21 +873,23 @@ f AS (SELECT days.day_no, days.day_name, h.arrival_hour, coalesce(a.slot_n, 0) A
     q["q_mae"] = slots + """
 SELECT count(*) AS n, avg(abs(sv.service_min - f.predicted_min)) AS mae
 FROM sv JOIN f ON sv.day_no = f.day_no AND sv.arrival_hour = f.arrival_hour"""
+    night = "(arrival_hour >= 18 OR arrival_hour < 6) AND day_type = 'Weekday'"
+    for name in ("q_daily_mean", "q_hourly_mean", "q_heatmap", "q_slot_forecast"):
+        q[f"{name}_filtered"] = q[name].replace("FROM sv", f"FROM (SELECT * FROM sv WHERE {night}) AS sv")
     q["q_describe"] = f"""
 WITH {DUR}
-SELECT count(duration_min) AS count, avg(duration_min) AS mean, stddev_samp(duration_min) AS std,
-       min(duration_min) AS min, quantile_cont(duration_min, 0.25) AS p25, quantile_cont(duration_min, 0.5) AS p50,
-       quantile_cont(duration_min, 0.75) AS p75, max(duration_min) AS max
-FROM dur WHERE duration_min IS NOT NULL"""
+SELECT count, mean, std, min, {_npq('v', 0.25)} AS p25, {_npq('v', 0.5)} AS p50, {_npq('v', 0.75)} AS p75, max
+FROM (SELECT count(duration_min) AS count, avg(duration_min) AS mean, stddev_samp(duration_min) AS std, min(duration_min) AS min,
+             max(duration_min) AS max, list(duration_min ORDER BY duration_min) AS v
+      FROM dur WHERE duration_min IS NOT NULL)"""
     q["q_histogram"] = f"WITH {DUR}, {_HIST}"
     q["q_duration_box"] = f"""
 WITH {DUR},
 top AS (SELECT activity, row_number() OVER (ORDER BY count(*) DESC, activity) AS grp_no
         FROM posd GROUP BY activity ORDER BY count(*) DESC, activity LIMIT {DURATION_BOX_K}),
 v AS (SELECT activity, duration_min AS value FROM posd WHERE activity IN (SELECT activity FROM top)),
-q AS (SELECT activity, count(*) AS n, avg(value) AS mean, quantile_cont(value, 0.25) AS q1,
-             quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3
-      FROM v GROUP BY activity),
+lists AS (SELECT activity, avg(value) AS mean, list(value ORDER BY value) AS l FROM v GROUP BY activity),
+q AS (SELECT activity, len(l) AS n, mean, {_npq('l', 0.25)} AS q1, {_npq('l', 0.5)} AS median, {_npq('l', 0.75)} AS q3 FROM lists),
 f AS (SELECT *, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lo_f, q3 + 1.5 * (q3 - q1) AS hi_f FROM q),
 w AS (SELECT v.activity,
              min(CASE WHEN value >= lo_f AND value <= hi_f THEN value END) AS whisker_lo,
@@ -698,7 +919,8 @@ FROM log WHERE {_minutes('start_ts', 'end_ts')} >= 0"""
     q["q_chrono_split"] = f"""
 WITH {SUMMARY},
 s AS (SELECT * FROM summ WHERE encounter_duration_minutes > 0),
-cut AS (SELECT quantile_cont(epoch_us(encounter_start), {1.0 - VAL_FRACTION}) AS c FROM s)
+cut AS (SELECT {_npq('v', 1.0 - VAL_FRACTION)} AS c
+        FROM (SELECT list(CAST(epoch_us(encounter_start) AS DOUBLE) ORDER BY encounter_start) AS v FROM s))
 SELECT case_id, encounter_start, encounter_duration_minutes,
        CASE WHEN epoch_us(encounter_start) <= (SELECT c FROM cut) THEN 'train' ELSE 'val' END AS split
 FROM s"""
