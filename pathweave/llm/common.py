@@ -71,9 +71,14 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+SLICE_ROWS = 1000            # rows of a batch that a stage turns into Python objects at once
+
+
 def map_arrow(df: DataFrame, stage: Callable, schema: str | T.StructType) -> DataFrame:
     """``df.mapInArrow(stage, schema)``, with the folder of this package on the workers' path.
 
+    A stage gets its batches in slices, so that its memory does not depend on the session's batch size.
+
     That serves workers that see the driver's folders; elsewhere the package is
     shipped with ``--py-files`` and the extra folder is not looked at.
     """
@@ -82,7 +87,13 @@ def map_arrow(df: DataFrame, stage: Callable, schema: str | T.StructType) -> Dat
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if here not in paths:
         env["PYTHONPATH"] = os.pathsep.join([here, *paths])
-    return df.mapInArrow(stage, schema)
+
+    def sliced(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                yield batch.slice(at, SLICE_ROWS)
+
+    return df.mapInArrow(lambda batches: stage(sliced(batches)), schema)
 
 
 def nullable(schema: T.StructType) -> T.StructType:
