@@ -39,7 +39,7 @@ from pathweave.llm.textscan import chunks
 SHORT = 32                    # symbols of a word up to which the rank array is scanned
 ROWS = 4096                   # words in one array
 SLICE = 4 << 20               # characters whose new chunks are encoded together
-MEMORY = 200_000              # chunks kept in each of two generations; about 200 bytes each
+MEMORY = 150_000              # chunks kept in each of two generations; about 200 bytes each
 _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 _SLOT_BITS = 18
 _HASH = np.uint64(0x9E3779B97F4A7C15)

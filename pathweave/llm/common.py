@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import gc
 import os
@@ -93,7 +94,24 @@ def map_arrow(df: DataFrame, stage: Callable, schema: str | T.StructType) -> Dat
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 yield batch.slice(at, SLICE_ROWS)
 
-    return df.mapInArrow(lambda batches: stage(sliced(batches)), schema)
+    def run(batches):
+        try:
+            yield from stage(sliced(batches))
+        finally:
+            release()
+
+    return df.mapInArrow(run, schema)
+
+
+def release() -> None:
+    """Give what a stage no longer needs back to the system; workers live on for the next stage."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):             # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def nullable(schema: T.StructType) -> T.StructType:
