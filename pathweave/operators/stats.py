@@ -123,67 +123,53 @@ def group_quantiles(counts: DataFrame, keys=(), probs=SUMMARY_PROBS, bins: int |
     """(keys..., n, _q array) of exact quantiles (numpy's default method) of (keys, value[, cnt]) rows.
 
     The ranks floor((n-1)p) and ceil((n-1)p) of each quantile are bracketed
-    by value.  While a bracket holds more than ``values`` rows, one pass counts
-    its rows in ``bins`` equal bins (a partial aggregation) and keeps the bins
-    that hold the ranks.  The few rows left are counted by value and the two
-    values at the ranks picked from running sums.  Nothing but these rows is
-    ever sorted, and no group meets in one task.
+    by value, each on its own.  While a bracket holds more than ``values``
+    rows, one pass counts its rows in ``bins`` equal bins (a partial
+    aggregation) and keeps the bin that holds the rank, so every pass narrows
+    the bracket at least ``bins`` times.  The rows left are counted by value
+    and the value at the rank is picked from running sums.  Nothing but these
+    rows is ever sorted, and no group meets in one task.
     """
     keys, bins, values = list(keys), bins or BRACKET_BINS, values or BRACKET_VALUES
     rows = counts if "cnt" in counts.columns else counts.withColumn("cnt", F.lit(1).cast("bigint"))
     rows = rows.select(*keys, F.col("value").cast("double").alias("value"), "cnt").filter(F.col("value").isNotNull())
-    at = F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_i", "_p")
+    pos = [(F.col("n") - 1) * F.lit(float(p)) for p in probs]
+    ranks = F.array(*[edge(x) for x in pos for edge in (F.floor, F.ceil)])
     grouped = rows.groupBy(*keys) if keys else rows.groupBy()
     state = grouped.agg(F.sum("cnt").alias("n"), F.min("value").alias("_lo"), F.max("value").alias("_hi"))
-    state = state.filter(F.col("n") > 0).select("*", at).withColumns({
-        "_r0": F.floor((F.col("n") - 1) * F.col("_p")), "_r1": F.ceil((F.col("n") - 1) * F.col("_p")),
-        "_below": F.lit(0).cast("bigint"), "_inside": F.col("n")})
+    state = state.filter(F.col("n") > 0).select(
+        *keys, "n", "_lo", "_hi", F.posexplode(ranks).alias("_j", "_r"), F.lit(0).cast("bigint").alias("_below"), F.col("n").alias("_inside"))
     state = materialize(state, "brackets")
+    names = [f"_k_{c}" for c in keys]
+
+    def same_keys(on: Column) -> Column:
+        for c, k in zip(keys, names, strict=True):
+            on = on & F.col(c).eqNullSafe(F.col(k))
+        return on
 
     def in_bracket() -> DataFrame:
-        side = state.select(*[F.col(c).alias(f"_k_{c}") for c in keys], "_i", "_lo", "_hi", "_below", "_r0", "_r1")
-        on = F.col("value").between(F.col("_lo"), F.col("_hi"))
-        for c in keys:
-            on = on & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-        return rows.join(side, on)
+        side = state.select(*[F.col(c).alias(k) for c, k in zip(keys, names, strict=True)], "n", "_j", "_r", "_lo", "_hi", "_below")
+        return rows.join(side, same_keys(F.col("value").between(F.col("_lo"), F.col("_hi"))))
+
+    def with_rank(counted: DataFrame, order: str) -> DataFrame:
+        """Of each bracket the row (bin or value) that holds its rank; ``_start`` rows lie below it."""
+        end = F.col("_below") + F.sum("_c").over(Window.partitionBy(*keys, "_j").orderBy(order))
+        return (counted.withColumn("_end", end).withColumn("_start", F.col("_end") - F.col("_c"))
+                .filter((F.col("_start") <= F.col("_r")) & (F.col("_end") > F.col("_r"))))
 
     while (state.filter(F.col("_hi") > F.col("_lo")).agg(F.max("_inside")).first()[0] or 0) > values:
-        place = (F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins
-        counted = in_bracket().withColumn("_b", F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor(place), F.lit(bins - 1)))
-                                          .otherwise(F.lit(0)))
-        counted = counted.groupBy(*keys, "_i", "_b").agg(
-            F.sum("cnt").alias("_c"), F.min("value").alias("_lo"), F.max("value").alias("_hi"),
-            F.first("_below").alias("_below"), F.first("_r0").alias("_r0"), F.first("_r1").alias("_r1"))
-        upto = F.col("_below") + F.sum("_c").over(Window.partitionBy(*keys, "_i").orderBy("_b"))
-        hit = counted.withColumn("_end", upto).withColumn("_start", F.col("_end") - F.col("_c")).filter(
-            (F.col("_start") <= F.col("_r1")) & (F.col("_end") > F.col("_r0")))
-        narrow = hit.groupBy(*keys, "_i").agg(F.min("_lo").alias("_nlo"), F.max("_hi").alias("_nhi"),
-                                              F.min("_start").alias("_nb"), F.sum("_c").alias("_nc"))
-        names = [f"_k_{c}" for c in keys]
-        narrow = narrow.toDF(*names, "_ni", "_nlo", "_nhi", "_nb", "_nc")
-        on = F.col("_i") == F.col("_ni")
-        for c, k in zip(keys, names, strict=True):
-            on = on & F.col(c).eqNullSafe(F.col(k))
-        state = materialize(state.join(narrow, on).select(
-            *keys, "n", F.col("_nlo").alias("_lo"), F.col("_nhi").alias("_hi"), "_i", "_p", "_r0", "_r1",
-            F.col("_nb").alias("_below"), F.col("_nc").alias("_inside")), "brackets")
-
-    few = in_bracket().groupBy(*keys, "_i", "value", "_below", "_r0", "_r1").agg(F.sum("cnt").alias("_c"))
-    end = F.col("_below") + F.sum("_c").over(Window.partitionBy(*keys, "_i").orderBy("value"))
-    few = few.withColumn("_end", end).withColumn("_start", F.col("_end") - F.col("_c"))
-
-    def value_at(rank: str) -> Column:
-        return F.max(F.when((F.col("_start") <= F.col(rank)) & (F.col("_end") > F.col(rank)), F.col("value")))
-
-    picked = few.groupBy(*keys, "_i").agg(value_at("_r0").alias("_a"), value_at("_r1").alias("_z"))
-    picked = picked.toDF(*[f"_k_{c}" for c in keys], "_ni", "_a", "_z")
-    on = F.col("_i") == F.col("_ni")
-    for c in keys:
-        on = on & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-    pos = (F.col("n") - 1) * F.col("_p")
-    q = state.join(picked, on).select(*keys, "n", "_i", _lerp(F.col("_a"), F.col("_z"), pos - F.floor(pos)).alias("q"))
-    out = q.groupBy(*keys, "n").agg(F.array_sort(F.collect_list(F.struct("_i", "q"))).alias("_s"))
-    return out.select(*keys, "n", F.transform("_s", lambda e: e["q"]).alias("_q"))
+        place = F.least(F.floor((F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))
+        binned = in_bracket().withColumn("_b", F.when(F.col("_hi") > F.col("_lo"), place).otherwise(F.lit(0)))
+        counted = binned.groupBy(*keys, "n", "_j", "_r", "_below", "_b").agg(
+            F.sum("cnt").alias("_c"), F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+        state = materialize(with_rank(counted, "_b").select(
+            *keys, "n", "_lo", "_hi", "_j", "_r", F.col("_start").alias("_below"), F.col("_c").alias("_inside")), "brackets")
+
+    few = in_bracket().groupBy(*keys, "n", "_j", "_r", "_below", "value").agg(F.sum("cnt").alias("_c"))
+    picked = with_rank(few, "value").groupBy(*keys, "n").agg(F.array_sort(F.collect_list(F.struct("_j", "value"))).alias("_s"))
+    at = [F.col("_s")[j]["value"] for j in range(2 * len(pos))]
+    q = [_lerp(at[2 * i], at[2 * i + 1], x - F.floor(x)) for i, x in enumerate(pos)]
+    return picked.select(*keys, "n", F.array(*q).alias("_q"))
 
 
 def quantile_summary(counts: DataFrame, dim: DataFrame, keys=("dimension", "grp"),
