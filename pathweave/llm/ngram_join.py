@@ -37,6 +37,7 @@ from pathweave.llm.textscan import SPACED, U, Words, chunks, mix, sequence_hash
 
 N = 4
 PERCENT = 85                 # Jaccard similarity in percent
+STAGE_N, STAGE_PERCENT = 5, 80               # of the pipeline stage; N and PERCENT are those of the query
 DENSE = 64                   # rows of a column from which on it is a dense block
 BLOCK = 256
 BUCKET_BITS = 22             # n-gram counts are kept by the first 22 bits of the hash
@@ -340,10 +341,10 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Data
 def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component the row with the least id (then hash of the text) stays.
 
-    Rows without words stay; of rows that are equal in id and text one stays.
+    Links are those of ``STAGE_N`` words and ``STAGE_PERCENT``, wider than the query's.  Rows without words stay; of rows that are equal in id and text one stays.
     """
     rows = Carried(docs)
-    linked = shared_table(link_rows(docs), "linked").filter("root IS NOT NULL")
+    linked = shared_table(link_rows(docs, STAGE_N, STAGE_PERCENT), "linked").filter("root IS NOT NULL")
     rank = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "sig")
     kept = shared_table(linked.groupBy("root").agg(F.min(rank).alias("kept")), "kept")
     judged = linked.join(kept, "root").groupBy("doc_id", "sig").agg(F.max(rank == F.col("kept")).alias("stays"), F.count(F.lit(1)).alias("same"))

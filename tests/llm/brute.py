@@ -73,9 +73,9 @@ def shingles(text, n=4):
     return {tuple(w[i:i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
 
 
-def components(docs, percent=85):
+def components(docs, percent=85, n=4):
     """doc_id -> (set size, least id reachable); ids are unique and not null."""
-    sets = {i: shingles(t) for i, t in docs}
+    sets = {i: shingles(t, n) for i, t in docs}
     parent = {i: i for i in sets}
 
     def find(x):

@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 import __spark_entry__ as entry
 import brute
 import corpus_pipeline
-from pathweave.llm import quality_rules, substring_dedup
+from pathweave.llm import ngram_join, quality_rules, substring_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,6 +43,18 @@ def test_pipeline_equals_brute_force(spark):
     assert 0 < len(got) < len(docs) and sorted(map(tuple, got)) == sorted(want)
 
 
+def test_near_copies_of_five_words_and_80_percent_go(spark):
+    base = [f"t{i}" for i in range(100)]
+    rows = [(1, " ".join(base))]
+    rows += [(10 + k, " ".join([*base, *(f"x{k}_{i}" for i in range(k))])) for k in (16, 20, 23, 24, 25, 30)]     # text appended
+    rows += [(100 + k, " ".join([f"y{k}", *base[:k], f"z{k}", *base[k + 1:]])) for k in (0, 30, 50)]
+    rows += [(200, "a b c d e f"), (201, "a b c d e f g"), (202, "a b c d"), (203, "A  b c d"), (204, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id for r in ngram_join.keep_one(spark, docs, SF).collect()}
+    want = {i for i, (_, least) in brute.components(rows, 80, 5).items() if least == i}
+    assert got == want and want != {i for i, (_, least) in brute.components(rows).items() if least == i}
+
+
 def test_all_queries_are_registered(spark):
     names = entry.queries()
     assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
