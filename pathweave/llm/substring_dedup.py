@@ -42,11 +42,8 @@ def _lines(batches):
                                              names=["doc_id", "sig", "line", "start", "stop", "n_words", "h1", "h2"])
 
 
-def repeated_runs(docs: DataFrame, min_run_words: int = MIN_RUN_WORDS) -> DataFrame:
-    """One row per removed span: doc_id, sig (hash of the text), start, stop (characters), n_lines, n_words, first_doc_id.
-
-    ``first_doc_id`` is the document that keeps the longest line of the run.
-    """
+def _later(docs: DataFrame) -> DataFrame:
+    """Every line that repeats an earlier one, with the number of its run (``island``) in the document."""
     texts = pick(docs, doc_id="bigint", text="string").select("doc_id", F.xxhash64("text").alias("sig"), "text")
     lines = shared_table(map_arrow(texts, _lines, _LINE), "lines")
     rank = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "sig", "line")
@@ -55,8 +52,26 @@ def repeated_runs(docs: DataFrame, min_run_words: int = MIN_RUN_WORDS) -> DataFr
     later = lines.join(firsts, ["h1", "h2"]).filter(rank != F.col("first")).select(
         "doc_id", "sig", "line", "start", "stop", "n_words", F.col("first.doc_id").alias("first_doc_id")).distinct()
     island = F.col("line") - F.row_number().over(Window.partitionBy("doc_id", "sig").orderBy("line"))
+    return later.withColumn("island", island)
+
+
+def repeated_lines(docs: DataFrame, min_run_words: int = MIN_RUN_WORDS) -> DataFrame:
+    """One row per later line, whatever its run: doc_id, sig, line, start, stop, n_words, first_doc_id, run_words, removed.
+
+    ``removed`` says whether ``repeated_runs`` with the same floor has the line in one of its runs.
+    """
+    run = Window.partitionBy("doc_id", "sig", "island")
+    return _later(docs).withColumn("run_words", F.sum("n_words").over(run)).withColumn(
+        "removed", F.col("run_words") >= min_run_words).drop("island")
+
+
+def repeated_runs(docs: DataFrame, min_run_words: int = MIN_RUN_WORDS) -> DataFrame:
+    """One row per removed span: doc_id, sig (hash of the text), start, stop (characters), n_lines, n_words, first_doc_id.
+
+    ``first_doc_id`` is the document that keeps the longest line of the run.
+    """
     longest = F.struct("n_words", -F.col("line"))
-    runs = later.withColumn("island", island).groupBy("doc_id", "sig", "island").agg(
+    runs = _later(docs).groupBy("doc_id", "sig", "island").agg(
         F.min("start").alias("start"), F.max("stop").alias("stop"), F.count(F.lit(1)).alias("n_lines"),
         F.sum("n_words").alias("n_words"), F.max_by("first_doc_id", longest).alias("first_doc_id"))
     return runs.filter(F.col("n_words") >= min_run_words).drop("island")

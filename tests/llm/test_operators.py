@@ -30,6 +30,18 @@ def test_substring_dedup(spark, texts):
     assert got and got == brute.repeats(texts, substring_dedup.MIN_RUN_WORDS)
 
 
+def test_every_later_line_is_found(spark, texts):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    lines = substring_dedup.repeated_lines(docs).collect()
+    runs = brute.repeats(texts, 1)
+    assert sum(r.n_words for r in lines) == sum(x[4] for x in runs) and len(lines) == sum(x[3] for x in runs)
+    whole = {(i, a, b): n for i, a, b, _, n, _ in runs}
+    for r in lines:
+        n = next(n for (i, a, b), n in whole.items() if i == r.doc_id and a <= r.start and r.stop <= b)
+        assert r.run_words == n and r.removed == (n >= substring_dedup.MIN_RUN_WORDS)
+    assert {r.removed for r in lines} == {True, False}
+
+
 def test_removed_runs_leave_the_rest(spark, texts):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r.doc_id: (r.text, r.n_chars) for r in substring_dedup.remove_repeats(spark, docs, SF, 10).collect()}
