@@ -13,6 +13,7 @@ column for each n-gram.  Two rows link when their Jaccard similarity reaches the
   block (its hub).  Rows that link to the hub need no comparison among one another, for
   they are in one component.  All others are compared with all in products of ``BLOCK`` x
   ``BLOCK`` rows; a product gives a spanning forest of its links, never all pairs.
+  ``all_links`` gives every pair and the number of links of each document; it multiplies the whole blocks.
 * What is left is compared exactly, on the whole sets, and the links give components.
 
 Copies, hot columns and blocks are pre-aggregated or split by a hash; no task gets a whole
@@ -175,8 +176,8 @@ def _bitmap(nodes: DataFrame) -> bytes:
     return bits.tobytes()
 
 
-def _product(percent: int):
-    """Rows of one block pair -> a spanning forest of its links."""
+def _product(percent: int, forest: bool = True):
+    """Rows of one block pair -> a spanning forest of its links, or all links between its two blocks."""
     def multiply(table):
         import pyarrow as pa
 
@@ -201,6 +202,12 @@ def _product(percent: int):
             overlap += dense @ dense.T
         links = (100 + percent) * overlap.astype(np.int64) >= percent * (size[:, None] + size[None, :])
         links &= left[:, None] | left[None, :]                     # the rest is known to be in one component
+        if not forest:
+            i = table.column("i").to_numpy()
+            if i.min() != i.max():                                 # links within a block come from its product with itself
+                links &= i[:, None] != i[None, :]
+            a, b = np.nonzero(np.triu(links, 1))
+            return pa.table({"a": pa.array(np.minimum(node[a], node[b])), "b": pa.array(np.maximum(node[a], node[b]))})
         a, b = np.nonzero(np.triu(links, 1))
         root = list(range(len(node)))
 
@@ -230,8 +237,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter((100 + percent) * overlap >= percent * (F.size("ga") + F.size("gb"))).select("a", "b")
 
 
-def link_rows(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, sig (hash of the text), n (set size), root (of its component; null without a set), component_id."""
+def _candidates(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Documents with their sets' fingerprints, rows of the matrix, pairs of sparse columns, rows of dense ones, and sets of both."""
     spark = docs.sparkSession
     texts = pick(docs, doc_id="bigint", text="string").select("doc_id", F.xxhash64("text").alias("sig"), "text")
     levels = spark.sparkContext.broadcast(_levels(texts, n))
@@ -295,7 +302,12 @@ def link_rows(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     bits = spark.sparkContext.broadcast(_bitmap(wanted))
     fetched = map_arrow(texts.select("text"), _fetch(levels, bits, n, seed), "node bigint, grams array<bigint>")
     sets = shared_table(fetched.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("grams").alias("grams")), "gram-sets")
+    return described, nodes, open_pairs, members, sets
 
+
+def link_rows(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """One row per document: doc_id, sig (hash of the text), n (set size), root (of its component; null without a set), component_id."""
+    described, nodes, open_pairs, members, sets = _candidates(docs, n, percent)
     direct = shared_table(_verified(open_pairs, sets, percent), "direct-links")
     to_hub = shared_table(_verified(members.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), sets, percent), "hub-links")
     apart = members.join(to_hub.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.lit(False).alias("known")),
@@ -315,7 +327,29 @@ def link_rows(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
         F.when((F.col("n") > 0) & F.col("root").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _dense_links(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def all_links(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(one row per document: doc_id, sig, n_shingles, node, n_links; every link of two different sets: a, b, with a < b).
+
+    ``node`` names the set of a document (null without a set).  Two documents link if they have one node or
+    their nodes are a pair; ``n_links`` counts the other rows that link with a row, copies included.
+    The blocks of dense columns are multiplied whole, so work and pairs grow with the square of a group's different sets.
+    """
+    described, nodes, open_pairs, members, sets = _candidates(docs, n, percent)
+    whole = members.select("bucket", "node").union(members.select("bucket", F.col("hub").alias("node"))).distinct()
+    whole = shared_table(whole.withColumn("left", F.lit(True)), "whole-blocks")
+    pairs = _verified(open_pairs, sets, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = shared_table(pairs.union(_dense_links(whole, sets, percent, forest=False)).distinct(), "all-links")
+    both = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).union(pairs.select("b", "a"))
+    copies = nodes.select(F.col("node").alias("other"), "copies")
+    linked = both.join(copies, "other").groupBy("node").agg(F.sum("copies").alias("others"))
+    counts = nodes.select("node", "copies").join(linked, "node", "left").select(
+        F.col("node").alias("f1"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    rows = described.withColumn("f1", F.when(F.col("n") > 0, F.col("f1"))).join(shared_table(counts, "link-counts"), "f1", "left")
+    return rows.select("doc_id", "sig", F.col("n").alias("n_shingles"), F.col("f1").alias("node"),
+                       F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links")), pairs
+
+
+def _dense_links(apart: DataFrame, sets: DataFrame, percent: int, forest: bool = True) -> DataFrame:
     """Links of rows that do not link to their hub with any row of the block."""
     sizes = apart.groupBy("bucket").agg(F.sum(F.col("left").cast("int")).alias("l"), F.count(F.lit(1)).alias("m")).filter("l > 0")
     sizes = shared_table(sizes.select("bucket", F.ceil(F.col("l") / BLOCK).alias("bl"),
@@ -328,9 +362,9 @@ def _dense_links(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rows_left = F.concat(F.transform(every, lambda j: F.struct(F.lit(True).alias("ll"), F.least(i, j).alias("x"), F.greatest(i, j).alias("y"))),
                          F.transform(other, lambda j: F.struct(F.lit(False).alias("ll"), i.alias("x"), j.alias("y"))))
     rows_right = F.transform(every, lambda j: F.struct(F.lit(False).alias("ll"), j.alias("x"), i.alias("y")))
-    spread = placed.select("bucket", "node", "left", F.explode(F.when(F.col("left"), rows_left).otherwise(rows_right)).alias("k"))
-    blocks = spread.select("bucket", "node", "left", "k.*").join(sets, "node")
-    return blocks.groupBy("bucket", "ll", "x", "y").applyInArrow(_product(percent), "a bigint, b bigint")
+    spread = placed.select("bucket", "node", "left", "i", F.explode(F.when(F.col("left"), rows_left).otherwise(rows_right)).alias("k"))
+    blocks = spread.select("bucket", "node", "left", "i", "k.*").join(sets, "node")
+    return blocks.groupBy("bucket", "ll", "x", "y").applyInArrow(_product(percent, forest), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:

@@ -143,6 +143,27 @@ def test_ngram_join(spark, texts, monkeypatch, dense, block):
     assert got == brute.components(rows)
 
 
+@pytest.mark.parametrize("dense, block", [(64, 256), (3, 4)])
+def test_every_link_is_found(spark, monkeypatch, dense, block):
+    monkeypatch.setattr(ngram_join, "DENSE", dense)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    base = [f"t{i}" for i in range(120)]
+    rows = [(k, " ".join([*base[:k], f"x{k}", *base[k + 1:]])) for k in range(80)]                # near copies of one text
+    rows += [(100 + k, " ".join([*base, *(f"y{k}_{i}" for i in range(k))])) for k in range(0, 30, 3)]
+    rows += [(200, " ".join(base)), (201, rows[5][1]), (202, rows[5][1]), (300, "one two"), (301, "One  two"), (302, ""), (303, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    found, pairs = ngram_join.all_links(df)
+    found = {r.doc_id: r for r in found.collect()}
+    sets = {i: brute.shingles(t) for i, t in rows}
+    want = {(i, j) for i in sets for j in sets if i < j and sets[i] and
+            100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
+    rep = {frozenset((r.a, r.b)) for r in pairs.collect()}
+    assert pairs.count() == len(rep)
+    assert want == {(i, j) for i in sets for j in sets if i < j and found[i].node is not None and
+                    (found[i].node == found[j].node or frozenset((found[i].node, found[j].node)) in rep)}
+    assert {i: r.n_links for i, r in found.items()} == {i: sum(i in p for p in want) for i in sets}
+
+
 def test_sharding(spark, texts):
     got = sorted(map(tuple, run(spark, "op8_sharding").select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard").collect()))
     total, start, slots, want = sum(len((t or "").encode()) + 1 for _, t in texts), 0, [0] * 8, []
