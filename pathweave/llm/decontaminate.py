@@ -22,11 +22,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathweave.llm.common import Carried, map_arrow, nullable, pick
+from pathweave.llm.common import Carried, map_arrow, nullable, pick, shared_table
 from pathweave.llm.textscan import ALNUM, U, Words, chunks, sequence_hash
 
 WINDOW = 10
-BLOCK_BYTES = 4 << 20        # benchmark text in one broadcast block, on average; about 20 MB of index
+BLOCK_BYTES = 4 << 20        # benchmark text in one broadcast block, at most (a longer item is a block of its own); about 20 MB of index
+BLOCKS_AT_ONCE = 8           # Python stages in one plan; then the marks are written
 _SPANS = "array<struct<first:bigint,last:bigint,start:bigint,end:bigint>>"
 
 
@@ -69,13 +70,22 @@ class WindowSet:
 
 
 def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[WindowSet]:
-    """The benchmark in blocks of ``block_bytes`` on average, one at a time on the driver."""
-    items = pick(benchmark, item_id="bigint", text="string").filter(F.col("text").isNotNull())
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, math.ceil(total / block_bytes))
-    for b in range(n if total else 0):
-        block = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
-        yield WindowSet([tuple(r) for r in block.collect()])
+    """The different items in blocks of at most ``block_bytes`` (or one item), one at a time on the driver."""
+    items = pick(benchmark, item_id="bigint", text="string").filter("text != ''").distinct()
+    items = shared_table(items.withColumn("size", F.octet_length("text").cast("bigint")), "benchmark")
+    for block in _split(items, block_bytes, 0):
+        yield WindowSet([tuple(r) for r in block.select("item_id", "text").collect()])
+
+
+def _split(items: DataFrame, block_bytes: int, depth: int) -> Iterator[DataFrame]:
+    """Parts of ``items`` whose real bytes are in the limit; a part over it is split again by another hash."""
+    total, rows = items.agg(F.sum("size"), F.count(F.lit(1))).first()
+    if rows == 1 or 0 < (total or 0) <= block_bytes:
+        yield items
+    elif rows:
+        n = max(2, math.ceil(total / block_bytes))
+        for b in range(n):
+            yield from _split(items.filter(F.pmod(F.xxhash64(F.lit(depth), "item_id", "text"), F.lit(n)) == b), block_bytes, depth + 1)
 
 
 def _merged(hits: list[tuple[int, int]], before: list[dict], words: Words, first: int) -> list[dict]:
@@ -127,6 +137,8 @@ def mark(frame: DataFrame, text: str, benchmark: DataFrame, block_bytes: int = B
         index = spark.sparkContext.broadcast(windows)
         marked = map_arrow(marked, _scanner(index, at, len(frame.columns)), nullable(marked.schema))
         blocks += 1
+        if blocks % BLOCKS_AT_ONCE == 0:
+            marked = shared_table(marked, "marks")
     if not blocks:                                   # words are counted all the same
         index = spark.sparkContext.broadcast(WindowSet([]))
         marked = map_arrow(marked, _scanner(index, at, len(frame.columns)), nullable(marked.schema))

@@ -183,6 +183,16 @@ def test_written_shards_hold_every_row(spark, tmp_path):
     assert back.count() == docs.count() and back.select("shard").distinct().count() == 8
 
 
+def test_blocks_of_a_benchmark_are_bounded(spark):
+    rows = [(1, "one item that is repeated")] * 300 + [(i, f"item {i} of the others") for i in range(2, 60)] + [(99, "long " * 100), (100, "")]
+    items = spark.createDataFrame(rows, "item_id bigint, text string").repartition(3)
+    parts = [[r.text for r in p.collect()] for p in decontaminate._split(
+        items.distinct().withColumn("size", F.octet_length("text").cast("bigint")).filter("size > 0"), 200, 0)]
+    assert sorted(t for p in parts for t in p) == sorted({t for _, t in rows if t})
+    assert all(len(p) == 1 or sum(map(len, p)) <= 200 for p in parts)
+    assert sum(1 for _ in decontaminate.benchmark_blocks(items, 1000)) <= 8
+
+
 @pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 700])
 def test_decontamination(spark, texts, block):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
