@@ -28,7 +28,7 @@ from itertools import islice
 
 import public_tokenizers
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -36,6 +36,7 @@ from pathweave.llm.bpe_codec import LATIN_END, Memory, byte_symbols
 from pathweave.llm.common import map_arrow, pick, shared_table, without_cycles
 
 FREQUENT = 200_000            # pre-tokens that are broadcast, at most
+FREQUENT_BYTES = 64          # longer pre-tokens are joined, however frequent
 FLUSH = 600_000               # distinct pre-tokens that a task holds before it sends partial counts
 _ODD = re.compile(r" \s|\s |^\s")
 _TABLE = "row bigint, doc_id bigint, n_bytes bigint, known bigint, tail array<struct<piece:string,n:bigint>>"
@@ -187,6 +188,20 @@ def _frequencies(tokenizer, frequent) -> Callable:
     return split
 
 
+def _known(pieces: DataFrame, frequent: int) -> tuple[Column, dict[str, int]]:
+    """Which pre-tokens are broadcast, and their tokens: at most ``frequent``, none over ``FREQUENT_BYTES``."""
+    # The least power of two of occurrences that at most ``frequent`` short pre-tokens reach.
+    level = F.floor(F.log2(F.col("times"))).cast("int")
+    short = F.octet_length("piece") <= FREQUENT_BYTES
+    by_level = {r[0]: r[1] for r in pieces.filter(short).groupBy(level).count().collect()}          # 64 rows at most
+    least, reach = max(by_level, default=0) + 1, 0
+    while least and reach + by_level.get(least - 1, 0) <= frequent:
+        least -= 1
+        reach += by_level.get(least, 0)
+    hot = (F.col("times") >= F.lit(1 << least)) & short
+    return hot, {r[0]: r[1] for r in pieces.filter(hot).select("piece", "pieces").collect()}
+
+
 def token_counts(docs: DataFrame, tokenizer_path: str, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_bytes and n_tokens of every row."""
     spark = docs.sparkSession
@@ -197,15 +212,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, frequent: int = FREQUENT)
     distinct = partial.groupBy("piece").agg(F.sum("times").alias("times"))
     pieces = shared_table(map_arrow(distinct, _piece_counts(tokenizer), "piece string, times bigint, pieces bigint"), "pieces")
 
-    # The least power of two of occurrences that at most ``frequent`` pre-tokens reach.
-    level = F.floor(F.log2(F.col("times"))).cast("int")
-    by_level = {r[0]: r[1] for r in pieces.groupBy(level).count().collect()}          # 64 rows at most
-    least, reach = max(by_level, default=0) + 1, 0
-    while least and reach + by_level.get(least - 1, 0) <= frequent:
-        least -= 1
-        reach += by_level.get(least, 0)
-    hot = F.col("times") >= F.lit(1 << least)
-    known = spark.sparkContext.broadcast({r[0]: r[1] for r in pieces.filter(hot).select("piece", "pieces").collect()})
+    hot, known = _known(pieces, frequent)
+    known = spark.sparkContext.broadcast(known)
 
     rows = shared_table(map_arrow(texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"),
                                   _frequencies(tokenizer, known), _TABLE), "frequencies")

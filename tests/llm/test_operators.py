@@ -64,6 +64,12 @@ def test_token_counts(spark, texts, frequent):
     assert sorted(map(tuple, token_counts.token_counts(df, path, frequent).collect())) == want
 
 
+def test_long_pretokens_are_not_broadcast(spark):
+    pieces = spark.createDataFrame([("short", 9, 1), ("x" * 64, 1, 8), ("x" * 65, 1000, 9), ("é" * 40, 5, 40)], "piece string, times bigint, pieces bigint")
+    hot, known = token_counts._known(pieces, 10 ** 6)
+    assert known == {"short": 1, "x" * 64: 8} and {r.piece for r in pieces.filter(~hot).collect()} == {"x" * 65, "é" * 40}
+
+
 def test_bpe_codec_equals_the_library(spark, texts):
     path = public_tokenizers.path("word_bpe_49k.json")
     odd = ["", "ΣΑΣ", "it's <|startoftext|>go<|endoftext|>", "日本語 mixed", "a" * 2000, "é é", "Ᲊ Ɤ"]
