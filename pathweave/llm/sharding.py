@@ -32,9 +32,13 @@ def _slim(docs: DataFrame) -> DataFrame:
 
 def assign_shards(docs: DataFrame, n_shards: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, shard (0 to n-1) and slot (gapless from 0 within the shard)."""
-    spark = docs.sparkSession
+    return _placed(_slim(docs).withColumn("row", F.monotonically_increasing_id()), n_shards).drop("row")
+
+
+def _placed(slim: DataFrame, n_shards: int) -> DataFrame:
+    """Shard and slot of rows that have a number of their own (``row``)."""
+    spark = slim.sparkSession
     order = [F.col("doc_id").asc_nulls_first(), F.col("text_crc32").asc(), F.col("size").asc(), F.col("row").asc()]
-    slim = _slim(docs).withColumn("row", F.monotonically_increasing_id())
     n_part = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = shared_table(slim.repartitionByRange(n_part, *order).withColumn("part", F.spark_partition_id()), "ranges")
     run = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -48,21 +52,24 @@ def assign_shards(docs: DataFrame, n_shards: int = 8) -> DataFrame:
                             F.coalesce(F.sum("part_rows").over(before), F.lit(0)).alias("rows_before"),
                             F.sum("part_bytes").over(everything).alias("all_bytes"))
     placed = local.join(F.broadcast(offsets), "part").select(
-        "doc_id", "size", "text_crc32", (F.col("rows_before") + F.col("rank") - 1).alias("at"),
+        "row", "doc_id", "size", "text_crc32", (F.col("rows_before") + F.col("rank") - 1).alias("at"),
         F.expr(f"((bytes_before + sum_to - size) * {int(n_shards)}L) div all_bytes").cast("int").alias("shard"))
     firsts = placed.groupBy("shard").agg(F.min("at").alias("first_at"))          # n_shards rows
     return placed.join(F.broadcast(firsts), "shard").select(
-        "doc_id", "size", "text_crc32", "shard", (F.col("at") - F.col("first_at")).alias("slot"))
+        "row", "doc_id", "size", "text_crc32", "shard", (F.col("at") - F.col("first_at")).alias("slot"))
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 8) -> None:
-    """Write whole documents to ``path/shard=<s>/``; the shard of a row follows from its (id, size, checksum)."""
-    placed = assign_shards(docs, n_shards).groupBy("doc_id", "size", "text_crc32").agg(F.min("shard").alias("_shard"))
+    """Write whole documents to ``path/shard=<s>/``, each row to the shard of its own place, equal rows too.
+
+    Rows are written with a number once, so that assignment and files speak of the same rows.
+    """
     kept = Carried(docs)
-    text = F.coalesce(kept.col("text"), F.lit("")).cast("binary")
-    keyed = kept.frame.withColumns({"_size": (F.octet_length(text) + 1).cast("bigint"), "_crc": F.crc32(text)})
-    same = (kept.col("doc_id").cast("bigint").eqNullSafe(F.col("doc_id")) & (F.col("_size") == F.col("size"))
-            & (F.col("_crc") == F.col("text_crc32")))
-    joined = keyed.join(placed, same)
+    numbered = shared_table(kept.frame.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    text = F.coalesce(kept.col("text").cast("string"), F.lit("")).cast("binary")
+    slim = numbered.select(kept.col("doc_id").cast("bigint").alias("doc_id"), (F.octet_length(text) + 1).cast("bigint").alias("size"),
+                           F.crc32(text).alias("text_crc32"), F.col("_row").alias("row"))
+    placed = _placed(slim, n_shards).select(F.col("row").alias("_row"), F.col("shard").alias("_shard"))
+    joined = numbered.join(placed, "_row")
     out = joined.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(kept.names)], F.col("_shard").alias("shard"))
     out.write.partitionBy("shard").parquet(path)

@@ -189,6 +189,14 @@ def test_written_shards_hold_every_row(spark, tmp_path):
     assert back.count() == docs.count() and back.select("shard").distinct().count() == 8
 
 
+def test_equal_rows_are_written_to_their_own_shards(spark, tmp_path):
+    rows = [(i, "text of some length " + str(i)) for i in range(400)] + [(200, "the same row over and over")] * 200
+    sharding.write_shards(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out")).collect()
+    size = [sum(len(r.text) + 1 for r in back if r.shard == s) for s in range(8)]
+    assert sorted((r.doc_id, r.text) for r in back) == sorted(rows) and max(size) - min(size) < 100
+
+
 def test_blocks_of_a_benchmark_are_bounded(spark):
     rows = [(1, "one item that is repeated")] * 300 + [(i, f"item {i} of the others") for i in range(2, 60)] + [(99, "long " * 100), (100, "")]
     items = spark.createDataFrame(rows, "item_id bigint, text string").repartition(3)
