@@ -420,7 +420,7 @@ def q_gbt_mae(spark, d):
     """Test rows, and whether the trees' error is within a tenth of that of the training mean."""
     rows = modeling.random_split_flag(modeling.training_rows(_log(spark, d)))
     tr, te = modeling.split_frames(rows, "train", "test")
-    model = modeling.train(tr, "Waiting_Time_Mins", modeling.CALENDAR_FEATURES, {**modeling.GBT_PARAMS, "maxIter": 10})
+    model = modeling.train(tr, "Waiting_Time_Mins", modeling.CALENDAR_FEATURES)
     mean = tr.agg(F.avg("Waiting_Time_Mins").alias("m"))
     err = model.transform(te).crossJoin(F.broadcast(mean)).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("Waiting_Time_Mins") - F.col("prediction"))).alias("e"),
@@ -432,7 +432,7 @@ def q_predict_procs(spark, d):
     """Lists of procedures -> vector -> model -> minutes: one finite prediction for every case."""
     log = _log(spark, d)
     feats = features.case_features(log, names=VOCAB)
-    model = modeling.train(feats, "encounter_duration_minutes", params={**modeling.GBT_PARAMS, "maxIter": 5})
+    model = modeling.train(feats, "encounter_duration_minutes")
     lists = log.groupBy("case_id").agg(F.collect_set("activity").alias("procedures"))
     out = modeling.predict_minutes(model, lists, VOCAB, keep=("case_id",))
     minutes = F.col("predicted_min")

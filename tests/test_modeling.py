@@ -67,3 +67,21 @@ def test_training_table_from_raw(spark, tmp_path):
     assert len(rows) == 1
     r = rows[0]
     assert (r["Waiting_Time_Mins"], r["Day_Index"], r["Arrival_Hour"]) == (30.0, 0, 10)
+
+
+def test_model_queries_fit_with_the_full_settings(spark, monkeypatch):
+    import __spark_entry__ as entry
+
+    fitted, train = [], modeling.train
+
+    def noted(*args, **kwargs):
+        fitted.append(train(*args, **kwargs).stages[-1])
+        raise InterruptedError                                     # the model is all that is looked at
+
+    monkeypatch.setattr(modeling, "train", noted)
+    for name in ("q_gbt_mae", "q_predict_procs"):
+        try:
+            entry.queries()[name](spark, SF_SMALL)
+        except InterruptedError:
+            pass
+    assert [m.getNumTrees for m in fitted] == [modeling.GBT_PARAMS["maxIter"]] * 2
