@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathweave.llm import bpe_codec, crf_quality, decontaminate, license_scan, ngram_join, quality_rules, sharding, substring_dedup, token_counts, warc
+from pathweave.llm import (
+    bpe_codec, crf_quality, decontaminate, language_id, license_scan, ngram_join, prefix_trie, quality_rules, sharding, substring_dedup,
+    token_alignment, token_counts, warc,
+)
 from pathweave.llm.common import read_table
 
 
@@ -59,6 +62,19 @@ def op10_quality_crf(spark: SparkSession, d: str) -> DataFrame:
     return crf_quality.quality_scores(read_table(spark, d, "documents"), read_table(spark, d, "labels"))
 
 
+def op11_prefix_trie(spark: SparkSession, d: str) -> DataFrame:
+    return prefix_trie.conversation_trie(read_table(spark, d, "conversations"))
+
+
+def op12_language_id(spark: SparkSession, d: str) -> DataFrame:
+    return language_id.predict_languages(read_table(spark, d, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, d: str) -> DataFrame:
+    return token_alignment.align_tokens(read_table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                        public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
 
@@ -156,6 +172,41 @@ SELECT s.doc_id, len(s.g) AS n_shingles, min(reach.r) AS component_id
 FROM s JOIN reach ON reach.doc_id = s.doc_id GROUP BY s.doc_id, s.g"""
 
 
+# The checksum of an id is the usual CRC-32, bit by bit over its decimal digits.
+PREFIX_TRIE = f"""
+WITH RECURSIVE t AS (
+  SELECT conv_id, turn, coalesce(text, '') AS text, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT conv_id, list({{'id': id, 'words': len(regexp_extract_all(text, '{_WORDS}'))}} ORDER BY turn NULLS FIRST, id) AS s
+  FROM t GROUP BY conv_id),
+h AS (
+  SELECT *, CAST(xor(list_reduce(
+    list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+    lambda a, b: list_reduce(
+      list_concat([xor(a, b)], CAST([1, 2, 3, 4, 5, 6, 7, 8] AS BIGINT[])),
+      lambda c, i: xor(c >> 1, CASE WHEN c & 1 = 1 THEN CAST(3988292384 AS BIGINT) ELSE CAST(0 AS BIGINT) END))),
+    CAST(4294967295 AS BIGINT)) % 4 AS INTEGER) AS h
+  FROM own),
+rebuilt AS (
+  SELECT h.conv_id, CASE WHEN h.h = 0 THEN h.s ELSE list_concat(coalesce(b.s[1:h.h], []), h.s[h.h + 1:]) END AS s
+  FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 20),
+members AS (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS depth FROM rebuilt),
+nodes AS (
+  SELECT depth, s[1:depth] AS p, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(s) = depth), '')) AS ends_sha256
+  FROM members GROUP BY 1, 2),
+linked AS (
+  SELECT n.*, up.conv_id AS parent_conv_id, (SELECT count(*) FROM nodes k WHERE k.depth = n.depth + 1 AND k.p[1:n.depth] = n.p) AS n_children
+  FROM nodes n LEFT JOIN nodes up ON up.depth = n.depth - 1 AND up.p = n.p[1:n.depth - 1]),
+sums AS (
+  SELECT d AS depth, p[1:d] AS p, CAST(sum(CAST(n_children = 0 AS BIGINT)) AS BIGINT) AS n_leaves,
+         CAST(sum(CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * p[depth].words END) AS BIGINT) AS saved_tokens
+  FROM linked, unnest(range(0, depth + 1)) AS x(d) GROUP BY 1, 2)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256
+FROM linked JOIN sums USING (depth, p)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": SUBSTRING_DEDUP, "op4_quality_rules": QUALITY_RULES, "op7_ngram_join": NGRAM_JOIN,
+    return {"op11_prefix_trie": PREFIX_TRIE, "op1_substring_dedup": SUBSTRING_DEDUP, "op4_quality_rules": QUALITY_RULES, "op7_ngram_join": NGRAM_JOIN,
             "op9_decontaminate": DECONTAMINATE}

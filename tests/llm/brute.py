@@ -1,9 +1,15 @@
 """Plain Python versions of the corpus operators, written from their contracts."""
 
 import base64
+import bisect
 import collections
 import hashlib
+import itertools
 import re
+import zlib
+
+import sentencepiece
+import tokenizers
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -155,3 +161,87 @@ def good_hosts(failed, limit=0.5):
     between = spread / (n - sum(x * x for x in docs.values()) / n) if k > 1 else 0
     strength = max(2.0, min(10_000.0, m * (1 - m) / between - 1 if between > 0 else 10_000.0))
     return {h for h in docs if (bad[h] + m * strength) / (docs[h] + strength) <= limit}
+
+
+def trie(rows):
+    """Nodes of the rebuilt conversations; ``rows``: (conv_id, turn, role, text)."""
+    conv = collections.defaultdict(list)
+    for c, t, r, x in rows:
+        if c is not None:
+            r, x = r or "", x or ""
+            conv[c].append((t is not None, t or 0, hashlib.md5(f"{len(r)}:{r}{x}".encode()).digest(), r, x))
+    own = {c: [(r, x) for *_, r, x in sorted(v, key=lambda z: z[:3])] for c, v in conv.items()}
+    new = {}
+    for c, v in own.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        base = c - (abs(c) % 20) * (1 if c >= 0 else -1)
+        new[c] = own.get(base, [])[:h] + v[h:]
+    members, kids = collections.defaultdict(list), collections.defaultdict(set)
+    for c, v in new.items():
+        for d in range(len(v) + 1):
+            members[tuple(v[:d])].append(c)
+    for p in members:
+        if p:
+            kids[p[:-1]].add(p)
+    leaves, saved = collections.Counter(), collections.Counter()
+    for p, m in members.items():
+        s = (len(m) - 1) * len(SPACED.findall(p[-1][1])) if p else 0
+        for d in range(len(p) + 1):
+            saved[p[:d]] += s
+            leaves[p[:d]] += not kids[p]
+    return [(min(m), len(p), min(members[p[:-1]]) if p else None, len(m), len(kids[p]), leaves[p], saved[p], hashlib.sha256(
+        ",".join(str(c) for c in sorted(m) if len(new[c]) == len(p)).encode()).hexdigest()) for p, m in members.items()]
+
+
+def letter_grams(text, orders):
+    """How often each character n-gram occurs, in order of the counts."""
+    out = collections.Counter()
+    for w in re.findall(r"[^\W\d_]+", text.lower()):
+        w = f" {w} "
+        out.update(w[i:i + k] for k in orders for i in range(len(w) - k + 1) if w[i:i + k] != " ")
+    return sorted(out.values())
+
+
+def alignment(rows, byte_path, piece_path):
+    """The rows of the token alignment, from the two libraries; ``rows``: (doc_id, text)."""
+    a_side = tokenizers.Tokenizer.from_file(byte_path)
+    a_side.encode_special_tokens = True
+    b_side = sentencepiece.SentencePieceProcessor(model_file=piece_path)
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(256, 512))
+    byte_of = {(chr(b) if b in plain else chr(next(rest))): b for b in range(256)}
+
+    def a_bytes(i):
+        return bytes(byte_of[c] for c in a_side.id_to_token(i))
+
+    def b_bytes(i):
+        p = b_side.id_to_piece(i)
+        return bytes([int(p[3:5], 16)]) if b_side.is_byte(i) else p.replace("▁", " ").encode()
+
+    docs, count = [], collections.Counter()
+    for i, text in rows:
+        full = (" " + (text or "")).encode()
+        a = a_side.encode(" " + text, add_special_tokens=False).ids if text else []
+        b = b_side.encode(text) if text else []
+        if b"".join(map(a_bytes, a)) != full or b"".join(map(b_bytes, b)) != full:
+            docs.append((i, [], [], []))
+            continue
+        ends_a = list(itertools.accumulate(len(a_bytes(x)) for x in a))
+        ends_b = list(itertools.accumulate(len(b_bytes(x)) for x in b))
+        groups, ia, ib = [], 0, 0
+        for cut in sorted(set(ends_a) & set(ends_b)):
+            ja, jb = bisect.bisect_right(ends_a, cut), bisect.bisect_right(ends_b, cut)
+            groups.append((a[ia:ja], b[ib:jb]))
+            ia, ib = ja, jb
+        docs.append((i, a, b, groups))
+        count.update({(x, y) for ga, gb in groups for x in ga for y in gb})
+    best = collections.Counter()
+    for (x, _), n in count.items():
+        best[x] = max(best[x], n)
+    out = []
+    for i, a, b, groups in docs:
+        links = [(x, y) for ga, gb in groups for x in ga for y in gb]
+        text = ";".join(",".join(map(str, ga)) + "|" + ",".join(map(str, gb)) for ga, gb in groups)
+        out.append((i, len(a), len(b), len(groups), len(links), sum(count[x] == best[x[0]] for x in links), sum(count[x] for x in links),
+                    hashlib.sha256(text.encode()).hexdigest() if a else ""))
+    return out
