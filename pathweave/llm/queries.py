@@ -84,24 +84,29 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 
 SUBSTRING_DEDUP = f"""
 WITH split AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no
+  SELECT doc_id, unnest(regexp_extract_all(text, '[\\x20\\x09-\\x0D]*{_WORDS}')) AS token,
+         generate_subscripts(regexp_extract_all(text, '[\\x20\\x09-\\x0D]*{_WORDS}'), 1) AS i
   FROM documents WHERE text IS NOT NULL),
 placed AS (
-  SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no) - length(line) - 1 AS start,
-         regexp_extract_all({_LOWER.format('line')}, '{_WORDS}') AS words
+  SELECT doc_id, i, regexp_extract(token, '{_WORDS}') AS word, contains(token, chr(10)) AS breaks,
+         sum(length(token)) OVER (PARTITION BY doc_id ORDER BY i) AS stop
   FROM split),
+begun AS (
+  SELECT *, CAST(i = 1 OR breaks OR regexp_matches(lag(word) OVER (PARTITION BY doc_id ORDER BY i), '[.!?]$') AS INTEGER) AS begins
+  FROM placed),
+numbered AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY i) AS number FROM begun),
 units AS (
-  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS line, start, start + length(line) AS stop,
-         len(words) AS n_words, array_to_string(words, ' ') AS unit
-  FROM placed WHERE len(words) > 0),
+  SELECT doc_id, number, min(stop - length(word)) AS start, max(stop) AS stop, count(*) AS n_words,
+         string_agg({_LOWER.format('word')}, ' ' ORDER BY i) AS unit
+  FROM numbered GROUP BY doc_id, number),
 ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY unit ORDER BY doc_id, line) AS rank,
-         first_value(doc_id) OVER (PARTITION BY unit ORDER BY doc_id, line) AS first_doc_id
+  SELECT *, row_number() OVER (PARTITION BY unit ORDER BY doc_id, number) AS rank,
+         first_value(doc_id) OVER (PARTITION BY unit ORDER BY doc_id, number) AS first_doc_id
   FROM units),
 later AS (
-  SELECT *, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS island FROM ranked WHERE rank > 1)
-SELECT doc_id, CAST(min(start) AS BIGINT) AS start, CAST(max(stop) AS BIGINT) AS stop, count(*) AS n_lines,
-       CAST(sum(n_words) AS BIGINT) AS n_words, arg_max(first_doc_id, n_words * 1000000000 - line) AS first_doc_id
+  SELECT *, number - row_number() OVER (PARTITION BY doc_id ORDER BY number) AS island FROM ranked WHERE rank > 1)
+SELECT doc_id, CAST(min(start) AS BIGINT) AS start, CAST(max(stop) AS BIGINT) AS stop, count(*) AS n_units,
+       CAST(sum(n_words) AS BIGINT) AS n_words, arg_max(first_doc_id, n_words * 1000000000 - number) AS first_doc_id
 FROM later GROUP BY doc_id, island HAVING sum(n_words) >= {substring_dedup.MIN_RUN_WORDS}"""
 
 QUALITY_RULES = f"""

@@ -1,15 +1,20 @@
-"""Removal of text that repeats across or within documents, line by line.
+"""Removal of text that repeats across or within documents, sentence by sentence.
 
-1. Every line with a word is normalised (A-Z lowered, white space collapsed) and hashed to
-   128 bits where the text is read; only (document, line, offsets, hash) rows move.
-2. For each hash the earliest line is found with a partial aggregation: documents rank by
-   id, lines by position.  Hashes that occur once go no further.
-3. All later lines are repeats.  Repeated lines that follow one another make a run; runs of
+A unit is a run of words of one line that ends with a word ending in ``.``, ``!`` or ``?``, or with
+the line; so a passage is found wherever it stands in a line, but for the sentences at its
+two ends that it only shares in part.
+
+1. Every unit is normalised (A-Z lowered, white space collapsed) and hashed to 96 bits where
+   the text is read; only (document, unit, offsets, hash) rows move.
+2. Hashes are counted with a partial aggregation of hashes alone.  Units whose hash occurs once
+   go no further; for the others the earliest unit is found: documents rank by id, units by position.
+3. All later units are repeats.  Repeated units that follow one another make a run; runs of
    at least ``MIN_RUN_WORDS`` words are removed, shorter ones (a heading, a greeting) stay.
    Removed spans keep their character offsets in the original text.
 
-A line that a third of all rows share is one row for each task in step 2; in the join
-back to its lines it is a skewed key that Spark splits, as both sides are shuffled tables.
+A unit that a third of all rows share is one row for each task in the counts and in the search of
+the earliest; in the joins back to its units it is a skewed key that Spark splits, as both sides
+are shuffled tables.
 
 Defined cases: null or empty text and blank lines have no unit; rows with a null id rank last;
 rows that are equal in id and text are one document, with one decision for all; ties of
@@ -23,42 +28,45 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathweave.llm.common import Carried, map_arrow, pick, shared_table
-from pathweave.llm.textscan import Lines, chunks
+from pathweave.llm.textscan import Sentences, chunks
 
-MIN_RUN_WORDS = 40
-_LINE = "doc_id bigint, sig bigint, line bigint, start bigint, stop bigint, n_words bigint, h1 bigint, h2 bigint"
+MIN_RUN_WORDS = 20            # of a run that is removed
+_UNIT = "doc_id bigint, sig bigint, unit int, start int, stop int, n_words int, h1 bigint, h2 int"
 
 
-def _lines(batches):
+def _units(batches):
     import pyarrow as pa
 
     for batch in batches:
         texts = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
         for lo, hi in chunks(texts):
-            found = Lines(texts[lo:hi])
+            found = Sentences(texts[lo:hi])
             at = pa.array(found.doc + lo)
-            numbers = [found.number, found.starts, found.ends, found.n_words, found.hash1.view(np.int64), found.hash2.view(np.int64)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *map(pa.array, numbers)],
-                                             names=["doc_id", "sig", "line", "start", "stop", "n_words", "h1", "h2"])
+            numbers = [x.astype(np.int32) for x in (found.number, found.starts, found.stops, found.n_words)]
+            hashes = [found.hash1.view(np.int64), (found.hash2 >> np.uint64(32)).astype(np.uint32).view(np.int32)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *map(pa.array, [*numbers, *hashes])],
+                                             names=["doc_id", "sig", "unit", "start", "stop", "n_words", "h1", "h2"])
 
 
 def _later(docs: DataFrame) -> DataFrame:
-    """Every line that repeats an earlier one, with the number of its run (``island``) in the document."""
+    """Every unit that repeats an earlier one, with the number of its run (``island``) in the document."""
     texts = pick(docs, doc_id="bigint", text="string").select("doc_id", F.xxhash64("text").alias("sig"), "text")
-    lines = shared_table(map_arrow(texts, _lines, _LINE), "lines")
-    rank = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "sig", "line")
-    firsts = lines.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    firsts = shared_table(firsts.select("h1", "h2", "first"), "first-lines")
-    later = lines.join(firsts, ["h1", "h2"]).filter(rank != F.col("first")).select(
-        "doc_id", "sig", "line", "start", "stop", "n_words", F.col("first.doc_id").alias("first_doc_id")).distinct()
-    island = F.col("line") - F.row_number().over(Window.partitionBy("doc_id", "sig").orderBy("line"))
+    units = shared_table(map_arrow(texts, _units, _UNIT), "units")
+    often = shared_table(units.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2"), "repeated-hashes")
+    units = shared_table(units.join(often, ["h1", "h2"]), "repeated-units")
+    rank = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "sig", "unit")
+    firsts = shared_table(units.groupBy("h1", "h2").agg(F.min(rank).alias("first")), "first-units")
+    later = units.join(firsts, ["h1", "h2"]).filter(rank != F.col("first")).select(
+        "doc_id", "sig", *[F.col(c).cast("bigint").alias(c) for c in ("unit", "start", "stop", "n_words")],
+        F.col("first.doc_id").alias("first_doc_id")).distinct()
+    island = F.col("unit") - F.row_number().over(Window.partitionBy("doc_id", "sig").orderBy("unit"))
     return later.withColumn("island", island)
 
 
-def repeated_lines(docs: DataFrame, min_run_words: int = MIN_RUN_WORDS) -> DataFrame:
-    """One row per later line, whatever its run: doc_id, sig, line, start, stop, n_words, first_doc_id, run_words, removed.
+def repeated_units(docs: DataFrame, min_run_words: int = MIN_RUN_WORDS) -> DataFrame:
+    """One row per later unit, whatever its run: doc_id, sig, unit, start, stop, n_words, first_doc_id, run_words, removed.
 
-    ``removed`` says whether ``repeated_runs`` with the same floor has the line in one of its runs.
+    ``removed`` says whether ``repeated_runs`` with the same floor has the unit in one of its runs.
     """
     run = Window.partitionBy("doc_id", "sig", "island")
     return _later(docs).withColumn("run_words", F.sum("n_words").over(run)).withColumn(
@@ -66,13 +74,13 @@ def repeated_lines(docs: DataFrame, min_run_words: int = MIN_RUN_WORDS) -> DataF
 
 
 def repeated_runs(docs: DataFrame, min_run_words: int = MIN_RUN_WORDS) -> DataFrame:
-    """One row per removed span: doc_id, sig (hash of the text), start, stop (characters), n_lines, n_words, first_doc_id.
+    """One row per removed span: doc_id, sig (hash of the text), start, stop (characters), n_units, n_words, first_doc_id.
 
-    ``first_doc_id`` is the document that keeps the longest line of the run.
+    ``first_doc_id`` is the document that keeps the longest unit of the run.
     """
-    longest = F.struct("n_words", -F.col("line"))
+    longest = F.struct("n_words", -F.col("unit"))
     runs = _later(docs).groupBy("doc_id", "sig", "island").agg(
-        F.min("start").alias("start"), F.max("stop").alias("stop"), F.count(F.lit(1)).alias("n_lines"),
+        F.min("start").alias("start"), F.max("stop").alias("stop"), F.count(F.lit(1)).alias("n_units"),
         F.sum("n_words").alias("n_words"), F.max_by("first_doc_id", longest).alias("first_doc_id"))
     return runs.filter(F.col("n_words") >= min_run_words).drop("island")
 
@@ -80,7 +88,7 @@ def repeated_runs(docs: DataFrame, min_run_words: int = MIN_RUN_WORDS) -> DataFr
 def remove_repeats(spark, docs: DataFrame, sf_dir: str, min_run_words: int = MIN_RUN_WORDS) -> DataFrame:
     """Pipeline stage: repeated runs are cut out of the texts; documents of which no word is left go.
 
-    A cut takes the line break after the run, or that before it at the end of the text.
+    A cut takes the white space after the run, one character, or that before it at the end of the text.
     Documents without repeats stay as they are.  ``n_chars``, if there is one, follows the text.
     """
     rows = Carried(docs)
@@ -98,7 +106,7 @@ def remove_repeats(spark, docs: DataFrame, sf_dir: str, min_run_words: int = MIN
         text, (p["b"] + 1).cast("int"), F.greatest(p["e"] - p["b"], F.lit(0)).cast("int")))
     left = F.array_join(pieces, "")
     last = F.element_at(cut, -1)["stop"] >= size
-    left = F.when(last & left.endswith("\n"), F.substr(left, F.lit(1), F.length(left) - 1)).otherwise(left)
+    left = F.when(last & left.rlike(r"[\x20\x09-\x0D]\z"), F.substr(left, F.lit(1), F.length(left) - 1)).otherwise(left)
     done = joined.withColumn("_left", F.when(cut.isNull(), text).otherwise(left))
     done = done.filter(cut.isNull() | F.col("_left").rlike(r"[^\x20\x09-\x0D]"))
     n_chars = F.when(cut.isNull(), rows.col("n_chars") if "n_chars" in rows.names else F.lit(0)).otherwise(F.length("_left"))

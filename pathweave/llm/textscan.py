@@ -125,28 +125,34 @@ def chunks(texts: list, most: int = CHUNK) -> Iterator[tuple[int, int]]:
         yield i, len(texts)
 
 
-class Lines:
-    """The lines that have a word, of several texts: offsets in characters, word counts and two hashes."""
+_STOPS = np.zeros(256, bool)
+_STOPS[list(b".!?")] = True
+
+
+class Sentences:
+    """Runs of words of one line that end with a word ending in ``.``, ``!`` or ``?``, or with the line, of several texts.
+
+    Offsets (from the first word to the end of the last) are in characters; ``number`` counts
+    the sentences of a text from 0.
+    """
 
     def __init__(self, texts: list[bytes]):
         words = Words(texts, SPACED)
         buf = np.frombuffer(words.joined, np.uint8)
-        breaks = np.flatnonzero(buf == 10)
-        starts, ends = np.append(0, breaks + 1), np.append(breaks, len(buf))
-        n = np.bincount(np.searchsorted(breaks, words.abs_starts), minlength=len(starts))
-        kept = np.flatnonzero(n)
+        line = np.searchsorted(np.flatnonzero(buf == 10), words.abs_starts)      # texts are joined by line breaks, too
+        begins = np.ones(len(line), bool)
+        begins[1:] = (line[1:] != line[:-1]) | _STOPS[buf[words.abs_ends[:-1] - 1]]
+        first = np.flatnonzero(begins)
+        last = np.append(first[1:], len(line))[:len(first)]
         chars = np.zeros(len(buf) + 1, np.int64)
         np.cumsum((buf & 0xC0) != 0x80, out=chars[1:])
-        self.doc = np.searchsorted(words.base, starts[kept], "right") - 1
+        self.doc = words.doc[first]
         begin = chars[words.base[self.doc]]
-        self.starts, self.ends = chars[starts[kept]] - begin, chars[ends[kept]] - begin
-        self.n_words = n[kept]
-        # Position of the line among the lines with a word of its text, from 0.
-        first = np.searchsorted(self.doc, np.arange(len(texts)))
-        self.number = np.arange(len(kept)) - first[self.doc]
-        last_word = np.cumsum(self.n_words)
-        self.hash1 = _sequences(words.hash, last_word - self.n_words, last_word)
-        self.hash2 = _sequences(mix(words.hash + U(_R)), last_word - self.n_words, last_word)
+        self.starts, self.stops = chars[words.abs_starts[first]] - begin, chars[words.abs_ends[last - 1]] - begin
+        self.n_words = last - first
+        self.number = np.arange(len(first)) - np.searchsorted(self.doc, np.arange(len(texts)))[self.doc]
+        self.hash1 = _sequences(words.hash, first, last)
+        self.hash2 = _sequences(mix(words.hash + U(_R)), first, last)
 
 
 def _sequences(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:

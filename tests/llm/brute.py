@@ -35,19 +35,30 @@ def measures(text):
             "base_failed": len(w) < 10 or 100 * len(covered) > 20 * len(w)}
 
 
+def sentences(text):
+    """(start, stop, words) of each run of words that ends with ``.``, ``!``, ``?`` or the line."""
+    out, at = [], 0
+    for line in (text or "").split("\n"):
+        found = []
+        for m in SPACED.finditer(line):
+            found.append(m)
+            if m.group()[-1] in ".!?":
+                out.append((at + found[0].start(), at + m.end(), [x.group().translate(LOWER) for x in found]))
+                found = []
+        if found:
+            out.append((at + found[0].start(), at + found[-1].end(), [x.group().translate(LOWER) for x in found]))
+        at += len(line) + 1
+    return out
+
+
 def repeats(docs, min_words):
-    """(doc_id, start, stop, lines, words, first document) of removed runs; ids are unique and not null."""
+    """(doc_id, start, stop, units, words, first document) of removed runs; ids are unique and not null."""
     first, later = {}, collections.defaultdict(list)
     for i, text in sorted(docs):
-        at, number = 0, 0
-        for line in (text or "").split("\n"):
-            w = words(line)
-            if w:
-                key = " ".join(w)
-                if first.setdefault(key, (i, number)) != (i, number):
-                    later[i].append((number, at, at + len(line), len(w), first[key][0]))
-                number += 1
-            at += len(line) + 1
+        for number, (start, stop, w) in enumerate(sentences(text)):
+            key = " ".join(w)
+            if first.setdefault(key, (i, number)) != (i, number):
+                later[i].append((number, start, stop, len(w), first[key][0]))
     out = set()
     for i, found in later.items():
         runs = []
@@ -64,13 +75,14 @@ def repeats(docs, min_words):
 
 
 def cut(text, spans):
-    """The text without its removed runs; None if no word is left."""
-    at, kept = 0, []
-    for line in text.split("\n"):
-        if not any(a <= at and at + len(line) <= b for a, b in spans):
-            kept.append(line)
-        at += len(line) + 1
-    out = "\n".join(kept)
+    """The text without its removed runs and one white space behind each; None if no word is left."""
+    out, at = "", 0
+    for a, b in sorted(spans):
+        out += text[at:a]
+        at = b + 1
+    out += text[at:]
+    if at >= len(text) and out[-1:] in tuple(" \t\n\v\f\r"):
+        out = out[:-1]
     return out if SPACED.search(out) else None
 
 

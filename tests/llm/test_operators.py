@@ -26,20 +26,20 @@ def run(spark, name, sf=SF):
 
 
 def test_substring_dedup(spark, texts):
-    got = {tuple(r) for r in run(spark, "op1_substring_dedup").select("doc_id", "start", "stop", "n_lines", "n_words", "first_doc_id").collect()}
+    got = {tuple(r) for r in run(spark, "op1_substring_dedup").select("doc_id", "start", "stop", "n_units", "n_words", "first_doc_id").collect()}
     assert got and got == brute.repeats(texts, substring_dedup.MIN_RUN_WORDS)
 
 
-def test_every_later_line_is_found(spark, texts):
+def test_every_later_unit_is_found(spark, texts):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    lines = substring_dedup.repeated_lines(docs).collect()
+    units = substring_dedup.repeated_units(docs).collect()
     runs = brute.repeats(texts, 1)
-    assert sum(r.n_words for r in lines) == sum(x[4] for x in runs) and len(lines) == sum(x[3] for x in runs)
+    assert sum(r.n_words for r in units) == sum(x[4] for x in runs) and len(units) == sum(x[3] for x in runs)
     whole = {(i, a, b): n for i, a, b, _, n, _ in runs}
-    for r in lines:
+    for r in units:
         n = next(n for (i, a, b), n in whole.items() if i == r.doc_id and a <= r.start and r.stop <= b)
         assert r.run_words == n and r.removed == (n >= substring_dedup.MIN_RUN_WORDS)
-    assert {r.removed for r in lines} == {True, False}
+    assert {r.removed for r in units} == {True, False}
 
 
 def test_removed_runs_leave_the_rest(spark, texts):
@@ -53,6 +53,18 @@ def test_removed_runs_leave_the_rest(spark, texts):
     assert spans and got == want
 
 
+def test_passages_inside_lines_are_cut_where_they_stand(spark):
+    passage = "This stands in many texts, word for word. It has a second sentence! And a third one of some more words? Yes, and a last."
+    rows = [(1, f"Start of one. {passage} End of one."), (2, f"Another text begins here {passage} and goes on"), (3, f"Own line.\n{passage}\nLast."),
+            (4, f"{passage}"), (5, f"é é.  {passage}  tail"), (6, f"x. y. {passage} "), (7, "This stands alone. It is not repeated! Yes."), (8, None), (9, "Dr. A.\tB")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {tuple(r) for r in substring_dedup.repeated_runs(docs, 12).drop("sig").collect()}
+    assert got == brute.repeats([(i, t or "") for i, t in rows], 12) and {g[0] for g in got} == {2, 3, 4, 5, 6}
+    left = {r.doc_id: r.text for r in substring_dedup.remove_repeats(spark, docs, SF, 12).collect()}
+    assert left[3] == "Own line.\nLast." and left[6] == "x. y. " and 4 not in left and left[5] == "é é.   tail" and left[8] is None
+    assert left[2] == "Another text begins here This stands in many texts, word for word. and goes on"
+
+
 @pytest.mark.parametrize("frequent", [0, 300, 10 ** 6])
 def test_token_counts(spark, texts, frequent):
     path = public_tokenizers.path("byte_bpe_50k.json")
