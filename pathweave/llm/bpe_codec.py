@@ -24,22 +24,21 @@ import json
 import unicodedata
 from array import array
 from collections.abc import Callable
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
-from tokenizers import Tokenizer
 
-from pathweave.llm.common import map_arrow, pick, without_cycles
+from pathweave.llm.common import map_arrow, pick, release, without_cycles
 from pathweave.llm.textscan import chunks
 
 SHORT = 32                    # symbols of a word up to which the rank array is scanned
 ROWS = 4096                   # words in one array
-SLICE = 4 << 20               # characters whose new chunks are encoded together
-MEMORY = 150_000              # chunks kept in each of two generations; about 200 bytes each
+SLICE = 1 << 20               # characters whose new chunks are encoded together
+MEMORY = 60_000               # chunks kept in each of two generations; about 200 bytes each
 _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 _SLOT_BITS = 18
 _HASH = np.uint64(0x9E3779B97F4A7C15)
@@ -79,39 +78,59 @@ class WordCodec:
     """Codec for one tokenizer file of the kind "BPE with word ends"."""
 
     def __init__(self, tokenizer_json: str):
+        self.source = tokenizer_json
         spec = json.loads(tokenizer_json)
         model = spec["model"]
         vocab: dict[str, int] = model["vocab"]
         self.end: str = model.get("end_of_word_suffix") or ""
-        self.pairs: dict[int, int] = {}                # two ids -> rank
-        merged = []                                    # rank -> id
+        # Two ids -> rank, by open addressing; rank -> id.
+        self.slot_key, self.slot_rank = np.full(1 << _SLOT_BITS, -1, np.int64), np.zeros(1 << _SLOT_BITS, np.int32)
+        self.merged = np.zeros(len(model["merges"]), np.int32)
         for rank, pair in enumerate(model["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.pairs[vocab[left] << 32 | vocab[right]] = rank
-            merged.append(vocab[left + right])
-        self.merged = np.array(merged, np.int32)
-        self.slot_key, self.slot_rank = np.full(1 << _SLOT_BITS, -1, np.int64), np.zeros(1 << _SLOT_BITS, np.int32)
-        for key, rank in self.pairs.items():
-            slot = (key * int(_HASH) & (1 << 64) - 1) >> (64 - _SLOT_BITS)
+            key = vocab[left] << 32 | vocab[right]
+            slot = self._slot(key)
             while self.slot_key[slot] >= 0:
                 slot = (slot + 1) & ((1 << _SLOT_BITS) - 1)
             self.slot_key[slot], self.slot_rank[slot] = key, rank
+            self.merged[rank] = vocab[left + right]
         self.inner = [vocab.get(c, -1) for c in byte_symbols()]
         self.last = [vocab.get(c + self.end, -1) for c in byte_symbols()]
+        if min(self.inner + self.last) < 0:
+            raise ValueError("the vocabulary lacks a byte")
         self.inner_ids, self.last_ids = np.array(self.inner, np.int32), np.array(self.last, np.int32)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        self.tokens = {i: t for t, i in {**vocab, **self.special}.items()}
-        names = [self.tokens.get(i) for i in range(max(self.tokens) + 1)]
+        names: list[str | None] = [None] * (max([*vocab.values(), *self.special.values()]) + 1)
+        for token, i in [*vocab.items(), *self.special.items()]:
+            names[i] = token
         self.id_names, self.token_names = (pa.array(x, pa.large_string()) for x in ([str(i) for i in range(len(names))], names))
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         splits = [p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         self.words = regex.compile(splits[0]["pattern"]["Regex"])
-        self.library = Tokenizer.from_str(tokenizer_json)
         self.byte_of = {c: b for b, c in enumerate(byte_symbols())}
-        if min(self.inner + self.last) < 0:
-            raise ValueError("the vocabulary lacks a byte")
         self.chunk = Memory(lambda chunk: self._chunks([chunk])[0])
 
+    @cached_property
+    def library(self):
+        """The library's own tokenizer, loaded when a text goes beyond Latin letters."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(self.source)
+
+    @staticmethod
+    def _slot(key: int) -> int:
+        return (key * int(_HASH) & (1 << 64) - 1) >> (64 - _SLOT_BITS)
+
+    def _rank_of(self, left: int, right: int) -> int:
+        """Merge rank of two ids, -1 if there is no merge."""
+        key = left << 32 | right
+        slot = self._slot(key)
+        while (found := int(self.slot_key[slot])) >= 0:
+            if found == key:
+                return int(self.slot_rank[slot])
+            slot = (slot + 1) & ((1 << _SLOT_BITS) - 1)
+        return -1
+
     def merge(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word; words of similar length share one array."""
         out: list[list[int]] = [[]] * len(words)
@@ -197,11 +216,14 @@ class WordCodec:
         todo: list[tuple[int, int, int, int]] = []
 
         def offer(a: int, b: int) -> None:
-            if a >= 0 and b >= 0 and (r := self.pairs.get(parts[a] << 32 | parts[b])) is not None:
+            if a >= 0 and b >= 0 and (r := self._rank_of(parts[a], parts[b])) >= 0:
                 heapq.heappush(todo, (r, a, parts[a], parts[b]))
 
-        for a in range(n - 1):
-            offer(a, a + 1)
+        row = np.array(ids, np.int32)
+        ranks = self._rank(row[:-1], row[1:])
+        for a in np.flatnonzero(ranks < len(self.merged)).tolist():
+            todo.append((int(ranks[a]), a, ids[a], ids[a + 1]))
+        heapq.heapify(todo)
         while todo:
             low, i, left, right = heapq.heappop(todo)
             j = after[i]
@@ -303,13 +325,16 @@ class WordCodec:
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by spaces, as the library does for files without a decoder; special tokens stay."""
-        return " ".join([self.tokens[i] for i in ids if i in self.tokens])
+        names = [self.token_names[i].as_py() for i in ids if 0 <= i < len(self.token_names)]
+        return " ".join([t for t in names if t is not None])
 
 
 @lru_cache(maxsize=1)
 def _codec(tokenizer_json: str) -> WordCodec:
     """One codec for all tasks of a worker, so that its memory is kept."""
-    return WordCodec(tokenizer_json)
+    codec = WordCodec(tokenizer_json)
+    release()                                          # the parsed file
+    return codec
 
 
 def _coder(tokenizer, with_ids: bool) -> Callable:
