@@ -1,8 +1,10 @@
 """Distribution statistics per group: quantiles, box, ECDF, describe, histogram, cap.
 
 Waits are pre-aggregated to ``(dimension, grp, value, cnt)`` before any
-per-group step; quantiles are bracketed by counting, so neither a dominant
-group nor many distinct values ever meet in one task.
+per-group step.  Quantiles, whiskers and ECDFs are looked up in running counts,
+which are summed by intervals of values, so neither a dominant group nor
+many distinct values ever meet in one task; quantiles of plain rows are bracketed
+by a mergeable sketch first, so that few values are shuffled at all.
 """
 
 from __future__ import annotations
@@ -65,10 +67,11 @@ def value_counts(long: DataFrame, keys=("dimension", "grp"), positive: bool = Tr
     return df.groupBy(*keys, "value").agg(times.alias("cnt"))
 
 
-# Quantiles: bins of a refinement pass, and the number of values of one group
-# between two bracket ends from which on the bracket is refined once more.
-BRACKET_BINS = 1024
-BRACKET_VALUES = 100_000
+# Mergeable sketches: items kept, and the share of ranks taken on either side of a quantile. The error of
+# a sketch of this size is a fifth of that share; the exact counts show whether it sufficed.
+SKETCH_K = 8192
+SKETCH_MARGIN = 0.004
+INTERVALS = 256           # of values, in prefix sums
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -90,27 +93,50 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return out
 
 
-def cumulative_counts(counts: DataFrame, keys=(), n_parts: int | None = None) -> DataFrame:
+def _sketched(ranks: list[float]) -> Column:
+    """The quantiles of a sketch ``_k`` at the given ranks; null for a sketch of no values."""
+    return F.when(F.kll_sketch_get_n_double("_k") > 0, F.kll_sketch_get_quantile_double("_k", F.lit([float(r) for r in ranks])))
+
+
+def _intervals(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``_pid``, the number of the interval its value lies in; intervals hold about equally many rows.
+
+    The ends of the intervals (at most ``INTERVALS`` numbers) come from one mergeable sketch of all values.
+    """
+    from pyspark.ml.feature import Bucketizer
+
+    ranks = [i / INTERVALS for i in range(1, INTERVALS)]
+    ends = rows.agg(F.kll_sketch_agg_double("value", F.lit(SKETCH_K)).alias("_k")).select(_sketched(ranks)).first()[0] or []
+    splits = [-float("inf"), *sorted(set(ends)), float("inf")]
+    if len(splits) < 3:
+        return rows.withColumn("_pid", F.lit(0.0))
+    return Bucketizer(splits=splits, inputCol="value", outputCol="_pid").transform(rows)      # a binary search
+
+
+def cumulative_counts(counts: DataFrame, keys=(), keep=()) -> DataFrame:
     """Add ``n_le`` (values <= value in the group) and ``n`` (group size) to (keys, value, cnt).
 
-    Distributed prefix sum: range-partition by (keys, value), running sum per
-    (partition, group), written once to the shared folder so partition ids
-    stay fixed, then add the totals of all earlier partitions of the group
-    from a (partitions x groups) table.
+    A distributed prefix sum: rows meet by (group, interval of values), where they are sorted and summed, and
+    the totals of the group's earlier intervals are added.  All ranks, whiskers and steps of an ECDF are looked
+    up in these running counts.  The counts are written once to the shared folder, unless they have an
+    interval number ``_pid`` already; running counts are returned as they are.  ``keep`` names columns to carry.
     """
-    spark = counts.sparkSession
+    if "n_le" in counts.columns:
+        return counts
     keys = list(keys)
-    parts = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tagged = (counts.repartitionByRange(parts, *keys, "value")
-              .withColumn("_pid", F.spark_partition_id()))
-    run = Window.partitionBy("_pid", *keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    local = materialize(tagged.withColumn("_lc", F.sum("cnt").over(run)), "prefix")
-    tot = local.groupBy("_pid", *keys).agg(F.sum("cnt").alias("_pt"))
-    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select("_pid", *keys, F.coalesce(F.sum("_pt").over(before), F.lit(0)).alias("_off"),
-                     F.sum("_pt").over(Window.partitionBy(*keys)).alias("n"))
-    return (local.join(off, ["_pid", *keys])
-            .select(*keys, "value", "cnt", (F.col("_lc") + F.col("_off")).alias("n_le"), "n"))
+    if "_pid" not in counts.columns:
+        counts = _intervals(materialize(counts.withColumn("value", F.col("value").cast("double")), "counts"))
+    run = Window.partitionBy(*keys, "_pid").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    names = [f"_k_{c}" for c in keys]
+    tot = counts.groupBy(*[F.col(c).alias(k) for c, k in zip(keys, names, strict=True)], F.col("_pid").alias("_p")).agg(F.sum("cnt").alias("_pt"))
+    before = Window.partitionBy(*names).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select(*names, "_p", F.coalesce(F.sum("_pt").over(before), F.lit(0)).alias("_off"),
+                     F.sum("_pt").over(Window.partitionBy(*names)).alias("n"))
+    on = F.col("_pid") == F.col("_p")
+    for c, k in zip(keys, names, strict=True):
+        on = on & F.col(c).eqNullSafe(F.col(k))
+    return (counts.withColumn("_lc", F.sum("cnt").over(run)).join(off, on)
+            .select(*keys, "value", "cnt", *keep, (F.col("_lc") + F.col("_off")).alias("n_le"), "n"))
 
 
 def _lerp(a: Column, b: Column, t: Column) -> Column:
@@ -118,58 +144,73 @@ def _lerp(a: Column, b: Column, t: Column) -> Column:
     return F.when(t >= 0.5, b - (b - a) * (F.lit(1.0) - t)).otherwise(a + (b - a) * t)
 
 
-def group_quantiles(counts: DataFrame, keys=(), probs=SUMMARY_PROBS, bins: int | None = None,
-                    values: int | None = None) -> DataFrame:
-    """(keys..., n, _q array) of exact quantiles (numpy's default method) of (keys, value[, cnt]) rows.
-
-    The ranks floor((n-1)p) and ceil((n-1)p) of each quantile are bracketed
-    by value, each on its own.  While a bracket holds more than ``values``
-    rows, one pass counts its rows in ``bins`` equal bins (a partial
-    aggregation) and keeps the bin that holds the rank, so every pass narrows
-    the bracket at least ``bins`` times.  The rows left are counted by value
-    and the value at the rank is picked from running sums.  Nothing but these
-    rows is ever sorted, and no group meets in one task.
-    """
-    keys, bins, values = list(keys), bins or BRACKET_BINS, values or BRACKET_VALUES
-    rows = counts if "cnt" in counts.columns else counts.withColumn("cnt", F.lit(1).cast("bigint"))
-    rows = rows.select(*keys, F.col("value").cast("double").alias("value"), "cnt").filter(F.col("value").isNotNull())
+def _ranks(probs) -> list[Column]:
     pos = [(F.col("n") - 1) * F.lit(float(p)) for p in probs]
-    ranks = F.array(*[edge(x) for x in pos for edge in (F.floor, F.ceil)])
-    grouped = rows.groupBy(*keys) if keys else rows.groupBy()
-    state = grouped.agg(F.sum("cnt").alias("n"), F.min("value").alias("_lo"), F.max("value").alias("_hi"))
-    state = state.filter(F.col("n") > 0).select(
-        *keys, "n", "_lo", "_hi", F.posexplode(ranks).alias("_j", "_r"), F.lit(0).cast("bigint").alias("_below"), F.col("n").alias("_inside"))
-    state = materialize(state, "brackets")
-    names = [f"_k_{c}" for c in keys]
+    return [edge(x) for x in pos for edge in (F.floor, F.ceil)]
+
+
+def _holds(rank: Column) -> Column:
+    """Whether a row of running counts is the one at this rank."""
+    return (F.col("n_le") - F.col("cnt") <= rank) & (rank < F.col("n_le"))
 
-    def same_keys(on: Column) -> Column:
-        for c, k in zip(keys, names, strict=True):
-            on = on & F.col(c).eqNullSafe(F.col(k))
-        return on
 
-    def in_bracket() -> DataFrame:
-        side = state.select(*[F.col(c).alias(k) for c, k in zip(keys, names, strict=True)], "n", "_j", "_r", "_lo", "_hi", "_below")
-        return rows.join(side, same_keys(F.col("value").between(F.col("_lo"), F.col("_hi"))))
+def _quantiles_of(running: DataFrame, keys, probs, *more: Column) -> DataFrame:
+    """(keys..., n, _q, more...) from running counts: every rank is looked up in the same rows, in one partial aggregation."""
+    at = [F.max(F.when(_holds(r), F.col("value"))) for r in _ranks(probs)]
+    found = (running.groupBy(*keys) if keys else running.groupBy()).agg(F.max("n").alias("n"), F.array(*at).alias("_s"), *more)
+    pos = [(F.col("n") - 1) * F.lit(float(p)) for p in probs]
+    q = [_lerp(F.col("_s")[2 * i], F.col("_s")[2 * i + 1], x - F.floor(x)) for i, x in enumerate(pos)]
+    return found.filter(F.col("n") > 0).withColumn("_q", F.array(*q)).drop("_s")
 
-    def with_rank(counted: DataFrame, order: str) -> DataFrame:
-        """Of each bracket the row (bin or value) that holds its rank; ``_start`` rows lie below it."""
-        end = F.col("_below") + F.sum("_c").over(Window.partitionBy(*keys, "_j").orderBy(order))
-        return (counted.withColumn("_end", end).withColumn("_start", F.col("_end") - F.col("_c"))
-                .filter((F.col("_start") <= F.col("_r")) & (F.col("_end") > F.col("_r"))))
 
-    while (state.filter(F.col("_hi") > F.col("_lo")).agg(F.max("_inside")).first()[0] or 0) > values:
-        place = F.least(F.floor((F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))
-        binned = in_bracket().withColumn("_b", F.when(F.col("_hi") > F.col("_lo"), place).otherwise(F.lit(0)))
-        counted = binned.groupBy(*keys, "n", "_j", "_r", "_below", "_b").agg(
-            F.sum("cnt").alias("_c"), F.min("value").alias("_lo"), F.max("value").alias("_hi"))
-        state = materialize(with_rank(counted, "_b").select(
-            *keys, "n", "_lo", "_hi", "_j", "_r", F.col("_start").alias("_below"), F.col("_c").alias("_inside")), "brackets")
+def _near_ranks(rows: DataFrame, probs, margin: float) -> DataFrame:
+    """(_pid, value, cnt, one) of all rows: values near the quantiles are counted each, what lies between them as one row.
 
-    few = in_bracket().groupBy(*keys, "n", "_j", "_r", "_below", "value").agg(F.sum("cnt").alias("_c"))
-    picked = with_rank(few, "value").groupBy(*keys, "n").agg(F.array_sort(F.collect_list(F.struct("_j", "value"))).alias("_s"))
-    at = [F.col("_s")[j]["value"] for j in range(2 * len(pos))]
-    q = [_lerp(at[2 * i], at[2 * i + 1], x - F.floor(x)) for i, x in enumerate(pos)]
-    return picked.select(*keys, "n", F.array(*q).alias("_q"))
+    ``one`` says whether a row stands for one value only.  The first pass is a mergeable sketch; the second
+    counts values between the sketch's quantiles ``margin`` below and above each probability, so
+    that only these values are shuffled.
+    """
+    lows, highs = ([min(max(p + d, 0.0), 1.0) for p in sorted(probs)] for d in (-margin, margin))
+    bounds = rows.agg(F.kll_sketch_agg_double("value", F.lit(SKETCH_K)).alias("_k")).select(_sketched(lows + highs)).first()[0]
+    lows, highs = (bounds[:len(lows)], bounds[len(lows):]) if bounds else ([], [])
+    gap, near = F.lit(0), F.lit(False)
+    for lo, hi in zip(lows, highs, strict=True):
+        gap = gap + (F.col("value") > hi).cast("int")                  # brackets that end below the value
+        near = near | F.col("value").between(lo, hi)
+    placed = rows.select("value", gap.alias("_pid"), F.when(near, F.col("value")).alias("_near"))
+    counted = placed.groupBy("_pid", "_near").agg(F.count(F.lit(1)).alias("cnt"), F.min("value").alias("_min"), F.max("value").alias("value"))
+    return counted.select("_pid", "value", "cnt", (F.col("_min") == F.col("value")).alias("one"))
+
+
+def group_quantiles(rows: DataFrame, keys=(), probs=SUMMARY_PROBS, margin: float = SKETCH_MARGIN) -> DataFrame:
+    """(keys..., n, _q array) of exact quantiles (numpy's default method).
+
+    ``rows`` are (keys, value, cnt) or running counts of these, or plain (value) rows without keys.  Plain rows
+    are read twice: a sketch brackets the ranks, then the values in the brackets are counted.  Should a
+    rank fall outside its bracket, which the counts show, all values are counted.
+    """
+    keys, probs = list(keys), [float(p) for p in probs]
+    if "n_le" in rows.columns:
+        return _quantiles_of(rows, keys, probs)
+    rows = rows.withColumn("value", F.col("value").cast("double")).filter(F.col("value").isNotNull())
+    if keys or "cnt" in rows.columns:
+        return _quantiles_of(cumulative_counts(_counted(rows, keys), keys), keys, probs)
+    near = materialize(_near_ranks(rows.select("value"), probs, margin), "near-ranks")
+    missed = F.lit(False)
+    for r in _ranks(probs):
+        missed = missed | _holds(r)
+    found = _quantiles_of(cumulative_counts(near, keep=["one"]), (), probs, F.coalesce(F.bool_or(~F.col("one") & missed), F.lit(False)).alias("_missed"))
+    row = found.first()                                                # one row, if any
+    if row and row["_missed"]:
+        return _quantiles_of(cumulative_counts(_counted(rows, ())), (), probs)
+    return rows.sparkSession.range(1 if row else 0).select(
+        F.lit(row["n"] if row else 0).cast("bigint").alias("n"), F.lit(row["_q"] if row else [0.0] * len(probs)).alias("_q"))
+
+
+def _counted(rows: DataFrame, keys) -> DataFrame:
+    if "cnt" in rows.columns:
+        return rows.select(*keys, "value", "cnt")
+    return rows.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def quantile_summary(counts: DataFrame, dim: DataFrame, keys=("dimension", "grp"),
@@ -177,9 +218,9 @@ def quantile_summary(counts: DataFrame, dim: DataFrame, keys=("dimension", "grp"
     """n and quantiles (rounded like Python's ``round``) per group; empty groups get n = 0 and nulls.
 
     Exact quantiles use linear interpolation between closest ranks (numpy's
-    default) and read the pre-aggregated counts as frequencies.
+    default) and read the pre-aggregated (or running) counts as frequencies.
     """
-    agg = group_quantiles(materialize(counts), keys, probs)
+    agg = group_quantiles(counts, keys, probs)
     agg = agg.select(*keys, "n", round_exact_array("_q").alias("_q"))
     out = dim.join(agg, list(keys), "left")
     cols = [*keys, F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")]
@@ -188,27 +229,30 @@ def quantile_summary(counts: DataFrame, dim: DataFrame, keys=("dimension", "grp"
 
 
 def box_stats(counts_log: DataFrame, dim: DataFrame, keys=("dimension", "grp"), whis: float = 1.5) -> DataFrame:
-    """Box-plot statistics (quartiles, mean, 1.5 IQR whiskers, outliers) of pre-aggregated values.
+    """Box-plot statistics (quartiles, mean, 1.5 IQR whiskers, outliers) of pre-aggregated (or running) counts.
 
-    Two passes over the (group, value, cnt) table: quartiles, then whiskers
-    and outlier count against the fences (one row per group).
+    Two partial aggregations of the same running counts: quartiles and mean,
+    then whiskers and outliers against the fences (one row for each group of ``dim``).
     """
-    counts_log = materialize(counts_log.join(dim.select(*keys), list(keys), "left_semi"))
-    mean = counts_log.groupBy(*keys).agg(
-        (F.sum(F.col("value") * F.col("cnt")) / F.sum("cnt")).alias("mean"))
-    q = (group_quantiles(counts_log, keys, [0.25, 0.5, 0.75]).join(mean, list(keys))
+    keys = list(keys)
+    if "n_le" in counts_log.columns:
+        running = counts_log
+    else:
+        running = materialize(cumulative_counts(counts_log.join(dim.select(*keys), keys, "left_semi"), keys), "running-counts")
+    mean = (F.sum(F.col("value") * F.col("cnt")) / F.sum("cnt")).alias("mean")
+    q = (_quantiles_of(running, keys, [0.25, 0.5, 0.75], mean).join(dim.select(*keys), keys, "left_semi")
          .select(*keys, "n", "mean", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
                  F.col("_q")[2].alias("q3")))
     q = (q.withColumn("iqr", F.col("q3") - F.col("q1"))
          .withColumn("lo_fence", F.col("q1") - F.lit(whis) * F.col("iqr"))
          .withColumn("hi_fence", F.col("q3") + F.lit(whis) * F.col("iqr")))
     inside = (F.col("value") >= F.col("lo_fence")) & (F.col("value") <= F.col("hi_fence"))
-    w = (counts_log.join(q.select(*keys, "lo_fence", "hi_fence"), list(keys))
+    w = (running.join(F.broadcast(q.select(*keys, "lo_fence", "hi_fence")), keys)
          .groupBy(*keys).agg(
              F.min(F.when(inside, F.col("value"))).alias("whisker_lo"),
              F.max(F.when(inside, F.col("value"))).alias("whisker_hi"),
              F.sum(F.when(~inside, F.col("cnt")).otherwise(F.lit(0))).alias("n_outliers")))
-    out = dim.join(q, list(keys), "left").join(w, list(keys), "left")
+    out = dim.join(q, keys, "left").join(w, keys, "left")
     return (out.select(*keys, F.coalesce("n", F.lit(0)).cast("long").alias("n"), "mean", "q1", "median", "q3",
                        "iqr", "whisker_lo", "whisker_hi", F.coalesce("n_outliers", F.lit(0)).cast("long")
                        .alias("n_outliers"), "grp_no")

@@ -79,10 +79,11 @@ def discover(log: DataFrame, rules=CLINICAL_RULES, region: str | None = "MA", mi
     endpoints = stats.materialize(dfg.dfg_endpoint_counts(log, min_events), "endpoints")
     starts = endpoints.filter(F.col("kind") == "start").select("activity", "n")
     ends = endpoints.filter(F.col("kind") == "end").select("activity", "n")
-    # One (group, value, cnt) table for quantiles and ECDF; log(1 + v) is
-    # one-to-one, so the box statistics read a projection of the same table.
-    counts = stats.materialize(stats.value_counts(stats.wait_groups_long(trans)), "wait-counts")
-    logc = counts.select("dimension", "grp", F.log(F.lit(1.0) + F.col("value")).alias("value"), "cnt")
+    # One table of running counts for quantiles and ECDF; log(1 + v) keeps the
+    # order, so the box statistics read a projection of the same table.
+    counts = stats.cumulative_counts(stats.value_counts(stats.wait_groups_long(trans)), ("dimension", "grp"))
+    counts = stats.materialize(counts, "running-counts")
+    logc = counts.withColumn("value", F.log(F.lit(1.0) + F.col("value")))
     dim = stats.group_dim(log.sparkSession)
     return Discovery(edges, starts, ends, perf, trans, stats.quantile_summary(counts, dim),
                      stats.box_stats(logc, dim), stats.ecdf(counts))

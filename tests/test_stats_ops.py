@@ -117,11 +117,34 @@ def test_bracketed_quantiles_equal_numpy(spark):
               "two": np.array([1.0, 2.0])}
     rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("unique", None), (None, 4.0)]
     df = spark.createDataFrame(rows, "g string, value double")
-    for small in ({}, {"bins": 256, "values": 20}):
-        got = _quantiles(df, ["g"], **small)
-        assert got[(None,)] == (1, [4.0] * len(PROBS))
-        for g, vs in groups.items():
-            assert got[(g,)] == (len(vs), [float(np.quantile(vs, p)) for p in PROBS]), (g, small)
+    got = _quantiles(df, ["g"])
+    assert got[(None,)] == (1, [4.0] * len(PROBS))
+    for g, vs in groups.items():
+        want = (len(vs), [float(np.quantile(vs, p)) for p in PROBS])
+        assert got[(g,)] == want, g
+        for margin in (stats.SKETCH_MARGIN, -0.3):                # too small a margin: all values are counted
+            assert _quantiles(df.filter(F.col("g") == g).select("value"), margin=margin) == {(): want}, (g, margin)
+
+
+def test_plain_rows_are_read_twice_and_few_are_shuffled(spark):
+    rng = np.random.default_rng(3)
+    vals = rng.normal(size=200_000)
+    df = spark.createDataFrame(pd.DataFrame({"value": vals}))
+    near = stats._near_ranks(df, [0.25, 0.5, 0.75], stats.SKETCH_MARGIN)
+    rows = near.agg(F.sum("cnt").alias("n"), F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("one")).alias("gaps")).first()
+    assert rows["n"] == vals.size and rows["gaps"] <= 4 and rows["rows"] < 0.1 * vals.size
+    assert _quantiles(df) == {(): (vals.size, [float(np.quantile(vals, p)) for p in PROBS])}
+
+
+def test_running_counts_of_many_intervals(spark):
+    rng = np.random.default_rng(5)
+    vals = {"a": np.round(rng.exponential(50, 30_000), 2), "b": np.full(900, 1.0), None: rng.integers(0, 9, 50).astype(float)}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in vals.items() for v in vs], "g string, value double")
+    run = stats.cumulative_counts(df.groupBy("g", "value").agg(F.count(F.lit(1)).alias("cnt")), ["g"]).toPandas()
+    for g, vs in vals.items():
+        mine = run[run["g"].isna() if g is None else run["g"] == g].sort_values("value")
+        v, c = np.unique(vs, return_counts=True)
+        assert mine["value"].tolist() == v.tolist() and mine["n_le"].tolist() == np.cumsum(c).tolist() and set(mine["n"]) == {len(vs)}
 
 
 def test_quantiles_of_counted_values(spark):
