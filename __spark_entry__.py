@@ -31,8 +31,10 @@ from pathweave.operators import clean, dfg, features, ops, stats
 from pathweave.operators.trace import transitions
 from pathweave.plans.discovery import normalise_log
 from pathweave.plans import modeling
+from pathweave.plans.featurize import build_features
+from pathweave.plans.ingest import ingest_log
 from pathweave.session import shared_path
-from pathweave.sources.eventlog import events_as_log, read_log, write_log
+from pathweave.sources.eventlog import csv_options, events_as_log, read_features, read_log, write_log, write_transitions
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -281,7 +283,7 @@ def q_chrono_split(spark, d):
 def q_gbt_score(spark, d):
     rows = modeling.random_split_flag(modeling.training_rows(_log(spark, d)))
     tr, te = modeling.split_frames(rows, "train", "test")
-    model = modeling.train(tr, "Waiting_Time_Mins", modeling.CALENDAR_FEATURES)
+    model = modeling.train_on_cells(tr, "Waiting_Time_Mins", modeling.CALENDAR_FEATURES)
     return modeling.score(model, te).select("event_id", "Waiting_Time_Mins", "predicted_min")
 
 
@@ -420,7 +422,7 @@ def q_gbt_mae(spark, d):
     """Test rows, and whether the trees' error is within a tenth of that of the training mean."""
     rows = modeling.random_split_flag(modeling.training_rows(_log(spark, d)))
     tr, te = modeling.split_frames(rows, "train", "test")
-    model = modeling.train(tr, "Waiting_Time_Mins", modeling.CALENDAR_FEATURES)
+    model = modeling.train_on_cells(tr, "Waiting_Time_Mins", modeling.CALENDAR_FEATURES)
     mean = tr.agg(F.avg("Waiting_Time_Mins").alias("m"))
     err = model.transform(te).crossJoin(F.broadcast(mean)).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("Waiting_Time_Mins") - F.col("prediction"))).alias("e"),
@@ -439,6 +441,103 @@ def q_predict_procs(spark, d):
     return out.select("case_id", (minutes.isNotNull() & ~F.isnan(minutes) & (minutes > 0)).alias("finite"))
 
 
+# One tree of one split, so that SQL can find the same model.
+STUMP_PARAMS = dict(maxIter=1, stepSize=0.1, maxDepth=1, seed=42)
+
+
+def q_stump_calendar(spark, d):
+    """The best single split of (weekday, hour) for service minutes, and the minutes predicted for each cell."""
+    rows = modeling.training_rows(_log(spark, d))
+    model = modeling.train_on_cells(rows, "Waiting_Time_Mins", modeling.CALENDAR_FEATURES, STUMP_PARAMS)
+    feature, threshold = modeling.first_split(model, modeling.CALENDAR_FEATURES) or (None, None)
+    grid = modeling.cells(rows, "Waiting_Time_Mins", modeling.CALENDAR_FEATURES)
+    return modeling.score(model, grid).select("Day_Index", "Arrival_Hour", F.col("rows").cast("bigint").alias("n"), "predicted_min",
+                                              F.lit(feature).alias("split_feature"), F.lit(threshold).cast("double").alias("threshold"))
+
+
+def _visits_log(spark, d):
+    """One case for each user and day, so that few cases have all activities."""
+    return _log(spark, d).withColumn("case_id", F.col("case_id") * 1000 + F.dayofyear("start_ts"))
+
+
+def q_stump_procs(spark, d):
+    """Lists of procedures -> 0/1 vector -> one-split model of the visits' duration -> minutes."""
+    log = _visits_log(spark, d)
+    lists = log.groupBy("case_id").agg(F.collect_set("activity").alias("procedures"))
+    names = [name for _, name in features.count_columns(VOCAB)]
+    vectors = lists.select("case_id", *multi_hot("procedures", VOCAB))
+    minutes = features.case_summary(log).select("case_id", "encounter_duration_minutes")
+    model = modeling.train_on_cells(vectors.join(minutes, "case_id"), "encounter_duration_minutes", names, STUMP_PARAMS)
+    return modeling.predict_minutes(model, lists, VOCAB, keep=("case_id",))
+
+
+def _scratch(spark, name):
+    return shared_path(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+def _raw_file(spark, d, newest_first=False):
+    """The raw log as a ``;`` file whose header has spaces around the names and a column that nobody reads."""
+    raw = _raw_text(spark, d)
+    if newest_first:
+        raw = raw.repartitionByRange(F.col("event_id").desc()).sortWithinPartitions(F.col("event_id").desc())
+    raw = raw.select(F.col("ENCOUNTER").alias(" ENCOUNTER"), F.lit("x").alias("COST "), F.col("START").alias("START "),
+                     F.col("STOP").alias(" STOP "), F.col("DESCRIPTION").alias("DESCRIPTION"))
+    path = _scratch(spark, "raw")
+    csv_options(raw.write.option("sep", ";")).csv(path)
+    return path
+
+
+def q_raw_ingest(spark, d):
+    """A raw file with padded headers, read and cleaned."""
+    return ingest_log(spark, _raw_file(spark, d), ntz=True).drop("event_id")
+
+
+def q_raw_first_cases(spark, d):
+    """The first cases by their place in the raw file, which begins with the newest event."""
+    return ingest_log(spark, _raw_file(spark, d, newest_first=True), ntz=True, n_cases=20).drop("event_id")
+
+
+def q_strict_log(spark, d):
+    """A log written as CSV and read back with strict timestamps."""
+    path = write_log(_log(spark, d), _scratch(spark, "log"), fmt="csv")
+    return read_log(spark, path, fmt="csv", ntz=True, strict=True).withColumn("case_id", F.col("case_id").cast("bigint"))
+
+
+def q_transition_report(spark, d):
+    """The text of the transition report, as a reader of the file sees it."""
+    path = write_transitions(transitions(_nlog(spark, d), region=REGION), _scratch(spark, "report"))
+    text = csv_options(spark.read).csv(path)
+    return text.select(*[F.col(f"`{c}`").alias(c.replace(":", "_")) for c in (
+        "case:concept:name", "concept:name", "next_activity", "start:timestamp", "next_start", "date", "is_holiday", "is_weekend", "day_type")])
+
+
+def q_feature_store(spark, d):
+    """Log -> written features -> features read from the store."""
+    log = write_log(_log(spark, d), _scratch(spark, "log"))
+    store = _scratch(spark, "store")
+    build_features(spark, log, store, fmt="parquet", top_k=TOP_K)
+    return read_features(spark, store)
+
+
+def q_model_store(spark, d):
+    """A model and its error, saved and loaded: predictions of the loaded model, and the error that was saved."""
+    rows = modeling.training_rows(_log(spark, d))
+    model = modeling.train_on_cells(rows, "Waiting_Time_Mins", modeling.CALENDAR_FEATURES, STUMP_PARAMS)
+    paths = modeling.save_artifacts(_scratch(spark, "models"), model, modeling.evaluate(model, rows, "Waiting_Time_Mins"))
+    loaded = modeling.load_model(paths["model"].rsplit("/", 1)[0])
+    saved = spark.read.json(paths["metrics"]).select(F.round("mae", 6).alias("mae"))
+    grid = modeling.cells(rows, "Waiting_Time_Mins", modeling.CALENDAR_FEATURES)
+    return modeling.score(loaded, grid).select("Day_Index", "Arrival_Hour", "predicted_min").crossJoin(F.broadcast(saved))
+
+
+HOUR_LIMIT = 50.0      # minutes; some hours of the test tables are over it, others are not
+
+
+def q_hourly_mean_limit(spark, d):
+    """The hourly chart with a limit that some hours pass."""
+    return ops.hourly_mean(ops.service_view(_log(spark, d)), limit=HOUR_LIMIT)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: fn for name, fn in globals().items() if name.startswith("q_") and callable(fn)
 }
@@ -724,6 +823,36 @@ p AS (SELECT *, {bucket} < 800000 AS train FROM r),
 c AS (SELECT d, h, avg(w) AS m FROM p WHERE train GROUP BY 1, 2)
 SELECT count(*) AS n, avg(abs(w - c.m)) <= 1.1 * avg(abs(w - a.m)) AS in_band
 FROM p JOIN c USING (d, h), (SELECT avg(w) AS m FROM p WHERE train) a WHERE NOT train"""
+    # The best split leaves the least squared error: the greatest sum of n * mean * mean over its two sides.
+    q["q_stump_calendar"] = f"""
+WITH {LOG},
+r AS (SELECT {_minutes('start_ts', 'end_ts')} AS w, CAST(isodow(start_ts) - 1 AS INTEGER) AS d, CAST(hour(start_ts) AS INTEGER) AS h
+      FROM log WHERE end_ts >= start_ts),
+v AS (SELECT 'Day_Index' AS f, d AS x, w FROM r UNION ALL SELECT 'Arrival_Hour', h, w FROM r),
+x AS (SELECT f, x, (x + lead(x) OVER (PARTITION BY f ORDER BY x)) / 2.0 AS t FROM (SELECT DISTINCT f, x FROM v)),
+s AS (SELECT x.f, x.t, avg(w) FILTER (WHERE v.x <= x.t) AS low, avg(w) FILTER (WHERE v.x > x.t) AS high,
+             count(*) FILTER (WHERE v.x <= x.t) AS n_low, count(*) FILTER (WHERE v.x > x.t) AS n_high
+      FROM x JOIN v ON v.f = x.f WHERE x.t IS NOT NULL GROUP BY x.f, x.t),
+best AS (SELECT * FROM s ORDER BY n_low * low * low + n_high * high * high DESC LIMIT 1)
+SELECT d AS Day_Index, h AS Arrival_Hour, count(*) AS n,
+       round_even(any_value(CASE WHEN (CASE f WHEN 'Day_Index' THEN d ELSE h END) <= t THEN low ELSE high END), 2) AS predicted_min,
+       any_value(f) AS split_feature, CAST(any_value(t) AS DOUBLE) AS threshold
+FROM r, best GROUP BY d, h"""
+    q["q_stump_procs"] = f"""
+WITH {LOG},
+visits AS (SELECT case_id * 1000 + dayofyear(start_ts) AS case_id, activity, start_ts, end_ts FROM log),
+c AS (SELECT case_id, {_minutes('min(start_ts)', 'max(end_ts)')} AS w, list(DISTINCT activity) AS a FROM visits GROUP BY case_id),
+v AS (SELECT f, list_contains(a, f) AS has, w FROM c, (SELECT unnest([{", ".join(_sql_str(v) for v in VOCAB)}]) AS f) WHERE w > 0),
+s AS (SELECT f, avg(w) FILTER (WHERE NOT has) AS low, avg(w) FILTER (WHERE has) AS high,
+             count(*) FILTER (WHERE NOT has) AS n_low, count(*) FILTER (WHERE has) AS n_high
+      FROM v GROUP BY f),
+best AS (SELECT * FROM s ORDER BY n_low * low * low + n_high * high * high DESC LIMIT 1)
+SELECT case_id, round_even(CASE WHEN list_contains(a, f) THEN high ELSE low END, 2) AS predicted_min FROM c, best"""
+    q["q_hourly_mean_limit"] = f"""
+WITH {LOG}
+SELECT CAST(hour(start_ts) AS INTEGER) AS arrival_hour, avg({_minutes('start_ts', 'end_ts')}) AS avg_wait_min,
+       avg({_minutes('start_ts', 'end_ts')}) > {HOUR_LIMIT} AS above_limit
+FROM log WHERE end_ts >= start_ts GROUP BY 1"""
     q["q_predict_procs"] = f"WITH {LOG} SELECT case_id, TRUE AS finite FROM log GROUP BY case_id"
     q["q_clean_log"] = f"""
 WITH raw AS (
@@ -924,4 +1053,31 @@ cut AS (SELECT {_npq('v', 1.0 - VAL_FRACTION)} AS c
 SELECT case_id, encounter_start, encounter_duration_minutes,
        CASE WHEN epoch_us(encounter_start) <= (SELECT c FROM cut) THEN 'train' ELSE 'val' END AS split
 FROM s"""
+    # Written and read back.
+    text = f"WITH l AS ({q['q_clean_log']}) SELECT * EXCLUDE (event_id) FROM l"
+    q["q_raw_ingest"] = text
+    q["q_raw_first_cases"] = f"""
+WITH l AS ({q['q_clean_log']}),
+first_20 AS (SELECT case_id FROM l GROUP BY case_id ORDER BY max(event_id) DESC LIMIT 20)
+SELECT * EXCLUDE (event_id) FROM l WHERE case_id IN (SELECT case_id FROM first_20)"""
+    q["q_strict_log"] = f"WITH {LOG} SELECT * FROM log"
+
+    def stamp(c: str) -> str:
+        return (f"strftime({c}, '%Y-%m-%d %H:%M:%S') || CASE WHEN microsecond({c}) % 1000000 = 0 THEN '' "
+                f"ELSE strftime({c}, '.%f') END || '+00:00'")
+
+    q["q_transition_report"] = f"""
+WITH t AS ({q['q_transitions']})
+SELECT CAST(case_id AS VARCHAR) AS case_concept_name, activity AS concept_name, next_activity, {stamp('start_ts')} AS start_timestamp,
+       {stamp('next_start')} AS next_start, CAST(start_date AS VARCHAR) AS date, CASE WHEN is_holiday THEN 'True' ELSE 'False' END AS is_holiday,
+       CASE WHEN is_weekend THEN 'True' ELSE 'False' END AS is_weekend, day_type
+FROM t"""
+    q["q_feature_store"] = q["q_case_features"]
+    q["q_model_store"] = f"""
+WITH p AS ({q['q_stump_calendar']}), {LOG},
+e AS (SELECT round(avg(abs({_minutes('start_ts', 'end_ts')} - m)), 6) AS mae
+      FROM (SELECT *, avg({_minutes('start_ts', 'end_ts')}) OVER (
+              PARTITION BY (CASE split_feature WHEN 'Day_Index' THEN Day_Index ELSE Arrival_Hour END) <= threshold) AS m
+            FROM log JOIN p ON isodow(start_ts) - 1 = Day_Index AND hour(start_ts) = Arrival_Hour WHERE end_ts >= start_ts))
+SELECT Day_Index, Arrival_Hour, predicted_min, mae FROM p, e"""
     return q

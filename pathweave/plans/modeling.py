@@ -77,17 +77,44 @@ def split_frames(flagged: DataFrame, first: str = "train", second: str = "val"):
             flagged.filter(F.col("split") == second).drop("split"))
 
 
-def gbt_pipeline(feature_cols, label: str, params: dict | None = None) -> Pipeline:
+def gbt_pipeline(feature_cols, label: str, params: dict | None = None, weight_col: str | None = None) -> Pipeline:
     asm = VectorAssembler(inputCols=list(feature_cols), outputCol="features", handleInvalid="keep")
     gbt = GBTRegressor(featuresCol="features", labelCol=label, predictionCol="prediction",
                        **(params or GBT_PARAMS))
-    return Pipeline(stages=[asm, gbt])
+    return Pipeline(stages=[asm, gbt.setWeightCol(weight_col) if weight_col else gbt])
 
 
-def train(train_df: DataFrame, label: str, feature_cols=None, params: dict | None = None) -> PipelineModel:
+def train(train_df: DataFrame, label: str, feature_cols=None, params: dict | None = None,
+          weight_col: str | None = None) -> PipelineModel:
     feature_cols = feature_cols or [c for c in train_df.columns if c.startswith("proc_count__")]
     data = train_df.withColumn(label, F.col(label).cast("double"))
-    return gbt_pipeline(feature_cols, label, params).fit(data)
+    return gbt_pipeline(feature_cols, label, params, weight_col).fit(data)
+
+
+def cells(rows: DataFrame, label: str, feature_cols) -> DataFrame:
+    """One row for each combination of features: the mean label, and ``rows`` of it.
+
+    A tree sees nothing else of the rows: sums of labels decide its splits and leaves, and what labels differ
+    within a combination adds the same to every split.
+    """
+    return rows.groupBy(*feature_cols).agg(F.avg(F.col(label).cast("double")).alias(label), F.count(F.lit(1)).cast("double").alias("rows"))
+
+
+def train_on_cells(rows: DataFrame, label: str, feature_cols, params: dict | None = None) -> PipelineModel:
+    """The model that ``train`` fits, from weighted cells: its cost follows the combinations of features, not the rows.
+
+    The cells are written once to the shared folder, as every tree reads them several times.
+    """
+    from pathweave.operators.stats import materialize
+    return train(materialize(cells(rows, label, feature_cols), "cells"), label, feature_cols, params, weight_col="rows")
+
+
+def first_split(model: PipelineModel, feature_cols) -> tuple[str, float] | None:
+    """Feature and threshold of the root of the first tree; None if it is a leaf."""
+    root = model.stages[-1].trees[0]._call_java("rootNode")
+    if root.numDescendants() == 0:
+        return None
+    return list(feature_cols)[root.split().featureIndex()], root.split().threshold()
 
 
 def mae_of(pred: DataFrame, label: str, prediction: str = "prediction") -> DataFrame:

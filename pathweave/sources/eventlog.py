@@ -150,7 +150,9 @@ def write_log(log: DataFrame, path: str, fmt: str = "parquet", n_files: int | No
     out = log.repartitionByRange(n_files, *keys) if n_files else log.repartitionByRange(*keys)
     out = out.sortWithinPartitions(*keys)
     if fmt == "csv":
-        csv_options(_writer(to_reference_names(out), mode)).csv(path)
+        # Spark's own formats end at milliseconds.
+        csv_options(_writer(to_reference_names(out), mode)).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").option(
+            "timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").csv(path)
     else:
         _writer(out, mode).format(fmt).save(path)
     return path

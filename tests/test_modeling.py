@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pathweave.plans import modeling
 from pathweave.sources.eventlog import events_as_log
 
-from conftest import SF_SMALL
+from conftest import SF, SF_SMALL
 
 SMALL = dict(maxIter=3, stepSize=0.1, maxDepth=2, seed=42)
 
@@ -85,3 +85,46 @@ def test_model_queries_fit_with_the_full_settings(spark, monkeypatch):
         except InterruptedError:
             pass
     assert [m.getNumTrees for m in fitted] == [modeling.GBT_PARAMS["maxIter"]] * 2
+
+
+def test_weighted_cells_give_the_model_of_the_rows(spark):
+    rows = modeling.training_rows(events_as_log(spark, SF))
+    params = dict(maxIter=4, stepSize=0.1, maxDepth=3, seed=42)
+    label, names = "Waiting_Time_Mins", modeling.CALENDAR_FEATURES
+    grid = modeling.cells(rows, label, names)
+    a, b = ({(r["Day_Index"], r["Arrival_Hour"]): r["prediction"] for r in m.transform(grid).collect()}
+            for m in (modeling.train(rows, label, names, params), modeling.train_on_cells(rows, label, names, params)))
+    assert len(a) == 168 and all(abs(a[k] - b[k]) < 1e-9 * abs(a[k]) for k in a) and len(set(a.values())) > 8
+    assert grid.agg(F.sum("rows")).first()[0] == rows.count()
+
+
+def test_split_of_one_tree(spark):
+    rows = spark.createDataFrame([(0, h, 10.0 if h < 7 else 50.0) for h in range(24)] * 3, "Day_Index int, Arrival_Hour int, y double")
+    model = modeling.train_on_cells(rows, "y", modeling.CALENDAR_FEATURES, dict(maxIter=1, maxDepth=1, seed=1))
+    assert modeling.first_split(model, modeling.CALENDAR_FEATURES) == ("Arrival_Hour", 6.5)
+    assert {r["predicted_min"] for r in modeling.score(model, rows).collect()} == {10.0, 50.0}
+    flat = modeling.train_on_cells(rows, "y", modeling.CALENDAR_FEATURES, dict(maxIter=1, maxDepth=0, seed=1))
+    assert modeling.first_split(flat, modeling.CALENDAR_FEATURES) is None
+
+
+def test_a_constant_model_turns_the_split_queries_red(spark, monkeypatch):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{SF_SMALL}/events.parquet'")
+
+    def rows(name):
+        got = entry.queries()[name](spark, SF_SMALL)
+        want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
+        return sorted(map(tuple, got.collect())), sorted(want)
+
+    names = ("q_stump_calendar", "q_stump_procs", "q_model_store")
+    for name in names:
+        got, want = rows(name)
+        assert got == want and len({r[-2:] for r in got}) > 1, name
+    monkeypatch.setattr(entry, "STUMP_PARAMS", {**entry.STUMP_PARAMS, "maxDepth": 0})       # the mean everywhere
+    for name in names:
+        got, want = rows(name)
+        assert got != want, name
