@@ -24,7 +24,7 @@ def test_pipeline_equals_brute_force(spark):
     failed = [(s, fails(t)) for _, t, s in docs]
     hosts = brute.good_hosts(failed)
     rows = [(i, t) for (i, t, s), (_, f) in zip(docs, failed, strict=True) if not f and s in hosts]
-    group = brute.components(rows)
+    group = brute.components(rows, ngram_join.STAGE_PERCENT, ngram_join.STAGE_N)
     rows = [(i, t) for i, t in rows if group[i][1] == i]
     spans = {}
     for i, a, b, *_ in brute.repeats(rows, substring_dedup.MIN_RUN_WORDS):
