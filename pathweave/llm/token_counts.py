@@ -37,6 +37,7 @@ from pathweave.llm.common import map_arrow, pick, shared_table, without_cycles
 
 FREQUENT = 200_000            # pre-tokens that are broadcast, at most
 FREQUENT_BYTES = 64          # longer pre-tokens are joined, however frequent
+CHUNKS = 150_000             # divided chunks that a task keeps in each of two generations
 FLUSH = 600_000               # distinct pre-tokens that a task holds before it sends partial counts
 _ODD = re.compile(r" \s|\s |^\s")
 _TABLE = "row bigint, doc_id bigint, n_bytes bigint, known bigint, tail array<struct<piece:string,n:bigint>>"
@@ -144,7 +145,7 @@ def _frequencies(tokenizer, frequent) -> Callable:
                     others.append(p)
             return total, others
 
-        divided = Memory(divide)
+        divided = Memory(divide, CHUNKS)
 
         def counts(text: str) -> tuple[int, dict[str, int]]:
             rest: dict[str, int] = {}
