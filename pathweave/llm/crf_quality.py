@@ -8,16 +8,18 @@ label of its document and documents weigh the same whatever their length.  For a
 forward-backward marginals of its lines, weighted by their length, are its share of good
 text; a logistic curve fitted to the training documents turns it into a probability.
 
-Training takes at most ``TRAIN_DOCS`` labelled rows (those with the smallest hash of
-their id, a fixed sample), whose features, not texts, go to the driver; at most
-``TRAIN_LINES`` lines of each, in evenly spread runs.  Scoring reads whole texts where they lie and
-shuffles nothing.
+Training takes whole texts of at most ``TRAIN_DOCS`` labelled rows, in the order of a hash of
+their id, as long as they have at most ``TRAIN_LINES`` lines together; a text of more than
+``TRAIN_LINES / 50`` lines is not learned from.  Their features (float32), not texts, go to the driver.
+Chains are whole, however long: parts of ``PART`` lines are computed side by side and pass
+their messages on, which gives the gradient of the uncut chain.  Scoring reads whole texts
+where they lie and shuffles nothing.
 
 Labels, language, source and id are no input of a score.
 
 Defined cases: a text without a word (null, empty, blank lines) gets the share of good
-labels in training; with no labels at all every score is 0.5; several labels of one id count as the lowest;
-null labels are ignored; a null id is not held out; repeated rows are scored one by one.
+labels in training; with no labels at all every score is 0.5; several labels of one id count as the lowest,
+of several texts of one id the one with the fewest lines is learned from; null labels are ignored; a null id is not held out; repeated rows are scored one by one.
 """
 
 from __future__ import annotations
@@ -27,14 +29,15 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathweave.llm.common import map_arrow, pick
 from pathweave.llm.textscan import SPACED, Words, chunks
 
 TRAIN_DOCS = 4000
-TRAIN_LINES = 256
+TRAIN_LINES = 200_000        # of all texts that are learned from
+PART = 32
 STEPS = 300
 THRESHOLD = 0.3
 RIDGE = 1e-3
@@ -170,33 +173,102 @@ class Chain:
         return out
 
 
-def _chain_gradient(x, y, live, w, t):
-    """Log-likelihood gradient of padded chains: x (n, T, d), y (n, T) in 0 and 1, live (n, T)."""
-    n, steps, _ = x.shape
-    e = np.stack([np.zeros((n, steps)), x @ w], -1)
-    lse = np.logaddexp
-    a = np.empty((n, steps, 2))
-    b = np.zeros((n, steps, 2))
-    a[:, 0] = e[:, 0]
-    for i in range(1, steps):
-        s = a[:, i - 1, :, None] + t
-        a[:, i] = np.where(live[:, i, None], e[:, i] + lse(s[:, 0], s[:, 1]), a[:, i - 1])
+@dataclass
+class Parts:
+    """Padded parts of chains; the parts of one chain stand one after another."""
+
+    x: np.ndarray                  # (n, T, d)
+    y: np.ndarray                  # (n, T), 0 and 1
+    live: np.ndarray               # (n, T), False where padded
+    weight: np.ndarray             # (n,), 1 / lines of the chain: documents weigh the same
+    place: np.ndarray              # (n,), 0 for the first part of a chain
+
+    @staticmethod
+    def of(chains: list[tuple[int, np.ndarray]]) -> Parts:
+        """Chains (label, features of each line) cut into parts of ``PART`` lines."""
+        cut = [(y, f[i:i + PART], 1 / len(f), i // PART) for y, f in chains for i in range(0, len(f), PART)]
+        steps = max(len(f) for _, f, _, _ in cut)
+        x, live = np.zeros((len(cut), steps, cut[0][1].shape[1])), np.zeros((len(cut), steps), bool)
+        for k, (_, f, _, _) in enumerate(cut):
+            x[k, :len(f)], live[k, :len(f)] = f, True
+        y = np.array([[c[0]] for c in cut], float) * live
+        return Parts(x, y, live, np.array([c[2] for c in cut]), np.array([c[3] for c in cut]))
+
+
+def _lse(a: np.ndarray, axis: int) -> np.ndarray:
+    return np.logaddexp(*np.moveaxis(a, axis, 0))
+
+
+def _forward(e: np.ndarray, live: np.ndarray, t: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Log sums over the paths to each line and state; ``e`` (n, T, 2), ``start`` (n, ..., 2) as they enter the first line."""
+    wide = (slice(None),) + (None,) * (start.ndim - 2)
+    out = [start + e[:, 0][wide]]
+    for i in range(1, e.shape[1]):
+        ahead = e[:, i][wide] + _lse(out[-1][..., None] + t, -2)
+        out.append(np.where(live[:, i][wide + (None,)], ahead, out[-1]))
+    return np.stack(out, 1)
+
+
+def _messages(e: np.ndarray, parts: Parts, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What enters each part from the left, from the right, and what its first line hands to the left."""
+    n = len(e)
+    left, right, head = np.zeros((n, 2)), np.zeros((n, 2)), np.zeros((n, 2))
+    if not parts.place.any():
+        return left, right, head
+    start = np.broadcast_to(np.array([[0.0, -np.inf], [-np.inf, 0.0]]), (n, 2, 2))
+    over = _forward(e, parts.live, t, start)[:, -1]                # (part, state at its first line, state at its last)
+    levels = [np.flatnonzero(parts.place == k) for k in range(parts.place.max() + 1)]
+    for at in levels[1:]:
+        v = _lse(left[at - 1][:, :, None] + over[at - 1], 1)
+        left[at] = _lse((v - v.max(1, keepdims=True))[:, :, None] + t, 1)
+    for at in reversed(levels[1:]):
+        v = _lse(over[at] + right[at][:, None, :], 2)
+        head[at] = v - v.max(1, keepdims=True)
+        right[at - 1] = _lse(t + head[at][:, None, :], 2)
+    return left, right, head
+
+
+def _chain_gradient(parts: Parts, w, t):
+    """Gradient of the log-likelihood per line, summed over whole chains."""
+    x, y, live = parts.x, parts.y, parts.live
+    steps = x.shape[1]
+    e = np.stack([np.zeros(y.shape), x @ w], -1)
+    left, right, head = _messages(e, parts, t)
+    a = _forward(e, live, t, left)
+    b = np.empty_like(a)
+    b[:, -1] = right
     for i in range(steps - 2, -1, -1):
-        s = t + (e[:, i + 1] + b[:, i + 1])[:, None, :]
-        b[:, i] = np.where(live[:, i + 1, None], lse(s[..., 0], s[..., 1]), 0.0)
-    z = lse(a[:, -1, 0], a[:, -1, 1])
-    weight = live / live.sum(1, keepdims=True)                     # documents weigh the same
+        b[:, i] = np.where(live[:, i + 1, None], _lse(t + (e[:, i + 1] + b[:, i + 1])[:, None, :], 2), b[:, i + 1])
+    z = _lse(a[:, -1] + right, 1)
+    weight = live * parts.weight[:, None]
     p1 = np.exp(a[..., 1] + b[..., 1] - z[:, None])
     gw = np.einsum("nt,ntd->d", (y - p1) * weight, x)
     pair = np.exp(a[:, :-1, :, None] + t + (e[:, 1:] + b[:, 1:])[:, :, None, :] - z[:, None, None, None])
     seen = np.stack([1 - y, y], -1)
-    seen = seen[:, :-1, :, None] * seen[:, 1:, None, :]
-    gt = ((seen - pair) * weight[:, 1:, None, None]).sum((0, 1))
-    return gw / n, gt / n
-
-
-def train(rows: list[tuple[int, list[float], list[float]]]) -> Chain:
-    """``rows``: (label, features line after line, bytes of each line) of the training documents."""
+    gt = ((seen[:, :-1, :, None] * seen[:, 1:, None, :] - pair) * weight[:, 1:, None, None]).sum((0, 1))
+    at = np.flatnonzero(parts.place)                               # pairs of lines that stand in two parts
+    if len(at):
+        across = a[at - 1, -1][:, :, None] + t + head[at][:, None, :]
+        across = np.exp(across - _lse(_lse(across, 2), 1)[:, None, None])
+        first = seen[at, 0]                                        # a text has one label, so both lines have it
+        gt = gt + ((first[:, :, None] * first[:, None, :] - across) * parts.weight[at, None, None]).sum(0)
+    return gw, gt
+
+
+def _blocks(chains: list[tuple[int, np.ndarray]]) -> list[Parts]:
+    """Chains of like length together, about 1,024 parts a block; a chain is never split over blocks."""
+    blocks, some, parts = [], [], 0
+    for c in sorted(chains, key=lambda c: len(c[1])):
+        if some and (parts + -(-len(c[1]) // PART) > 1024 or (len(c[1]) > PART) != (len(some[0][1]) > PART)):
+            blocks.append(Parts.of(some))
+            some, parts = [], 0
+        some.append(c)
+        parts += -(-len(c[1]) // PART)
+    return [*blocks, Parts.of(some)] if some else blocks
+
+
+def train(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> Chain:
+    """``rows``: (label, features line after line, bytes of each line) of the training documents, whole texts."""
     rows = [(y, np.asarray(f, float).reshape(-1, N_FEATURES), np.asarray(s, float)) for y, f, s in rows]
     prior = float(np.mean([y for y, _, _ in rows])) if rows else 0.5
     d = 3 * N_FEATURES + 1
@@ -206,26 +278,13 @@ def train(rows: list[tuple[int, list[float], list[float]]]) -> Chain:
                      math.log((prior + 1e-6) / (1 - prior + 1e-6)), prior)
     lines = np.concatenate([f for _, f, _ in used])
     mean, scale = lines.mean(0), lines.std(0) + 1e-6
-    parts = []                                                     # chains of at most 32 lines
-    for y, f, _ in used:
-        x = with_neighbours(np.zeros(len(f)), (f - mean) / scale)
-        parts += [(y, x[i:i + 32]) for i in range(0, len(x), 32)]
-    blocks = []
-    parts.sort(key=lambda r: len(r[1]))
-    for i in range(0, len(parts), 1024):
-        some = parts[i:i + 1024]
-        steps = max(2, max(len(x) for _, x in some))
-        x, live = np.zeros((len(some), steps, d)), np.zeros((len(some), steps), bool)
-        for k, (_, f) in enumerate(some):
-            x[k, :len(f)], live[k, :len(f)] = f, True
-        blocks.append((x, np.repeat(np.array([[y] for y, _ in some], float), steps, 1) * live, live))
+    blocks = _blocks([(y, with_neighbours(np.zeros(len(f)), (f - mean) / scale)) for y, f, _ in used])
     w, t = np.zeros(d), np.zeros((2, 2))
     moments = [np.zeros(d), np.zeros(d), np.zeros((2, 2)), np.zeros((2, 2))]
-    total = sum(len(x) for x, _, _ in blocks)
     for step in range(1, STEPS + 1):                               # Adam, full batch
-        found = [(len(x), *_chain_gradient(x, y, live, w, t)) for x, y, live in blocks]
-        gw = sum(n * g for n, g, _ in found) / total - RIDGE * w
-        gt = sum(n * g for n, _, g in found) / total - RIDGE * t
+        found = [_chain_gradient(b, w, t) for b in blocks]
+        gw = sum(g for g, _ in found) / len(used) - RIDGE * w
+        gt = sum(g for _, g in found) / len(used) - RIDGE * t
         for k, (g, v) in enumerate(((gw, w), (gt, t))):
             m1, m2 = moments[2 * k], moments[2 * k + 1]
             m1 += 0.1 * (g - m1)
@@ -248,22 +307,14 @@ def train(rows: list[tuple[int, list[float], list[float]]]) -> Chain:
 
 
 def _describe(batches):
-    """Training rows -> their line features, evenly spread runs of at most ``TRAIN_LINES`` lines."""
+    """Training rows -> the features of all their lines, as float32."""
     import pyarrow as pa
 
     for batch in batches:
         texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-        features, sizes = [], []
-        for t in texts:
-            _, rows, size = line_features([t])
-            if len(rows) > TRAIN_LINES:
-                runs = np.linspace(0, len(rows) - 32, TRAIN_LINES // 32).astype(int)
-                at = np.unique((runs[:, None] + np.arange(32)).ravel())
-                rows, size = rows[at], size[at]
-            features.append(rows.ravel().tolist())
-            sizes.append(size.tolist())
+        described = [line_features([t])[1:] for t in texts]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(features, pa.list_(pa.float64())), pa.array(sizes, pa.list_(pa.float64()))],
+            [batch.column(0), *(pa.array([d[i].astype(np.float32).tobytes() for d in described], pa.binary()) for i in (0, 1))],
             names=["label", "features", "sizes"])
 
 
@@ -272,14 +323,26 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Chain:
+def _learned(docs: DataFrame, labels: DataFrame, train_docs: int, train_lines: int) -> DataFrame:
+    """(label, text) of the rows that are learned from."""
     known = (pick(labels, doc_id="bigint", quality="int").dropna().filter(~held_out(F.col("doc_id")))
              .groupBy("doc_id").agg(F.min("quality").alias("label")))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
-    texts = (pick(docs, doc_id="bigint", text="string").join(F.broadcast(chosen), "doc_id")
-             .dropDuplicates(["doc_id"]).select("label", "text"))
-    rows = map_arrow(texts, _describe, "label int, features array<double>, sizes array<double>").collect()
-    return train(sorted((int(r[0]), list(r[1]), list(r[2])) for r in rows))
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    chosen = known.orderBy(*order).limit(train_docs)
+    text = F.coalesce("text", F.lit(""))
+    lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    texts = pick(docs, doc_id="bigint", text="string").withColumn("one", F.struct(lines.alias("lines"), F.xxhash64("text").alias("h")))
+    sizes = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("one").alias("one"))
+    before = F.sum("one.lines").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))   # at most train_docs rows
+    used = sizes.filter(F.col("one.lines") <= train_lines / 50).withColumn("total", before).filter(F.col("total") <= train_lines)
+    return (texts.join(F.broadcast(used.select("doc_id", "one", "label")), ["doc_id", "one"])
+            .dropDuplicates(["doc_id"]).select("label", "text"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES) -> Chain:
+    rows = map_arrow(_learned(docs, labels, train_docs, train_lines), _describe, "label int, features binary, sizes binary").collect()
+    return train([(r[0], np.frombuffer(r[1], np.float32), np.frombuffer(r[2], np.float32))
+                  for r in sorted((int(r[0]), bytes(r[1]), bytes(r[2])) for r in rows)])
 
 
 def _scorer(model) -> Callable:

@@ -255,10 +255,11 @@ def test_marginals_equal_enumeration():
     assert np.allclose(chain.marginals(odds), np.array(good) / total)
 
 
-def test_gradient_equals_differences():
+@pytest.mark.parametrize("part", [1, 2, 3, 32])
+def test_gradient_equals_differences(monkeypatch, part):
     rng = np.random.default_rng(4)
     x, y = rng.normal(size=(3, 4, 5)), rng.integers(0, 2, (3, 1)).repeat(4, 1).astype(float)
-    live = np.ones((3, 4), bool)
+    monkeypatch.setattr(crf_quality, "PART", part)
     w, t = rng.normal(size=5) / 3, rng.normal(size=(2, 2)) / 3
 
     def likelihood(w, t):
@@ -273,7 +274,8 @@ def test_gradient_equals_differences():
             out += (value(tuple(y[k].astype(int))) - z) / 4
         return out / 3
 
-    gw, gt = crf_quality._chain_gradient(x, y, live, w, t)
+    found = [crf_quality._chain_gradient(b, w, t) for b in crf_quality._blocks([(int(y[k, 0]), x[k]) for k in range(3)])]
+    gw, gt = (sum(f[i] for f in found) / 3 for i in (0, 1))
     for i in range(5):
         d = np.eye(5)[i] * 1e-5
         assert abs((likelihood(w + d, t) - likelihood(w - d, t)) / 2e-5 - gw[i]) < 1e-6
@@ -297,6 +299,31 @@ def test_quality_classifier_on_held_out_rows(spark):
     assert np.mean([p == y for _, p, y in held]) > 0.95
 
 
+def test_long_chains_are_whole(monkeypatch):
+    rng = np.random.default_rng(5)
+    chains = [(int(k % 2), rng.normal(size=(n, 3))) for k, n in enumerate([1, 2, 31, 32, 33, 64, 65, 200, 1500])]
+    w, t = rng.normal(size=3), rng.normal(size=(2, 2))
+    found = []
+    for part in (32, 7, 2000):
+        monkeypatch.setattr(crf_quality, "PART", part)
+        found.append([sum(g) for g in zip(*(crf_quality._chain_gradient(b, w, t) for b in crf_quality._blocks(chains)), strict=True)])
+    for gw, gt in found[:2]:
+        assert np.allclose(gw, found[2][0], atol=1e-9) and np.allclose(gt, found[2][1], atol=1e-9)
+
+
+def test_rows_that_are_learned_from(spark):
+    docs = spark.createDataFrame([(i, "a b\n" * (i % 7)) for i in range(300)] + [(3, "x"), (3, "x"), (9, None), (10, "z\n" * 5000)],
+                                 "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id bigint, quality int")
+    some = [(r.label, r.text) for r in crf_quality._learned(docs, labels, 100, 200).collect()]
+    assert some and sum((t or "").count("\n") + 1 for _, t in some) <= 200
+    every = crf_quality._learned(docs, labels, 1000, 200_000).collect()
+    assert len(every) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(300))
+    empty = crf_quality.quality_scores(docs, labels.limit(0)).collect()
+    nulls = crf_quality.quality_scores(docs, labels.withColumn("quality", F.lit(None).cast("int"))).collect()
+    assert len(empty) == len(nulls) == 304 and {r.score for r in empty + nulls} == {0.5}
+
+
 def test_scores_do_not_look_at_anything_but_text(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
