@@ -147,6 +147,62 @@ def test_license_scan(spark, texts):
     assert got[10_002].labels == "mit" and 0.8 <= got[10_002].score < 1
 
 
+def altered_notices():
+    """(text, label, whether it is still that notice): a word put in or replaced at every place of every notice."""
+    for text, label, *needed in license_scan.NOTICES:
+        words = brute.terms(text)
+        need = " ".join(needed).split()
+        yield "x " + text + " y", label, True
+        for i in range(1, len(words)):
+            yield " ".join([*words[:i], "zzz", *words[i:]]), label, True
+        for i, w in enumerate(words):
+            yield " ".join([*words[:i], "zzz", *words[i + 1:]]), label, w not in need
+
+
+def in_order(a, b):
+    """Length of the longest common subsequence."""
+    best = [0] * (len(b) + 1)
+    for x in a:
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(max(row[j], best[j + 1], best[j] + (x == y)))
+        best = row
+    return best[-1]
+
+
+def test_altered_notices(spark):
+    rows = [(i, *r) for i, r in enumerate(altered_notices())]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: r for r in license_scan.license_labels(df).collect()}
+    for i, text, label, still in rows:
+        found = set(got[i].labels.split(",")) - {"", *got[i].base_labels.split(",")}
+        assert found == ({label} if still else set()), text
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_license_places_against_plain_python(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(license_scan, "MAX_POSITIONS", 0)
+    rng = np.random.default_rng(6)
+    templates = [("a b c", "abc"), ("a b a b c", "ababc"), ("b b", "bb"), ("d", "d"), ("d c b a d a b c a", "long", "d"), ("...", "none"),
+                 (" ".join("abcd"[i * i % 7 % 4] for i in range(24)), "longer")]
+    rows = [(0, "a b c " * 4), (1, ""), (2, None)]
+    rows += [(3 + i, " ".join("abcd"[k] for k in rng.integers(0, 4, 60))) for i in range(60)]
+    rows += [(100 + i, " ".join([*"dcb"[:i], *templates[6][0].split(), "x", *templates[4][0].split()])) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    docs, spans = license_scan.license_spans(df, templates, [])
+    got = [(r.doc_id, r.label, r.start, r.n_span, r.score) for r in spans.join(docs, "row").collect()]
+    assert [g[2:] for g in sorted(got) if g[:2] == (0, "abc")] == [(0, 3, 1.0), (3, 3, 1.0), (6, 3, 1.0), (9, 3, 1.0)]
+    text = {i: brute.terms(t) for i, t in rows}
+    words = {label: brute.terms(t) for t, label, *_ in templates}
+    for i, label, start, n, score in got:
+        assert 0.8 <= score <= 1 and n <= np.ceil(1.25 * len(words[label]))
+        assert in_order(text[i][start:start + n], words[label]) >= round(score * len(words[label]))
+    exact = {(i, label, at, len(p), 1.0) for i, w in text.items() for label, p in words.items() if p
+             for at in range(len(w) - len(p) + 1) if w[at:at + len(p)] == p}
+    assert exact <= set(got) and {"long", "longer"} <= {e[1] for e in exact}
+
+
 @pytest.mark.parametrize("dense, block", [(64, 256), (3, 4)])
 def test_ngram_join(spark, texts, monkeypatch, dense, block):
     monkeypatch.setattr(ngram_join, "DENSE", dense)
