@@ -34,7 +34,9 @@ from pathweave.plans import modeling
 from pathweave.plans.featurize import build_features
 from pathweave.plans.ingest import ingest_log
 from pathweave.session import shared_path
-from pathweave.sources.eventlog import csv_options, events_as_log, read_features, read_log, write_log, write_transitions
+from pathweave.sources.eventlog import (
+    csv_options, events_as_log, read_dated_log, read_features, read_log, write_dated_log, write_log, write_transitions,
+)
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -503,6 +505,12 @@ def q_strict_log(spark, d):
     return read_log(spark, path, fmt="csv", ntz=True, strict=True).withColumn("case_id", F.col("case_id").cast("bigint"))
 
 
+def q_dated_days_off(spark, d):
+    """The events of holidays and weekends of a log in folders by date; only folders of such dates are read."""
+    path = write_dated_log(_log(spark, d), _scratch(spark, "dated"))
+    return read_dated_log(spark, path, day_types=["Holiday", "Weekend"])
+
+
 def q_transition_report(spark, d):
     """The text of the transition report, as a reader of the file sees it."""
     path = write_transitions(transitions(_nlog(spark, d), region=REGION), _scratch(spark, "report"))
@@ -1061,6 +1069,9 @@ WITH l AS ({q['q_clean_log']}),
 first_20 AS (SELECT case_id FROM l GROUP BY case_id ORDER BY max(event_id) DESC LIMIT 20)
 SELECT * EXCLUDE (event_id) FROM l WHERE case_id IN (SELECT case_id FROM first_20)"""
     q["q_strict_log"] = f"WITH {LOG} SELECT * FROM log"
+    q["q_dated_days_off"] = f"""
+WITH {SV}
+SELECT case_id, activity, start_ts, end_ts, event_ts, event_id, CAST(start_ts AS DATE) AS start_date FROM sv WHERE day_type <> 'Weekday'"""
 
     def stamp(c: str) -> str:
         return (f"strftime({c}, '%Y-%m-%d %H:%M:%S') || CASE WHEN microsecond({c}) % 1000000 = 0 THEN '' "

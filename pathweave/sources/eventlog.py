@@ -12,7 +12,9 @@ import os
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StructField, StructType
 
+from pathweave.functions.calendar import day_type, is_holiday, is_weekend, year_week
 from pathweave.functions.timefns import parse_ts_lenient, parse_ts_strict
 
 LOG_COLUMNS = ["case_id", "activity", "start_ts", "end_ts", "event_ts", "event_id"]
@@ -32,6 +34,9 @@ TRANSITION_COLUMNS = [
     "raw_gap_min", "waiting_min", "start_date", "is_holiday", "is_weekend", "day_type",
 ]
 
+DATE_COLUMN = "start_date"                       # folders of a dated log
+DAY_TYPES = ("Holiday", "Weekend", "Weekday")
+
 RAW_COLUMNS = ["ENCOUNTER", "START", "STOP", "DESCRIPTION"]
 
 
@@ -158,6 +163,45 @@ def write_log(log: DataFrame, path: str, fmt: str = "parquet", n_files: int | No
     return path
 
 
+def write_dated_log(log: DataFrame, path: str, n_files: int | None = None, mode: str = "overwrite") -> str:
+    """Persist a log as Parquet in one folder per start date, sorted by (case, start, end, event) in each file.
+
+    Rows are range-partitioned by date and then by those keys: a file holds rows of one date,
+    and a date with very many rows is split over several tasks (``n_files``, by default
+    what adaptive execution takes for the bytes) and files.  The date of a zone-aware start is that of the session zone; rows without a start have a folder of their own.
+    """
+    keys = [k for k in ("case_id", "start_ts", "end_ts", "event_id") if k in log.columns]
+    dated = log.withColumn(DATE_COLUMN, F.to_date("start_ts"))
+    out = dated.repartitionByRange(*([n_files] if n_files else []), DATE_COLUMN, *keys).sortWithinPartitions(DATE_COLUMN, *keys)
+    out.write.mode(mode).partitionBy(DATE_COLUMN).parquet(path)
+    return path
+
+
+def read_dated_log(spark: SparkSession, path: str, first=None, last=None, week: str | None = None, day_types=None,
+                   region: str | None = None, schema: StructType | None = None) -> DataFrame:
+    """A log of :func:`write_dated_log`: between two dates (both included), of one week label, of some day types.
+
+    All filters are expressions of the date alone, so folders of other dates are not read; each
+    filter leaves out rows without a date.  ``day_types`` are names of ``DAY_TYPES``, holidays those of
+    ``region``.  ``schema`` (columns of the log, without the date) is needed for a log without rows only.
+    """
+    reader = spark.read.schema(StructType([*schema.fields, StructField(DATE_COLUMN, DateType())])) if schema else spark.read
+    log = _guard(lambda: reader.parquet(path), path)
+    date = F.col(DATE_COLUMN).cast("date")
+    if first is not None:
+        log = log.filter(date >= F.lit(first).cast("date"))
+    if last is not None:
+        log = log.filter(date <= F.lit(last).cast("date"))
+    if week is not None:
+        log = log.filter(date.isNotNull() & (year_week(date) == week))
+    if day_types is not None:
+        unknown = set(day_types) - set(DAY_TYPES)
+        if unknown:
+            raise ValueError(f"unknown day types: {sorted(unknown)}")
+        log = log.filter(date.isNotNull() & day_type(is_holiday(date, region), is_weekend(date), DAY_TYPES).isin(list(day_types)))
+    return log.withColumn(DATE_COLUMN, date)
+
+
 def write_transitions(trans: DataFrame, path: str, mode: str = "overwrite",
                       reference_names: bool = True, reference_text: bool = True) -> str:
     """The fixed 12-column transition report as CSV with a header.

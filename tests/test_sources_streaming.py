@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pathweave.operators.clean import ingest_raw
 from pathweave.operators.trace import transitions
 from pathweave.sources.eventlog import (
-    TRANSITION_COLUMNS, events_as_log, read_log, read_raw_csv, write_log, write_transitions,
+    LOG_COLUMNS, TRANSITION_COLUMNS, events_as_log, read_dated_log, read_log, read_raw_csv, write_dated_log, write_log, write_transitions,
 )
 from pathweave.streaming import clean_stream, write_clean_stream
 
@@ -136,3 +136,57 @@ def test_write_log_files_are_sorted_and_range_split(spark, tmp_path):
         ranges.append((rows[0], rows[-1]))
     ranges.sort()
     assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))   # files hold disjoint key ranges
+
+
+def scanned_files(df):
+    """Number of data files that a plan with one scan reads, and its text."""
+    df = df.select(F.input_file_name().alias("f")).distinct()
+    return df.count(), df._jdf.queryExecution().toString()
+
+
+def test_dated_log_reads_only_the_dates_asked_for(spark, tmp_path):
+    log = events_as_log(spark, SF_SMALL)
+    extra = spark.createDataFrame([(1, "none", 5)], "case_id bigint, activity string, event_id bigint")
+    both = log.unionByName(extra, allowMissingColumns=True)
+    path = write_dated_log(both, str(tmp_path / "dated"))
+    every = read_dated_log(spark, path)
+    rows = sorted(map(tuple, every.select(*LOG_COLUMNS).collect()), key=str)
+    assert rows == sorted(map(tuple, both.select(*LOG_COLUMNS).collect()), key=str)
+    n_every, _ = scanned_files(every)
+    dates = sorted(r[0] for r in log.select(F.to_date("start_ts")).distinct().collect())
+    day = dates[len(dates) // 2]
+    week = f"{day.year:04d} - Week {int(day.strftime('%U')):02d}"
+    asked = {
+        "days": (read_dated_log(spark, path, first=day, last=str(day)), lambda x: x == day),
+        "later": (read_dated_log(spark, path, first=day), lambda x: x >= day),
+        "week": (read_dated_log(spark, path, week=week), lambda x: x.strftime("%Y - Week %U") == week),
+        "weekend": (read_dated_log(spark, path, day_types=["Weekend", "Holiday"]), None),
+        "weekday": (read_dated_log(spark, path, day_types=["Weekday"]), None),
+    }
+    counts = {}
+    for name, (df, keep) in asked.items():
+        n, plan = scanned_files(df)
+        assert 0 < n < n_every and "PartitionFilters: [" in plan and "PartitionFilters: []" not in plan, name
+        counts[name] = df.count()
+        if keep:
+            assert counts[name] == sum(keep(r[0]) for r in log.select(F.to_date("start_ts")).collect())
+    assert counts["weekend"] + counts["weekday"] == log.count()
+
+
+def test_dated_log_without_rows_and_wrong_names(spark, tmp_path):
+    import pytest
+
+    log = events_as_log(spark, SF_SMALL)
+    path = write_dated_log(log.limit(0), str(tmp_path / "empty"))
+    none = read_dated_log(spark, path, day_types=["Holiday"], schema=log.schema)
+    assert none.count() == 0 and none.columns == [*log.columns, "start_date"]
+    with pytest.raises(ValueError):
+        read_dated_log(spark, path, day_types=["Sunday"], schema=log.schema)
+    with pytest.raises(FileNotFoundError):
+        read_dated_log(spark, str(tmp_path / "nowhere"))
+
+
+def test_a_hot_date_is_split_over_files(spark, tmp_path):
+    log = events_as_log(spark, SF_SMALL).withColumn("start_ts", F.lit("2024-07-04 08:00:00").cast("timestamp_ntz"))
+    path = write_dated_log(log, str(tmp_path / "hot"), n_files=4)
+    assert scanned_files(read_dated_log(spark, path))[0] > 1
