@@ -393,6 +393,13 @@ def q_collapse_clinical(spark, d):
     return _t(spark, d, "part").select("p_partkey", collapse_labels(normalise_text(text)).alias("activity"))
 
 
+def q_collapse_distinct(spark, d):
+    """The clinical rules on every text, computed once per distinct text."""
+    texts = F.array(*[F.lit(x) for x in SAMPLE_TEXTS])
+    text = F.element_at(texts, (F.col("p_partkey") % len(SAMPLE_TEXTS) + 1).cast("int"))
+    return clean.relabel_distinct(_t(spark, d, "part").select("p_partkey", text.alias("activity")), lambda c: collapse_labels(normalise_text(c)))
+
+
 def q_calendar_hours(spark, d):
     o = _t(spark, d, "orders").withColumn("o_at", F.timestamp_add(
         "MINUTE", (F.col("o_orderkey") * 7919 % 1440).cast("int"), F.col("o_orderdate")))
@@ -807,6 +814,7 @@ FROM f WHERE encounter_end > encounter_start"""
               "cardiology procedures/tests", "imaging tests", "lab tests / std panel", "walking aid  fitting"]
     arms = " ".join(f"WHEN {i} THEN {_sql_str(x)}" for i, x in enumerate(labels))
     q["q_collapse_clinical"] = f"SELECT p_partkey, CASE p_partkey % {len(labels)} {arms} END AS activity FROM part"
+    q["q_collapse_distinct"] = q["q_collapse_clinical"]
     q["q_calendar_hours"] = """
 WITH o AS (SELECT o_orderkey, o_orderdate + to_minutes(CAST(o_orderkey * 7919 % 1440 AS INTEGER)) AS o_at FROM orders)
 SELECT o_orderkey, o_at, CAST(hour(o_at) AS INTEGER) AS hour, CASE WHEN hour(o_at) BETWEEN 6 AND 17 THEN 'day' ELSE 'night' END AS time_of_day,

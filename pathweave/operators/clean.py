@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathweave.functions.timefns import parse_ts_lenient
@@ -46,6 +48,24 @@ def clean_log(log: DataFrame) -> DataFrame:
     return drop_incomplete(fill_activity(log), ["case_id", "activity", "start_ts", "end_ts"])
 
 
+def relabel_distinct(df: DataFrame, relabel: Callable[[Column], Column], col: str = "activity") -> DataFrame:
+    """``col`` replaced by ``relabel(col)``, which is computed once per distinct value.
+
+    For costly rules (many patterns) on logs with few labels and many rows: the distinct values are
+    found by a partial aggregation that reads this column only, relabelled, and joined back
+    null-safe without a hint, so that the planner broadcasts them by their size, and otherwise a
+    label of very many rows is split by adaptive execution.  ``df`` is evaluated twice, and
+    ``relabel`` must depend on its argument alone.  Columns keep their order; null values take part.
+    """
+    if df.columns.count(col) != 1:
+        raise ValueError(f"{col!r} is not one column of {df.columns}")
+    at = df.columns.index(col)
+    plain = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
+    words = plain.select(F.col(f"_c{at}").alias("_old")).distinct().withColumn("_new", relabel(F.col("_old")))
+    joined = plain.join(words, F.col(f"_c{at}").eqNullSafe(F.col("_old")))
+    return joined.select(*[F.col("_new" if i == at else f"_c{i}") for i in range(len(df.columns))]).toDF(*df.columns)
+
+
 def _order_key(log: DataFrame, time_col: str, id_col: str):
     """(time, id) packed into one decimal(38,0) with the same order:
     micros * 10^20 + (id + 2^63).  A decimal buffer keeps ``min`` hash-based."""

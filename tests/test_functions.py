@@ -168,3 +168,40 @@ def test_holidays_match_independent_python(spark):
         for y in range(1989, 2037):
             exp |= {d for d in _python_holidays(y, region) if start <= d <= end}
         assert got == exp, (region, sorted(got ^ exp)[:10])
+
+
+def test_relabel_distinct_equals_the_rules_on_every_row(spark):
+    from pathweave.operators.clean import relabel_distinct
+
+    texts = ["  Follow-up  encounter", "follow-up encounter", "Death certification", None, "", "Other", " other "]
+    rows = [(i, texts[i % len(texts)] if i % 3 else "Other", i) for i in range(500)]         # a third of the rows has one label
+    df = spark.createDataFrame(rows, "n int, activity string, `_old` int").repartition(4)
+
+    def rule(c):
+        return collapse_labels(normalise_text(c), CLINICAL_RULES)
+
+    got = relabel_distinct(df, rule)
+    assert got.columns == df.columns
+    want = sorted(map(tuple, df.withColumn("activity", rule(F.col("activity"))).collect()))
+    assert sorted(map(tuple, got.collect())) == want and len(want) == 500
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(tuple, relabel_distinct(df, rule).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert relabel_distinct(df.limit(0), rule).count() == 0
+    with pytest.raises(ValueError):
+        relabel_distinct(df, rule, "label")
+
+
+def test_relabel_distinct_computes_rules_after_the_aggregation(spark, tmp_path):
+    from pathweave.operators.clean import relabel_distinct
+
+    spark.range(100).selectExpr("id", "concat('Label ', id % 5) AS activity").write.parquet(str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    plan = relabel_distinct(log, lambda c: F.regexp_replace(c, "l(a)", "$1"))._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    rule = next(i for i, x in enumerate(lines) if "regexp_replace" in x)
+    assert "Aggregate" in lines[rule] or any("Aggregate" in x for x in lines[rule + 1:rule + 2])
+    assert plan.count("regexp_replace") == 1
