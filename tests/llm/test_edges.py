@@ -95,3 +95,23 @@ def test_components_of_paths_stars_and_cycles(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     want = {**{i: 100 for i in range(100, 161)}, **{i: 500 for i in range(500, 560)}, 900: 900, 901: 900, 902: 900}
     assert got == want
+
+
+def test_empty_and_null_benchmark(spark, docs):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    null = items.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in items.schema.fields])
+    for benchmark in (items.limit(0), null):
+        rows = decontaminate.contamination(docs, benchmark).collect()
+        assert len(rows) == len(TEXTS) and not any(r.n_hit or r.n_items for r in rows)
+
+
+@pytest.mark.parametrize("empty", [True, False])
+def test_whole_pipeline_on_edge_and_empty_tables(spark, docs, tmp_path, empty):
+    clean = spark.createDataFrame([(100 + k, " ".join(f"w{k}x{i}" for i in range(30)), "clean") for k in range(60)], "doc_id bigint, text string, source string")
+    rows = docs.limit(0) if empty else docs.unionByName(clean, allowMissingColumns=True)
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("benchmark", "labels"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = [r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    kept = [r.doc_id for r in quality_rules.keep_good(spark, rows, str(tmp_path)).collect()]
+    assert set(got) <= set(kept) and set(got) >= (set() if empty else set(range(100, 160))) and (got or empty)

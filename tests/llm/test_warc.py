@@ -82,3 +82,13 @@ def test_bad_records_raise(change):
     assert warc.parse_record(data)["payload"] == b"hello"
     with pytest.raises(ValueError):
         warc.parse_record(data.replace(*change))
+
+
+def test_further_columns_whose_names_clash(spark):
+    rows = [(i, f"<p>{i // 2}</p>" if i else None, "u", "H", i, "p", "d", i) for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id bigint, html string, url string, HTML string, row bigint, payload string, `digest` string, "
+                                     "_c0 int")
+    alone = spark.createDataFrame([r[:3] for r in rows], "page_id bigint, html string, url string")
+    plain = sorted(map(tuple, warc.round_trip(alone).collect()), key=str)
+    got = sorted(map(tuple, warc.round_trip(df).collect()), key=str)
+    assert got == plain and len(got) == 6
