@@ -9,11 +9,11 @@ column for each n-gram.  Two rows link when their Jaccard similarity reaches the
 * Columns of up to ``DENSE`` rows are multiplied out; the overlap counts of a pair are added
   up and the pair is dropped if its count, plus the columns of the row that ends first
   that have not entered, stays below the overlap that the two sizes demand.
-* Columns with more rows are dense blocks.  Each row is first compared with one row of its
-  block (its hub).  Rows that link to the hub need no comparison among one another, for
-  they are in one component.  All others are compared with all in products of ``BLOCK`` x
-  ``BLOCK`` rows; a product gives a spanning forest of its links, never all pairs.
-  ``all_links`` gives every pair and the number of links of each document; it multiplies the whole blocks.
+* Columns with more rows are dense blocks, multiplied in products of ``BLOCK`` x ``BLOCK`` rows
+  at most.  A product gives a spanning forest of its links and, for each of its rows, with how many
+  documents it links, never all pairs.  A pair that meets in several blocks is counted in the least.
+  Where components alone are asked for, each row is first compared with one row of its block (its
+  hub), and rows that link to the hub are not compared among one another.  ``all_links`` gives every pair.
 * What is left is compared exactly, on the whole sets, and the links give components.
 
 Copies, hot columns and blocks are pre-aggregated or split by a hash; no task gets a whole
@@ -40,7 +40,8 @@ N = 4
 PERCENT = 85                 # Jaccard similarity in percent
 STAGE_N, STAGE_PERCENT = 5, 80               # of the pipeline stage; N and PERCENT are those of the query
 DENSE = 64                   # rows of a column from which on it is a dense block
-BLOCK = 256
+BLOCK = 512                  # rows of a block of a product
+BLOCK_GRAMS = 1 << 19        # and their n-grams; one set may be larger
 BUCKET_BITS = 22             # n-gram counts are kept by the first 22 bits of the hash
 FILTER_BITS = 25             # rows in question are remembered in a bitmap of 4 MB
 MAX_COMMON = 1 << 18         # buckets that are told apart as common, at most
@@ -176,55 +177,92 @@ def _bitmap(nodes: DataFrame) -> bytes:
     return bits.tobytes()
 
 
-def _product(percent: int, forest: bool = True):
-    """Rows of one block pair -> a spanning forest of its links, or all links between its two blocks."""
+def _flat(column):
+    """Offsets and values of a column of lists that may come in several chunks."""
+    import pyarrow as pa
+
+    column = column.combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    offsets = column.offsets.to_numpy()
+    return np.diff(offsets), column.flatten().to_numpy()
+
+
+def _overlap(column, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """How many values the lists of each row of ``p`` share with those of each row of ``q`` (two equal or two disjoint masks)."""
+    size, flat = _flat(column)
+    row = np.repeat(np.arange(len(p)), size)
+    values, at = np.unique(flat, return_inverse=True)
+    shared, other = np.zeros(len(values), bool), np.zeros(len(values), bool)
+    shared[at[p[row]]] = True
+    other[at[q[row]]] = True
+    shared &= other
+    kept = shared[at]
+    row, at = row[kept], (np.cumsum(shared) - 1)[at[kept]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    width, whole = int(shared.sum()), np.array_equal(p, q)
+    total = np.zeros((int(p.sum()), int(q.sum())), np.float32)
+    for lo in range(0, width, 4096):                               # blocks of columns
+        first, last = np.searchsorted(at, [lo, lo + 4096])
+        dense = np.zeros((len(p), min(4096, width - lo)), np.float32)
+        dense[row[first:last], at[first:last] - lo] = 1
+        total += dense @ dense.T if whole else dense[p] @ dense[q].T
+    return total
+
+
+def _forest(links: np.ndarray) -> tuple[list[int], list[int]]:
+    """Links (row, column) that connect whatever the whole matrix connects, fewer than its rows and columns."""
+    rows, columns = [], []
+    new_row, new_column = np.ones(links.shape[0], bool), links.any(axis=0)
+    for start in np.flatnonzero(links.any(axis=1)).tolist():
+        if not new_row[start]:
+            continue
+        new_row[start], stack = False, [start]
+        while stack:
+            a = stack.pop()
+            found = np.flatnonzero(links[a] & new_column)
+            new_column[found] = False
+            for b in found.tolist():
+                rows.append(a)
+                columns.append(b)
+                more = np.flatnonzero(links[:, b] & new_row)
+                new_row[more] = False
+                rows.extend(more.tolist())
+                columns.extend([b] * len(more))
+                stack.extend(more.tolist())
+    return rows, columns
+
+
+def _product(percent: int, gives: str):
+    """Rows p and q of a pair of blocks -> (a, b, null) for a forest of their links; also (a, null, n) for the number of
+    documents that a row links with (``gives`` = "counts"); or, "pairs", every link.  A pair that has a lesser block in common is left to that one."""
     def multiply(table):
         import pyarrow as pa
 
         node = table.column("node").to_numpy()
-        left = table.column("left").to_numpy(zero_copy_only=False).astype(bool)
-        grams = table.column("grams").combine_chunks()
-        grams = grams.chunk(0) if isinstance(grams, pa.ChunkedArray) else grams
-        offsets, flat = grams.offsets.to_numpy(), grams.flatten().to_numpy()
-        offsets = offsets - offsets[0]
-        size = np.diff(offsets)
-        row = np.repeat(np.arange(len(node)), size)
-        columns, at, times = np.unique(flat, return_inverse=True, return_counts=True)
-        shared = np.flatnonzero(times > 1)
-        new = np.full(len(columns), -1)
-        new[shared] = np.arange(len(shared))
-        column = new[at]
-        overlap = np.zeros((len(node), len(node)), np.float32)
-        for lo in range(0, len(shared), 4096):                     # blocks of columns
-            in_block = (column >= lo) & (column < lo + 4096)
-            dense = np.zeros((len(node), min(4096, len(shared) - lo)), np.float32)
-            dense[row[in_block], column[in_block] - lo] = 1
-            overlap += dense @ dense.T
-        links = (100 + percent) * overlap.astype(np.int64) >= percent * (size[:, None] + size[None, :])
-        links &= left[:, None] | left[None, :]                     # the rest is known to be in one component
-        if not forest:
-            i = table.column("i").to_numpy()
-            if i.min() != i.max():                                 # links within a block come from its product with itself
-                links &= i[:, None] != i[None, :]
-            a, b = np.nonzero(np.triu(links, 1))
-            return pa.table({"a": pa.array(np.minimum(node[a], node[b])), "b": pa.array(np.maximum(node[a], node[b]))})
-        a, b = np.nonzero(np.triu(links, 1))
-        root = list(range(len(node)))
-
-        def find(x):
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        kept = []
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            p, q = find(x), find(y)
-            if p != q:
-                root[p] = q
-                kept.append((x, y))
-        x, y = np.array(kept, np.int64).reshape(-1, 2).T
-        return pa.table({"a": pa.array(node[x]), "b": pa.array(node[y])})
+        p, q = (table.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in "pq")
+        size = _flat(table.column("grams"))[0].astype(np.int64)
+        links = (100 + percent) * _overlap(table.column("grams"), p, q).astype(np.int64) >= percent * (size[p][:, None] + size[q])
+        whole = np.array_equal(p, q)
+        if whole:
+            np.fill_diagonal(links, False)
+        if gives != "forest":
+            links &= _overlap(table.column("lesser"), p, q) == 0
+        mine, other = node[p], node[q]
+        if gives == "pairs":
+            a, b = np.nonzero(np.triu(links) if whole else links)
+            a, b = mine[a], other[b]
+            return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "n": pa.nulls(len(a), pa.int64())})
+        a, b = (np.array(i, np.int64) for i in _forest(links))
+        edges = pa.table({"a": mine[a], "b": other[b], "n": pa.nulls(len(a), pa.int64())})
+        if gives == "forest":
+            return edges
+        copies = table.column("copies").to_numpy().astype(np.float64)
+        at, n = mine, links @ copies[q]
+        if not whole:
+            at, n = np.concatenate([at, other]), np.concatenate([n, copies[p] @ links])
+        linked = n > 0
+        return pa.concat_tables([edges, pa.table({"a": at[linked], "b": pa.nulls(int(linked.sum()), pa.int64()), "n": n[linked].astype(np.int64)})])
     return multiply
 
 
@@ -250,6 +288,8 @@ def _candidates(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataF
             F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.min("f2").alias("f2"), F.max("f2").alias("g2")), "nodes")
         if nodes.filter("f2 != g2").isEmpty():
             break
+    else:
+        raise RuntimeError("sets share a fingerprint under every seed")
 
     # Columns with two rows or more, and their entries. (Tasks that hold copies of a row repeat its entries.)
     entries = described.select(F.col("f1").alias("node"), "n", F.explode("head").alias("gram"))
@@ -294,10 +334,9 @@ def _candidates(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataF
     needed = percent * (F.col("na") + F.col("nb"))
     open_pairs = shared_table(counted.filter((100 + percent) * reach >= needed).select("a", "b"), "open-pairs")
 
-    # Dense columns: rows of one hub and size make a block.
-    members = shared_table(thick.filter("node != hub").select(F.xxhash64("hub", "block").alias("bucket"), "hub", "node").distinct(), "members")
-    wanted = (open_pairs.select(F.col("a").alias("node")).union(open_pairs.select("b"))
-              .union(members.select("node")).union(members.select("hub"))).distinct()
+    # Dense columns: rows of one hub and size make a block; the hub is one of them.
+    members = shared_table(thick.select(F.xxhash64("hub", "block").alias("bucket"), "hub", "node", "n").distinct(), "members")
+    wanted = open_pairs.select(F.col("a").alias("node")).union(open_pairs.select("b")).union(members.select("node")).distinct()
     wanted = shared_table(wanted, "wanted")
     bits = spark.sparkContext.broadcast(_bitmap(wanted))
     fetched = map_arrow(texts.select("text"), _fetch(levels, bits, n, seed), "node bigint, grams array<bigint>")
@@ -305,71 +344,100 @@ def _candidates(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataF
     return described, nodes, open_pairs, members, sets
 
 
-def link_rows(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, sig (hash of the text), n (set size), root (of its component; null without a set), component_id."""
+def link_rows(docs: DataFrame, n: int = N, percent: int = PERCENT, counted: bool = False) -> DataFrame:
+    """One row per document: doc_id, sig (hash of the text), n (set size), root (of its component; null without a set), component_id.
+
+    With ``counted`` also n_links: how many other rows link with a row, copies included.  Blocks are then multiplied
+    whole, so the work, not the rows, grows with the square of the different sets that share a dense column.
+    """
     described, nodes, open_pairs, members, sets = _candidates(docs, n, percent)
     direct = shared_table(_verified(open_pairs, sets, percent), "direct-links")
-    to_hub = shared_table(_verified(members.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), sets, percent), "hub-links")
-    apart = members.join(to_hub.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.lit(False).alias("known")),
-                         ["hub", "node"], "left")
-    apart = shared_table(apart.select("bucket", "node", F.col("known").isNull().alias("left")), "apart")
-    edges = direct.union(to_hub).union(_dense_links(apart, sets, percent))
-
-    found = shared_table(components(edges), "components")
-    named = nodes.select("node", "first", "copies").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    if counted:
+        found = shared_table(_dense_links(_whole(members, nodes), sets, percent, "counts"), "block-links")
+        edges = direct.union(found.filter("b IS NOT NULL").select("a", "b"))
+    else:
+        rows = members.filter("node != hub")
+        to_hub = shared_table(_verified(rows.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), sets, percent), "hub-links")
+        apart = rows.join(to_hub.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.lit(False).alias("known")), ["hub", "node"], "left")
+        apart = shared_table(apart.select("bucket", "node", "n", F.col("known").isNull().alias("left")), "apart")
+        edges = direct.union(to_hub).union(_dense_links(apart, sets, percent, "forest").select("a", "b"))
+
+    roots = shared_table(components(edges), "components")
+    named = nodes.select("node", "first", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = shared_table(named, "named")
     least = shared_table(named.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("copies").alias("docs"))
                          .filter("docs > 1"), "least-ids")
-    groups = shared_table(named.join(least, "root").select(F.col("node").alias("f1"), "root", "component_id"), "groups")
+    groups = named.join(least, "root").select(F.col("node").alias("f1"), "root", "component_id", "copies")
+    if counted:
+        alone = _alone(direct, members).join(nodes.select(F.col("node").alias("b"), "copies"), "b").select("a", F.col("copies").alias("n"))
+        others = found.filter("n IS NOT NULL").select("a", "n").union(alone).groupBy("a").agg(F.sum("n").alias("others"))
+        groups = groups.join(others, F.col("f1") == F.col("a"), "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("others", F.lit(0)))
+    groups = shared_table(groups.drop("copies", "a", "others"), "groups")
     # Only groups of two and more come back; any other row is its own component.
+    with_set = F.col("n") > 0
+    more = [F.when(with_set, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("bigint").alias("n_links")] if counted else []
     return described.select("doc_id", "sig", "n", "f1").join(groups, "f1", "left").select(
-        "doc_id", "sig", "n", F.when(F.col("n") > 0, F.col("root")).alias("root"),
-        F.when((F.col("n") > 0) & F.col("root").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        "doc_id", "sig", "n", F.when(with_set, F.col("root")).alias("root"),
+        F.when(with_set & F.col("root").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *more)
+
+
+def _whole(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """All rows of the dense blocks, with their copies and the lesser ones of the blocks that they are in."""
+    blocks = members.groupBy("node").agg(F.collect_set("bucket").alias("buckets"))
+    rows = members.select("bucket", "node", "n").join(blocks, "node").join(nodes.select("node", "copies"), "node")
+    lesser = F.filter("buckets", lambda x: x < F.col("bucket"))
+    return shared_table(rows.select("bucket", "node", "n", F.lit(True).alias("left"), "copies", lesser.alias("lesser")), "whole-blocks")
+
+
+def _alone(direct: DataFrame, members: DataFrame) -> DataFrame:
+    """The links (a, b), both ways, of rows that have no dense block in common; the others are counted in the blocks."""
+    blocks = shared_table(members.groupBy("node").agg(F.collect_set("bucket").alias("buckets")), "blocks-of-rows")
+    none = F.array().cast("array<bigint>")
+    pairs = (direct.join(blocks.select(F.col("node").alias("a"), F.col("buckets").alias("x")), "a", "left")
+             .join(blocks.select(F.col("node").alias("b"), F.col("buckets").alias("y")), "b", "left"))
+    pairs = pairs.filter(~F.arrays_overlap(F.coalesce("x", none), F.coalesce("y", none))).select("a", "b")
+    return pairs.union(pairs.select("b", "a"))
 
 
 def all_links(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(one row per document: doc_id, sig, n_shingles, node, n_links; every link of two different sets: a, b, with a < b).
+    """(one row per document: doc_id, sig, n_shingles, node; every link of two different sets: a, b, with a < b).
 
     ``node`` names the set of a document (null without a set).  Two documents link if they have one node or
-    their nodes are a pair; ``n_links`` counts the other rows that link with a row, copies included.
-    The blocks of dense columns are multiplied whole, so work and pairs grow with the square of a group's different sets.
+    their nodes are a pair.  The pairs grow with the square of a group's different sets; ``link_rows`` counts them without giving them.
     """
     described, nodes, open_pairs, members, sets = _candidates(docs, n, percent)
-    whole = members.select("bucket", "node").union(members.select("bucket", F.col("hub").alias("node"))).distinct()
-    whole = shared_table(whole.withColumn("left", F.lit(True)), "whole-blocks")
-    pairs = _verified(open_pairs, sets, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = shared_table(pairs.union(_dense_links(whole, sets, percent, forest=False)).distinct(), "all-links")
-    both = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).union(pairs.select("b", "a"))
-    copies = nodes.select(F.col("node").alias("other"), "copies")
-    linked = both.join(copies, "other").groupBy("node").agg(F.sum("copies").alias("others"))
-    counts = nodes.select("node", "copies").join(linked, "node", "left").select(
-        F.col("node").alias("f1"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    rows = described.withColumn("f1", F.when(F.col("n") > 0, F.col("f1"))).join(shared_table(counts, "link-counts"), "f1", "left")
-    return rows.select("doc_id", "sig", F.col("n").alias("n_shingles"), F.col("f1").alias("node"),
-                       F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links")), pairs
-
-
-def _dense_links(apart: DataFrame, sets: DataFrame, percent: int, forest: bool = True) -> DataFrame:
-    """Links of rows that do not link to their hub with any row of the block."""
-    sizes = apart.groupBy("bucket").agg(F.sum(F.col("left").cast("int")).alias("l"), F.count(F.lit(1)).alias("m")).filter("l > 0")
-    sizes = shared_table(sizes.select("bucket", F.ceil(F.col("l") / BLOCK).alias("bl"),
-                                      F.ceil((F.col("m") - F.col("l")) / BLOCK).alias("br")), "block-sizes")
-    placed = apart.join(sizes, "bucket").withColumn(
-        "i", F.pmod(F.xxhash64("node"), F.when(F.col("left"), F.col("bl")).otherwise(F.col("br"))))
+    pairs = _alone(_verified(open_pairs, sets, percent), members).filter("a < b")
+    pairs = shared_table(pairs.union(_dense_links(_whole(members, nodes), sets, percent, "pairs").select("a", "b")), "all-links")
+    return described.select("doc_id", "sig", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("f1")).alias("node")), pairs
+
+
+def _dense_links(rows: DataFrame, sets: DataFrame, percent: int, gives: str) -> DataFrame:
+    """What ``_product`` gives of the links of a bucket's left rows with any row of it, in products of bounded blocks."""
+    left = F.col("left")
+    sizes = rows.groupBy("bucket").agg(F.count_if(left).alias("l"), F.count_if(~left).alias("r"), F.sum(F.when(left, F.col("n"))).alias("ln"),
+                                       F.coalesce(F.sum(F.when(~left, F.col("n"))), F.lit(0)).alias("rn")).filter("l > 0")
+    sizes = shared_table(sizes.select("bucket", F.ceil(F.greatest(F.col("l") / BLOCK, F.col("ln") / BLOCK_GRAMS)).alias("bl"),
+                                      F.ceil(F.greatest(F.col("r") / BLOCK, F.col("rn") / BLOCK_GRAMS)).alias("br")), "block-sizes")
+    placed = rows.join(sizes, "bucket").withColumn("i", F.pmod(F.xxhash64("node"), F.when(left, F.col("bl")).otherwise(F.col("br"))))
     every = F.sequence(F.lit(0).cast("bigint"), F.col("bl") - 1)
     other = F.when(F.col("br") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("br") - 1)).otherwise(F.array().cast("array<bigint>"))
     i = F.col("i")
-    rows_left = F.concat(F.transform(every, lambda j: F.struct(F.lit(True).alias("ll"), F.least(i, j).alias("x"), F.greatest(i, j).alias("y"))),
-                         F.transform(other, lambda j: F.struct(F.lit(False).alias("ll"), i.alias("x"), j.alias("y"))))
-    rows_right = F.transform(every, lambda j: F.struct(F.lit(False).alias("ll"), j.alias("x"), i.alias("y")))
-    spread = placed.select("bucket", "node", "left", "i", F.explode(F.when(F.col("left"), rows_left).otherwise(rows_right)).alias("k"))
-    blocks = spread.select("bucket", "node", "left", "i", "k.*").join(sets, "node")
-    return blocks.groupBy("bucket", "ll", "x", "y").applyInArrow(_product(percent, forest), "a bigint, b bigint")
+
+    def product(ll, x, y, p, q):
+        return F.struct(F.lit(ll).alias("ll"), x.alias("x"), y.alias("y"), p.alias("p"), q.alias("q"))
+
+    rows_left = F.concat(F.transform(every, lambda j: product(True, F.least(i, j), F.greatest(i, j), i <= j, i >= j)),
+                         F.transform(other, lambda j: product(False, i, j, F.lit(True), F.lit(False))))
+    rows_right = F.transform(every, lambda j: product(False, j, i, F.lit(False), F.lit(True)))
+    more = [c for c in ("copies", "lesser") if c in rows.columns]
+    spread = placed.select("bucket", "node", *more, F.explode(F.when(left, rows_left).otherwise(rows_right)).alias("k"))
+    blocks = spread.select("bucket", "node", *more, "k.*").join(sets, "node")
+    return blocks.groupBy("bucket", "ll", "x", "y").applyInArrow(_product(percent, gives), "a bigint, b bigint, n bigint")
 
 
 def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id (the least id that links reach) of every row."""
-    return link_rows(docs, n, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    """doc_id, n_shingles, component_id (the least id that links reach) and n_links (other rows it links with) of every row."""
+    return link_rows(docs, n, percent, counted=True).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
 
 
 def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -172,9 +172,10 @@ links AS (
   SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id
   GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
 reach(doc_id, r) AS (
-  SELECT doc_id, doc_id FROM s UNION SELECT links.b, reach.r FROM reach JOIN links ON links.a = reach.doc_id)
-SELECT s.doc_id, len(s.g) AS n_shingles, min(reach.r) AS component_id
-FROM s JOIN reach ON reach.doc_id = s.doc_id GROUP BY s.doc_id, s.g"""
+  SELECT doc_id, doc_id FROM s UNION SELECT links.b, reach.r FROM reach JOIN links ON links.a = reach.doc_id),
+partners AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT s.doc_id, len(s.g) AS n_shingles, min(reach.r) AS component_id, coalesce(max(partners.n), 0) AS n_links
+FROM s JOIN reach ON reach.doc_id = s.doc_id LEFT JOIN partners ON partners.a = s.doc_id GROUP BY s.doc_id, s.g"""
 
 
 # The checksum of an id is the usual CRC-32, bit by bit over its decimal digits.

@@ -215,9 +215,11 @@ def test_ngram_join(spark, texts, monkeypatch, dense, block):
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(df).collect()}
     assert got == brute.components(rows)
+    roots = {r.doc_id: (r.n, r.component_id) for r in ngram_join.link_rows(df).collect()}         # by hubs, without counts
+    assert roots == got
 
 
-@pytest.mark.parametrize("dense, block", [(64, 256), (3, 4)])
+@pytest.mark.parametrize("dense, block", [(64, 512), (3, 4), (3, 512)])
 def test_every_link_is_found(spark, monkeypatch, dense, block):
     monkeypatch.setattr(ngram_join, "DENSE", dense)
     monkeypatch.setattr(ngram_join, "BLOCK", block)
@@ -235,7 +237,36 @@ def test_every_link_is_found(spark, monkeypatch, dense, block):
     assert pairs.count() == len(rep)
     assert want == {(i, j) for i in sets for j in sets if i < j and found[i].node is not None and
                     (found[i].node == found[j].node or frozenset((found[i].node, found[j].node)) in rep)}
-    assert {i: r.n_links for i, r in found.items()} == {i: sum(i in p for p in want) for i in sets}
+    counted = {r.doc_id: r.n_links for r in ngram_join.near_duplicates(df).collect()}
+    assert counted == {i: sum(i in p for p in want) for i in sets}
+
+
+def test_blocks_are_cut_by_grams(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", 300)
+    base = [f"t{i}" for i in range(70)]
+    rows = [(k, " ".join([*base[:k % 70], f"x{k}", *base[k % 70 + 1:]])) for k in range(140)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    sets = {i: brute.shingles(t) for i, t in rows}
+    want = {i: sum(100 * len(a & b) >= 85 * len(a | b) for j, b in sets.items() if j != i) for i, a in sets.items()}
+    assert {r.doc_id: r.n_links for r in ngram_join.near_duplicates(df).collect()} == want
+
+
+def test_forest_connects_what_the_links_connect():
+    rng = np.random.default_rng(3)
+    for share in (0, 0.02, 0.1, 0.9):
+        links = rng.random((30, 40)) < share
+        rows, columns = ngram_join._forest(links)
+        assert all(links[a, b] for a, b in zip(rows, columns, strict=True))
+        assert len(rows) < 70
+
+        def parts(pairs):
+            root = list(range(70))
+            for a, b in pairs:
+                x, y = root[a], root[30 + b]
+                root = [x if r == y else r for r in root]
+            return {tuple(i for i in range(70) if root[i] == r) for r in root}
+
+        assert parts(zip(rows, columns, strict=True)) == parts(np.argwhere(links).tolist())
 
 
 def test_sharding(spark, texts):
