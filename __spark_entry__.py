@@ -34,6 +34,7 @@ from pathweave.plans import modeling
 from pathweave.plans.featurize import build_features
 from pathweave.plans.ingest import ingest_log
 from pathweave.session import shared_path
+from pathweave.sources.bucketed import read_bucketed_log, write_bucketed_log
 from pathweave.sources.eventlog import (
     csv_options, events_as_log, read_dated_log, read_features, read_log, write_dated_log, write_log, write_transitions,
 )
@@ -518,6 +519,12 @@ def q_dated_days_off(spark, d):
     return read_dated_log(spark, path, day_types=["Holiday", "Weekend"])
 
 
+def q_bucketed_transitions(spark, d):
+    """The transitions of a log in buckets by case; its windows need no exchange."""
+    log, sizes, _ = read_bucketed_log(spark, write_bucketed_log(_nlog(spark, d), _scratch(spark, "bucketed")))
+    return transitions(log, region=REGION, sizes=sizes)
+
+
 def q_transition_report(spark, d):
     """The text of the transition report, as a reader of the file sees it."""
     path = write_transitions(transitions(_nlog(spark, d), region=REGION), _scratch(spark, "report"))
@@ -1081,6 +1088,8 @@ SELECT * EXCLUDE (event_id) FROM l WHERE case_id IN (SELECT case_id FROM first_2
 WITH {SV}
 SELECT case_id, activity, start_ts, end_ts, event_ts, event_id, CAST(start_ts AS DATE) AS start_date FROM sv WHERE day_type <> 'Weekday'"""
 
+    q["q_bucketed_transitions"] = q["q_transitions"]
+
     def stamp(c: str) -> str:
         return (f"strftime({c}, '%Y-%m-%d %H:%M:%S') || CASE WHEN microsecond({c}) % 1000000 = 0 THEN '' "
                 f"ELSE strftime({c}, '.%f') END || '+00:00'")

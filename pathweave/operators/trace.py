@@ -16,6 +16,7 @@ plan is one exchange on ``case_id`` plus a sort, shared by every lead.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,6 +37,12 @@ class SkewPolicy:
 DEFAULT_SKEW = SkewPolicy()
 
 
+class CaseSizes(NamedTuple):
+    """Rows of the largest case and of the log, where they are known beforehand (upper bounds do)."""
+    largest_case: int
+    rows: int
+
+
 def epoch_micros(df: DataFrame, col: str) -> Column:
     """Microseconds since 1970-01-01 for TIMESTAMP and TIMESTAMP_NTZ alike."""
     if dict(df.dtypes)[col] == "timestamp_ntz":
@@ -47,13 +54,15 @@ def trace_window(case_col: str = "case_id", extra_partition=(), order=ORDER):
     return Window.partitionBy(case_col, *extra_partition).orderBy(*[F.col(c).asc_nulls_first() for c in order])
 
 
-def _segments(log: DataFrame, case_col: str, order, policy: SkewPolicy) -> DataFrame | None:
+def _segments(log: DataFrame, case_col: str, order, policy: SkewPolicy, sizes: CaseSizes | None = None) -> DataFrame | None:
     """The log with a segment number, written once; None if no case is hot."""
     from pathweave.operators.stats import materialize
-    sizes = log.groupBy(case_col).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("top"), F.sum("_n").alias("all")).first()
-    if (sizes["top"] or 0) <= policy.hot_case_rows:
+    if sizes is None:
+        counted = log.groupBy(case_col).agg(F.count(F.lit(1)).alias("_n"))
+        sizes = CaseSizes(*counted.agg(F.max("_n"), F.sum("_n")).first())
+    if (sizes.largest_case or 0) <= policy.hot_case_rows:
         return None
-    parts = max(2, -(-sizes["all"] // policy.segment_rows))
+    parts = max(2, -(-sizes.rows // policy.segment_rows))
     ranged = log.repartitionByRange(parts, case_col, *[F.col(c).asc_nulls_first() for c in order])
     return materialize(ranged.withColumn("_seg", F.spark_partition_id()), "segments")
 
@@ -68,24 +77,25 @@ def _encoded(log: DataFrame, col: str):
 
 def with_successor(log: DataFrame, lead_cols: dict | None = None, case_col: str = "case_id",
                    order=ORDER, policy: SkewPolicy | None = DEFAULT_SKEW,
-                   encode_activities: bool = False) -> DataFrame:
+                   encode_activities: bool = False, sizes: CaseSizes | None = None) -> DataFrame:
     """Add successor columns: ``{out_name: source_col}`` (default next_start, next_activity).
 
     ``policy=None`` forces the plain single-window plan.  With
     ``encode_activities`` the activity text is replaced by a numeric code
     before the case shuffle and decoded after the window, so the shuffle
-    carries 8 bytes instead of the text.
+    carries 8 bytes instead of the text.  ``sizes`` (of a bucketed log)
+    spares the count of the largest case.
     """
     lead_cols = lead_cols or {"next_start": "start_ts", "next_activity": "activity"}
     if encode_activities and "activity" in log.columns:
         enc, dic = _encoded(log, "activity")
-        out = with_successor(enc.select(*log.columns), lead_cols, case_col, order, policy, False)
+        out = with_successor(enc.select(*log.columns), lead_cols, case_col, order, policy, False, sizes)
         names = dic.select(F.col("_code").alias("_c"), F.col("activity").alias("_name"))
         for c in ["activity"] + [o for o, src in lead_cols.items() if src == "activity"]:
             out = (out.join(names, out[c] == F.col("_c"), "left")
                    .drop(c, "_c").withColumnRenamed("_name", c))
         return out.select(*log.columns, *lead_cols)
-    seg = None if policy is None else _segments(log, case_col, order, policy)
+    seg = None if policy is None else _segments(log, case_col, order, policy, sizes)
     if seg is None:
         w = trace_window(case_col, order=order)
         return log.select("*", *[F.lead(src).over(w).alias(out) for out, src in lead_cols.items()])
@@ -115,14 +125,14 @@ def case_endpoints(log: DataFrame, case_col: str = "case_id", order=ORDER, activ
 
 
 def transitions(log: DataFrame, region: str | None = "MA", policy: SkewPolicy | None = DEFAULT_SKEW,
-                extra_labels: bool = False, encode_activities: bool = False) -> DataFrame:
+                extra_labels: bool = False, encode_activities: bool = False, sizes: CaseSizes | None = None) -> DataFrame:
     """One row per (event, its successor) within a case.
 
     raw_gap_min = next_start - end (may be negative for overlapping events),
     waiting_min = raw gap clipped at 0; both rounded to 2 decimals like numpy.
     Calendar labels are computed from the start of the current event.
     """
-    x = with_successor(log, policy=policy, encode_activities=encode_activities)
+    x = with_successor(log, policy=policy, encode_activities=encode_activities, sizes=sizes)
     t = (x.select("*", round2(minutes_between(F.col("end_ts"), F.col("next_start"))).alias("raw_gap_min"))
          .filter(F.col("next_activity").isNotNull() & F.col("raw_gap_min").isNotNull()))
     # Holiday flag in its own projection; the day type then reads the column (computed once per row).
