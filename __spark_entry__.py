@@ -18,6 +18,7 @@ import uuid
 import zlib
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ from pathweave.functions.calendar import (
 from pathweave.functions.encode import multi_hot
 from pathweave.functions.labels import CLINICAL_RULES, collapse_labels, duration_label_to_minutes, normalise_text
 from pathweave.functions.timefns import minutes_between
-from pathweave.operators import clean, dfg, features, ops, stats
+from pathweave.operators import clean, dfg, features, ops, sparse, stats
 from pathweave.operators.trace import transitions
 from pathweave.plans.discovery import normalise_log
 from pathweave.plans import modeling
@@ -301,6 +302,7 @@ def q_feature_model(spark, d):
 
 CASE_SIZE_SPLIT = 67         # about half of the fixture's cases have fewer events
 UNEVEN_K = 3
+SPARSE_K = 10
 SAMPLE_TEXTS = ["  Fetal Anatomy Study \t", "\nAssessment of ANXIETY  ", " Drug Abuse prevention", "RENAL DIALYSIS (procedure) ",
                 "Combined Chemotherapy and Radiation", "  Echocardiography", "Plain chest X-Ray (procedure)",
                 "Hepatitis C antibody TEST ", "  Walking Aid  Fitting "]
@@ -346,6 +348,14 @@ def q_proc_matrix_top3(spark, d):
     return _long_counts(features.proc_matrix(_brand_log(spark, d), UNEVEN_K), ["case_id"])
 
 
+def q_sparse_features(spark, d):
+    """The counts of the ten most frequent brands of each order as a sparse vector, told as index:count."""
+    log = _brand_log(spark, d)
+    feats = sparse.sparse_case_features(log, sparse.activity_index(log, SPARSE_K))
+    cell = F.transform(vector_to_array("features"), lambda n, i: F.when(n > 0, F.concat_ws(":", i, n.cast("int"))))
+    return feats.select("case_id", "event_count", F.array_join(F.array_compact(cell), ",").alias("counts"))
+
+
 def q_case_features_top3(spark, d):
     return _long_counts(features.case_features(_brand_log(spark, d), UNEVEN_K), ["case_id", "event_count"])
 
@@ -802,6 +812,13 @@ cells AS (
     q["q_proc_matrix_top3"] = brands + """
 SELECT case_id, label, n FROM cells WHERE case_id IN (SELECT case_id FROM cells WHERE n > 0)"""
     q["q_case_features_top3"] = brands + "\nSELECT case_id, event_count, label, n FROM cells"
+    q["q_sparse_features"] = brands + f""",
+ten AS (SELECT label FROM lines GROUP BY label ORDER BY count(*) DESC, label LIMIT {SPARSE_K}),
+places AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS i FROM ten),
+counts AS (SELECT case_id, i, count(*) AS n FROM lines JOIN places USING (label) GROUP BY 1, 2),
+told AS (SELECT case_id, string_agg(i || ':' || n, ',' ORDER BY i) AS counts FROM counts GROUP BY 1)
+SELECT c.case_id, c.event_count, coalesce(told.counts, '') AS counts
+FROM (SELECT case_id, count(*) AS event_count FROM lines GROUP BY case_id) c LEFT JOIN told USING (case_id)"""
     q["q_multi_hot_top3"] = brands + "\nSELECT case_id, label, CAST(n > 0 AS INTEGER) AS n FROM cells"
     # Sorted labels: capitals come first; what equals an earlier label but for case, or has a dot, ends in a checksum.
     named = [(v.upper(), v.upper()) for v in VOCAB]

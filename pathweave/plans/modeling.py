@@ -91,6 +91,13 @@ def train(train_df: DataFrame, label: str, feature_cols=None, params: dict | Non
     return gbt_pipeline(feature_cols, label, params, weight_col).fit(data)
 
 
+def train_on_vectors(rows: DataFrame, label: str, params: dict | None = None, weight_col: str | None = None) -> PipelineModel:
+    """The model that ``train`` fits, from a vector column ``features`` (``sparse.sparse_case_features``)."""
+    gbt = GBTRegressor(featuresCol="features", labelCol=label, predictionCol="prediction", **(params or GBT_PARAMS))
+    stages = [gbt.setWeightCol(weight_col) if weight_col else gbt]
+    return Pipeline(stages=stages).fit(rows.withColumn(label, F.col(label).cast("double")))
+
+
 def cells(rows: DataFrame, label: str, feature_cols) -> DataFrame:
     """One row for each combination of features: the mean label, and ``rows`` of it.
 
