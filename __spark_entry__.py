@@ -28,7 +28,7 @@ from pathweave.functions.calendar import (
 from pathweave.functions.encode import multi_hot
 from pathweave.functions.labels import CLINICAL_RULES, collapse_labels, duration_label_to_minutes, normalise_text
 from pathweave.functions.timefns import minutes_between
-from pathweave.operators import clean, dfg, features, ops, sparse, stats
+from pathweave.operators import clean, dfg, features, heavy, ops, sparse, stats
 from pathweave.operators.trace import transitions
 from pathweave.plans.discovery import normalise_log
 from pathweave.plans import modeling
@@ -348,6 +348,12 @@ def q_proc_matrix_top3(spark, d):
     return _long_counts(features.proc_matrix(_brand_log(spark, d), UNEVEN_K), ["case_id"])
 
 
+def q_heavy_hitters(spark, d):
+    """The most frequent of very many labels: pairs of part and supplier."""
+    log = _t(spark, d, "lineitem").select(F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("activity"))
+    return heavy.heavy_hitters(log, TOP_K)
+
+
 def q_sparse_features(spark, d):
     """The counts of the ten most frequent brands of each order as a sparse vector, told as index:count."""
     log = _brand_log(spark, d)
@@ -819,6 +825,8 @@ counts AS (SELECT case_id, i, count(*) AS n FROM lines JOIN places USING (label)
 told AS (SELECT case_id, string_agg(i || ':' || n, ',' ORDER BY i) AS counts FROM counts GROUP BY 1)
 SELECT c.case_id, c.event_count, coalesce(told.counts, '') AS counts
 FROM (SELECT case_id, count(*) AS event_count FROM lines GROUP BY case_id) c LEFT JOIN told USING (case_id)"""
+    q["q_heavy_hitters"] = f"""
+SELECT l_partkey || '-' || l_suppkey AS activity, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, activity LIMIT {TOP_K}"""
     q["q_multi_hot_top3"] = brands + "\nSELECT case_id, label, CAST(n > 0 AS INTEGER) AS n FROM cells"
     # Sorted labels: capitals come first; what equals an earlier label but for case, or has a dot, ends in a checksum.
     named = [(v.upper(), v.upper()) for v in VOCAB]
