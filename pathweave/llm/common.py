@@ -7,8 +7,11 @@ import functools
 import gc
 import os
 import uuid
-from collections.abc import Callable
+import weakref
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,17 +67,90 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the folder of ``spark.checkpoint.dir`` and read it back.
 
     This cuts the lineage: what is read again survives lost executors, and work
-    that several branches need is done once.
+    that several branches need is done once.  Shuffle files of the write go with it,
+    and ``drop_tables`` deletes the table when no plan reads it any more.
     """
     spark = df.sparkSession
     path = shared_path(spark, f"llm/{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with _shuffles_removed(spark):
+        df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _written[table] = path
+    return table
+
+
+_written: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Spark removes the shuffle files of a query of this block when the query ends, not when the driver collects garbage."""
+    was = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if was is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, was)
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Delete tables of ``shared_table`` (the frames that it returned, not frames made of them); only for tables that no plan reads any more."""
+    for table in tables:
+        path = _written.pop(table)
+        at = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+FILTER_BITS = 26             # hashes in question are remembered in a bitmap of 8 MB
+
+
+def hash_bitmap(hashes: DataFrame) -> np.ndarray:
+    """The first bits of the hashes (one bigint column) as a bitmap: 2**(FILTER_BITS - 5) words at most, however many hashes there are."""
+    at = F.shiftrightunsigned(hashes.columns[0], 64 - FILTER_BITS)
+    words = hashes.select(at.alias("at")).select(
+        F.shiftright("at", 5).alias("w"), F.expr("shiftleft(1L, CAST(at & 31 AS INT))").alias("b"))
+    bits = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
+    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()          # 12 bytes a word on the driver
+    bits[found["w"].to_numpy()] = found["b"].to_numpy()
+    return bits.view(np.uint8)
+
+
+def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the hashes (int64 or uint64) have their bit set: all that are in the bitmap, and a few others."""
+    at = hashes.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def likely_in(hashes: DataFrame) -> Callable[[Column], Column]:
+    """A test of bigint columns by ``in_bitmap``: what fails it is not among the hashes (one bigint column).
+
+    Rows with long texts that fail it need no join, and so no shuffle; only their hashes go to Python.
+    """
+    _package_on_workers(hashes.sparkSession)
+    bits = hashes.sparkSession.sparkContext.broadcast(hash_bitmap(hashes))
+
+    @F.pandas_udf("boolean")
+    def test(h: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(bits.value, h.to_numpy(np.int64)))
+    return test
 
 
 SLICE_ROWS = 1000            # rows of a batch that a stage turns into Python objects at once
 
 
+def _package_on_workers(spark: SparkSession) -> None:
+    """Put the folder of this package on the path of workers that see the driver's folders; elsewhere it is not looked at."""
+    env = spark.sparkContext.environment
+    here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if here not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([here, *paths])
+
+
 def map_arrow(df: DataFrame, stage: Callable, schema: str | T.StructType) -> DataFrame:
     """``df.mapInArrow(stage, schema)``, with the folder of this package on the workers' path.
 
@@ -83,11 +159,7 @@ def map_arrow(df: DataFrame, stage: Callable, schema: str | T.StructType) -> Dat
     That serves workers that see the driver's folders; elsewhere the package is
     shipped with ``--py-files`` and the extra folder is not looked at.
     """
-    env = df.sparkSession.sparkContext.environment
-    here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if here not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([here, *paths])
+    _package_on_workers(df.sparkSession)
 
     def sliced(batches):
         for batch in batches:

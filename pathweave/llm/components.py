@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathweave.llm.common import shared_table
+from pathweave.llm.common import drop_tables, shared_table
 
 MAX_STEPS = 60
 
@@ -23,8 +23,11 @@ def _minima(pairs: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("v", "u")).toDF("u", "v")
-    joined = both.join(_minima(both), F.col("u") == F.col("k"))
-    return joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+    minima = _minima(both)
+    joined = both.join(minima, F.col("u") == F.col("k"))
+    out = shared_table(joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct(), "large-star")
+    drop_tables(minima)
+    return out
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -32,20 +35,27 @@ def _small_star(edges: DataFrame) -> DataFrame:
     minima = _minima(down)
     joined = down.join(minima, F.col("u") == F.col("k"))
     own = minima.select(F.col("k").alias("u"), F.col("m").alias("v"))
-    return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(own).filter("u != v").distinct()
+    out = shared_table(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(own).filter("u != v").distinct(), "small-star")
+    drop_tables(minima)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of an edge (a, b); root is the least node of its component."""
+    """(node, root) for every node of an edge (a, b), as a written table; root is the least node of its component."""
     edges = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u != v").distinct()
     edges = shared_table(edges, "edges")
     state = None
     for _ in range(MAX_STEPS):
-        edges = shared_table(_small_star(shared_table(_large_star(edges), "large-star")), "small-star")
+        large = _large_star(edges)
+        drop_tables(edges)
+        edges = _small_star(large)
+        drop_tables(large)
         # Stars only: as many different nodes as edges on one side, and nothing changed.
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
-                edges.select(F.col("v"), F.col("v")).distinct())
+            found = shared_table(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
+                edges.select(F.col("v"), F.col("v")).distinct()), "components")
+            drop_tables(edges)
+            return found
         state = now
     raise RuntimeError(f"components did not settle within {MAX_STEPS} steps")

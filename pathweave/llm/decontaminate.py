@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathweave.llm.common import Carried, map_arrow, nullable, pick, shared_table
+from pathweave.llm.common import Carried, drop_tables, map_arrow, nullable, pick, shared_table
 from pathweave.llm.textscan import ALNUM, U, Words, chunks, sequence_hash
 
 WINDOW = 10
@@ -132,13 +132,15 @@ def mark(frame: DataFrame, text: str, benchmark: DataFrame, block_bytes: int = B
     marked = frame.select("*", F.array().cast(_SPANS).alias("_spans"), empty_items.alias("_items"),
                           F.lit(0).cast("bigint").alias("_n_words"))
     at = frame.columns.index(text)
-    blocks = 0
+    blocks, before = 0, []
     for windows in benchmark_blocks(benchmark, block_bytes):
         index = spark.sparkContext.broadcast(windows)
         marked = map_arrow(marked, _scanner(index, at, len(frame.columns)), nullable(marked.schema))
         blocks += 1
         if blocks % BLOCKS_AT_ONCE == 0:
             marked = shared_table(marked, "marks")
+            drop_tables(*before)
+            before = [marked]
     if not blocks:                                   # words are counted all the same
         index = spark.sparkContext.broadcast(WindowSet([]))
         marked = map_arrow(marked, _scanner(index, at, len(frame.columns)), nullable(marked.schema))
